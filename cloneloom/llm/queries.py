@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.llm import chat, mixing
-from cloneloom.llm.common import table
+from cloneloom.llm import chat, mixing, quality, warc
+from cloneloom.llm.common import shared_dir, table
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,22 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = quality.kept("base")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~base).alias("base_failed"), quality.kept().alias("kept"), "failed",
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -43,9 +61,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op8_chat_format": op8_chat_format}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_quality_rules, op8_chat_format, op10_warc)}
 
 ORACLES = {
+    "op5_quality_rules": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+           FROM documents),
+p AS (SELECT doc_id, i, ws[i:i+4] AS win FROM w, unnest(generate_series(1, len(ws) - 4)) t(i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+        + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
+        + CASE WHEN word_chars > 14 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END
+        + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to FROM k""",
     "op3_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
