@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.llm import chat, mixing, quality, warc
+from cloneloom.llm import chat, mixing, quality, simhash, warc
 from cloneloom.llm.common import shared_dir, table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_schedule(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", F.round("virtual_finish", 9).alias("virtual_finish")
@@ -61,7 +66,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_quality_rules, op8_chat_format, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_mix_sources, op5_quality_rules, op8_chat_format, op10_warc)}
 
 ORACLES = {
     "op5_quality_rules": r"""
