@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.llm import chat, mixing, quality, simhash, vectors, warc
+from cloneloom.llm import chat, mixing, quality, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -43,6 +47,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -71,7 +79,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mix_sources, op5_quality_rules, op8_chat_format, op9_embedding_links, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op5_quality_rules, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
 
 ORACLES = {
     "op9_embedding_links": r"""
