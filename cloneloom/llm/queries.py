@@ -42,7 +42,7 @@ def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    warc.write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
     records = warc.read_warc(spark, path).where("kind = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
