@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.llm import chat, mixing, quality, simhash, substrings, suffixes, vectors, warc
+from cloneloom.llm import chat, mixing, pieces, quality, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
@@ -26,6 +26,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.model_path(), keep_ids=False)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "parity", "round_trip")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality.kept("base")
@@ -79,7 +84,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op5_quality_rules, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
 
 ORACLES = {
     "op9_embedding_links": r"""
