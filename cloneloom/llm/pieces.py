@@ -22,6 +22,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     kinds = "ids array<int>, n_tokens long, ids_sha256 string, parity boolean, round_trip boolean"
 
     @F.pandas_udf(kinds)
-    def coded(texts: "pd.Series") -> "pd.DataFrame":  # noqa: F821
+    def coded(texts: pd.Series) -> pd.DataFrame:
         return _encoded(path, [t or "" for t in texts], keep_ids).to_pandas()
 
     return docs.withColumn("_coded", coded(F.col("text"))).select(*kept, "_coded.*")
@@ -196,9 +197,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """rows with decoded, the text of their ids."""
 
     @F.pandas_udf("string")
-    def decoded(ids: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def decoded(ids: pd.Series) -> pd.Series:
         return pd.Series(_codecs(path)[0].decode_batch([[] if x is None else list(map(int, x)) for x in ids], skip_special_tokens=False))
 
     return rows.withColumn("decoded", decoded("ids"))
