@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats
 
     sizes: one row per source (source, source_size).  Handing the excess of capped sources to the others by
     weight, again and again, ends at the level L with sum(min(L * weight, cap)) = budget; in order of
-    cap / weight it is (budget - caps before) / (weights from here on) at the first source it does not cap.
+    cap / weight it is (budget - caps before) / (weights from here on) at the first source it does not cap,
+    which is the largest such level.
     """
     every = Window.partitionBy(F.lit(0))
     by_code_point = every.orderBy(F.col("source").asc_nulls_last())
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats
         "level",
         (F.sum("source_size").over(every) - F.sum("cap").over(before) + F.col("cap")) / F.sum("weight").over(onward),
     )
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select(
         "source", "source_size", "weight", "target"
     )
