@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.llm import chat, mixing, pieces, quality, simhash, substrings, suffixes, vectors, warc
+import corpus_pipeline
+from cloneloom.llm import chat, mixing, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
@@ -52,6 +53,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = secrets.find_secrets(docs, secrets.fit(docs))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -84,7 +91,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op9_embedding_links": r"""
@@ -135,7 +143,7 @@ l AS (SELECT *, 3 * source_size AS cap,
       WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING),
              r AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (SELECT source, source_size,
-        least(cap::DOUBLE, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target FROM l),
+        least(cap::DOUBLE, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target FROM l),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS through
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
