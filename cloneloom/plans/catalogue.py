@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cloneloom.plans import q_relational, q_repertoire  # noqa: F401  they register their queries
+from cloneloom.plans import q_relational, q_repertoire, q_statistics  # noqa: F401  they register their queries
 from cloneloom.plans.registry import ORACLES, QUERIES  # noqa: F401
