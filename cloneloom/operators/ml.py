@@ -15,19 +15,18 @@ def evaluate_binary(df: DataFrame, by: Sequence[str], y: str, score: str, thresh
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     down = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = counts.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down))
-    rows = rows.withColumn("_P", F.sum("_p").over(part)).withColumn("_N", F.sum("_n").over(part))
-    rows = rows.withColumn("_prec", F.col("_tp") / F.col("_all")).withColumn("_rec", F.col("_tp") / F.col("_P"))
+    rows = rows.withColumn("_all_p", F.sum("_p").over(part)).withColumn("_all_n", F.sum("_n").over(part))
+    rows = rows.withColumn("_prec", F.col("_tp") / F.col("_all")).withColumn("_rec", F.col("_tp") / F.col("_all_p"))
     step = part.orderBy(F.desc(score))
     rows = rows.withColumn("_prec0", F.coalesce(F.lag("_prec").over(step), F.lit(1.0))).withColumn("_rec0", F.coalesce(F.lag("_rec").over(step), F.lit(0.0)))
     over = F.col(score) >= threshold
     negatives = F.col("_n") - F.col("_p")
-    below = F.col("_P") - F.col("_tp") + F.col("_p")  # positives at or under this score
     out = rows.groupBy(*by).agg(
-        F.first("_N").alias("n"), F.first("_P").alias("n_pos"),
+        F.first("_all_n").alias("n"), F.first("_all_p").alias("n_pos"),
         F.sum(negatives * (F.col("_tp") - F.col("_p") + F.col("_p") / 2.0)).alias("_auc"),
         F.sum((F.col("_rec") - F.col("_rec0")) * (F.col("_prec") + F.col("_prec0")) / 2).alias("pr_auc"),
-        F.sum(F.when(over, F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(over, negatives).otherwise(0)).alias("fp"), F.max(below).alias("_unused"),
-    ).drop("_unused")
+        F.sum(F.when(over, F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(over, negatives).otherwise(0)).alias("fp"),
+    )
     n, p, tp, fp = (F.col(c).cast("double") for c in ("n", "n_pos", "tp", "fp"))
     fn, tn = p - tp, n - p - fp
     chance = ((tp + fp) * p + (fn + tn) * (n - p)) / (n * n)
