@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloneloom.operators.relational import running
+
 
 def _pairs(cells: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
     a = cells.select(F.col(sample).alias("sample1"), feature, F.col(value).alias("v1"))
@@ -79,5 +81,10 @@ def pair_classes(pairs: DataFrame, groups: DataFrame, sample: str, flag: str) ->
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with their place in the order of distances."""
-    return pairs.withColumn("place", F.row_number().over(Window.orderBy("dist", "sample1", "sample2")))
+    """Pairs with their place in the order of distances, ties by their samples.
+
+    Places within a distance come from its own window, those before it from the running count of distances.
+    """
+    counts = running(pairs.groupBy(F.col("dist").alias("_d")).agg(F.count("*").alias("_n")), [], "_d", {"_upto": "_n"})
+    own = F.row_number().over(Window.partitionBy("dist").orderBy("sample1", "sample2"))
+    return pairs.join(counts, F.col("dist") == F.col("_d")).withColumn("place", own + F.col("_upto") - F.col("_n")).drop("_d", "_n", "_upto")

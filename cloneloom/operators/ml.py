@@ -8,17 +8,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloneloom.operators.relational import running
+
 
 def evaluate_binary(df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
     """n, prevalence, ROC AUC (ties half), PR AUC (trapezoid), kappa and F1 at a threshold (ML5)."""
     counts = df.groupBy(*by, score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down))
-    rows = rows.withColumn("_all_p", F.sum("_p").over(part)).withColumn("_all_n", F.sum("_n").over(part))
+    sizes = counts.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    rows = running(counts, by, score, {"_tp": "_p", "_all": "_n"}, descending=True)
+    rows = rows.join(sizes, list(by)) if by else rows.crossJoin(F.broadcast(sizes))
     rows = rows.withColumn("_prec", F.col("_tp") / F.col("_all")).withColumn("_rec", F.col("_tp") / F.col("_all_p"))
-    step = part.orderBy(F.desc(score))
-    rows = rows.withColumn("_prec0", F.coalesce(F.lag("_prec").over(step), F.lit(1.0))).withColumn("_rec0", F.coalesce(F.lag("_rec").over(step), F.lit(0.0)))
+    # The step before: what lies above this score.
+    above_p, above = F.col("_tp") - F.col("_p"), F.col("_all") - F.col("_n")
+    rows = rows.withColumn("_prec0", F.coalesce(F.try_divide(above_p, above), F.lit(1.0))).withColumn("_rec0", above_p / F.col("_all_p"))
     over = F.col(score) >= threshold
     negatives = F.col("_n") - F.col("_p")
     out = rows.groupBy(*by).agg(

@@ -9,6 +9,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Running totals
+
+
+BUCKETS = 256
+
+
+def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """df with running totals of columns (out: column) in an order of numbers, ties in any order.
+
+    Within groups (by) this is a window.  Over the whole table rows go into BUCKETS ranges of equal weight, whose
+    cut points are all that reaches the driver; each range has its own window and starts from the sum of those
+    before it, so no task gathers the table.
+    """
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if by:
+        own = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
+        return df.withColumns({out: F.sum(c).over(own) for out, c in sums.items()})
+    cuts = df.agg(F.percentile_approx(order, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts})
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("_bucket", -bucket if descending else bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()])
+    starts = totals.select("_bucket", *[F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_start_{out}") for out in sums])
+    own = Window.partitionBy("_bucket").orderBy(key).rowsBetween(*upto)
+    out = rows.join(F.broadcast(starts), "_bucket").withColumns({o: F.sum(c).over(own) + F.col(f"_start_{o}") for o, c in sums.items()})
+    return out.drop("_bucket", *[f"_start_{o}" for o in sums])
+
+
 # Filters and conditional columns
 
 
@@ -88,12 +118,19 @@ def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(col).isNotNull(), above)).drop("_edges")
 
 
-def average_rank(col: str, by: Sequence[str] = (), descending: bool = False) -> Column:
-    """Rank with ties at their mean (W2); null keys last."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+def average_rank(col: str, by: Sequence[str], descending: bool = False) -> Column:
+    """Rank within groups with ties at their mean (W2); for the whole table see ranked()."""
     order = F.col(col).desc() if descending else F.col(col).asc()
     ties = F.count("*").over(Window.partitionBy(*by, col))
-    return F.rank().over(part.orderBy(order)) + (ties - 1) / 2.0
+    return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2.0
+
+
+def ranked(df: DataFrame, col: str, by: Sequence[str], out: str) -> DataFrame:
+    """df with the average rank of a column without nulls, in groups or over the whole table."""
+    if by:
+        return df.withColumn(out, average_rank(col, by))
+    counts = running(df.groupBy(F.col(col).alias("_value")).agg(F.count("*").alias("_ties")), [], "_value", {"_upto": "_ties"})
+    return df.join(counts, F.col(col) == F.col("_value")).withColumn(out, F.col("_upto") - (F.col("_ties") - 1) / 2.0).drop("_value", "_ties", "_upto")
 
 
 def share_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,16 @@ def padded_hamming(a: str | Column, b: str | Column) -> Column:
 
 
 def with_ids(df: DataFrame, seq: str, least: int = 4) -> DataFrame:
-    """Different sequences of at least ``least`` letters with ids in their order (CL2)."""
-    from pyspark.sql import Window
+    """Different sequences of at least ``least`` letters with ids 1.. in the order of their md5 (CL2).
 
-    rows = df.select(F.col(seq).alias("seq")).where(F.length(seq) >= least).distinct()
-    return rows.select(F.row_number().over(Window.orderBy("seq")).cast("long").alias("id"), "seq")
+    Ids count within 4096 buckets of the hash, each from the number of sequences in the buckets before it.
+    """
+    rows = df.select(F.col(seq).alias("seq")).where(F.length(seq) >= least).distinct().withColumn("_h", F.md5(F.col("seq").cast("binary")))
+    rows = rows.withColumn("_b", F.substring("_h", 1, 3))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_start", before).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "seq"))
+    return rows.join(F.broadcast(starts), "_b").select((place + F.col("_start")).cast("long").alias("id"), "seq")
 
 
 def _pairs_by_key(keyed: DataFrame, check: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.functions import special
-from cloneloom.operators.relational import average_rank
+from cloneloom.operators.relational import ranked, running
 from cloneloom.operators.repertoire import log_gamma
 
 
@@ -16,7 +16,7 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str, method: str =
     """n, r and two-sided p of pairs without nulls (ST1, ST2); ranks average ties."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if method == "spearman":
-        rows = rows.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+        rows = ranked(ranked(rows, x, by, "_x"), y, by, "_y")
         x, y = "_x", "_y"
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
@@ -30,9 +30,8 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, alter
     Normal approximation with tie and continuity corrections; 'legacy' halves p.
     """
     counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group)).alias("_n1"), F.count("*").alias("_n"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_rank", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2.0)
-    out = ranked.groupBy(*by).agg(
+    ranks = running(counts, by, value, {"_upto": "_n"}).withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    out = ranks.groupBy(*by).agg(
         F.sum("_n1").alias("n1"), (F.sum("_n") - F.sum("_n1")).alias("n2"), F.sum(F.col("_n1") * F.col("_rank")).alias("_r1"), F.sum(F.col("_n").cast("double") ** 3 - F.col("_n")).alias("_ties")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -67,10 +66,11 @@ def anova(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame
 def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
     """Largest distance of two empirical distributions (ST5)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group)).alias("_a"), F.sum(1 - F.col(group)).alias("_b"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    gap = F.abs(F.sum("_a").over(up) / F.sum("_a").over(every) - F.sum("_b").over(up) / F.sum("_b").over(every))
-    out = counts.withColumn("_gap", gap).groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.max("_gap").alias("d"))
+    totals = counts.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
+    steps = running(counts, by, value, {"_up_a": "_a", "_up_b": "_b"})
+    steps = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))
+    gap = F.abs(F.col("_up_a") / F.col("n1") - F.col("_up_b") / F.col("n2"))
+    out = steps.groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
     return out.withColumn("p", special.ks_p("d", F.col("n1").cast("double"), F.col("n2").cast("double")))
 
 
@@ -129,19 +129,39 @@ def odds_ratio_ci(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFram
 def adjusted(df: DataFrame, p: str, method: str = "bh", by: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
     """df with the adjusted p of each test, 'bh' or 'bonferroni' (ST10) or 'holm-sidak' (ST11); nulls stay null.
 
-    The window runs over all tests of a family (by), as the definition does.
+    Equal p share one adjusted value, so the steps run over different values with their counts.  A step's extreme
+    over all values above (or below) it is the extreme within its range and that of whole ranges beyond.
     """
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = df.withColumn("_n", F.count(p).over(part)).withColumn("_rank", F.row_number().over(part.orderBy(F.col(p).asc_nulls_last())))
+    keys = list(by)
+    tests = df.where(F.col(p).isNotNull())
+    sizes = tests.groupBy(*keys).agg(F.count("*").alias("_n"))
+    values = tests.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
+    values = running(values, keys, "_p", {"_upto": "_k"})
+    values = values.join(sizes, keys) if keys else values.crossJoin(F.broadcast(sizes))
     if method == "bonferroni":
-        value = F.least(F.col(p) * F.col("_n"), F.lit(1.0))
+        values = values.withColumn("_q", F.col("_p") * F.col("_n"))
     elif method == "bh":
-        rows = rows.withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank"))
-        value = F.least(F.min("_q").over(part.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.lit(1.0))
+        values = _extreme_beyond(values.withColumn("_step", F.col("_p") * F.col("_n") / F.col("_upto")), keys, up=True)
     else:
-        rows = rows.withColumn("_q", 1 - (1 - F.col(p)) ** (F.col("_n") - F.col("_rank") + 1))
-        value = F.least(F.max("_q").over(part.orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(1.0))
-    return rows.withColumn(out, F.when(F.col(p).isNotNull(), value)).drop("_n", "_rank", "_q")
+        # The first of equal values has the largest step.
+        values = _extreme_beyond(values.withColumn("_step", 1 - (1 - F.col("_p")) ** (F.col("_n") - (F.col("_upto") - F.col("_k")))), keys, up=False)
+    values = values.select(*[F.col(k).alias(f"_by_{k}") for k in keys], "_p", F.least("_q", F.lit(1.0)).alias(out))
+    on = [F.col(p) == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]]
+    return df.join(values, on, "left").drop("_p", *[f"_by_{k}" for k in keys])
+
+
+def _extreme_beyond(values: DataFrame, keys: list[str], up: bool, ranges: int = 256) -> DataFrame:
+    """_q: least _step at this _p or above (up), or largest at this _p or below."""
+    best = F.min if up else F.max
+    frame = (Window.currentRow, Window.unboundedFollowing) if up else (Window.unboundedPreceding, Window.currentRow)
+    rows = values.withColumn("_range", F.floor(F.col("_upto") * ranges / (F.col("_n") + 1)))
+    own = Window.partitionBy(*keys, "_range").orderBy("_p").rowsBetween(*frame)
+    other = (1, Window.unboundedFollowing) if up else (Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*other)
+    whole = rows.groupBy(*keys, "_range").agg(best("_step").alias("_whole")).withColumn("_rest", best("_whole").over(across)).drop("_whole")
+    pick = F.least if up else F.greatest
+    joined = rows.join(whole, [*keys, "_range"]).withColumn("_own", best("_step").over(own))
+    return joined.withColumn("_q", F.coalesce(pick("_own", "_rest"), "_own"))
 
 
 def outlier_mask(df: DataFrame, columns: Sequence[str], sigmas: float, bounds: str = "both", least: int = 0) -> DataFrame:

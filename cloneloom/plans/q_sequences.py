@@ -13,7 +13,7 @@ from cloneloom.plans.registry import query
 
 #: Different words of 4 to 7 small letters stand for sequences.
 WORDS = """words AS (SELECT DISTINCT seq FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS seq FROM benchmark) WHERE length(seq) BETWEEN 4 AND 7),
-seqs AS (SELECT row_number() OVER (ORDER BY seq) AS id, seq FROM words)"""
+seqs AS (SELECT row_number() OVER (ORDER BY md5(seq), seq) AS id, seq FROM words)"""
 PADDED = "list_sum(list_transform(range(1, least(length(a.seq), length(b.seq)) + 1), lambda i: (a.seq[i] <> b.seq[i])::INT)) + abs(length(a.seq) - length(b.seq))"
 EDGES = WORDS + f", edges AS (SELECT a.id AS seq1id, b.id AS seq2id, ({PADDED})::INT AS dist FROM seqs a JOIN seqs b ON a.id < b.id AND abs(length(a.seq) - length(b.seq)) <= 1 WHERE {PADDED} <= 1)"
 CLUSTERS = EDGES + ", clusters AS (SELECT seq1id AS head, seq2id AS member FROM edges UNION SELECT seq1id, seq1id FROM edges)"

@@ -225,8 +225,8 @@ def assoc_binary_nonbinary(spark, d):
 def cluster_enrichment(spark, d):
     """Fisher, Mann-Whitney, both corrections and the signed log p of every feature."""
     cells = sharing(spark, d).withColumnRenamed("sequence", "feature")
-    out = S.binary_association(cells, cohorts(spark, d), "sample", "feature", "frequency", "cohort")
-    out = S.adjusted(S.adjusted(out, "p_fisher", "bh", out="fdr_fisher"), "p_mw", "bh", out="fdr_mw")
+    out = S.binary_association(cells, cohorts(spark, d), "sample", "feature", "frequency", "cohort").cache()  # each correction reads it several times
+    out = S.adjusted(S.adjusted(out, "p_fisher", "bh", out="fdr_fisher").cache(), "p_mw", "bh", out="fdr_mw")
     return out.withColumn("signed_log_p", S.signed_log_p("p_fisher", "direction"))
 
 
