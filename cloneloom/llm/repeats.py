@@ -33,7 +33,8 @@ WIDTH = 50
 BLOCK_BYTES, ANCHOR_BYTES, TEXT_BYTES = 6 << 20, 16 << 20, 2 << 20
 #: Documents of a minimiser beyond which its windows travel singly.
 HOT = 4000
-PIECE = 1 << 18
+#: Tokens that are hashed at a time; small, so that the arrays stay in a core's cache.
+PIECE = 1 << 15
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = "block long, bucket long, kind int, data binary"
@@ -126,17 +127,18 @@ class Block:
     def _piece(self, group: list[int]):
         sizes = np.array([len(self.tokens[i]) for i in group])
         ends = np.cumsum(sizes)
+        first = ends - sizes
         gram = self.finder.grams(np.concatenate([self.tokens[i] for i in group]))
         low = sliding_min(gram, WIDTH - self.finder.gram + 1)
-        owner = np.repeat(np.arange(len(group)), sizes)[: len(low)]
-        inside = np.arange(len(low)) + WIDTH <= ends[owner]
-        cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
-        n = np.add.reduceat(inside.astype(np.int64), cut)
-        cut, n = cut[n > 0], n[n > 0]
-        first = ends - sizes
+        change = np.flatnonzero(low[1:] != low[:-1]) + 1
+        cut = np.union1d(change, first)
+        owner = np.searchsorted(first, cut, side="right") - 1
+        # A run ends where the next begins or where its document has no further window.
+        n = np.minimum(np.append(cut[1:], len(low)), ends[owner] - WIDTH + 1) - cut
+        cut, n, owner = cut[n > 0], n[n > 0], owner[n > 0]
         # A cheap name of a single window, for dealing: its first and last gram.
         name = mix(gram[cut] * U(3) + mix(gram[cut + n - 1 + WIDTH - self.finder.gram]))
-        return low[cut], np.array(group)[owner[cut]], cut - first[owner[cut]], n, name
+        return low[cut], np.array(group)[owner], cut - first[owner], n, name
 
     def strings(self, known: np.ndarray, hot: np.ndarray):
         """Runs with a known minimiser as (doc, start, n, minimiser or name); hot ones in single windows."""
@@ -155,13 +157,13 @@ class Block:
                 names[at] = mix(gram[s[at]] * U(3) + mix(gram[s[at] + WIDTH - self.finder.gram]))
             doc, start = np.concatenate([doc[~single], d]), np.concatenate([start[~single], s])
             n, key = np.concatenate([n[~single], np.ones(len(d), np.int64)]), np.concatenate([key[~single], names])
+            order = np.lexsort((start, doc))
+            doc, start, n, key = doc[order], start[order], n[order], key[order]
         return doc, start, n, key
 
     def distinct(self, known, hot, buckets: int):
         """The runs of strings(), the number of each one's string, and of each string: bucket, text, first doc, windows."""
         doc, start, n, key = self.strings(known, hot)
-        order = np.lexsort((start, doc))
-        doc, start, n, key = doc[order], start[order], n[order], key[order]
         seen: dict[bytes, int] = {}
         texts = self.finder.slices(self, doc.tolist(), start.tolist(), (start + n + WIDTH - 1).tolist())
         number = np.fromiter((seen.setdefault(t, len(seen)) for t in texts), np.int64, len(doc))
@@ -194,10 +196,14 @@ def anchors(finder: Finder, buckets: int):
 
     def run(rows: pa.Table) -> pa.Table:
         block = Block(rows, finder)
-        pairs = np.unique(np.rec.fromarrays([block.runs.mini, block.ids[block.runs.doc]])) if len(block.runs.mini) else None
-        if pairs is None:
+        if not len(block.runs.mini):
             return _messages([])
-        mini, count = np.unique(pairs["f0"], return_counts=True)
+        order = np.argsort(block.runs.mini, kind="stable")  # within a minimiser the documents stay in order
+        mini, doc = block.runs.mini[order], block.ids[block.runs.doc[order]]
+        new = np.concatenate([[True], mini[1:] != mini[:-1]])
+        other = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+        starts = np.flatnonzero(new)
+        mini, count = mini[starts], np.add.reduceat(other.astype(np.int64), starts)
         number = rows.column("block")[0].as_py()
         out = []
         for bucket, at in _by(bucket_of(mini, buckets)):
@@ -325,10 +331,11 @@ def marked(rows: pa.Table, told: pa.Table, finder: Finder, buckets: int, text_bu
     who, where = np.repeat(doc, n)[gone], (np.repeat(start, n) + step)[gone]
     covers = [None] * len(block.ids)
     for i, at in _by(who):
-        edge = np.zeros(len(block.tokens[i]) + 1, np.int32)
-        np.add.at(edge, where[at], 1)
-        np.add.at(edge, where[at] + WIDTH, -1)
-        covers[i] = np.cumsum(edge[:-1]) > 0
+        begins = np.zeros(len(block.tokens[i]), np.int32)
+        begins[where[at]] = 1
+        begins = np.cumsum(begins, dtype=np.int32)
+        begins[WIDTH:] -= begins[:-WIDTH].copy()  # windows that begin in the last WIDTH places
+        covers[i] = begins > 0
     return block, covers
 
 

@@ -58,7 +58,18 @@ def _words8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _grams(codes: np.ndarray) -> np.ndarray:
     four, eight = _words8(codes)
     n = len(codes) - GRAM + 1
-    return mix(mix(eight[:n] * FACTORS[0]) + mix(eight[8 : 8 + n] * FACTORS[1]) + mix(four[16 : 16 + n] * FACTORS[2]))
+    out = eight[:n] * FACTORS[0]
+    out += eight[8 : 8 + n] * FACTORS[1]
+    out += four[16 : 16 + n] * FACTORS[2]
+    return _stirred(out)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """mix() in place."""
+    x ^= x >> U(31)
+    x *= U(0x9E3779B97F4A7C15)
+    x ^= x >> U(29)
+    return x
 
 
 def _slices(block, docs, starts, stops):
@@ -66,22 +77,40 @@ def _slices(block, docs, starts, stops):
     return (texts[d][a:b] for d, a, b in zip(docs, starts, stops))
 
 
-def _rank(*columns: np.ndarray) -> np.ndarray:
-    """Ranks of rows of columns, equal for equal rows."""
-    rank = np.unique(columns[0], return_inverse=True)[1].astype(U)
-    for column in columns[1:]:
-        order = np.lexsort((column, rank))
-        new = np.concatenate([[False], (rank[order][1:] != rank[order][:-1]) | (column[order][1:] != column[order][:-1])])
-        rank = np.empty(len(order), U)
-        rank[order] = np.cumsum(new).astype(U)
+def _rank(values: np.ndarray) -> np.ndarray:
+    """Ranks of numbers, equal for equal ones."""
+    order = np.argsort(values)
+    new = values[order]
+    rank = np.empty(len(order), U)
+    rank[order] = np.cumsum(np.concatenate([[False], new[1:] != new[:-1]])).astype(U)
     return rank
 
 
-def cover_ranks(eight: np.ndarray, n: int) -> np.ndarray:
-    """Ranks of the SAMPLE bytes from each place of the cover, at that place; 0 elsewhere."""
-    place = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    ranks = np.zeros(n, U)
-    ranks[place] = _rank(*(eight[place + s] for s in (0, 8, 16, 24, 32, SAMPLE - 8)))
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks, which are below 2**32."""
+    return _rank((left << U(32)) | right)
+
+
+def cover_ranks(word: np.ndarray, n: int) -> np.ndarray:
+    """Ranks of the SAMPLE bytes from each place of the cover, at that place; 0 elsewhere.
+
+    word: ranks of the 8 bytes from each place.  Steps of 8, 16 and 32 stay in the cover, so ranked widths double.
+    """
+    place = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(n) % PERIOD])
+    ranks = np.zeros(n + WIDTH, U)
+
+    def widened(left, step, width):
+        place_ok = place[place + width <= n]
+        at = _pair(left[place_ok], ranks[place_ok + step] if step < 32 else word[place_ok + step])
+        return place_ok, at
+
+    ranks[:n] = word[:n]
+    for step in (8, 16):
+        at, new = widened(ranks, step, 2 * step)
+        ranks[at] = new
+    for step in (32, SAMPLE - 8):
+        at, new = widened(ranks, step, step + 8)
+        ranks[at] = new
     return ranks
 
 
@@ -89,8 +118,9 @@ def equal_suffixes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A number for each suffix that starts in ``at``, equal for those equal in WIDTH bytes."""
     n = len(codes)
     eight = _words8(np.concatenate([codes, np.zeros(2 * WIDTH, np.uint8)]))[1]
-    ranks = cover_ranks(eight, n)
-    group = _rank(eight[at], eight[at + WIDTH - 8]).astype(np.int64)
+    word = _rank(eight)
+    ranks = cover_ranks(word, n)
+    group = _pair(word[at], word[at + WIDTH - 8]).astype(np.int64)
     number = np.full(len(at), -1, np.int64)
     left, given = np.arange(len(at)), 0
     for _ in range(ROUNDS):
@@ -106,17 +136,50 @@ def equal_suffixes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         given += len(starts)
         left = left[~same]
     if len(left):
-        number[left] = given + _rank(*(eight[at[left] + s] for s in (*range(0, WIDTH - 8, 8), WIDTH - 8))).astype(np.int64)
+        rank = word[at[left]]
+        for s in (*range(8, WIDTH - 8, 8), WIDTH - 8):
+            rank = _pair(rank, word[at[left] + s])
+        number[left] = given + rank.astype(np.int64)
     return number
 
 
+def _twice(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the suffix at each place may be equal to another: a hash of its WIDTH bytes is not alone."""
+    width = len(eight) - WIDTH + 8
+    out = eight[:width] * FACTORS[0]
+    out += FACTORS[2]
+    for s in (8, 16, 24, 32, 40, WIDTH - 8):
+        out = _stirred(out) * FACTORS[1]
+        out += eight[s : s + width]
+    name = _stirred(out * FACTORS[0])[at]
+    order = np.argsort(name)
+    same = name[order][1:] == name[order][:-1]
+    out = np.zeros(len(at), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def first_docs(texts: list[bytes], docs: np.ndarray):
+    """See repeats.text_bucket.  Strings without a window that may have an equal are left out of the sort."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     n = np.maximum(sizes - WIDTH + 1, 0)
     if not n.sum():
         return np.empty(0, np.int64), n
-    at = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return smallest(equal_suffixes(np.frombuffer(b"".join(texts), np.uint8), at), np.repeat(docs, n)), n
+    owner = np.repeat(np.arange(len(texts)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out = docs[owner]
+    codes = np.frombuffer(b"".join(texts), np.uint8)
+    twice = _twice(_words8(np.concatenate([codes, np.zeros(8, np.uint8)]))[1], (np.cumsum(sizes) - sizes)[owner] + inside)
+    if not twice.any():
+        return out, n
+    some = np.zeros(len(texts), bool)
+    some[owner[twice]] = True
+    begin = np.zeros(len(texts), np.int64)
+    begin[some] = np.cumsum(sizes[some]) - sizes[some]
+    part = np.frombuffer(b"".join(t for t, take in zip(texts, some) if take), np.uint8)
+    out[twice] = smallest(equal_suffixes(part, begin[owner[twice]] + inside[twice]), out[twice])
+    return out, n
 
 
 FINDER = repeats.Finder(GRAM, _tokens, _grams, _slices, first_docs)
