@@ -117,22 +117,26 @@ def weighted_histogram(df: DataFrame, by: str, col: str, weight: str, low: float
 # Sampling
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """ln C(n, k) by Stirling's series after shifting the argument to 8 or more; exact to 1e-11."""
-    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
-
-
 def log_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0."""
+    """ln Gamma(x) for x > 0, to 1e-11: Stirling's series, after a shift by 8 where x is small."""
     x = x.cast("double")
-    y = x + 8
-    inverse = 1 / (y * y)
-    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / y
-    shifted = (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + series
+
+    def series(y: Column) -> Column:
+        inverse = 1 / (y * y)
+        tail = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / y
+        return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + tail
+
     product = x
     for i in range(1, 8):
         product = product * (x + i)
-    return shifted - F.ln(product)
+    return F.when(x >= 8, series(x)).otherwise(series(x + 8) - F.ln(product))
+
+
+def share_missed(total: Column, count: Column, draw: Column) -> Column:
+    """Chance that none of ``count`` among ``total`` is in a draw without replacement: C(total - count, draw) / C(total, draw)."""
+    rest = total - count
+    log = log_gamma(rest + 1) - log_gamma(rest - draw + 1) - log_gamma(total + 1) + log_gamma(total - draw + 1)
+    return F.when(rest >= draw, F.exp(log)).otherwise(0.0)
 
 
 def expected_richness(counts: DataFrame, sample: str, count: str, draw: int) -> DataFrame:
@@ -142,8 +146,7 @@ def expected_richness(counts: DataFrame, sample: str, count: str, draw: int) ->
     """
     total = F.sum(count).over(Window.partitionBy(sample))
     rows = counts.withColumn("_N", total)
-    rest = F.col("_N") - F.col(count)
-    missed = F.when(rest >= draw, F.exp(log_choose(rest, F.lit(draw)) - log_choose(F.col("_N"), F.lit(draw)))).otherwise(0.0)
+    missed = share_missed(F.col("_N"), F.col(count), F.lit(draw))
     return rows.groupBy(sample).agg(F.first("_N").alias("total"), F.sum(1 - missed).alias("expected")).select(
         sample, "total", F.when(F.col("total") >= draw, F.col("expected")).alias("expected")
     )
@@ -157,8 +160,7 @@ def rarefaction_curve(counts: DataFrame, sample: str, count: str, step: int) ->
     sizes = counts.groupBy(sample, count).agg(F.count("*").alias("k"))
     rows = sizes.withColumn("_N", F.sum(F.col(count) * F.col("k")).over(Window.partitionBy(sample)))
     rows = rows.where(F.col("_N") >= step).withColumn("draw", F.explode(F.sequence(F.lit(step).cast("long"), F.col("_N").cast("long"), F.lit(step).cast("long"))))
-    rest = F.col("_N") - F.col(count)
-    missed = F.when(rest >= F.col("draw"), F.exp(log_choose(rest, F.col("draw")) - log_choose(F.col("_N"), F.col("draw")))).otherwise(0.0)
+    missed = share_missed(F.col("_N"), F.col(count), F.col("draw"))
     return rows.groupBy(sample, "draw").agg(F.sum(F.col("k") * (1 - missed)).alias("expected"))
 
 
