@@ -19,19 +19,22 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts go through the library in batches of about so many characters.
-BATCH_CHARS = 1 << 20
+#: Texts go through the libraries in groups of about so many characters.
+BATCH_CHARS = 1 << 19
 ENCODED = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "parity": pa.bool_(), "round_trip": pa.bool_()}
 
 
@@ -151,7 +154,7 @@ def _codecs(path: str):
     return build(data), sentencepiece.SentencePieceProcessor(model_proto=data), piece_bytes(data), int(parse_model(data)["dummy_prefix"])
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         group.append(text)
@@ -163,34 +166,42 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _encoded(path: str, texts: list[str], keep_ids: bool) -> pa.RecordBatch:
+def _encoded(path: str, texts: list[str], keep_ids: bool) -> list[pa.Array]:
+    """The columns of ENCODED for one group of texts."""
     fast, exact, spelled, added = _codecs(path)
-    rows = {name: [] for name in ENCODED}
-    for group in _groups(texts):
-        coded = [e.ids for e in fast.encode_batch_fast(group, add_special_tokens=False)]
-        right = exact.encode(group, num_threads=2)
-        same = [a == b for a, b in zip(coded, right)]
-        ids = [a if ok else b for a, b, ok in zip(coded, right, same)]
-        back = (b"".join(map(spelled.__getitem__, x))[added:].decode("utf-8", "replace") for x in ids)
-        rows["ids"] += ids if keep_ids else [None] * len(ids)
-        rows["n_tokens"] += map(len, ids)
-        rows["ids_sha256"] += (hashlib.sha256(pa.array(x, pa.int32()).buffers()[1] or b"").hexdigest() if x else hashlib.sha256().hexdigest() for x in ids)
-        rows["parity"] += same
-        rows["round_trip"] += (a == b for a, b in zip(group, back))
-    return pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, t), v in zip(ENCODED.items(), rows.values())})
+    right = exact.encode(texts, num_threads=2)
+    ids, same = [], []
+    for got, want in zip(fast.encode_batch_fast(texts, add_special_tokens=False), right):
+        same.append(got.ids == want)
+        ids.append(want)
+    flat = np.fromiter(chain.from_iterable(ids), np.int32)
+    ends = np.cumsum([0, *map(len, ids)])
+    back = (b"".join(map(spelled.__getitem__, x))[added:].decode("utf-8", "replace") for x in ids)
+    round_trip = [x == y for x, y in zip(texts, back)]
+    digests = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends, ends[1:])]
+    kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)) if keep_ids else pa.nulls(len(texts), ENCODED["ids"])
+    return [kept, pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array(round_trip, pa.bool_())]
 
 
 def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
-    """docs with ids, n_tokens, ids_sha256 (32-bit little-endian), parity and round_trip."""
+    """docs with ids, n_tokens, ids_sha256 (32-bit little-endian), parity and round_trip.
+
+    A task holds the tokens of one group of texts at a time, whatever the size of its Arrow batches.
+    """
     kept = [c for c in docs.columns if c not in ENCODED]
     docs = docs.select(*kept)
-    kinds = "ids array<int>, n_tokens long, ids_sha256 string, parity boolean, round_trip boolean"
-
-    @F.pandas_udf(kinds)
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        return _encoded(path, [t or "" for t in texts], keep_ids).to_pandas()
 
-    return docs.withColumn("_coded", coded(F.col("text"))).select(*kept, "_coded.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for group in _groups(t.as_py() or "" for t in batch.column("text")):
+                columns = batch.slice(at, len(group)).columns + _encoded(path, group, keep_ids)
+                at += len(group)
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *ENCODED])
+
+    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.StringType(), T.BooleanType(), T.BooleanType())
+    added = [T.StructField(name, kind) for name, kind in zip(ENCODED, kinds)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
