@@ -234,10 +234,15 @@ def made_examples(n: int = 300) -> list[tuple[list[list[str]], list[int]]]:
 
 
 def fit(docs: DataFrame, n: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
-    """The field trained on the n texts (doc_id, text) first in the order of a hash, and on made examples."""
-    sample = docs.where(F.length("text") <= chars).select("text", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(n)
+    """The field trained on the n texts (doc_id, text) first in the order of a hash, but for those too long, and on made examples.
+
+    Ids are chosen first, so that what a partition offers is n ids and not n texts.
+    """
+    ids = docs.where("doc_id is not null").select(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(n)
+    chosen = F.broadcast(ids.select("doc_id").distinct())  # at most n ids
+    sample = docs.where(F.length("text") <= chars).select("doc_id", "text").join(chosen, "doc_id", "left_semi").orderBy("doc_id", "text").limit(n)
     examples = made_examples()
-    for row in sample.select("text").toLocalIterator():
+    for row in sample.toLocalIterator():
         examples += labelled(row.text)
     return train(examples)
 
