@@ -11,7 +11,7 @@ Running sums never gather a source in one task: documents are dealt over (source
 hash), summed per bucket, and the short table of bucket sums gives each bucket its offset.
 
 Edge cases: null texts have size 0 and are never taken; null sources form one source, the last; an empty
-table gives an empty result; rows that repeat an id are separate documents in an order fixed by their size;
+table gives an empty result; rows that repeat an id, null too, are separate documents in an order fixed by their size;
 a target of 0 takes nothing; extra columns are ignored.
 """
 
@@ -93,14 +93,17 @@ def fair_schedule(
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last ones of a source cut to their words."""
+    """The mix itself: each document as often as it is taken, the last ones of a source cut to their words.
+
+    Rows of one id (or none) and one size follow one of their schedules.
+    """
     schedule = fair_schedule(docs, **how).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size").alias("mixed_size"), "takes")
     taken = schedule.dropDuplicates(["mixed_id", "mixed_size"]).select(
         "mixed_id", "mixed_size", F.explode(F.filter("takes", lambda n: n > 0)).alias("words")
     )
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     kept = F.when(F.col("words") < F.col("mixed_size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    joined = docs.join(taken, (F.col("doc_id") == F.col("mixed_id")) & (n_words(F.col("text")) == F.col("mixed_size")))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (n_words(F.col("text")) == F.col("mixed_size")))
     joined = joined.withColumn("text", kept)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))

@@ -12,8 +12,9 @@ the survivors are verified bit by bit.  A key with more than ``chunk`` classes i
 Each task gives back stars instead of pairs, and components joins them.
 
 Edge cases: null texts are empty; a text without words has fingerprint zero and is linked like any other;
-fewer than 3 words are one shingle; repeated ids stay separate rows with one class; an empty table gives an
-empty result; other columns are ignored.
+fewer than 3 words are one shingle; repeated ids stay separate rows with one class; null ids count as larger
+than any other, and a component that has no other has a null component_id; an empty table gives an empty
+result; other columns are ignored.  Ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 #: Widths of the 6 blocks, from the lowest bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 N_PIVOTS = 16
+#: From here on a class without ids is named by its fingerprint's lower bits; two of one name differ in 2 bits at most, so they are linked.
+NO_ID = 1 << 62
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -69,14 +72,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(array), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long)."""
+def fingerprint_of(text: F.Column) -> F.Column:
+    """The fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return of(text)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp."""
+    return docs.select("doc_id", fingerprint_of(F.col("text")).alias("fp"))
 
 
 def _near_pairs(group: np.ndarray, fp: np.ndarray, table: np.ndarray, side: np.ndarray):
@@ -155,12 +163,28 @@ def near_links(classes: DataFrame, chunk: int = 1024) -> DataFrame:
     return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the smallest id that a document reaches by links, its own included."""
+def with_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component: the name of the smallest class of the component."""
     prints = cut_lineage(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    unnamed = F.col("fp").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", F.coalesce("least", unnamed).alias("rep"))
     linked = components(near_links(classes))
     ends = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("fp"), F.coalesce("component", "rep").alias("component_id")
+        F.col("fp"), F.coalesce("component", "rep").alias("component")
     )
     return prints.join(ends, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: the smallest id that a document reaches by links, its own included."""
+    component_id = F.when(F.col("component") < NO_ID, F.col("component"))
+    return with_components(docs).select("doc_id", "fp", component_id.alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, one of them where rows repeat it."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    first = F.min(F.struct(key.alias("_key"), F.col("fp").alias("_fp"))).alias("first")
+    leaders = with_components(docs).groupBy("component").agg(first).select("first.*")
+    rows = docs.select("*", key.alias("_key"), fingerprint_of(F.col("text")).alias("_fp"))
+    return rows.join(leaders, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)

@@ -45,6 +45,17 @@ def test_links_within_three_bits(spark, chunk):
     assert {i: got.get(i, i) for i in range(len(prints))} == dict(enumerate(label.tolist()))
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    rows = [(None, "a lone text with words"), (None, "another text of some words"), (None, "shared words are in here"), (5, "shared words are in here"),
+            (3, "one"), (3, "one"), (3, "something else is said"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, None)] * 4 + [(None, 5), (5, 5)] + [(3, 3)] * 3, key=str)
+    of_three = min(("one", "something else is said"), key=lambda t: (simhash.fingerprint(t) + (1 << 63)) % (1 << 64))
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.without_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(None, rows[0][1]), (None, rows[1][1]), (None, ""), (5, rows[3][1]), (3, of_three)], key=str)
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
