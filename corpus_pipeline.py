@@ -5,12 +5,13 @@ kept and judges them on its own input.  Between stages the rows are written as P
 lost executor costs the stage at hand only.
 
 - quality_rules drops documents that the current policy of the rule ledger rejects;
-- simhash_near_dedup keeps of each group of near-duplicates the document with the smallest id;
+- simhash_near_dedup keeps of each group of near-duplicates the document with the smallest id, and of rows that
+  repeat it one;
 - secret_scan replaces every secret by a mark;
 - source_mixing repeats, keeps, cuts or drops documents so that sources meet their targets;
 - sentencepiece_encoding adds the token ids.
 
-Null texts fail the rules and leave in the first stage; empty tables pass through as empty ones; columns
+Null texts fail the rules and leave in the first stage; null ids come after all others and stay; empty tables pass through as empty ones; columns
 beyond those of documents are dropped by the first stage that meets them.
 """
 
@@ -32,8 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaders = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").select(*COLUMNS)
+    return simhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
