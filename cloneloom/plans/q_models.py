@@ -10,7 +10,6 @@ from cloneloom.operators import ml as L
 from cloneloom.operators import stats as S
 from cloneloom.plans.proxies import cohorts, sharing, table
 from cloneloom.plans.q_repertoire import rounded
-from cloneloom.plans.q_statistics import _few
 from cloneloom.plans.registry import query
 
 
@@ -38,9 +37,9 @@ def cohort_match_greedy(spark, d):
 
 @query("""WITH l AS (SELECT o_custkey AS usr, month(o_orderdate) AS day, o_orderkey AS blood FROM orders WHERE o_custkey < 150 AND o_orderstatus = 'F'), r AS (SELECT user_id AS usr, dayofmonth(ts) AS day, event_id AS stool FROM events WHERE event_type = 'signup' AND value > 50),
 s AS (SELECT usr, blood, stool, 'date' AS matched_on FROM l JOIN r USING (usr, day)), u AS (SELECT * FROM s UNION ALL SELECT l.usr, blood, stool, 'user' FROM l JOIN r USING (usr) WHERE blood NOT IN (SELECT blood FROM s))
-SELECT *, count(*) OVER (PARTITION BY blood) AS left_repeats, count(*) OVER (PARTITION BY stool) AS right_repeats FROM u""")
-def crosswalk_fallback(spark, d):
-    left = table(spark, d, "orders").where("o_custkey < 150 and o_orderstatus = 'F'").select(F.col("o_custkey").alias("usr"), F.month("o_orderdate").alias("day"), F.col("o_orderkey").alias("blood"))
+SELECT *, count(*) OVER (PARTITION BY blood) AS left_repeats, count(*) OVER (PARTITION BY stool) AS right_repeats FROM u""", whole={"some": "true"})
+def crosswalk_fallback(spark, d, some="o_custkey < 150"):
+    left = table(spark, d, "orders").where(some).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("usr"), F.month("o_orderdate").alias("day"), F.col("o_orderkey").alias("blood"))
     right = table(spark, d, "events").where("event_type = 'signup' and value > 50").select(F.col("user_id").alias("usr"), F.dayofmonth("ts").alias("day"), F.col("event_id").alias("stool"))
     return C.crosswalk(left, right, "usr", "day", "blood", "stool").select("usr", "blood", "stool", "matched_on", "left_repeats", "right_repeats")
 
@@ -48,11 +47,11 @@ def crosswalk_fallback(spark, d):
 @query("""WITH p AS (SELECT a.s_suppkey AS sample1, b.s_suppkey AS sample2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE b.s_suppkey < 60),
 x AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 > 0 THEN s_nationkey END AS nation, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT sample1, sample2, coalesce((a.nation = b.nation)::INT, 0) AS same_nation, coalesce((a.region = b.region)::INT, 0) AS same_region, coalesce((a.nation = b.nation)::INT, 0) + coalesce((a.region = b.region)::INT, 0) AS total
-FROM p JOIN x a ON a.s = sample1 JOIN x b ON b.s = sample2""")
-def relation_scores(spark, d):
+FROM p JOIN x a ON a.s = sample1 JOIN x b ON b.s = sample2""", whole={"some": "true"})
+def relation_scores(spark, d, some="person < 60"):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     people = s.select(F.col("s_suppkey").alias("person"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_nationkey")).alias("nation"), F.col("n_regionkey").alias("region"))
-    few = people.where("person < 60")
+    few = people.where(some)
     pairs = few.select(F.col("person").alias("sample1")).join(few.select(F.col("person").alias("sample2")), F.col("sample1") < F.col("sample2"))
     return C.relation_scores(pairs, people, "person", ["nation", "region"])
 
@@ -121,14 +120,16 @@ def perm_auc(spark, d):
 @query()
 def perm_fisher(spark, d):
     """Smallest Fisher p of each feature among label permutations, against its own."""
-    cells = sharing(spark, d).where("sample < 40").withColumnRenamed("sequence", "feature").where(F.col("feature").startswith("Brand#1:"))
-    groups = cohorts(spark, d).where("sample < 40")
+    cells = sharing(spark, d).withColumnRenamed("sequence", "feature")
+    groups = cohorts(spark, d)
     sizes = groups.agg(F.sum("cohort").alias("N1"), F.count("*").alias("N"))
 
     def tables(labels, keys):
         n = cells.join(labels, "sample").groupBy(*keys, "feature").agg(F.sum("cohort").alias("a"), F.count("*").alias("k")).crossJoin(F.broadcast(sizes))
         n = n.withColumn("b", F.col("N1") - F.col("a")).withColumn("c", F.col("k") - F.col("a")).withColumn("d", F.col("N") - F.col("N1") - F.col("c"))
-        return S.fisher_exact(n, "a", "b", "c", "d").select(*keys, "feature", (-F.log10("p")).alias("score"))
+        # Many permutations give equal tables: each different one is tested once.
+        p = S.fisher_exact(n.select("a", "b", "c", "d").distinct(), "a", "b", "c", "d")
+        return n.join(p, ["a", "b", "c", "d"]).select(*keys, "feature", (-F.log10("p")).alias("score"))
 
     shuffled = L.permuted_labels(groups, "sample", "cohort", 20, 4)
     return L.permutation_p(tables(groups, []), tables(shuffled, ["perm"]).select("feature", "score"), ["feature"], "score")
@@ -150,7 +151,7 @@ def pca(spark, d):
 
 @query()
 def pcoa(spark, d):
-    return L.principal_coordinates(D.jaccard(_few(spark, d), "sample", "sequence"))
+    return L.principal_coordinates(D.jaccard(sharing(spark, d), "sample", "sequence"))
 
 
 @query()

@@ -159,9 +159,9 @@ def explode_list(spark, d):
     return R.explode_list(table(spark, d, "pages").select("page_id", "url"), "url", "item", "/").select("page_id", "item")
 
 
-@query(f"WITH {REPERTOIRE} SELECT sample, sum(templates)::BIGINT AS n_rows, count(*) AS n_clones, sum(templates * (templates + 1) // 2)::BIGINT AS copy_sum FROM rep WHERE templates <= 5 GROUP BY 1")
-def expand_counts(spark, d):
-    rows = R.expand_counts(repertoire(spark, d).where("templates <= 5").select("sample", "nucleotide", "templates"), "templates")
+@query(f"WITH {REPERTOIRE} SELECT sample, sum(templates)::BIGINT AS n_rows, count(*) AS n_clones, sum(templates * (templates + 1) // 2)::BIGINT AS copy_sum FROM rep WHERE templates <= 5 GROUP BY 1", whole={"some": "true"})
+def expand_counts(spark, d, some="templates <= 5"):
+    rows = R.expand_counts(repertoire(spark, d).where(some).select("sample", "nucleotide", "templates"), "templates")
     return rows.groupBy("sample").agg(F.count("*").alias("n_rows"), F.sum((F.col("copy") == 1).cast("long")).alias("n_clones"), F.sum("copy").alias("copy_sum"))
 
 

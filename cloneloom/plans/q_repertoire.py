@@ -190,9 +190,9 @@ def rare_to_other(spark, d):
 
 
 @query(f"""WITH {REPERTOIRE} SELECT sample, nucleotide, sum(templates) FILTER (productive)::BIGINT AS rep1, sum(templates) FILTER (NOT productive)::BIGINT AS rep2,
- (count(*) FILTER (productive) > 0)::INT + (count(*) FILTER (NOT productive) > 0)::INT AS n_replicates FROM rep WHERE sample < 5 GROUP BY ALL""")
-def replicate_overlap(spark, d):
-    rows = repertoire(spark, d).where("sample < 5").groupBy("sample", "nucleotide").agg(
+ (count(*) FILTER (productive) > 0)::INT + (count(*) FILTER (NOT productive) > 0)::INT AS n_replicates FROM rep WHERE sample < 5 GROUP BY ALL""", whole={"some": "true"})
+def replicate_overlap(spark, d, some="sample < 5"):
+    rows = repertoire(spark, d).where(some).groupBy("sample", "nucleotide").agg(
         F.sum(F.when(F.col("productive"), F.col("templates"))).alias("rep1"), F.sum(F.when(~F.col("productive"), F.col("templates"))).alias("rep2")
     )
     return rows.withColumn("n_replicates", F.col("rep1").isNotNull().cast("int") + F.col("rep2").isNotNull().cast("int"))
@@ -229,6 +229,6 @@ def normalized_richness(spark, d):
 
 @query(f"""WITH {COUNTS}, x AS (SELECT sample, nucleotide, unnest(range(1, n + 1)) AS copy FROM counts WHERE sample < 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY md5(concat_ws(':', '11', sample, nucleotide, copy)), nucleotide, copy) AS k, count(*) OVER (PARTITION BY sample) AS total FROM x)
-SELECT sample, nucleotide, count(*) AS drawn FROM r WHERE k <= 500 AND total >= 500 GROUP BY ALL""")
-def downsample_exact(spark, d):
-    return P.downsample(_counts(spark, d).where("sample < 20"), "sample", ["nucleotide"], "n", 500, 11)
+SELECT sample, nucleotide, count(*) AS drawn FROM r WHERE k <= 500 AND total >= 500 GROUP BY ALL""", whole={"some": "true"})
+def downsample_exact(spark, d, some="sample < 20"):
+    return P.downsample(_counts(spark, d).where(some), "sample", ["nucleotide"], "n", 500, 11)

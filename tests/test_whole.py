@@ -1,0 +1,50 @@
+"""Queries over whole tables against their SQL without its fixed ids and prefixes."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from cloneloom.operators import stats
+from cloneloom.plans import catalogue
+from cloneloom.plans.proxies import cohorts, sharing
+from tests.oracle import difference
+
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+FEW, WORDS, TABLE = ("sample < 40", "true"), ("BETWEEN 4 AND 7", ">= 4"), ("sample < 5", "true")
+WHOLE = {
+    **dict.fromkeys("dist_jaccard dist_braycurtis pairs_ordered pair_classes permanova_f mantel_r".split(), (LARGE, FEW)),
+    **dict.fromkeys("padded_hamming_pairs levenshtein_pairs head_clusters drop_contained_clusters sample_by_cluster cluster_annotations dinucleotide_probs sequence_logprob".split(), (SMALL, WORDS)),
+    **dict.fromkeys("fisher_p odds_ratio_ci replicate_overlap".split(), (SMALL, TABLE)),
+    "dist_dense": (SMALL, ("label = 3", "true")), "date_pair_days": (SMALL, ("o_custkey < 120", "true")),
+    "downsample_exact": (LARGE, ("sample < 20", "true")), "expand_counts": (SMALL, ("templates <= 5", "true")),
+    "crosswalk_fallback": (LARGE, ("o_custkey < 150", "true")), "relation_scores": (LARGE, ("b.s_suppkey < 60", "true")),
+    "exact_match_offsets": (SMALL, ("doc_id < 150", "true"), ("item_id < 20", "true")), "approx_match": (SMALL, ("item_id < 10", "true")),
+    "scalar_strings": (SMALL, ("left(url, 20)", "url")),
+}
+
+
+def test_every_cut_query_has_a_whole_one():
+    assert {f"{n}_whole" for n in WHOLE} == {n for n in catalogue.QUERIES if n.endswith("_whole")}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_query_matches_sql_without_filters(spark, name):
+    sf_dir, *cuts = WHOLE[name]
+    sql = catalogue.ORACLES[name]
+    for cut, none in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, none)
+    assert difference(catalogue.QUERIES[f"{name}_whole"](spark, sf_dir), sql, sf_dir) is None
+
+
+def test_permutations_and_coordinates_of_all_samples(spark):
+    assert catalogue.QUERIES["pcoa"](spark, LARGE).count() == sharing(spark, LARGE).select("sample").distinct().count() > 40
+    got = {r.feature: r.score for r in catalogue.QUERIES["perm_fisher"](spark, SMALL).collect()}
+    cells, groups = sharing(spark, SMALL).collect(), {r["sample"]: r.cohort for r in cohorts(spark, SMALL).collect()}
+    n1, tables = sum(groups.values()), {}
+    for r in cells:
+        t = tables.setdefault(r.sequence, [0, 0])
+        t[1 - groups[r["sample"]]] += 1
+    assert set(got) == set(tables)
+    rows = spark.createDataFrame([(f, a, n1 - a, c, len(groups) - n1 - c) for f, (a, c) in tables.items()], "f string, a int, b int, c int, d int")
+    for r in stats.fisher_exact(rows, "a", "b", "c", "d").select("f", (-F.log10("p")).alias("score")).collect():
+        assert got[r.f] == pytest.approx(r.score, abs=1e-9)
