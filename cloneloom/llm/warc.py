@@ -1,13 +1,16 @@
 """WARC archives: a writer on Spark's text sink and a salvage reader.
 
 Writing: each page becomes one WARC/1.1 record.  Spark's text writer puts the records of a partition into
-one file, with the record separator CRLF CRLF as its line separator, so commits, retries and lost executors
-are the writer's business.  Of equal payloads of at least ``min_revisit`` bytes the page with the largest id
+one file, so commits, retries and lost executors are the writer's business: plain records with the record
+separator CRLF CRLF as line separator, or one gzip member per record, built in the task.  Of equal payloads of at least ``min_revisit`` bytes the page with the largest id
 keeps its payload; the others become revisit records that name it.
 
 Reading: every record is checked (version line, header block, Content-Length, separator, block digest;
 for gzip files each member's own checksum).  After a failed check the reader looks for the next place where a
-valid member or version line begins, goes on there and logs the bytes between as a quarantined gap.
+valid member or version line begins, goes on there and logs the bytes between as a quarantined gap.  Of a
+member that fails, the records that did unpack are checked and kept, but for the one at whose end it failed; they
+and gaps inside a member have the places of the packed bytes that hold them.  Records of a sound member have
+the member's place.
 
 Edge cases: null html is an empty payload; a null url gives no target line; line breaks in a url are dropped;
 rows that repeat an id and payload stay separate records; null ids are responses; an empty table gives an
@@ -16,11 +19,14 @@ archive without records; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +37,8 @@ ID = "urn:page:"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 RECORDS_PER_FILE = 2000
+#: The highest byte of a member's length, which ends it, is zero below 16 MB; an empty member ends in zeros always.
+MEMBER_END, EMPTY_MEMBER = "\0", gzip.compress(b"", mtime=0)
 FOUND = (
     "path string, kind string, at long, n_bytes long, reason string, page_id long, record_type string, "
     "refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
@@ -78,11 +86,29 @@ def as_record(date: str = "2024-01-01T00:00:00Z") -> F.Column:
     )
 
 
+def _packed(record: str) -> bytes:
+    """The record and its separator as a gzip member, without the zero byte at its end."""
+    member = gzip.compress((record + SEPARATOR).encode(), 6, mtime=0)
+    return (member if member[-1] == 0 else member + EMPTY_MEMBER)[:-1]
+
+
+def _members(records: F.Column) -> F.Column:
+    @F.pandas_udf("binary")
+    def packed(records: pd.Series) -> pd.Series:
+        return records.map(_packed)
+
+    return packed(records)
+
+
 def write_warc(pages: DataFrame, path: str, compression: str = "none", min_revisit: int = 1000) -> None:
-    records = plan_records(pages, min_revisit).select(as_record().alias("value"))
+    """Archives of at most RECORDS_PER_FILE records: plain ('none') or with a gzip member per record ('gzip')."""
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"compression {compression}")
+    record = as_record()
+    value = record if compression == "none" else _members(record).cast("string")  # the sink writes the bytes as they are
     (
-        records.write.mode("overwrite")
-        .option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE)
+        plan_records(pages, min_revisit).select(value.alias("value")).write.mode("overwrite")
+        .option("lineSep", SEPARATOR if compression == "none" else MEMBER_END).option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
     )
 
@@ -121,13 +147,60 @@ def _member(data: bytes, at: int):
     return (len(data) - len(unpack.unused_data), out) if unpack.eof else "gzip: cut off"
 
 
+def _unpacked(data: bytes, at: int) -> tuple[bytes, list[int]]:
+    """What can be unpacked of the member at that place, and how much of it after each of its bytes."""
+    unpack, out, through = zlib.decompressobj(31), [], [0]
+    try:
+        for i in range(at, len(data)):
+            out.append(unpack.decompress(data[i : i + 1]))
+            through.append(through[-1] + len(out[-1]))
+            if unpack.eof:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out), through
+
+
+def _inside(data: bytes, at: int, whole: bool) -> list[tuple]:
+    """The rows of a member that has gaps or fails, at the places of their packed bytes; of one that fails only up to its last good record."""
+    out, through = _unpacked(data, at)
+    rows = list(salvage(out))
+    if not whole:
+        while rows and (rows[-1][0] == "gap" or rows[-1][1] + rows[-1][2] == len(out)):
+            rows.pop()
+    placed, last = [], at
+    for kind, start, n, *rest in rows:
+        end = at + bisect_left(through, start + n)
+        placed.append((kind, last, end - last, *rest))
+        last = end
+    if whole and placed:  # the end of the member belongs to its last row
+        kind, start, _, *rest = placed[-1]
+        placed[-1] = (kind, start, at + len(through) - 1 - start, *rest)
+    return placed
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """('record', at, length, headers, block) and ('gap', at, length, reason, b'') in the order of the bytes."""
     at, bad, why = 0, None, ""
     while at < len(data):
         if data.startswith(GZIP, at):
             got = _member(data, at)
-            found = got if isinstance(got, str) else (got[0], [(k, at, got[0] - at, *rest) for k, _, _, *rest in salvage(got[1])])
+            if isinstance(got, str):
+                kept = _inside(data, at, False)
+                if kept:
+                    if bad is not None:
+                        yield "gap", bad, at - bad, why, b""
+                    yield from kept
+                    bad = at = kept[-1][1] + kept[-1][2]
+                    why = got
+                    at -= 1  # the search below begins where the last good record ends
+                elif bad is None:
+                    bad, why = at, got
+                found = got
+            else:
+                rows = list(salvage(got[1]))
+                gaps = any(r[0] == "gap" for r in rows)
+                found = got[0], _inside(data, at, True) if gaps else [(k, at, got[0] - at, *rest) for k, _, _, *rest in rows]
         else:
             got = _plain_record(data, at)
             found = got if isinstance(got, str) else (got[0], [("record", at, got[0] - at, got[1], got[2])])
@@ -138,7 +211,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
             at = min([x for x in (version.start() if version else -1, member) if x >= 0], default=len(data))
             continue
         if bad is not None:
-            yield "gap", bad, at - bad, why, b""
+            if at > bad:
+                yield "gap", bad, at - bad, why, b""
             bad = None
         yield from found[1]
         at = found[0]
@@ -163,8 +237,8 @@ def _rows(path: str, data: bytes, payloads: bool) -> Iterator[tuple]:
                size, digest, get("warc-target-uri"), block if payloads else None)
 
 
-def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
-    """Rows of FOUND: kind 'record' for what passed its checks, kind 'gap' for quarantined bytes."""
+def read_warc(spark, path: str, payloads: bool = False, names: str = "*") -> DataFrame:
+    """Rows of FOUND: kind 'record' for what passed its checks, kind 'gap' for quarantined bytes; names is a pattern of file names."""
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in FOUND.split(", "))])
 
     def read(batches):
@@ -180,5 +254,5 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content")
     return files.mapInArrow(read, FOUND)

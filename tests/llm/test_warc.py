@@ -72,3 +72,53 @@ def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_written_archives_survive_damage_in_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"), "gzip")
+    (part,) = (tmp_path / "w").glob("part-*")
+    data = part.read_bytes()
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 40
+    whole = list(warc.salvage(data))
+    assert [x[0] for x in whole] == ["record"] * 40 and sum(x[2] for x in whole) == len(data)
+    lost, at, n = whole[20][3]["warc-record-id"], whole[20][1], whole[20][2]
+    bad = bytearray(data)
+    bad[at + n // 2] ^= 255
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "crawl.warc.gz").write_bytes(bad)
+    got = warc.read_warc(spark, str(tmp_path / "d")).collect()
+    assert [(r.at, r.n_bytes) for r in got if r.kind == "gap"] == [(at, n)]
+    assert {r.page_id for r in got if r.kind == "record"} == set(range(40)) - {int(lost[10:-1])}
+    assert warc.read_warc(spark, str(tmp_path / "d"), names="part-*").count() == 0
+
+
+def test_failed_members_keep_what_did_unpack():
+    draw = __import__("random").Random(3)
+    parts = [record(i, bytes(draw.randrange(256) for _ in range(3000))) for i in range(9)]
+    packed = gzip.compress(b"".join(parts))
+    bad = bytearray(packed)
+    bad[-6] ^= 255  # its checksum
+    data = gzip.compress(record(20)) + bytes(bad) + gzip.compress(record(21))
+    assert ids(data) == [20, *range(8), 21]
+    cut = packed[: len(packed) * 6 // 10]
+    data = gzip.compress(record(20)) + cut + gzip.compress(record(21))
+    assert ids(data) == [20, 0, 1, 2, 3, 4, 21]
+    (gap,) = gaps(data)
+    start = len(gzip.compress(record(20)))
+    assert start + len(cut) // 2 < gap[0] and gap[0] + gap[1] == start + len(cut)
+
+
+def test_gaps_inside_a_sound_member_have_their_own_place():
+    draw = __import__("random").Random(4)
+    parts = [record(i, bytes(draw.randrange(256) for _ in range(3000)), "0" * 40 if i == 2 else None) for i in range(5)]
+    packed = gzip.compress(b"".join(parts))
+    rows = list(warc.salvage(packed))
+    assert ids(packed) == [0, 1, 3, 4] and sum(r[2] for r in rows) == len(packed)
+    (gap,) = gaps(packed)
+    assert abs(gap[0] - len(packed) * 2 / 5) < 300 and abs(gap[1] - len(packed) / 5) < 300
+
+
+def test_members_of_16_mb_and_more():
+    big = "x" * (1 << 24)
+    assert gzip.decompress(warc._packed(big) + b"\0") == (big + warc.SEPARATOR).encode()
