@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> None:
+    """Sets the folder of spark.checkpoint.dir; only where the session has none (tests) a temporary one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cloneloom-"))
+
+
 def nearest_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
     """For each case its nearest pool member, with replacement (J14, J15): equal columns agree, near columns differ at most so much.
 
@@ -27,19 +36,25 @@ def nearest_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[s
     return cases.select(key).join(best, key, "left").select(key, F.col("b.match").alias("match"), F.sqrt("b.dist").alias("dist"))
 
 
-def greedy_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]], rounds: int = 20) -> DataFrame:
-    """Matching without replacement (J14): in each round every free case asks for its nearest free member and each member takes its nearest."""
-    free_cases, free_pool, out = cases, pool, None
-    for _ in range(rounds):
+def greedy_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]], rounds: int | None = None) -> DataFrame:
+    """Matching without replacement (J14): in each round every free case asks for its nearest free member and each member takes its nearest.
+
+    Rounds go on until none of the free cases has a free member in reach; ``rounds`` stops earlier.  A member that is
+    nearest to many takes one a round.  Each round's matches are written to the checkpoint folder, where their lineage ends.
+    """
+    shared_dir(cases.sparkSession)
+    first = Window.partitionBy("match").orderBy("dist", key)
+    free_cases, free_pool = cases, pool
+    out = cases.select(key, F.lit(None).cast(pool.schema[key].dataType).alias("match"), F.lit(None).cast("double").alias("dist")).limit(0)
+    for _ in count() if rounds is None else range(rounds):
         asks = nearest_match(free_cases, free_pool, key, equal, near).where("match is not null")
-        first = Window.partitionBy("match").orderBy("dist", key)
-        won = asks.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").cache()
+        won = asks.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").checkpoint(eager=True)
         if won.isEmpty():
             break
-        out = won if out is None else out.unionByName(won)
-        free_cases = free_cases.join(won.select(key), key, "left_anti")
-        free_pool = free_pool.join(won.select(F.col("match").alias(key)), key, "left_anti")
-    return out if out is not None else cases.select(key, F.lit(None).cast("long").alias("match"), F.lit(None).cast("double").alias("dist")).limit(0)
+        out = out.unionByName(won).checkpoint(eager=True)
+        free_cases = cases.join(out.select(key), key, "left_anti")
+        free_pool = pool.join(out.select(F.col("match").alias(key)), key, "left_anti")
+    return out
 
 
 def crosswalk(left: DataFrame, right: DataFrame, user: str, day: str, left_id: str, right_id: str) -> DataFrame:

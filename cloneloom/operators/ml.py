@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cloneloom.operators.relational import running
 
+#: Permutations of a first look and of a full test.
+SCREEN, FULL = 100, 1000
+
 
 def evaluate_binary(df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
     """n, prevalence, ROC AUC (ties half), PR AUC (trapezoid), kappa and F1 at a threshold (ML5)."""
@@ -82,7 +85,7 @@ def permutation_p(real: DataFrame, shuffled: DataFrame, keys: Sequence[str], sta
     return joined.groupBy(*on, "_real").agg(((1 + F.sum((F.col(stat) >= F.col("_real")).cast("int"))) / (1 + F.count("*"))).alias("p"), F.count("*").alias("n_perms")).withColumnRenamed("_real", stat)
 
 
-def adaptive_auc_p(df: DataFrame, key: str, y: str, score: str, seed: int, screen: int = 100, full: int = 1000, below: float = 0.02) -> DataFrame:
+def adaptive_auc_p(df: DataFrame, key: str, y: str, score: str, seed: int, screen: int = SCREEN, full: int = FULL, below: float = 0.02) -> DataFrame:
     """Permutation p of |AUC - 0.5|: ``screen`` permutations, and ``full`` where the first p is under ``below``."""
     away = lambda rows, by: evaluate_binary(rows, by, y, score).select(*by, F.abs(F.col("roc_auc") - 0.5).alias("away"))
 

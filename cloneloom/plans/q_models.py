@@ -32,7 +32,7 @@ def cohort_match(spark, d):
 def cohort_match_greedy(spark, d):
     """Without replacement, in rounds of asking and taking."""
     rows = _people(spark, d)
-    return C.greedy_match(rows.where("c_custkey % 10 = 0"), rows.where("c_custkey % 10 > 0"), "c_custkey", ["c_mktsegment"], [("age", 3.0), ("c_acctbal", 800.0)], rounds=3)
+    return C.greedy_match(rows.where("c_custkey % 10 = 0"), rows.where("c_custkey % 10 > 0"), "c_custkey", ["c_mktsegment"], [("age", 3.0), ("c_acctbal", 800.0)])
 
 
 @query("""WITH l AS (SELECT o_custkey AS usr, month(o_orderdate) AS day, o_orderkey AS blood FROM orders WHERE o_custkey < 150 AND o_orderstatus = 'F'), r AS (SELECT user_id AS usr, dayofmonth(ts) AS day, event_id AS stool FROM events WHERE event_type = 'signup' AND value > 50),
@@ -114,7 +114,7 @@ def permuted_labels(spark, d):
 
 @query()
 def perm_auc(spark, d):
-    return L.adaptive_auc_p(_scored(spark, d), "doc_id", "y", "score", 3, screen=50, full=200)
+    return L.adaptive_auc_p(_scored(spark, d), "doc_id", "y", "score", 3)
 
 
 @query()
@@ -131,7 +131,7 @@ def perm_fisher(spark, d):
         p = S.fisher_exact(n.select("a", "b", "c", "d").distinct(), "a", "b", "c", "d")
         return n.join(p, ["a", "b", "c", "d"]).select(*keys, "feature", (-F.log10("p")).alias("score"))
 
-    shuffled = L.permuted_labels(groups, "sample", "cohort", 20, 4)
+    shuffled = L.permuted_labels(groups, "sample", "cohort", L.FULL, 4)
     return L.permutation_p(tables(groups, []), tables(shuffled, ["perm"]).select("feature", "score"), ["feature"], "score")
 
 

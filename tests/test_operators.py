@@ -148,3 +148,17 @@ def test_empty_inputs(spark):
     assert repertoire.diversity(cells, "s", "f", "v").count() == 0
     assert stats.mann_whitney(cells.withColumn("g", F.lit(1)), ["f"], "v", "g").count() == 0
     assert seqsim.padded_hamming_pairs(rows(spark, [], "id long, seq string")).count() == 0
+
+
+def test_greedy_match_goes_on_while_cases_have_partners(spark):
+    people = rows(spark, [(i, "m", 30.0) for i in range(60)], "id long, sex string, age double")  # all ask for the same member first
+    got = cohort.greedy_match(people.where("id < 25"), people.where("id >= 25"), "id", ["sex"], [("age", 3.0)]).collect()
+    assert {r.id for r in got} == set(range(25)) and len({r.match for r in got}) == 25
+
+
+def test_permutation_queries_take_the_operators_numbers(spark):
+    from cloneloom.plans import catalogue
+
+    assert {r.n_perms for r in catalogue.QUERIES["perm_auc"](spark, "/root/testdata/sf0.001").collect()} <= {100, 1000}
+    n_perms = [r.n_perms for r in catalogue.QUERIES["perm_fisher"](spark, "/root/testdata/sf0.001").select("n_perms").collect()]
+    assert 0 < max(n_perms) <= 1000 and min(n_perms) > 20
