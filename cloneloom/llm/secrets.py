@@ -2,8 +2,9 @@
 
 Patterns give the base spans.  The field tags tokens as begin, inside or outside of a secret, from their
 shape, the words and marks beside them and features of the whole text, and is decoded by Viterbi; its spans
-are added where no base span lies.  Only a token of 8 or more characters with a digit, or of 20 or more that
-is not all letters, can be in a secret; every other token is outside, so a text falls exactly into short
+are added where no base span lies.  After a hint word of a secret the next token, and all words of a quoted value,
+can be in a secret whatever their length and marks; elsewhere only a token of 8 or more characters with a digit,
+or of 20 or more that is not all letters.  Every other token is outside, so a text falls exactly into short
 chains of candidates with nothing but blanks between them.
 
 The field is trained by maximum likelihood (forward-backward, Adam) on a sample of at most TRAIN_DOCS texts
@@ -42,6 +43,10 @@ HINTS = {
     "secret": ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "bearer", "auth", "credential", "private", "access"),
     "plain": ("http", "https", "mailto", "www", "tel", "phone", "isbn", "doi", "version", "date", "id"),
 }
+HINTED = re.compile(
+    r"""(?<![A-Za-z])(?:""" + "|".join(sorted(HINTS["secret"], key=len, reverse=True)) + r""")(?![A-Za-z])["']?(\x20*[:=]\x20*|\x20+)(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']+))""", re.I | re.A
+)
+WORD, TAIL = re.compile(r"\S+"), ".,;:)]}>"
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "sk_test_", "xox", "eyJ", "AIza", "glpat-", "npm_")
 O, B, I = 0, 1, 2
 IMPOSSIBLE = -1e9
@@ -59,13 +64,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def hinted(text: str) -> list[tuple[int, int]]:
+    """Tokens after a hint word: the next one, or all of a quoted value."""
+    out, at = [], 0
+    while m := HINTED.search(text, at):
+        which = 2 if m[2] else 3 if m[3] else 4
+        for w in WORD.finditer(text, *m.span(which)):
+            if word := w[0].rstrip(TAIL):
+                out.append((w.start(), w.start() + len(word)))
+        at = m.start(which)  # the value may be a hint word itself
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    out = []
+    found = []
     for m in CANDIDATE.finditer(text):
         word = m[0].rstrip(".=-") if not m[0].endswith("=") else m[0].rstrip(".-")
         has_digit = any(map(str.isdigit, word))
         if len(word) >= 8 and (has_digit or len(word) >= 20 and not word.isalpha()):
-            out.append((m.start(), m.start() + len(word)))
+            found.append((m.start(), m.start() + len(word)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found + hinted(text)):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -82,6 +105,8 @@ def features(text: str, start: int, end: int, crowd: int) -> list[str]:
     out = ["one", f"shape={shape}", f"length={min(len(word) // 8, 8)}", f"entropy={int(2 * _entropy(word))}"]
     out += [f"digits={4 * digits // len(word)}", f"switches={min(8, sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:])) // 2)}"]
     out += [f"mark={c}" for c in "+/_.=-" if c in word]
+    other = len(word) - digits - upper - lower
+    out += [f"kind={shape}{min(other, 2)}", f"short={min(len(word), 12)}", f"cases={min(6, sum(a.islower() and b.isupper() for a, b in zip(word, word[1:])))}"]
     out += [f"prefix={p}" for p in PREFIXES if word.startswith(p)]
     if re.fullmatch(r"[0-9a-f]+", word):
         out.append("hex")
@@ -97,6 +122,10 @@ def features(text: str, start: int, end: int, crowd: int) -> list[str]:
         if any(near == w or near.endswith(("_" + w, "-" + w)) for w in words):
             out.append(f"said={kind}")
     out.append(f"crowd={min(4, crowd.bit_length())}")
+    if "said=secret" in out:
+        # How the hint word and the token are joined, alone and with the token's shape.
+        way = "set" if re.search(r"[:=]\s*[\"']?$", tail) else "quoted" if tail.count('"') % 2 else "blank"
+        out += [f"way={way}", f"way={way},{shape}{min(other, 2)}", f"way={way},cases={min(3, sum(a.islower() and b.isupper() for a, b in zip(word, word[1:])))}"]
     out.append(f"keyword={int(any(k in text[max(0, start - 200) : start].lower() for k in KEYWORDS))}")
     return out
 
@@ -230,6 +259,26 @@ def made_examples(n: int = 300) -> list[tuple[list[list[str]], list[int]]]:
         lead = draw.choice(("key: ", "auth = \"", "Bearer ", "", "")) if hidden else draw.choice(("", "on ", "id: ", "see "))
         text = " ".join(word() for _ in range(draw.randint(3, 20))) + " " + lead
         out += labelled(f"{text}{value} {word()} {word()}", [(len(text), len(text) + len(value))] if hidden else [])
+    # After hint words: secrets of letters alone, short ones and ones with other marks; and prose.
+    upper_lower, marks = alphabet[:52], "!@#$%&*?"
+    hints = ("pwd", "key", "auth", "credential", "access_key", "private_key", "Bearer", "my_pwd")
+
+    def mixed(k):
+        return "".join(draw.choice(letters.upper() if j % 2 else letters) if draw.random() < 0.5 else draw.choice(upper_lower) for j in range(k))
+
+    short = (
+        lambda: mixed(draw.randint(12, 40)), lambda: some(draw.randint(3, 6), letters) + some(draw.randint(1, 3), "0123456789") + draw.choice(marks),
+        lambda: f"{some(1, letters)}{draw.choice(marks)}{some(2, '0123456789')}{some(3, letters)}{draw.choice(marks)}", lambda: some(draw.randint(5, 7)) + some(1, "0123456789"),
+    )
+    for i in range(n):
+        before, after = " ".join(word() for _ in range(draw.randint(2, 12))), f"{word()} {word()}"
+        hint = draw.choice(hints)
+        if i % 2:
+            lead = f"{before} {hint}" + (" " if hint == "Bearer" else draw.choice((": ", " = ", "=", ': "', ' = "')))
+            value = draw.choice(short)()
+            out += labelled(f'{lead}{value}{chr(34) if lead.endswith(chr(34)) else ""} {after}', [(len(lead), len(lead) + len(value))])
+        else:
+            out += labelled(f"{before} {hint.lower()}{draw.choice((' ', ' ', ' ', ': '))}{draw.choice((word(), word(), 'to', 'of', 'is', word() + ','))} {after}", [])
     return out
 
 

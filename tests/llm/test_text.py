@@ -151,3 +151,12 @@ def test_chat_digest_of_one_turn(spark, text):
     out = chat.format_chat(spark.createDataFrame([(5, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
     loss = out.select(F.sha2(chat.masked_text(F.col("formatted"), F.col("loss_spans")).cast("binary"), 256)).first()[0]
     assert loss == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_short_and_letters_only_secrets_after_hint_words():
+    field = secrets.train(secrets.made_examples())
+    for lead, value in (('auth = "', "QwErTyUiOpAsDfGhJkLzXcVb"), ("pwd: ", "p@55w0rd!"), ("Bearer ", "aBcDeFgHiJkLmNoPqRsTuV"), ("key: ", "x7Kq2")):
+        text = f"set {lead}{value} and go on"
+        assert value not in secrets.redacted(text, secrets.scan(text, field)), text
+    for text in ("the key to success is to go on", "he was given access to the house", "a private house, a key point and a token of thanks"):
+        assert secrets.scan(text, field) == [], text
