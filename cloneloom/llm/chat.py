@@ -5,12 +5,13 @@ expressions turns text parts into escaped text and the others into placeholders,
 attachment each placeholder stands for and how many tokens it will expand to.
 
 Template of a turn:  <|turn|>ROLE\\nBODY<|end|>\\n
-Control strings all begin with "<|".  Inside roles and texts "%" becomes "%25" and "<|" becomes "%3C|"
-(and a newline in a role "%0A"), so no text can forge a control string and the escape can be undone.
+Control strings all begin with "<".  Inside roles and texts "%" becomes "%25" and "<" becomes "%3C" (and a newline
+in a role "%0A"), so no text, nor two parts side by side, can forge a control string, and the escape can be undone.
 
-Edge cases: null text, null parts and null roles count as empty; an empty table gives an empty result;
-repeated rows stay, ordered by (turn, role, text), with null turns first; a part of an unknown type is
-kept as a document placeholder; columns other than those named are ignored.
+Edge cases: null text, null parts, null parts of a list and null roles count as empty; an empty table gives an empty
+result; repeated rows stay, ordered by (turn, role, text), with null turns first; messages without conv_id form one
+conversation; a part of an unknown type is kept as a document placeholder; a conversation is one string, so it must fit
+a row (2 GB) however long its texts are; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ EXPANSION = {"image": 576, "audio": 750, "document": 1024}
 
 
 def escape(col: F.Column) -> F.Column:
-    return F.replace(F.replace(col, F.lit("%"), F.lit("%25")), F.lit("<|"), F.lit("%3C|"))
+    return F.replace(F.replace(col, F.lit("%"), F.lit("%25")), F.lit("<"), F.lit("%3C"))
 
 
 def unescape(col: F.Column) -> F.Column:
-    return F.replace(F.replace(col, F.lit("%3C|"), F.lit("<|")), F.lit("%25"), F.lit("%"))
+    return F.replace(F.replace(col, F.lit("%3C"), F.lit("<")), F.lit("%25"), F.lit("%"))
 
 
 def text_part(col: F.Column) -> F.Column:
@@ -72,6 +73,7 @@ def format_chat(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     rows = messages.select(
         "conv_id", "turn", role.alias("role"), head.alias("head"), F.coalesce(parts, F.array().cast(PARTS)).alias("parts")
     )
+    rows = rows.withColumn("parts", F.filter("parts", lambda p: p.isNotNull()))
     rows = rows.withColumn("body", F.array_join(F.transform("parts", _render), "")).select(
         "conv_id",
         "turn",
@@ -100,15 +102,23 @@ def format_chat(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def parse_chat(formatted: F.Column) -> F.Column:
-    """The turns of a formatted string: array of (role, text), text with placeholders left as they are."""
+    """The turns of a formatted string: array of (role, text, parts).
+
+    parts are (type, text) in order, type text for what lies between placeholders; text joins the texts of the parts.
+    """
     turns = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda t: t != "")
+    pieces = r"<\|(?:" + "|".join(EXPANSION) + r")\|>|[^<]+"
+
+    def part(piece):
+        kind = F.when(F.startswith(piece, F.lit("<")), F.substr(piece, F.lit(3), F.length(piece) - 4)).otherwise("text")
+        return F.struct(kind.alias("type"), F.when(kind == "text", unescape(piece)).alias("text"))
 
     def read(turn):
         role = F.substring_index(F.substr(turn, F.lit(len(TURN) + 1)), "\n", 1)
-        text = F.substr(turn, F.length(role) + F.lit(len(TURN) + 2))
-        return F.struct(
-            unescape(F.replace(role, F.lit("%0A"), F.lit("\n"))).alias("role"), unescape(text).alias("text")
-        )
+        body = F.substr(turn, F.length(role) + F.lit(len(TURN) + 2))
+        parts = F.transform(F.regexp_extract_all(body, F.lit(pieces), F.lit(0)), part)
+        text = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        return F.struct(unescape(F.replace(role, F.lit("%0A"), F.lit("\n"))).alias("role"), text.alias("text"), parts.alias("parts"))
 
     return F.transform(turns, read)
 

@@ -23,13 +23,24 @@ def n_words(col) -> F.Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session has none (tests) a temporary one is set."""
+    """The folder of spark.checkpoint.dir.  A temporary one is made only for a session in one process (tests); a cluster without the setting is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cloneloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            path = tempfile.mkdtemp(prefix="cloneloom-")
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there."""
     shared_dir(df.sparkSession)

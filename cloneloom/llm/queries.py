@@ -87,6 +87,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("loss").cast("long").alias("loss_chars"),
             F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
+            F.size("attachments").cast("long").alias("n_attachments"),
+            "expanded_tokens",
         )
     )
 
@@ -157,14 +159,14 @@ WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length('<|turn|>' || replace(replace(replace(role, '%', '%25'), '<|', '%3C|'), chr(10), '%0A') || chr(10)
-        || replace(replace(text, '%', '%25'), '<|', '%3C|') || '<|end|>' || chr(10)) AS chars FROM m),
+e AS (SELECT *, length('<|turn|>' || replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A') || chr(10)
+        || replace(replace(text, '%', '%25'), '<', '%3C') || '<|end|>' || chr(10)) AS chars FROM m),
 a AS (SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
         sum(chars)::BIGINT AS formatted_chars
       FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
-       sha256(loss) AS loss_sha256, formatted_chars
+       sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM a""",
 }
