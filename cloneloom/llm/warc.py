@@ -2,8 +2,8 @@
 
 Writing: each page becomes one WARC/1.1 record.  Spark's text writer puts the records of a partition into
 one file, so commits, retries and lost executors are the writer's business: plain records with the record
-separator CRLF CRLF as line separator, or one gzip member per record, built in the task.  Of equal payloads of at least ``min_revisit`` bytes the page with the largest id
-keeps its payload; the others become revisit records that name it.
+separator CRLF CRLF as line separator, or one gzip member per record, built in the task.  Of equal payloads of at least
+``min_revisit`` bytes the page with the largest id keeps its payload; the others become revisit records that name it.
 
 Reading: every record is checked (version line, header block, Content-Length, separator, block digest;
 for gzip files each member's own checksum).  After a failed check the reader looks for the next place where a
@@ -14,7 +14,8 @@ the member's place.
 
 Edge cases: null html is an empty payload; a null url gives no target line; line breaks in a url are dropped;
 rows that repeat an id and payload stay separate records; null ids are responses; an empty table gives an
-archive without records; other columns are ignored.
+archive without records; other columns are ignored, whatever their names.  Very long payloads are records like any
+other; a task holds one archive file (2 GB at most) and one member unpacked.  Reading takes time in proportion to the bytes, damaged or not.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ SEPARATOR = CRLF * 2
 ID = "urn:page:"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: A version line on a line of its own, which no header block has inside.
+VERSION_LINE = re.compile(rb"(?<=\n)WARC/1\.[01]\r\n")
+#: Bytes of a damaged member between places that are known both packed and unpacked.
+MARK = 64
 RECORDS_PER_FILE = 2000
 #: The highest byte of a member's length, which ends it, is zero below 16 MB; an empty member ends in zeros always.
 MEMBER_END, EMPTY_MEMBER = "\0", gzip.compress(b"", mtime=0)
@@ -118,12 +123,31 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, v in pairs}
 
 
-def _plain_record(data: bytes, at: int):
+class _Seen:
+    """Where the next header end, version line and gzip member are; each search goes on where the last one ended, so all of them read the bytes once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.last = data, {}
+
+    def find(self, what: bytes | re.Pattern, at: int) -> int:
+        """The first place from ``at`` on, or -1; places asked for one kind never go back by more than a record."""
+        start, found = self.last.get(what, (0, -2))
+        if not start <= at or found != -1 and found < at:
+            if isinstance(what, bytes):
+                found = self.data.find(what, at)
+            else:
+                match = what.search(self.data, at)
+                found = match.start() if match else -1
+            self.last[what] = at, found
+        return found
+
+
+def _plain_record(data: bytes, at: int, seen: _Seen):
     """(end, headers, block) of the record at that place, or why there is none."""
     if not VERSION.match(data, at):
         return "no version line"
-    body = data.find(b"\r\n\r\n", at)
-    if body < 0:
+    body, other = seen.find(b"\r\n\r\n", at), seen.find(VERSION_LINE, at + 1)
+    if body < 0 or 0 <= other < body:
         return "header without end"
     headers, body = _headers(data[at:body]), body + 4
     if not headers.get("content-length", "").isdigit():
@@ -137,78 +161,90 @@ def _plain_record(data: bytes, at: int):
     return end + 4, headers, block
 
 
-def _member(data: bytes, at: int):
-    """(end, unpacked bytes) of the gzip member at that place, or why there is none."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(data[at:])
-    except zlib.error as err:
-        return f"gzip: {err}"
-    return (len(data) - len(unpack.unused_data), out) if unpack.eof else "gzip: cut off"
-
-
-def _unpacked(data: bytes, at: int) -> tuple[bytes, list[int]]:
-    """What can be unpacked of the member at that place, and how much of it after each of its bytes."""
-    unpack, out, through = zlib.decompressobj(31), [], [0]
-    try:
-        for i in range(at, len(data)):
-            out.append(unpack.decompress(data[i : i + 1]))
-            through.append(through[-1] + len(out[-1]))
-            if unpack.eof:
-                break
-    except zlib.error:
-        pass
-    return b"".join(out), through
-
-
-def _inside(data: bytes, at: int, whole: bool) -> list[tuple]:
+def _member(data: bytes, at: int) -> tuple[int, bytes, list[tuple[int, int]], str]:
+    """The gzip member at that place: its end, what could be unpacked, marks (packed, unpacked) on the way, and what is wrong with it.
+
+    It is fed in growing pieces, so a false start costs little and the tail is never copied; a piece that fails is fed
+    again in steps of MARK bytes, to keep what unpacks before the damage.
+    """
+    view, unpack, out, size = memoryview(data), zlib.decompressobj(31), [], 0
+    marks, step, why = [(at, 0)], 256, ""
+    while not unpack.eof:
+        if at >= len(data):
+            why = "gzip: cut off"
+            break
+        before = unpack.copy()
+        try:
+            part = unpack.decompress(view[at : at + step])
+        except zlib.error as err:
+            if step > MARK:
+                unpack, step = before, MARK
+                continue
+            why = f"gzip: {err}"
+            break
+        at = min(at + step, len(data)) - len(unpack.unused_data)
+        size += len(part)
+        out.append(part)
+        marks.append((at, size))
+        step = step if step == MARK else min(2 * step, 1 << 16)
+    return at, b"".join(out), marks, why
+
+
+def _inside(out: bytes, marks: list[tuple[int, int]], whole: bool) -> list[tuple]:
     """The rows of a member that has gaps or fails, at the places of their packed bytes; of one that fails only up to its last good record."""
-    out, through = _unpacked(data, at)
     rows = list(salvage(out))
     if not whole:
         while rows and (rows[-1][0] == "gap" or rows[-1][1] + rows[-1][2] == len(out)):
             rows.pop()
-    placed, last = [], at
+    placed, last, sizes = [], marks[0][0], [size for _, size in marks]
     for kind, start, n, *rest in rows:
-        end = at + bisect_left(through, start + n)
+        end = marks[bisect_left(sizes, start + n)][0]
         placed.append((kind, last, end - last, *rest))
         last = end
     if whole and placed:  # the end of the member belongs to its last row
         kind, start, _, *rest = placed[-1]
-        placed[-1] = (kind, start, at + len(through) - 1 - start, *rest)
+        placed[-1] = (kind, start, marks[-1][0] - start, *rest)
     return placed
 
 
+def _finer(data: bytes, at: int, end: int) -> list[tuple[int, int]]:
+    """Marks at every MARK bytes of a sound member."""
+    view, unpack, marks, size = memoryview(data), zlib.decompressobj(31), [(at, 0)], 0
+    for i in range(at, end, MARK):
+        size += len(unpack.decompress(view[i : min(i + MARK, end)]))
+        marks.append((min(i + MARK, end), size))
+    return marks
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """('record', at, length, headers, block) and ('gap', at, length, reason, b'') in the order of the bytes."""
-    at, bad, why = 0, None, ""
+    at, bad, why, seen = 0, None, "", _Seen(data)
     while at < len(data):
         if data.startswith(GZIP, at):
-            got = _member(data, at)
-            if isinstance(got, str):
-                kept = _inside(data, at, False)
+            end, out, marks, wrong = _member(data, at)
+            if wrong:
+                kept = _inside(out, marks, False) if out else []
                 if kept:
                     if bad is not None:
                         yield "gap", bad, at - bad, why, b""
                     yield from kept
                     bad = at = kept[-1][1] + kept[-1][2]
-                    why = got
+                    why = wrong
                     at -= 1  # the search below begins where the last good record ends
                 elif bad is None:
-                    bad, why = at, got
-                found = got
+                    bad, why = at, wrong
+                found = wrong
             else:
-                rows = list(salvage(got[1]))
+                rows = list(salvage(out))
                 gaps = any(r[0] == "gap" for r in rows)
-                found = got[0], _inside(data, at, True) if gaps else [(k, at, got[0] - at, *rest) for k, _, _, *rest in rows]
+                found = end, _inside(out, _finer(data, at, end), True) if gaps else [(k, at, end - at, *rest) for k, _, _, *rest in rows]
         else:
-            got = _plain_record(data, at)
+            got = _plain_record(data, at, seen)
             found = got if isinstance(got, str) else (got[0], [("record", at, got[0] - at, got[1], got[2])])
         if isinstance(found, str):
             if bad is None:
                 bad, why = at, found
-            version, member = VERSION.search(data, at + 1), data.find(GZIP, at + 1)
-            at = min([x for x in (version.start() if version else -1, member) if x >= 0], default=len(data))
+            at = min([x for x in (seen.find(VERSION, at + 1), seen.find(GZIP, at + 1)) if x >= 0], default=len(data))
             continue
         if bad is not None:
             if at > bad:

@@ -122,3 +122,34 @@ def test_gaps_inside_a_sound_member_have_their_own_place():
 def test_members_of_16_mb_and_more():
     big = "x" * (1 << 24)
     assert gzip.decompress(warc._packed(big) + b"\0") == (big + warc.SEPARATOR).encode()
+
+
+def test_salvage_time_grows_with_the_bytes_only():
+    import time
+
+    def took(data, n):
+        began = time.perf_counter()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        return time.perf_counter() - began
+
+    draw = __import__("random").Random(5)
+    member = [gzip.compress(record(i, draw.randbytes(1250).hex().encode())) for i in range(8000)]
+    half, whole = took(b"".join(member[:4000]), 4000), took(b"".join(member), 8000)
+    assert whole < 4 * half + 0.5
+    broken = b"".join(m[:-6] + b"??????" if i % 3 == 0 else m for i, m in enumerate(member))  # each loses its record, whose checksum fails
+    assert took(broken, 8000 - 2667) < 8 * whole + 2
+    lines = b"WARC/1.1\r\nno: end\r\n"
+    half, whole = took(lines * 40_000, 0), took(lines * 80_000, 0)
+    assert whole < 4 * half + 0.5
+    assert took(GZIP_START * 100_000 + record(1), 1) < 10
+
+
+GZIP_START = gzip.compress(b"")[:10]
+
+
+def test_one_damaged_member_of_many_records():
+    draw = __import__("random").Random(6)
+    packed = bytearray(gzip.compress(b"".join(record(i, draw.randbytes(3000)) for i in range(1000))))
+    packed[len(packed) // 2] ^= 255
+    found = ids(bytes(packed))
+    assert found[:400] == list(range(400)) and gaps(bytes(packed))
