@@ -1,18 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source is a queue of its documents in a pseudo-random order (md5 of seed and id), repeated up to
-``max_repeats`` times.  Serving words of a document advances the source's virtual clock by words / target;
-a document's virtual finish time is the cumulative count of its source's words up to its end over the
-source's target.  All queues reach virtual time 1 together, when they have sent the total budget, so
-range-sorting by finish time and truncating at the budget keeps just what starts before 1; the one
-document of each source that is being sent at that moment is cut there.
-
-Running sums never gather a source in one task: documents are dealt over (source, first hex digits of the
-hash), summed per bucket, and the short table of bucket sums gives each bucket its offset.
+Every source is a queue of its documents in a pseudo-random order (md5 of seed and id), sent up to ``max_repeats``
+times.  Documents go as packets of at most ``packet`` words, so that a very long one does not hold its source's turn.
+A packet's virtual finish time is the words of its source up to its end, passes before it included, over the
+source's target.  All packets of the table that start before time 1, when every queue has sent its target, are range-
+sorted by finish time; a running sum of words over the ranges (their totals, then offsets) truncates the sorted
+packets at the total budget: what ends within it is taken whole, the packet at the cut in part, the rest not at all.
+So a source's taken words are within one packet of its target and all sources together meet the budget exactly.
+
+Nothing gathers a source in one task: running sums within a source are taken in buckets (source, first hex digits of
+the hash) with offsets from the short table of bucket sums, and ranges of virtual time are ``ranges`` stretches of
+equal length in [0, 1], which hold about equal words, and one for what ends later.
 
 Edge cases: null texts have size 0 and are never taken; null sources form one source, the last; an empty
-table gives an empty result; rows that repeat an id, null too, are separate documents in an order fixed by their size;
-a target of 0 takes nothing; extra columns are ignored.
+table gives an empty result; rows that repeat an id are separate documents in an order fixed by their size, and rows
+without an id are ordered by their texts; very long texts are many packets; a target of 0 takes nothing; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from cloneloom.llm.common import n_words
 
 CYCLE = (1, 2, 3)
+#: Words of a document that are sent at a time.
+PACKET = 64
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = 3) -> DataFrame:
-    """source, source_size, weight, target: the budget shared by weight, no target above its cap.
+    """source, source_size, weight, target, budget: the budget (all sizes) shared by weight, no target above its cap.
 
     sizes: one row per source (source, source_size).  Handing the excess of capped sources to the others by
     weight, again and again, ends at the level L with sum(min(L * weight, cap)) = budget; in order of
@@ -46,21 +51,15 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats
     )
     level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select(
-        "source", "source_size", "weight", "target"
+        "source", "source_size", "weight", "target", F.sum("source_size").over(every).alias("budget")
     )
 
 
-def fair_schedule(
-    docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, max_repeats: int = 3, digits: int = 3
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, takes, taken, virtual_finish.
-
-    takes[e] is the words that the e-th pass over the source takes of the document; virtual_finish is that of
-    its first pass.  Rows are range-sorted by it.
-    """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn(
-        "shuffled", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    )
+def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_repeats: int, digits: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, budget, through: words of the source's queue up to the document's end."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("by_text"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "by_text"))
+    rows = rows.withColumn("shuffled", F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))).drop("by_text")
     rows = rows.withColumn("bucket", F.substring("shuffled", 1, digits))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cycle, max_repeats)
@@ -68,28 +67,56 @@ def fair_schedule(
     offsets = (
         buckets.withColumn("offset", F.sum("bucket_size").over(first) - F.col("bucket_size"))
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select(F.col("source").alias("of"), F.col("bucket").alias("in"), "offset", "source_size", "target")
+        .select(F.col("source").alias("of"), F.col("bucket").alias("in"), "offset", "source_size", "target", "budget")
     )
     within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "size")
     queued = rows.withColumn("through", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     queued = queued.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    queued = queued.withColumn("through", F.col("through") + F.col("offset"))
-    budget = F.round("target").cast("long")
-
-    def take(turn: int) -> F.Column:
-        start = F.lit(turn) * F.col("source_size") + F.col("through") - F.col("size")
-        return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - start))
-
-    takes = F.array(*[take(e) for e in range(max_repeats)])
-    return (
-        queued.select(
-            "doc_id", "source", "size", "source_size", "target", takes.alias("takes"),
-            F.when(F.col("target") > 0, F.col("through") / F.col("target")).otherwise(F.lit(0.0)).alias("virtual_finish"),
-        )
-        .withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda n, x: n + x))
-        .repartitionByRange(F.col("virtual_finish"), F.col("doc_id"))
-        .sortWithinPartitions("virtual_finish", "doc_id")
-    )
+    return queued.select("doc_id", "source", "size", "source_size", "target", "budget", (F.col("through") + F.col("offset")).alias("through"))
+
+
+def truncated(packets: DataFrame, ranges: int) -> DataFrame:
+    """packets (virtual_finish, source, words, budget) with taken: their words within the budget, in the order of finish times."""
+    rows = packets.withColumn("range", F.least(F.floor(F.col("virtual_finish") * ranges), F.lit(ranges)).cast("int"))
+    rows = rows.repartitionByRange("range")
+    own = Window.partitionBy("range").orderBy("virtual_finish", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("range").agg(F.sum("words").alias("n"))  # ranges + 1 rows at most
+    starts = totals.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sums = rows.withColumn("sent", F.sum("words").over(own)).join(F.broadcast(starts), "range")
+    left = F.col("budget") - F.col("start") - F.col("sent") + F.col("words")
+    return sums.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), left))).drop("range", "start", "sent", "budget")
+
+
+def fair_schedule(
+    docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, max_repeats: int = 3, digits: int = 3, packet: int = PACKET, ranges: int = 1024
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, takes, taken, virtual_finish.
+
+    takes[e] is the words that the e-th pass over the source takes of the document; virtual_finish is that of
+    its first pass.
+    """
+    queued = queued_documents(docs, seed, cycle, max_repeats, digits)
+    clock = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0))
+    start = F.col("through") - F.col("size")
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / packet), F.lit(1)).cast("int") - 1)
+    # Packets that start before time 1; a document that has none keeps a row without words.
+    cut = F.filter(
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.transform(places, lambda k: F.struct(
+            e.alias("pass"), (e * F.col("source_size") + start + k * packet).alias("from"), F.least(F.lit(packet), F.col("size") - k * packet).alias("words"))))),
+        lambda p: (p["words"] > 0) & (clock(p["from"]) < 1.0),
+    )
+    packets = queued.withColumn("first_finish", clock(F.col("through"))).select("*", F.explode_outer(cut).alias("p")).select(
+        "doc_id", "source", "size", "source_size", "target", "budget", "through", "first_finish", "p.pass",
+        F.coalesce("p.words", F.lit(0)).cast("long").alias("words"), F.coalesce(clock(F.col("p.from") + F.col("p.words")), F.lit(0.0)).alias("virtual_finish"),
+    )
+    sent = truncated(packets, ranges)
+    per_pass = [F.coalesce(F.sum(F.when(F.col("pass") == e, F.col("taken"))), F.lit(0)).alias(f"take{e}") for e in range(max_repeats)]
+    # Documents of no words can share a place in the queue: they come back as often as they went in.
+    places = sent.groupBy("source", "through", "size", "doc_id").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.first("first_finish").alias("virtual_finish"), F.sum((F.col("size") == 0).cast("int")).alias("n"), F.sum("taken").alias("taken"), *per_pass)
+    rows = places.withColumn("takes", F.array(*[f"take{e}" for e in range(max_repeats)])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "takes", "virtual_finish", "taken")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -133,7 +133,7 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to FROM k""",
     "op3_mix_sources": r"""
 WITH d AS (
-  SELECT doc_id, source, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  SELECT doc_id, source, md5('42:' || coalesce(doc_id::VARCHAR, ':' || md5(coalesce(text, '')))) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
@@ -146,14 +146,17 @@ l AS (SELECT *, 3 * source_size AS cap,
              r AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (SELECT source, source_size,
         least(cap::DOUBLE, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
+q AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, (SELECT sum(size) FROM d)::BIGINT AS budget,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS through
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, budget - through + size)) + greatest(0, least(size, budget - source_size - through + size))
-   + greatest(0, least(size, budget - 2 * source_size - through + size)))::BIGINT AS taken,
-  round(CASE WHEN target > 0 THEN through / target ELSE 0 END, 9) AS virtual_finish
-FROM q""",
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, e * source_size + through - size + 64 * k AS start, least(64, size - 64 * k) AS words
+      FROM (SELECT *, unnest(range((size + 63) // 64)) AS k FROM q), (SELECT unnest(range(3)) AS e)),
+p AS (SELECT *, sum(words) OVER (ORDER BY (start + words) / target, source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS sent
+      FROM k WHERE start / target < 1),
+n AS (SELECT source, through, sum(greatest(0, least(words, budget - sent + words)))::BIGINT AS taken FROM p GROUP BY source, through)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS taken,
+  round(CASE WHEN target > 0 THEN q.through / target ELSE 0 END, 9) AS virtual_finish
+FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.through = n.through""",
     "op8_chat_format": r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -65,8 +65,9 @@ def test_schedule_meets_targets(spark):
         by[r.source].append(r)
         assert 0 <= r.taken <= 3 * r.size and r.taken == sum(r.takes)
     for own in by.values():
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.PACKET
         assert own[0].source_size == sum(r.size for r in own)
+    assert sum(r.taken for r in rows) == sum(r.size for r in rows)
     again = mixing.fair_schedule(documents(spark, sample()).repartition(7)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
@@ -91,6 +92,54 @@ def test_empty_ties_and_repeats(spark):
     assert len(rows) == 6 and sum(r.taken for r in rows) == 9
 
 
+def brute_schedule(rows, packet):
+    """Words taken of each (document, pass): packets of all sources in one list, sorted by finish time and cut at the budget."""
+    import hashlib
+
+    queues, sizes = defaultdict(list), defaultdict(int)
+    for i, text, source in rows:
+        size = len((text or "").split())
+        sizes[source] += size
+        queues[source].append((hashlib.md5(f"42:{i}".encode()).hexdigest(), i, size))
+    targets, packets = brute_targets(sizes), []
+    for source, queue in queues.items():
+        at = 0
+        for e in range(3):
+            for _, i, size in sorted(queue):
+                for k in range(0, size, packet):
+                    n = min(packet, size - k)
+                    if (at + k) / targets[source] < 1:
+                        packets.append(((at + k + n) / targets[source], source is not None, source or "", (i, e), n))
+                at += size
+    left, taken = sum(sizes.values()), defaultdict(int)
+    for *_, turn, n in sorted(packets):
+        taken[turn] += min(n, left)
+        left -= min(n, left)
+    return taken
+
+
+@pytest.mark.parametrize("packet,ranges", [(64, 1024), (7, 3), (10_000, 1)])
+def test_schedule_equals_a_sorted_list(spark, packet, ranges):
+    rows = sample()
+    want = brute_schedule([(r[0], r[1], r[3]) for r in rows], packet)
+    got = {r.doc_id: r.takes for r in mixing.fair_schedule(documents(spark, rows), packet=packet, ranges=ranges).collect()}
+    assert got == {r[0]: [want[r[0], e] for e in range(3)] for r in rows}
+
+
+def test_rows_without_ids_are_spread_by_their_texts(spark):
+    rows = [(None, f"w{i} x", "en", "s", 3, "") for i in range(200)] + [(None, None, None, None, None, None)] * 2
+    queue = mixing.queued_documents(documents(spark, rows), 42, (1, 2, 3), 3, 2)
+    assert queue.count() == 202 and queue.where("size > 0").select("through").distinct().count() == 200
+    assert mixing.fair_schedule(documents(spark, rows)).count() == 202
+
+
 def test_native_plan(spark):
-    plan = mixing.fair_schedule(documents(spark, sample(5)))._jdf.queryExecution().toString()
+    out = mixing.fair_schedule(documents(spark, sample(5)))
+    plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_the_sort_decides_what_is_taken(spark):
+    plan = mixing.fair_schedule(documents(spark, sample(5)))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[: plan.index("RepartitionByExpression [range")], plan[plan.index("RepartitionByExpression [range") :]
+    assert "AS taken" in above and "AS sent" in above and "AS taken" not in below and "virtual_finish" in below

@@ -7,7 +7,8 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from cloneloom.llm import pieces, quality, secrets, simhash
+from cloneloom.llm import mixing, pieces, quality, secrets, simhash
+from tests.llm.test_mixing import brute_schedule
 
 
 @pytest.fixture(scope="module")
@@ -35,30 +36,9 @@ def plain(rows, field):
     rows = [r for i, r in enumerate(rows) if label[i] == i]
     rows = [(r[0], secrets.redacted(r[1], secrets.scan(r[1], field)), r[3]) for r in rows]
     words = {r[0]: r[1].encode().split() for r in rows}
-    sizes = Counter()
-    for i, _, source in rows:
-        sizes[source] += len(words[i])
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
-    target, budget = {}, float(sum(sizes.values()))
-    while True:
-        free = [s for s in order if s not in target]
-        left = budget - sum(target.values())
-        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
-        over = {s: 3.0 * sizes[s] for s in free if share[s] > 3 * sizes[s]}
-        if not over:
-            target |= share
-            break
-        target |= over
-    out = []
-    for s in order:
-        queue = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"42:{r[0]}".encode()).hexdigest())
-        left = round(target[s])
-        for i, text, _ in queue * 3:
-            take = min(left, len(words[i]))
-            left -= take
-            if take:
-                out.append((i, text if take == len(words[i]) else b" ".join(words[i][:take]).decode()))
+    texts = {r[0]: r[1] for r in rows}
+    taken = brute_schedule(rows, mixing.PACKET)
+    out = [(i, texts[i] if n == len(words[i]) else b" ".join(words[i][:n]).decode()) for (i, _), n in taken.items() if n]
     exact = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     return Counter((i, t, tuple(exact.encode(t))) for i, t in out)
 
