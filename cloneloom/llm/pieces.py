@@ -3,11 +3,13 @@
 The model file is parsed as the protobuf that it is (pieces with scores and types, trainer and normaliser
 settings), and the same tokenizer is rebuilt from tokenizers' parts: normaliser, the marker U+2581 for blanks,
 unigram scores or BPE merges in the order of scores, and byte fallback.  Batches are encoded and decoded by
-the library's threads.  Parity is verified for every text with the sentencepiece library; where the two
-differ, the row carries sentencepiece's ids and parity is false.
+the library's threads, and its ids are the result.  Parity is verified for every text with the sentencepiece library;
+a text on which the two differ falls back to sentencepiece's ids and is marked by parity = false, so such rows can be counted.
 
-A BPE text is merged as a whole, as the model does; decode() uses the library's decoder, the round trip of
-encode() the parsed pieces, which is the same text.
+A BPE text is merged as a whole, as the model does.  Unigram paths are sums of scores, in single precision there and in
+double precision here: two paths that tie but for rounding may be chosen differently, which parity then tells.  So may a
+text that spells the name of a byte piece, such as <0x41>.  decode() uses the library's decoder, the round trip of
+encode() the parsed pieces, which give the same text at a sixth of the cost.
 
 Edge cases: null and empty texts have no tokens and decode to the empty text; very long texts are encoded
 whole; a text that holds U+2581 itself decodes to a blank there, as the model defines, and round_trip tells;
@@ -33,6 +35,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Before the names of pieces that no text may match; a noncharacter.
+HIDDEN = "\uffff"
 #: Texts go through the libraries in groups of about so many characters.
 BATCH_CHARS = 1 << 19
 ENCODED = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "parity": pa.bool_(), "round_trip": pa.bool_()}
@@ -118,7 +122,9 @@ def build(data: bytes):
         vocab = {p: i for i, (p, _, _) in enumerate(m["pieces"])}
         model = models.BPE(vocab, merges(m["pieces"]), unk_token=m["pieces"][m["unk"]][0], fuse_unk=True, byte_fallback=m["byte_fallback"])
     else:
-        model = models.Unigram([(p, s) for p, s, _ in m["pieces"]], unk_id=m["unk"], byte_fallback=m["byte_fallback"])
+        # Texts can't spell control pieces; byte pieces keep their names, by which they are found.
+        spelled = [(HIDDEN + p if kind in (CONTROL, UNKNOWN, UNUSED) else p, s) for p, s, kind in m["pieces"]]
+        model = models.Unigram(spelled, unk_id=m["unk"], byte_fallback=m["byte_fallback"])
     tokenizer = Tokenizer(model)
     steps = [normalizers.Precompiled(m["charsmap"])] if m["charsmap"] else []
     if m["trim"]:
@@ -172,8 +178,9 @@ def _encoded(path: str, texts: list[str], keep_ids: bool) -> list[pa.Array]:
     right = exact.encode(texts, num_threads=2)
     ids, same = [], []
     for got, want in zip(fast.encode_batch_fast(texts, add_special_tokens=False), right):
-        same.append(got.ids == want)
-        ids.append(want)
+        mine = got.ids
+        same.append(mine == want)
+        ids.append(mine if same[-1] else want)
     flat = np.fromiter(chain.from_iterable(ids), np.int32)
     ends = np.cumsum([0, *map(len, ids)])
     back = (b"".join(map(spelled.__getitem__, x))[added:].decode("utf-8", "replace") for x in ids)

@@ -114,6 +114,63 @@ def test_sentencepiece_odd_texts():
     assert [e.ids for e in fast.encode_batch(odd, add_special_tokens=False)] == exact.encode(odd)
 
 
+def unigram_model(score):
+    """The BPE model's pieces as a unigram model with scores by rank: a model made by hand, not trained."""
+    import struct
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        if isinstance(value, bytes):
+            return varint(number * 8 + 2) + varint(len(value)) + value
+        return varint(number * 8 + 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number * 8) + varint(value)
+
+    with open(pieces.model_path(), "rb") as file:
+        data = file.read()
+    out, rank = b"", 0
+    for number, value in pieces._fields(data):
+        if number == 1:
+            piece = dict(pieces._fields(value))
+            if piece.get(3, pieces.NORMAL) == pieces.NORMAL:
+                rank += 1
+                piece[2] = score(rank)
+            value = b"".join(field(k, v) for k, v in piece.items())
+        elif number == 2:
+            value = field(3, pieces.UNIGRAM) + b"".join(field(k, v) for k, v in pieces._fields(value) if k != 3)
+        out += field(number, value)
+    return out
+
+
+def test_unigram_models(spark, tmp_path, documents):
+    import math
+    import random
+
+    import sentencepiece
+
+    draw = random.Random(1)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["  a   b    c", "\n\n\t a\u0000b<s></s><unk>", "日本語🎉 é̀", "a" * 3000, "   "] + ["".join(draw.choice(" ab\n<s>é🎉.") for _ in range(draw.randint(1, 60))) for _ in range(500)]
+    # Scores that single precision adds up exactly: no difference at all.
+    data = unigram_model(lambda rank: -round(64 * math.log(rank + 10)) / 64 - rank % 7 / 64)
+    assert pieces.parse_model(data)["kind"] == pieces.UNIGRAM
+    exact = sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert [e.ids for e in pieces.build(data).encode_batch(texts, add_special_tokens=False)] == exact.encode(texts)
+    # Scores that it rounds: where paths tie, the row falls back and says so.
+    data = unigram_model(lambda rank: -math.log(rank + 10) - 0.1 * (rank % 7))
+    exact = sentencepiece.SentencePieceProcessor(model_proto=data)
+    mine = [e.ids for e in pieces.build(data).encode_batch(texts, add_special_tokens=False)]
+    other = [i for i, (a, b) in enumerate(zip(mine, exact.encode(texts))) if a != b]
+    assert len(other) < 0.05 * len(texts)
+    total = lambda ids: sum(map(exact.get_score, ids))
+    assert all(math.isclose(total(mine[i]), total(exact.encode(texts[i])), rel_tol=1e-6) for i in other)
+    path = tmp_path / "u.model"
+    path.write_bytes(data)
+    rows = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id int, text string")
+    got = pieces.encode(rows, str(path)).collect()
+    assert all(list(r.ids) == exact.encode(r.text) for r in got) and {r.doc_id for r in got if not r.parity} == set(other) | {len(texts) + i for i in other if i < 3}
+
+
 def message(turn, role, text):
     return (1, turn, role, text)
 
