@@ -3,7 +3,7 @@
 A window is ``WIDTH`` consecutive tokens of one document.  Each window is named by its minimiser, the least
 hash among its token grams; consecutive windows with one minimiser form a run.
 
-1. Documents are dealt into blocks by their id.  A block sends the minimisers of its runs, as packed sorted
+1. Documents are dealt into blocks by their id and text.  A block sends the minimisers of its runs, as packed sorted
    numbers, to the minimisers' buckets.
 2. A bucket tells each block which of its minimisers occur in two documents or more: no other run can hold a
    repeated window.
@@ -344,7 +344,8 @@ def find(docs: DataFrame, finder: Finder, answer: Callable, schema: str, hot: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets, text_buckets = (max(1, -(-total // size)) for size in (BLOCK_BYTES, ANCHOR_BYTES, TEXT_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # Rows of one id, or none, need not meet: a window is only removed for an id that is smaller.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     sent = dealt.groupBy("block").applyInArrow(anchors(finder, buckets), MESSAGE)
     known = sent.groupBy("bucket").applyInArrow(shared(hot), MESSAGE)
     strings = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send(finder, buckets, text_buckets), MESSAGE)

@@ -1,21 +1,24 @@
-"""Suffix-array dedup on bytes: blockwise sorting with a difference cover.
+"""Suffix-array dedup on bytes: blockwise suffix sorting with a difference cover.
 
 Removes each byte that is covered by a 50-byte string that also starts in a document with a smaller id.
-Candidate runs come to their buckets as packed strings (repeats); one bucket of suffixes is sorted at a time,
-which bounds memory.  Suffixes count up to 50 bytes.  The sort looks at 8 bytes at the head and 8 at the end;
-ties between them are longer than a comparison should read, and are resolved by ranks of a difference-cover
-sample: D = {0, 1, 2, 4} mod 8, so for any two suffixes i and j there is a step d < 8 with i + d and j + d in
-the sample, whose ranks (of 43 bytes, computed first for the bucket) decide about all bytes from d to d + 43;
-the head has those before, the end those after.
+Runs of text that may repeat come to Spark's text buckets as packed strings (repeats).  There the suffix array of the
+bucket's text is built blockwise: splitters drawn from the suffixes' leading bytes part them into suffix buckets, which
+are sorted one at a time, so that only one of them has its keys in memory.  A sort compares HEAD leading bytes; longer
+ties are resolved by ranks of a difference-cover sample, computed beforehand: with D = {0, 1, 3, 9} mod 13 there is for
+any two suffixes i and j a step d < 13 with i + d and j + d in the sample, whose ranks order them by the bytes from d
+on.  Ties are parted by ternary quicksort, all groups of a bucket at once, so no comparison reads on through a repeat.
+Equal windows are neighbours in the array; they are told by a longest common prefix of 50 bytes or more.
 
 Edge cases: null texts are empty; documents of fewer than 50 bytes lose nothing; a null id counts as larger
 than any other; rows that repeat an id do not count against each other; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored, whatever their names.  Very long texts are held whole by the task of their block, with some 30
+bytes of memory a byte of text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,15 @@ from pyspark.sql import DataFrame
 
 from cloneloom.llm import repeats
 from cloneloom.llm.repeats import WIDTH, U, mix
-from cloneloom.llm.substrings import smallest
 
 GRAM = 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Difference cover: every difference mod PERIOD is one of two members.
-PERIOD, COVER = 8, (0, 1, 2, 4)
-SAMPLE = WIDTH - PERIOD + 1
-#: Rounds of comparing with a group's first suffix before what is left is sorted by all its bytes.
-ROUNDS = 6
+PERIOD, COVER = 13, (0, 1, 3, 9)
+#: Bytes that a sort compares itself, and bytes that the sample's ranks stand for; WIDTH at least from any step on.
+HEAD, DEPTH = 16, 4 * PERIOD
+#: Suffixes of a suffix bucket, about.
+SUFFIXES = 1 << 16
 FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 
 
@@ -47,29 +50,13 @@ def _tokens(text: bytes) -> np.ndarray:
     return np.frombuffer(text, np.uint8)
 
 
-def _words8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4 and the 8 bytes from each place as numbers."""
-    x = codes.astype(U)
-    x = x[:-1] | (x[1:] << U(8))
-    four = x[:-2] | (x[2:] << U(16))
-    return four, four[:-4] | (four[4:] << U(32))
-
-
 def _grams(codes: np.ndarray) -> np.ndarray:
-    four, eight = _words8(codes)
+    eight = leading(codes)
     n = len(codes) - GRAM + 1
     out = eight[:n] * FACTORS[0]
     out += eight[8 : 8 + n] * FACTORS[1]
-    out += four[16 : 16 + n] * FACTORS[2]
-    return _stirred(out)
-
-
-def _stirred(x: np.ndarray) -> np.ndarray:
-    """mix() in place."""
-    x ^= x >> U(31)
-    x *= U(0x9E3779B97F4A7C15)
-    x ^= x >> U(29)
-    return x
+    out += eight[12 : 12 + n] * FACTORS[2]
+    return mix(out)
 
 
 def _slices(block, docs, starts, stops):
@@ -77,6 +64,14 @@ def _slices(block, docs, starts, stops):
     return (texts[d][a:b] for d, a, b in zip(docs, starts, stops))
 
 
+def leading(codes: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a number; numbers are in the order of the bytes."""
+    x = codes.astype(U)
+    for width in (1, 2, 4):
+        x = (x[:-width] << U(8 * width)) | x[width:]
+    return x
+
+
 def _rank(values: np.ndarray) -> np.ndarray:
     """Ranks of numbers, equal for equal ones."""
     order = np.argsort(values)
@@ -91,95 +86,94 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _rank((left << U(32)) | right)
 
 
-def cover_ranks(word: np.ndarray, n: int) -> np.ndarray:
-    """Ranks of the SAMPLE bytes from each place of the cover, at that place; 0 elsewhere.
+def cover_ranks(words: np.ndarray, n: int) -> np.ndarray:
+    """Ranks of the DEPTH bytes from each place of the cover, at that place; 0 elsewhere.
 
-    word: ranks of the 8 bytes from each place.  Steps of 8, 16 and 32 stay in the cover, so ranked widths double.
+    words: the leading bytes of each place, at least 2 * DEPTH places beyond n.  Steps of PERIOD stay in the cover, so
+    ranked widths double: 13, 26, 52.
     """
-    place = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(n) % PERIOD])
-    ranks = np.zeros(n + WIDTH, U)
-
-    def widened(left, step, width):
-        place_ok = place[place + width <= n]
-        at = _pair(left[place_ok], ranks[place_ok + step] if step < 32 else word[place_ok + step])
-        return place_ok, at
-
-    ranks[:n] = word[:n]
-    for step in (8, 16):
-        at, new = widened(ranks, step, 2 * step)
-        ranks[at] = new
-    for step in (32, SAMPLE - 8):
-        at, new = widened(ranks, step, step + 8)
-        ranks[at] = new
+    place = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(n + DEPTH) % PERIOD])
+    ranks = np.zeros(n + 2 * DEPTH, U)
+    ranks[place] = _pair(_rank(words[place]), _rank(words[place + PERIOD - 8]))
+    for width in (PERIOD, 2 * PERIOD):
+        ranks[place] = _pair(ranks[place], ranks[place + width])
     return ranks
 
 
-def equal_suffixes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number for each suffix that starts in ``at``, equal for those equal in WIDTH bytes."""
-    n = len(codes)
-    eight = _words8(np.concatenate([codes, np.zeros(2 * WIDTH, np.uint8)]))[1]
-    word = _rank(eight)
-    ranks = cover_ranks(word, n)
-    group = _pair(word[at], word[at + WIDTH - 8]).astype(np.int64)
-    number = np.full(len(at), -1, np.int64)
-    left, given = np.arange(len(at)), 0
-    for _ in range(ROUNDS):
-        if not len(left):
-            return number
-        left = left[np.argsort(group[left], kind="stable")]
-        starts = np.flatnonzero(np.concatenate([[True], group[left][1:] != group[left][:-1]]))
-        head = np.repeat(left[starts], np.diff(np.append(starts, len(left))))
-        step = STEPS[at[head] % PERIOD, at[left] % PERIOD]
-        same = ranks[at[head] + step] == ranks[at[left] + step]
-        own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(left))))
-        number[left[same]] = given + own[same]
-        given += len(starts)
-        left = left[~same]
-    if len(left):
-        rank = word[at[left]]
-        for s in (*range(8, WIDTH - 8, 8), WIDTH - 8):
-            rank = _pair(rank, word[at[left] + s])
-        number[left] = given + rank.astype(np.int64)
-    return number
-
-
-def _twice(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the suffix at each place may be equal to another: a hash of its WIDTH bytes is not alone."""
-    width = len(eight) - WIDTH + 8
-    out = eight[:width] * FACTORS[0]
-    out += FACTORS[2]
-    for s in (8, 16, 24, 32, 40, WIDTH - 8):
-        out = _stirred(out) * FACTORS[1]
-        out += eight[s : s + width]
-    name = _stirred(out * FACTORS[0])[at]
-    order = np.argsort(name)
-    same = name[order][1:] == name[order][:-1]
-    out = np.zeros(len(at), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+def _sorted_bucket(at: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The suffixes that start in ``at``, sorted."""
+    first, second = words[at], words[at + 8]
+    order = np.lexsort((second, first))
+    at, first, second = at[order], first[order], second[order]
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    out, where = at.copy(), np.arange(len(at))
+    while True:
+        # Only groups of two or more go on, each in its own stretch of places.
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(at)))
+        group = np.repeat(np.arange(len(starts)), size)
+        go = (size > 1)[group]
+        if not go.any():
+            return out
+        pivot = at[(starts + size // 2)][group]
+        at, where, group, pivot = at[go], where[go], group[go], pivot[go]
+        step = STEPS[at % PERIOD, pivot % PERIOD]
+        a, b = ranks[at + step], ranks[pivot + step]
+        side = (a > b).astype(np.int64) - (a < b)
+        key = 3 * group + side
+        order = np.argsort(key, kind="stable")
+        at, key, side = at[order], key[order], side[order]
+        out[where] = at
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        unequal = side != 0
+        at, where, new = at[unequal], where[unequal], new[unequal]
+
+
+def padded(codes: np.ndarray) -> np.ndarray:
+    """The leading bytes of every place, and of some beyond the end."""
+    return leading(np.concatenate([codes, np.zeros(3 * DEPTH, np.uint8)]))
+
+
+def suffix_array(words: np.ndarray, n: int, at: np.ndarray, size: int = SUFFIXES) -> Iterator[np.ndarray]:
+    """The suffixes of a text of n bytes that start in ``at`` in lexicographic order (of WIDTH bytes at least), a suffix bucket at a time."""
+    ranks = cover_ranks(words, n)
+    count = max(1, -(-len(at) // size))
+    sample = np.sort(words[at[:: max(1, len(at) // (32 * count))]])
+    splitters = np.unique(sample[len(sample) * np.arange(1, count) // count])
+    bucket = np.searchsorted(splitters, words[at], side="right")
+    order = np.argsort(bucket.astype(np.uint16) if count < 1 << 16 else bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=len(splitters) + 1))
+    for start, end in zip(ends - np.diff(ends, prepend=0), ends):
+        if end > start:
+            yield _sorted_bucket(at[order[start:end]], words, ranks)
+
+
+def repeats_before(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each sorted suffix has WIDTH bytes in common with the one before it."""
+    same = np.zeros(len(order), bool)
+    left = np.arange(1, len(order))
+    for k in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+        left = left[words[order[left] + k] == words[order[left - 1] + k]]
+    same[left] = True
+    return same
 
 
 def first_docs(texts: list[bytes], docs: np.ndarray):
-    """See repeats.text_bucket.  Strings without a window that may have an equal are left out of the sort."""
+    """See repeats.text_bucket."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     n = np.maximum(sizes - WIDTH + 1, 0)
     if not n.sum():
         return np.empty(0, np.int64), n
     owner = np.repeat(np.arange(len(texts)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out = docs[owner]
+    at = (np.cumsum(sizes) - sizes)[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     codes = np.frombuffer(b"".join(texts), np.uint8)
-    twice = _twice(_words8(np.concatenate([codes, np.zeros(8, np.uint8)]))[1], (np.cumsum(sizes) - sizes)[owner] + inside)
-    if not twice.any():
-        return out, n
-    some = np.zeros(len(texts), bool)
-    some[owner[twice]] = True
-    begin = np.zeros(len(texts), np.int64)
-    begin[some] = np.cumsum(sizes[some]) - sizes[some]
-    part = np.frombuffer(b"".join(t for t, take in zip(texts, some) if take), np.uint8)
-    out[twice] = smallest(equal_suffixes(part, begin[owner[twice]] + inside[twice]), out[twice])
-    return out, n
+    own, words = np.zeros(len(codes), np.int64), padded(codes)
+    own[at] = docs[owner]
+    for order in suffix_array(words, len(codes), at):
+        starts = np.flatnonzero(~repeats_before(words, order))
+        least = np.minimum.reduceat(own[order], starts)
+        own[order] = np.repeat(least, np.diff(np.append(starts, len(order))))
+    return own[at], n
 
 
 FINDER = repeats.Finder(GRAM, _tokens, _grams, _slices, first_docs)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from cloneloom.llm import repeats, substrings, suffixes
@@ -58,12 +59,32 @@ def test_cover_resolves_every_pair():
             assert {(i + d) % suffixes.PERIOD, (j + d) % suffixes.PERIOD} <= set(suffixes.COVER)
 
 
-def test_equal_suffixes_with_many_ties():
-    import numpy as np
-
-    codes = np.random.default_rng(2).choice(np.frombuffer(b"ab", np.uint8), 60)
-    codes = np.concatenate([codes, codes[:55], codes, np.full(90, 97, np.uint8), codes[3:]])
+@pytest.mark.parametrize("size", [50, 1 << 16])
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(256)), b"the of and "])
+def test_suffix_array_is_in_true_order(size, alphabet):
+    draw = np.random.default_rng(2)
+    codes = draw.choice(np.frombuffer(alphabet, np.uint8), 400)
+    codes = np.concatenate([codes, codes[:155], codes, np.full(190, 97, np.uint8), codes[3:]])
     at = np.arange(len(codes) - 49)
-    number = suffixes.equal_suffixes(codes, at)
-    names = [codes[i : i + 50].tobytes() for i in at]
-    assert len(set(zip(number.tolist(), names))) == len(set(names)) == len(set(number.tolist()))
+    words = suffixes.padded(codes)
+    order = np.concatenate(list(suffixes.suffix_array(words, len(codes), at, size)))
+    names = [codes[i : i + 50].tobytes() for i in order]
+    assert sorted(order.tolist()) == at.tolist() and names == sorted(names)
+    assert suffixes.repeats_before(words, order).tolist() == [False, *(a == b for a, b in zip(names, names[1:]))]
+
+
+def test_cover_ranks_are_lexicographic():
+    codes = np.random.default_rng(3).choice(np.frombuffer(b"ab", np.uint8), 700)
+    codes = np.concatenate([codes, codes])
+    ranks = suffixes.cover_ranks(suffixes.padded(codes), len(codes))
+    place = [i for i in range(len(codes) - suffixes.DEPTH) if i % suffixes.PERIOD in suffixes.COVER]
+    names = [codes[i : i + suffixes.DEPTH].tobytes() for i in place]
+    by = sorted(range(len(place)), key=lambda k: names[k])
+    assert all((ranks[place[x]] < ranks[place[y]]) == (names[x] < names[y]) for x, y in zip(by, by[1:]))
+
+
+def test_ids_beyond_the_rows_of_a_block(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = spark.createDataFrame([(None, f"{long} {i}") for i in range(40)] + [(7, long)] * 3, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_removed > 0) for r in suffixes.suffix_dedup(rows).collect())
+    assert got == [(False, False)] * 3 + [(True, True)] * 40
