@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.llm.common import n_words
+from cloneloom.llm.common import cut_lineage, n_words
 
 CYCLE = (1, 2, 3)
 #: Words of a document that are sent at a time.
@@ -60,7 +60,7 @@ def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_rep
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("by_text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "by_text"))
     rows = rows.withColumn("shuffled", F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))).drop("by_text")
-    rows = rows.withColumn("bucket", F.substring("shuffled", 1, digits))
+    rows = cut_lineage(rows.withColumn("bucket", F.substring("shuffled", 1, digits)))  # the texts are read once
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cycle, max_repeats)
     first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,7 +77,8 @@ def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_rep
 
 def truncated(packets: DataFrame, ranges: int) -> DataFrame:
     """packets (virtual_finish, source, words, budget) with taken: their words within the budget, in the order of finish times."""
-    rows = packets.withColumn("range", F.least(F.floor(F.col("virtual_finish") * ranges), F.lit(ranges)).cast("int"))
+    place = F.when(F.col("words") > 0, F.least(F.floor(F.col("virtual_finish") * ranges), F.lit(ranges))).otherwise(F.pmod(F.xxhash64("doc_id", "through"), F.lit(ranges)))
+    rows = packets.withColumn("range", place.cast("int"))  # rows without words count nowhere and are spread over all
     rows = rows.repartitionByRange("range")
     own = Window.partitionBy("range").orderBy("virtual_finish", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
