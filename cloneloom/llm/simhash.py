@@ -12,9 +12,9 @@ the survivors are verified bit by bit.  A key with more than ``chunk`` classes i
 Each task gives back stars instead of pairs, and components joins them.
 
 Edge cases: null texts are empty; a text without words has fingerprint zero and is linked like any other;
-fewer than 3 words are one shingle; repeated ids stay separate rows with one class; null ids count as larger
-than any other, and a component that has no other has a null component_id; an empty table gives an empty
-result; other columns are ignored.  Ids are below 2**62.
+fewer than 3 words are one shingle; very long texts are hashed whole, with some 100 bytes of memory a word; repeated ids stay
+separate rows with one class; null ids count as larger than any other, and a component that has no other has a null
+component_id; an empty table gives an empty result; other columns are ignored, whatever their names.  Ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -146,7 +146,9 @@ def near_links(classes: DataFrame, chunk: int = 1024) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of classes (fp, rep) at most NEAR bits apart."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
     choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    keyed = classes.select("fp", "rep", F.explode(choices).alias("c")).select("fp", "rep", "c.choice", "c.key")
+    # Each class becomes 20 rows: tasks are sized before that, so the classes are dealt over all of them first.
+    dealt = classes.select("fp", "rep").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = dealt.select("fp", "rep", F.explode(choices).alias("c")).select("fp", "rep", "c.choice", "c.key")
     counts = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(counts, ["choice", "key"]).withColumn("m", F.ceil(F.col("n") / chunk).cast("int"))
     shared = shared.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
