@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.operators.relational import running
+from cloneloom.operators.repertoire import pairs_within
 
 
-def _pairs(cells: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
-    a = cells.select(F.col(sample).alias("sample1"), feature, F.col(value).alias("v1"))
-    b = cells.select(F.col(sample).alias("sample2"), feature, F.col(value).alias("v2"))
-    return a.join(b, feature).where("sample1 < sample2")
-
-
-def _all_pairs(cells: DataFrame, sample: str, total: DataFrame) -> DataFrame:
-    a = total.select(F.col(sample).alias("sample1"), F.col("t").alias("t1"))
-    b = total.select(F.col(sample).alias("sample2"), F.col("t").alias("t2"))
-    return a.join(b, F.col("sample1") < F.col("sample2"))
+def all_pairs(rows: DataFrame, key: str, values: Sequence[str], chunk: int = 2048) -> DataFrame:
+    """(sample1, sample2, VALUE1, VALUE2 ...) for every pair of rows, by an equi-join on pairs of chunks of about ``chunk`` rows."""
+    return pairs_within(rows.select(key, *values).withColumn("_all", F.lit(0)), key, "_all", values, chunk).drop("_all")
 
 
 def jaccard(cells: DataFrame, sample: str, feature: str) -> DataFrame:
     """1 - shared / union for every pair of samples (CL9): shared features by an equi-join, the rest by counts."""
-    rows = cells.select(sample, feature).distinct().withColumn("one", F.lit(1))
-    shared = _pairs(rows, sample, feature, "one").groupBy("sample1", "sample2").agg(F.count("*").alias("both"))
-    pairs = _all_pairs(rows, sample, rows.groupBy(sample).agg(F.count("*").alias("t"))).join(shared, ["sample1", "sample2"], "left").na.fill({"both": 0})
+    rows = cells.select(sample, feature).distinct()
+    shared = pairs_within(rows, sample, feature).groupBy("sample1", "sample2").agg(F.count("*").alias("both"))
+    pairs = all_pairs(rows.groupBy(sample).agg(F.count("*").alias("t")), sample, ["t"]).join(shared, ["sample1", "sample2"], "left").na.fill({"both": 0})
     return pairs.select("sample1", "sample2", (1 - F.col("both") / (F.col("t1") + F.col("t2") - F.col("both"))).alias("dist"))
 
 
 def bray_curtis(cells: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
     """1 - 2 sum of minima / sum of both (CL9)."""
-    low = _pairs(cells, sample, feature, value).groupBy("sample1", "sample2").agg(F.sum(F.least("v1", "v2")).alias("low"))
-    pairs = _all_pairs(cells, sample, cells.groupBy(sample).agg(F.sum(value).alias("t"))).join(low, ["sample1", "sample2"], "left").na.fill({"low": 0.0})
+    low = pairs_within(cells.withColumnRenamed(value, "v"), sample, feature, ["v"]).groupBy("sample1", "sample2").agg(F.sum(F.least("v1", "v2")).alias("low"))
+    pairs = all_pairs(cells.groupBy(sample).agg(F.sum(value).alias("t")), sample, ["t"]).join(low, ["sample1", "sample2"], "left").na.fill({"low": 0.0})
     return pairs.select("sample1", "sample2", (1 - 2 * F.col("low") / (F.col("t1") + F.col("t2"))).alias("dist"))
 
 
@@ -42,7 +38,7 @@ def _fold(term, a: str = "v1", b: str = "v2"):
 def dense_distances(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """Euclidean, squared, city-block and Canberra distances of every pair of vectors (CL9)."""
     rows = rows.select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
-    pairs = rows.select(F.col(key).alias("sample1"), F.col("v").alias("v1")).join(rows.select(F.col(key).alias("sample2"), F.col("v").alias("v2")), F.col("sample1") < F.col("sample2"))
+    pairs = all_pairs(rows, key, ["v"])
     square = _fold(lambda x, y: (x - y) * (x - y))
     return pairs.select(
         "sample1", "sample2", F.sqrt(square).alias("euclidean"), square.alias("sqeuclidean"), _fold(lambda x, y: F.abs(x - y)).alias("cityblock"),
@@ -71,7 +67,7 @@ def permanova_f(pairs: DataFrame, groups: DataFrame, sample: str, group: str) ->
     sums = rows.agg(F.sum(square).alias("all"), F.sum(F.when(F.col("g1") == F.col("g2"), square / F.col("k"))).alias("within"))
     counts = sizes.agg(F.sum("k").alias("n"), F.count("*").alias("a"))
     between = F.col("all") / F.col("n") - F.col("within")
-    return sums.crossJoin(counts).select("n", F.col("a").alias("groups"), (between / (F.col("a") - 1) / (F.col("within") / (F.col("n") - F.col("a")))).alias("f"))
+    return sums.crossJoin(counts).select("n", F.col("a").alias("groups"), F.try_divide(F.try_divide(between, F.col("a") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("a"))).alias("f"))
 
 
 def pair_classes(pairs: DataFrame, groups: DataFrame, sample: str, flag: str) -> DataFrame:

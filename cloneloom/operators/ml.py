@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import running
+from cloneloom.operators.relational import places, running
 
 #: Permutations of a first look and of a full test.
 SCREEN, FULL = 100, 1000
@@ -20,10 +20,10 @@ def evaluate_binary(df: DataFrame, by: Sequence[str], y: str, score: str, thresh
     sizes = counts.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
     rows = running(counts, by, score, {"_tp": "_p", "_all": "_n"}, descending=True)
     rows = rows.join(sizes, list(by)) if by else rows.crossJoin(F.broadcast(sizes))
-    rows = rows.withColumn("_prec", F.col("_tp") / F.col("_all")).withColumn("_rec", F.col("_tp") / F.col("_all_p"))
+    rows = rows.withColumn("_prec", F.col("_tp") / F.col("_all")).withColumn("_rec", F.try_divide("_tp", "_all_p"))
     # The step before: what lies above this score.
     above_p, above = F.col("_tp") - F.col("_p"), F.col("_all") - F.col("_n")
-    rows = rows.withColumn("_prec0", F.coalesce(F.try_divide(above_p, above), F.lit(1.0))).withColumn("_rec0", above_p / F.col("_all_p"))
+    rows = rows.withColumn("_prec0", F.coalesce(F.try_divide(above_p, above), F.lit(1.0))).withColumn("_rec0", F.try_divide(above_p, F.col("_all_p")))
     over = F.col(score) >= threshold
     negatives = F.col("_n") - F.col("_p")
     out = rows.groupBy(*by).agg(
@@ -45,7 +45,7 @@ def evaluate_regression(df: DataFrame, by: Sequence[str], y: str, predicted: str
     """n, R2, Pearson r and explained variance (ML5)."""
     error = F.col(y) - F.col(predicted)
     return df.groupBy(*by).agg(
-        F.count("*").alias("n"), (1 - F.sum(error**2) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.corr(y, predicted).alias("pearson"), (1 - F.var_pop(error) / F.var_pop(y)).alias("explained_variance")
+        F.count("*").alias("n"), (1 - F.try_divide(F.sum(error**2), F.var_pop(y) * F.count("*"))).alias("r2"), F.corr(y, predicted).alias("pearson"), (1 - F.try_divide(F.var_pop(error), F.var_pop(y))).alias("explained_variance")
     )
 
 
@@ -69,11 +69,15 @@ def fold_of(key: str, k: int, seed: int) -> Column:
 
 def permuted_labels(df: DataFrame, key: str, label: str, n_perms: int, seed: int) -> DataFrame:
     """(perm, key, label) with labels dealt anew in each permutation (R5): two orders of the same rows, joined by place."""
-    rows = df.select(key, label).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perms))))
+    ordered = places(df.select(key, label), key, "_a")  # one order for all permutations
+    every = F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm")
     dealt = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col(key).cast("string")).cast("binary"))
-    rows = rows.withColumn("_a", F.row_number().over(Window.partitionBy("perm").orderBy(key)))
-    rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy("perm").orderBy(dealt, key)))
-    other = rows.select("perm", F.col("_b").alias("_a"), F.col(label).alias("permuted"))
+    # The first digits of the hash are ranges of about equal size.
+    rows = ordered.select(key, label, "_a", every).withColumn("_h", dealt).withColumn("_range", F.substring("_h", 1, 2))
+    before = Window.partitionBy("perm").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("perm", "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("perm", "_range").orderBy("_h", key))
+    other = rows.withColumn("_own", own).join(starts, ["perm", "_range"]).select("perm", (F.col("_own") + F.col("_start")).alias("_a"), F.col(label).alias("permuted"))
     return rows.select("perm", "_a", key).join(other, ["perm", "_a"]).select("perm", key, F.col("permuted").alias(label))
 
 

@@ -29,7 +29,7 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
         return df.withColumns({out: F.sum(c).over(own) for out, c in sums.items()})
     cuts = df.agg(F.percentile_approx(order, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
     cuts = sorted({float(c) for c in cuts})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    bucket = _place(cuts, F.col(order))
     rows = df.withColumn("_bucket", -bucket if descending else bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()])
@@ -39,6 +39,42 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
     return out.drop("_bucket", *[f"_start_{o}" for o in sums])
 
 
+def _place(cuts: Sequence, value: Column) -> Column:
+    """How many of the sorted cut points are below a value: first among every 16th of them, then among the 16 from there."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    steps = [F.array(*map(F.lit, cuts[i : i + 16])) for i in range(0, len(cuts), 16)]
+    if len(steps) == 1:
+        return below(steps[0])
+    coarse = below(F.array(*map(F.lit, cuts[16::16])))
+    return coarse * 16 + below(F.element_at(F.array(*steps), coarse + 1))
+
+
+def places(df: DataFrame, order: str, out: str, by: Sequence[str] = (), sample: int = 4096) -> DataFrame:
+    """df with the place (1..) of each row in the order of a column of any type, in groups (by) that share one order of magnitude of rows.
+
+    Cut points come from a sample of ``sample`` rows; rows are counted within the ranges between them, each from the
+    number of rows in those before it, so no task gathers a group.
+    """
+    seen = sorted(r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(sample).collect())
+    cuts = sorted({seen[len(seen) * i // BUCKETS] for i in range(1, BUCKETS)}) if seen else []
+    rows = df.withColumn("_range", _place(cuts, F.col(order)))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order))
+    return rows.join(starts, [*by, "_range"]).withColumn(out, own + F.col("_start")).drop("_range", "_start")
+
+
+def with_sum(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
+    """df with an aggregate of its group: aggregated before the shuffle and joined back, so that no task gathers a large group."""
+    names = [f"_by_{k}" for k in by]
+    sums = df.groupBy(*by).agg(value.alias(out)).withColumnsRenamed(dict(zip(by, names)))
+    if not by:
+        return df.crossJoin(F.broadcast(sums))  # one row
+    return df.join(sums, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names)])).drop(*names)
+
+
 # Filters and conditional columns
 
 
@@ -71,9 +107,17 @@ def recode(col: str, mapping: dict) -> Column:
 
 def fill_by_policy(df: DataFrame, policies: dict[str, str | float]) -> DataFrame:
     """Fill nulls per column with 'mean', 'median', 'mode' or a constant."""
-    aggs = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}
-    wanted = {c: aggs[p](c).alias(f"_{c}") for c, p in policies.items() if p in aggs}
-    out = df.crossJoin(F.broadcast(df.agg(*wanted.values()))) if wanted else df
+    wanted = [c for c, p in policies.items() if p in ("mean", "median", "mode")]
+    out = df
+    for c in wanted:
+        if policies[c] == "mean":
+            one = df.agg(F.avg(c).alias(f"_{c}"))
+        elif policies[c] == "median":
+            one = quantiles(df, c, [0.5]).select(F.col("edges")[0].alias(f"_{c}"))
+        else:  # the commonest value, the least of those that tie
+            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.count("*").alias("_n"))
+            one = counts.agg(F.min_by(f"_{c}", F.struct(-F.col("_n"), f"_{c}")).alias(f"_{c}"))
+        out = out.crossJoin(F.broadcast(one))  # one row
     for c, p in policies.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_{c}") if c in wanted else F.lit(p)))
     return out.drop(*[f"_{c}" for c in wanted])
@@ -111,9 +155,24 @@ def cut(col: str, edges: Sequence[float], labels: Sequence, right: bool = True)
     return out
 
 
+def quantiles(df: DataFrame, col: str, points: Sequence[float]) -> DataFrame:
+    """One row with edges, the interpolated quantiles of a column of numbers: from the running counts of its different values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    upto = with_sum(running(counts, [], "_v", {"_upto": "_k"}), [], F.sum("_k"), "_all")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col("_v")))
+
+    places = [(F.col("_all") - 1) * q for q in points]
+    ends = upto.agg(F.max("_all").alias("_all"), *[at(F.floor(x)).alias(f"_lo{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_hi{i}") for i, x in enumerate(places)])
+    part = [x - F.floor(x) for x in places]
+    edges = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * w for i, w in enumerate(part)]
+    return ends.select(F.array(*edges).alias("edges"))
+
+
 def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
     """Bins 0..q-1 between interpolated quantile values, right-closed, the lowest value in bin 0."""
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(i / q) for i in range(1, q)])).alias("_edges"))
+    edges = quantiles(df, col, [i / q for i in range(1, q)]).withColumnRenamed("edges", "_edges")
     above = F.size(F.filter("_edges", lambda e: e < F.col(col)))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(col).isNotNull(), above)).drop("_edges")
 
@@ -135,7 +194,7 @@ def ranked(df: DataFrame, col: str, by: Sequence[str], out: str) -> DataFrame:
 
 def share_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """value over the sum of its group."""
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*by)))
+    return with_sum(df, by, F.sum(value), "_sum").withColumn(out, F.try_divide(F.col(value), F.col("_sum"))).drop("_sum")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import share_within
+from cloneloom.operators.relational import share_within, with_sum
 
 
 def clone_shares(df: DataFrame, sample: str, clone: str, weight: str) -> DataFrame:
@@ -40,7 +40,8 @@ def diversity(df: DataFrame, sample: str, clone: str, weight: str) -> DataFrame:
 
 def top_clones(shares: DataFrame, sample: str, tops: Sequence[int], clone: str) -> DataFrame:
     """Share of the k largest clones, null where a sample has fewer."""
-    ranked = shares.withColumn("_n", F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("p"), clone)))
+    # A limit on the rank is applied to each task's rows before the shuffle.
+    ranked = shares.withColumn("_n", F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("p"), clone))).where(F.col("_n") <= max(tops))
     return ranked.groupBy(sample).agg(*[F.when(F.count("*") >= k, F.sum(F.when(F.col("_n") <= k, F.col("p")))).alias(f"top_{k}") for k in tops])
 
 
@@ -144,10 +145,10 @@ def expected_richness(counts: DataFrame, sample: str, count: str, draw: int) ->
 
     E = sum of 1 - C(N - n_i, draw) / C(N, draw).
     """
-    total = F.sum(count).over(Window.partitionBy(sample))
-    rows = counts.withColumn("_N", total)
+    sizes = counts.groupBy(sample, count).agg(F.count("*").alias("_k"))  # clones of one count share a term
+    rows = with_sum(sizes, [sample], F.sum(F.col(count) * F.col("_k")), "_N")
     missed = share_missed(F.col("_N"), F.col(count), F.lit(draw))
-    return rows.groupBy(sample).agg(F.first("_N").alias("total"), F.sum(1 - missed).alias("expected")).select(
+    return rows.groupBy(sample).agg(F.first("_N").alias("total"), F.sum(F.col("_k") * (1 - missed)).alias("expected")).select(
         sample, "total", F.when(F.col("total") >= draw, F.col("expected")).alias("expected")
     )
 
@@ -158,7 +159,7 @@ def rarefaction_curve(counts: DataFrame, sample: str, count: str, step: int) ->
     Clones of one count share a term, so a sample costs (different counts) x (points), not (clones) x (points).
     """
     sizes = counts.groupBy(sample, count).agg(F.count("*").alias("k"))
-    rows = sizes.withColumn("_N", F.sum(F.col(count) * F.col("k")).over(Window.partitionBy(sample)))
+    rows = with_sum(sizes, [sample], F.sum(F.col(count) * F.col("k")), "_N")
     rows = rows.where(F.col("_N") >= step).withColumn("draw", F.explode(F.sequence(F.lit(step).cast("long"), F.col("_N").cast("long"), F.lit(step).cast("long"))))
     missed = share_missed(F.col("_N"), F.col(count), F.col("draw"))
     return rows.groupBy(sample, "draw").agg(F.sum(F.col("k") * (1 - missed)).alias("expected"))
@@ -203,8 +204,22 @@ def prevalent(cells: DataFrame, sequence: str, n_samples: int | Column, low: flo
 
 def shared_pairs(cells: DataFrame, sample: str, sequence: str) -> DataFrame:
     """(sample1, sample2, n_shared): sequences that two samples share (CL10)."""
-    a, b = cells.select(F.col(sample).alias("sample1"), sequence).distinct(), cells.select(F.col(sample).alias("sample2"), sequence).distinct()
-    return a.join(b, sequence).where("sample1 < sample2").groupBy("sample1", "sample2").agg(F.count("*").alias("n_shared"))
+    return pairs_within(cells.select(sample, sequence).distinct(), sample, sequence).groupBy("sample1", "sample2").agg(F.count("*").alias("n_shared"))
+
+
+def pairs_within(cells: DataFrame, sample: str, key: str, values: Sequence[str] = (), chunk: int = 1024) -> DataFrame:
+    """(sample1, sample2, key, VALUE1, VALUE2 ...) for each pair of samples that share a key.
+
+    A key's samples are dealt over chunks of about ``chunk``, and pairs of chunks are the join's keys: a key that a
+    third of all samples share is many small joins.
+    """
+    rows = with_sum(cells.select(sample, key, *values), [key], F.count("*"), "_n").where("_n > 1")
+    chunks = F.ceil(F.col("_n") / chunk).cast("int")
+    rows = rows.withColumn("_m", chunks).withColumn("_c", F.pmod(F.xxhash64(sample), chunks).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_m") - 1)
+    a = rows.select(F.col(sample).alias("sample1"), key, *[F.col(v).alias(f"{v}1") for v in values], F.col("_c").alias("_i"), F.explode(every).alias("_j"))
+    b = rows.select(F.col(sample).alias("sample2"), key, *[F.col(v).alias(f"{v}2") for v in values], F.col("_c").alias("_j"), F.explode(every).alias("_i"))
+    return a.join(b, [key, "_i", "_j"]).where("sample1 < sample2").drop("_i", "_j")
 
 
 def sample_rarefaction(cells: DataFrame, sample: str, sequence: str, sizes: Sequence[int], seed: int) -> DataFrame:

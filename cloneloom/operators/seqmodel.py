@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import share_within
+from cloneloom.operators.relational import share_within, with_sum
 
 
 def letters(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -23,16 +23,14 @@ def first_letter_probs(rows: DataFrame) -> DataFrame:
 def transition_probs(rows: DataFrame, prior: float = 0.0, alphabet: int = 4) -> DataFrame:
     """(length, previous, letter, p): letter given the one before, with a flat prior count (PM2)."""
     counts = rows.where("previous is not null").groupBy("length", "previous", "letter").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    total = F.sum("n").over(Window.partitionBy("length", "previous"))
-    return counts.select("length", "previous", "letter", ((F.col("n") + prior) / (total + prior * alphabet)).alias("p"))
+    total = with_sum(counts, ["length", "previous"], F.sum("n"), "_total")
+    return total.select("length", "previous", "letter", ((F.col("n") + prior) / (F.col("_total") + prior * alphabet)).alias("p"))
 
 
 def log_probabilities(rows: DataFrame, key: str, first: DataFrame, moves: DataFrame) -> DataFrame:
     """log10 probability of each sequence; null where a letter was never seen (PM3)."""
-    a = rows.where("place = 1").join(F.broadcast(first), ["length", "letter"], "left").select(key, "length", "p")
-    b = rows.where("place > 1").join(F.broadcast(moves), ["length", "previous", "letter"], "left").select(key, "length", "p")
+    a = rows.where("place = 1").join(first, ["length", "letter"], "left").select(key, "length", "p")
+    b = rows.where("place > 1").join(moves, ["length", "previous", "letter"], "left").select(key, "length", "p")
     out = a.unionByName(b).groupBy(key).agg(F.first("length").alias("length"), F.count("*").alias("_n"), F.count("p").alias("_k"), F.sum(F.log10("p")).alias("log10_p"))
     return out.select(key, "length", F.when(F.col("_n") == F.col("_k"), F.col("log10_p")).alias("log10_p"))
 

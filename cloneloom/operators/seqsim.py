@@ -88,15 +88,31 @@ def cluster_annotations(clusters: DataFrame, annotations: DataFrame) -> DataFram
 
 def kmers(df: DataFrame, key: str, text: str, k: int, step: int = 1) -> DataFrame:
     """(key, offset, kmer) with offsets from 0: the k-mer index (SQ1)."""
-    offsets = F.sequence(F.lit(0), F.length(text) - k, F.lit(step))
-    return df.where(F.length(text) >= k).select(key, F.col(text).alias("_t"), F.explode(offsets).alias("offset")).select(key, "offset", F.substr("_t", F.col("offset") + 1, F.lit(k)).alias("kmer"))
+    return _windows(df, key, text, k, k, step).select(key, "offset", "kmer")
 
 
 def exact_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, k: int) -> DataFrame:
-    """All offsets of patterns of k letters or more: a seed join on the first k letters, then a comparison (SQ1)."""
+    """All offsets of patterns of k letters or more: a seed join on the first k letters, then a comparison (SQ1).
+
+    A seed travels with what follows it, as far as the longest pattern goes, so the texts are read once.
+    """
     seeds = patterns.where(F.length(pattern) >= k).select(pattern, F.substring(pattern, 1, k).alias("kmer"))
-    found = kmers(texts, key, text, k).join(seeds, "kmer").join(texts.select(key, F.col(text).alias("_t")), key)
-    return found.where(F.substr("_t", F.col("offset") + 1, F.length(pattern)) == F.col(pattern)).select(key, pattern, "offset")
+    longest = seeds.agg(F.max(F.length(pattern))).first()[0] or k
+    found = _windows(texts, key, text, k, longest).join(seeds, "kmer")
+    return found.where(F.startswith("window", F.col(pattern))).select(key, pattern, "offset")
+
+
+def _windows(texts: DataFrame, key: str, text: str, k: int, width: int, step: int = 1, chunk: int = 512) -> DataFrame:
+    """(key, offset, kmer, window): the k letters and the up to ``width`` letters from every ``step``-th offset.
+
+    Letters are found by counting from a string's start, so a text is first cut into chunks that overlap by a window.
+    """
+    size = chunk * step
+    starts = F.explode(F.sequence(F.lit(0), F.length(text) - k, F.lit(size))).alias("_s")
+    cut = texts.where(F.length(text) >= k).select(key, F.col(text).alias("_t"), starts).select(key, "_s", F.substr("_t", F.col("_s") + 1, F.lit(size + width - 1)).alias("_c"))
+    inside = F.explode(F.sequence(F.lit(0), F.least(F.lit(size - step), F.length("_c") - k), F.lit(step))).alias("_o")
+    rows = cut.select(key, "_s", "_c", inside)
+    return rows.select(key, (F.col("_s") + F.col("_o")).alias("offset"), F.substr("_c", F.col("_o") + 1, F.lit(width)).alias("window")).withColumn("kmer", F.substring("window", 1, k))
 
 
 def approximate_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, length: int, mismatches: int) -> DataFrame:

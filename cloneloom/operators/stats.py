@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,13 @@ from cloneloom.operators.repertoire import log_gamma
 
 
 def correlations(df: DataFrame, by: Sequence[str], x: str, y: str, method: str = "pearson") -> DataFrame:
-    """n, r and two-sided p of pairs without nulls (ST1, ST2); ranks average ties."""
+    """n, r and two-sided p of pairs without nulls (ST1, ST2); ranks average ties; null where a column is constant."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if method == "spearman":
         rows = ranked(ranked(rows, x, by, "_x"), y, by, "_y")
         x, y = "_x", "_y"
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     exact = F.abs(F.col("r")) >= 1
     return out.withColumn("p", F.when(F.col("n") < 3, None).when(exact, 0.0).otherwise(special.t_p(F.when(exact, 0.0).otherwise(t), F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
 
@@ -44,32 +45,39 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, alter
 
 
 def t_test(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """Student's t with equal variances, nulls left out (ST4)."""
+    """Student's t with equal variances, nulls left out (ST4); t is null with an empty group or no variance."""
     of = lambda g: F.when(F.col(group) == g, F.col(value))
     out = df.groupBy(*by).agg(*[f(of(g)).alias(f"{n}{g}") for g in (1, 0) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_samp, "var"))])
     n1, n0 = F.col("n1"), F.col("n0")
-    pooled = ((n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0")) / (n1 + n0 - 2)
-    out = out.withColumn("t", (F.col("mean1") - F.col("mean0")) / F.sqrt(pooled * (1 / n1 + 1 / n0)))
-    return out.withColumn("p", special.t_p("t", (n1 + n0 - 2).cast("double")))
+    pooled = F.try_divide((n1 - 1) * F.coalesce("var1", F.lit(0.0)) + (n0 - 1) * F.coalesce("var0", F.lit(0.0)), n1 + n0 - 2)
+    scale = F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0)))
+    out = out.withColumn("t", F.try_divide(F.col("mean1") - F.col("mean0"), scale))
+    return out.withColumn("p", special.t_p("t", F.greatest(n1 + n0 - 2, F.lit(1)).cast("double")))
 
 
 def anova(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """One-way analysis of variance (ST6)."""
-    own = df.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) ** 2).alias("_q"))
-    out = own.groupBy(*by).agg(F.count("*").alias("groups"), F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum(F.col("_s") ** 2 / F.col("_n")).alias("_b"))
-    between = F.col("_b") - F.col("_s") ** 2 / F.col("n")
-    within = F.col("_q") - F.col("_b")
-    out = out.withColumn("f", (between / (F.col("groups") - 1)) / (within / (F.col("n") - F.col("groups"))))
-    return out.withColumn("p", special.f_p("f", (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double"))).drop("_s", "_q", "_b")
+    """One-way analysis of variance (ST6); f is null with one group, or where no group varies.
+
+    Sums of squares are taken about means (variance times count), so values far from zero lose nothing.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    own = rows.groupBy(*by, group).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count("*")).alias("_w"))
+    means = own.groupBy(*by).agg(F.count("*").alias("groups"), F.sum("_n").alias("n"), F.sum(F.col("_m") * F.col("_n")).alias("_t"), F.sum("_w").alias("_within"))
+    means = means.select(*[F.col(k).alias(f"_by_{k}") for k in by], "groups", "n", "_within", (F.col("_t") / F.col("n")).alias("_grand"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by], F.lit(True))
+    between = own.join(means, same).groupBy(*by, "groups", "n", "_within").agg(F.sum(F.col("_n") * (F.col("_m") - F.col("_grand")) ** 2).alias("_between"))
+    df1, df2 = F.col("groups") - 1, F.col("n") - F.col("groups")
+    out = between.withColumn("f", F.try_divide(F.try_divide(F.col("_between"), df1), F.try_divide(F.col("_within"), df2)))
+    return out.withColumn("p", special.f_p("f", F.greatest(df1, F.lit(1)).cast("double"), F.greatest(df2, F.lit(1)).cast("double"))).drop("_within", "_between")
 
 
 def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """Largest distance of two empirical distributions (ST5)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group)).alias("_a"), F.sum(1 - F.col(group)).alias("_b"))
+    """Largest distance of two empirical distributions (ST5); null where one of them is empty."""
+    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group)).alias("_a"), F.sum(1 - F.col(group)).alias("_b"))
     totals = counts.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
     steps = running(counts, by, value, {"_up_a": "_a", "_up_b": "_b"})
     steps = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))
-    gap = F.abs(F.col("_up_a") / F.col("n1") - F.col("_up_b") / F.col("n2"))
+    gap = F.abs(F.try_divide("_up_a", "n1") - F.try_divide("_up_b", "n2"))
     out = steps.groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
     return out.withColumn("p", special.ks_p("d", F.col("n1").cast("double"), F.col("n2").cast("double")))
 
@@ -219,10 +227,10 @@ def binary_association(cells: DataFrame, samples: DataFrame, sample: str, featur
     )
     n1, n0, n = F.col("_N1").cast("double"), (F.col("_N") - F.col("_N1")).cast("double"), F.col("_N").cast("double")
     out = out.withColumn("absent1", F.col("_N1") - F.col("present1")).withColumn("absent0", F.col("_N") - F.col("_N1") - F.col("present0"))
-    out = out.withColumn("mean1", F.col("_v1") / n1).withColumn("mean0", (F.col("_v") - F.col("_v1")) / n0)
+    out = out.withColumn("mean1", F.try_divide(F.col("_v1"), n1)).withColumn("mean0", F.try_divide(F.col("_v") - F.col("_v1"), n0))
     zeros = F.col("_zeros").cast("double")
     out = out.withColumn("u1", F.col("_r1") + F.col("absent1") * (zeros + 1) / 2 - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - (F.col("_ties") + zeros**3 - zeros) / (n * (n - 1))))
+    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties") + zeros**3 - zeros, n * (n - 1))))
     out = out.withColumn("p_mw", F.least(special.normal_p(F.try_divide(F.greatest(F.abs(F.col("u1") - n1 * n0 / 2) - 0.5, F.lit(0.0)), sd)), F.lit(1.0)))
     out = fisher_exact(out, "present1", "absent1", "present0", "absent0", "p_fisher").withColumn("direction", F.when(F.col("odds_ratio") >= 1, 1).otherwise(-1))
     return out.select(feature, "present1", "absent1", "present0", "absent0", "mean1", "mean0", "u1", "p_mw", "p_fisher", "odds_ratio", "direction")

@@ -35,24 +35,23 @@ def cohort_match_greedy(spark, d):
     return C.greedy_match(rows.where("c_custkey % 10 = 0"), rows.where("c_custkey % 10 > 0"), "c_custkey", ["c_mktsegment"], [("age", 3.0), ("c_acctbal", 800.0)])
 
 
-@query("""WITH l AS (SELECT o_custkey AS usr, month(o_orderdate) AS day, o_orderkey AS blood FROM orders WHERE o_custkey < 150 AND o_orderstatus = 'F'), r AS (SELECT user_id AS usr, dayofmonth(ts) AS day, event_id AS stool FROM events WHERE event_type = 'signup' AND value > 50),
+@query("""WITH l AS (SELECT o_custkey AS usr, month(o_orderdate) AS day, o_orderkey AS blood FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT user_id AS usr, dayofmonth(ts) AS day, event_id AS stool FROM events WHERE event_type = 'signup' AND value > 50),
 s AS (SELECT usr, blood, stool, 'date' AS matched_on FROM l JOIN r USING (usr, day)), u AS (SELECT * FROM s UNION ALL SELECT l.usr, blood, stool, 'user' FROM l JOIN r USING (usr) WHERE blood NOT IN (SELECT blood FROM s))
-SELECT *, count(*) OVER (PARTITION BY blood) AS left_repeats, count(*) OVER (PARTITION BY stool) AS right_repeats FROM u""", whole={"some": "true"})
-def crosswalk_fallback(spark, d, some="o_custkey < 150"):
-    left = table(spark, d, "orders").where(some).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("usr"), F.month("o_orderdate").alias("day"), F.col("o_orderkey").alias("blood"))
+SELECT *, count(*) OVER (PARTITION BY blood) AS left_repeats, count(*) OVER (PARTITION BY stool) AS right_repeats FROM u""")
+def crosswalk_fallback(spark, d):
+    left = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("usr"), F.month("o_orderdate").alias("day"), F.col("o_orderkey").alias("blood"))
     right = table(spark, d, "events").where("event_type = 'signup' and value > 50").select(F.col("user_id").alias("usr"), F.dayofmonth("ts").alias("day"), F.col("event_id").alias("stool"))
     return C.crosswalk(left, right, "usr", "day", "blood", "stool").select("usr", "blood", "stool", "matched_on", "left_repeats", "right_repeats")
 
 
-@query("""WITH p AS (SELECT a.s_suppkey AS sample1, b.s_suppkey AS sample2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE b.s_suppkey < 60),
+@query("""WITH p AS (SELECT a.s_suppkey AS sample1, b.s_suppkey AS sample2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
 x AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 > 0 THEN s_nationkey END AS nation, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT sample1, sample2, coalesce((a.nation = b.nation)::INT, 0) AS same_nation, coalesce((a.region = b.region)::INT, 0) AS same_region, coalesce((a.nation = b.nation)::INT, 0) + coalesce((a.region = b.region)::INT, 0) AS total
-FROM p JOIN x a ON a.s = sample1 JOIN x b ON b.s = sample2""", whole={"some": "true"})
-def relation_scores(spark, d, some="person < 60"):
+FROM p JOIN x a ON a.s = sample1 JOIN x b ON b.s = sample2""")
+def relation_scores(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     people = s.select(F.col("s_suppkey").alias("person"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_nationkey")).alias("nation"), F.col("n_regionkey").alias("region"))
-    few = people.where(some)
-    pairs = few.select(F.col("person").alias("sample1")).join(few.select(F.col("person").alias("sample2")), F.col("sample1") < F.col("sample2"))
+    pairs = D.all_pairs(people, "person", [])
     return C.relation_scores(pairs, people, "person", ["nation", "region"])
 
 

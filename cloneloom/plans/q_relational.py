@@ -115,10 +115,10 @@ def cutoff_with_ties(spark, d):
     return R.cutoff_with_ties(counts, "n", 99)
 
 
-@query("""SELECT o_orderkey, CASE month(o_orderdate) WHEN 12 THEN 'winter' WHEN 1 THEN 'winter' WHEN 2 THEN 'winter' WHEN 3 THEN 'spring' WHEN 4 THEN 'automn' WHEN 5 THEN 'automn'
- WHEN 6 THEN 'summer' WHEN 7 THEN 'summer' WHEN 8 THEN 'summer' WHEN 9 THEN 'automn' END AS season FROM orders""")
+@query("""SELECT o_orderkey, CASE month(o_orderdate) WHEN 12 THEN 'winter' WHEN 1 THEN 'winter' WHEN 2 THEN 'winter' WHEN 3 THEN 'spring' WHEN 4 THEN 'spring' WHEN 5 THEN 'spring'
+ WHEN 6 THEN 'summer' WHEN 7 THEN 'summer' WHEN 8 THEN 'summer' ELSE 'autumn' END AS season FROM orders""")
 def recode_map(spark, d):
-    seasons = {12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "automn", 5: "automn", 6: "summer", 7: "summer", 8: "summer", 9: "automn"}
+    seasons = {m: ("winter", "spring", "summer", "autumn")[m % 12 // 3] for m in range(1, 13)}
     return table(spark, d, "orders").withColumn("m", F.month("o_orderdate")).select("o_orderkey", R.recode("m", seasons).alias("season"))
 
 
@@ -159,9 +159,9 @@ def explode_list(spark, d):
     return R.explode_list(table(spark, d, "pages").select("page_id", "url"), "url", "item", "/").select("page_id", "item")
 
 
-@query(f"WITH {REPERTOIRE} SELECT sample, sum(templates)::BIGINT AS n_rows, count(*) AS n_clones, sum(templates * (templates + 1) // 2)::BIGINT AS copy_sum FROM rep WHERE templates <= 5 GROUP BY 1", whole={"some": "true"})
-def expand_counts(spark, d, some="templates <= 5"):
-    rows = R.expand_counts(repertoire(spark, d).where(some).select("sample", "nucleotide", "templates"), "templates")
+@query(f"WITH {REPERTOIRE} SELECT sample, sum(templates)::BIGINT AS n_rows, count(*) AS n_clones, sum(templates * (templates + 1) // 2)::BIGINT AS copy_sum FROM rep GROUP BY 1")
+def expand_counts(spark, d):
+    rows = R.expand_counts(repertoire(spark, d).select("sample", "nucleotide", "templates"), "templates")
     return rows.groupBy("sample").agg(F.count("*").alias("n_rows"), F.sum((F.col("copy") == 1).cast("long")).alias("n_clones"), F.sum("copy").alias("copy_sum"))
 
 

@@ -158,10 +158,10 @@ def two_cohort_prevalence(spark, d):
     return cells.join(kept, "sequence", "left_semi").select("sample", "sequence", "cohort")
 
 
-@query(f"""WITH {REPERTOIRE}, m AS (SELECT amino_acid, bit_or(CASE j_gene WHEN 'PROMO' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'SMALL' THEN 4 END) AS mask FROM rep WHERE j_gene IN ('PROMO', 'LARGE', 'SMALL') AND templates > 40 GROUP BY 1)
+@query(f"""WITH {REPERTOIRE}, m AS (SELECT amino_acid, bit_or(CASE j_gene WHEN 'PROMO' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'SMALL' THEN 4 END) AS mask FROM rep WHERE j_gene IN ('PROMO', 'LARGE', 'SMALL') GROUP BY 1)
 SELECT (mask_ & 1 > 0)::INT || '' || (mask_ & 2 > 0)::INT || '' || (mask_ & 4 > 0)::INT AS region, count(mask) AS n FROM (SELECT unnest(range(1, 8)) AS mask_) LEFT JOIN m ON mask = mask_ GROUP BY mask_""")
 def venn_regions(spark, d):
-    return R.venn_regions(repertoire(spark, d).where("templates > 40"), "amino_acid", "j_gene", ["PROMO", "LARGE", "SMALL"])
+    return R.venn_regions(repertoire(spark, d), "amino_acid", "j_gene", ["PROMO", "LARGE", "SMALL"])
 
 
 @query(f"""WITH {SHARING}, {COHORTS} SELECT sequence, count(*) AS n_shared FROM share JOIN cohorts USING (sample) GROUP BY 1 HAVING count(*) >= 2 AND min(cohort) = max(cohort)""")
@@ -190,9 +190,9 @@ def rare_to_other(spark, d):
 
 
 @query(f"""WITH {REPERTOIRE} SELECT sample, nucleotide, sum(templates) FILTER (productive)::BIGINT AS rep1, sum(templates) FILTER (NOT productive)::BIGINT AS rep2,
- (count(*) FILTER (productive) > 0)::INT + (count(*) FILTER (NOT productive) > 0)::INT AS n_replicates FROM rep WHERE sample < 5 GROUP BY ALL""", whole={"some": "true"})
-def replicate_overlap(spark, d, some="sample < 5"):
-    rows = repertoire(spark, d).where(some).groupBy("sample", "nucleotide").agg(
+ (count(*) FILTER (productive) > 0)::INT + (count(*) FILTER (NOT productive) > 0)::INT AS n_replicates FROM rep GROUP BY ALL""")
+def replicate_overlap(spark, d):
+    rows = repertoire(spark, d).groupBy("sample", "nucleotide").agg(
         F.sum(F.when(F.col("productive"), F.col("templates"))).alias("rep1"), F.sum(F.when(~F.col("productive"), F.col("templates"))).alias("rep2")
     )
     return rows.withColumn("n_replicates", F.col("rep1").isNotNull().cast("int") + F.col("rep2").isNotNull().cast("int"))
@@ -227,8 +227,8 @@ def normalized_richness(spark, d):
     return rounded(P.expected_richness(_counts(spark, d), "sample", "n", 1000), "expected", digits=4)
 
 
-@query(f"""WITH {COUNTS}, x AS (SELECT sample, nucleotide, unnest(range(1, n + 1)) AS copy FROM counts WHERE sample < 20),
+@query(f"""WITH {COUNTS}, x AS (SELECT sample, nucleotide, unnest(range(1, n + 1)) AS copy FROM counts),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY md5(concat_ws(':', '11', sample, nucleotide, copy)), nucleotide, copy) AS k, count(*) OVER (PARTITION BY sample) AS total FROM x)
-SELECT sample, nucleotide, count(*) AS drawn FROM r WHERE k <= 500 AND total >= 500 GROUP BY ALL""", whole={"some": "true"})
-def downsample_exact(spark, d, some="sample < 20"):
-    return P.downsample(_counts(spark, d).where(some), "sample", ["nucleotide"], "n", 500, 11)
+SELECT sample, nucleotide, count(*) AS drawn FROM r WHERE k <= 500 AND total >= 500 GROUP BY ALL""")
+def downsample_exact(spark, d):
+    return P.downsample(_counts(spark, d), "sample", ["nucleotide"], "n", 500, 11)

@@ -11,69 +11,67 @@ from cloneloom.plans.proxies import table
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.registry import query
 
-#: Different words of 4 to 7 small letters stand for sequences.
-WORDS = """words AS (SELECT DISTINCT seq FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS seq FROM benchmark) WHERE length(seq) BETWEEN 4 AND 7),
+#: Different words of 4 and more small letters stand for sequences.
+WORDS = """words AS (SELECT DISTINCT seq FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS seq FROM benchmark) WHERE length(seq) >= 4),
 seqs AS (SELECT row_number() OVER (ORDER BY md5(seq), seq) AS id, seq FROM words)"""
 PADDED = "list_sum(list_transform(range(1, least(length(a.seq), length(b.seq)) + 1), lambda i: (a.seq[i] <> b.seq[i])::INT)) + abs(length(a.seq) - length(b.seq))"
 EDGES = WORDS + f", edges AS (SELECT a.id AS seq1id, b.id AS seq2id, ({PADDED})::INT AS dist FROM seqs a JOIN seqs b ON a.id < b.id AND abs(length(a.seq) - length(b.seq)) <= 1 WHERE {PADDED} <= 1)"
 CLUSTERS = EDGES + ", clusters AS (SELECT seq1id AS head, seq2id AS member FROM edges UNION SELECT seq1id, seq1id FROM edges)"
 
 
-SHORT = "length(seq) <= 7"
-
-
-def _words(spark, d, some):
+def _words(spark, d):
     found = F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("seq")
-    return Q.with_ids(table(spark, d, "benchmark").select(found).where(some), "seq")
+    return Q.with_ids(table(spark, d, "benchmark").select(found), "seq")
 
 
-@query(f"WITH {EDGES} SELECT * FROM edges", whole={"some": "true"})
-def padded_hamming_pairs(spark, d, some=SHORT):
-    return Q.padded_hamming_pairs(_words(spark, d, some))
+@query(f"WITH {EDGES} SELECT * FROM edges")
+def padded_hamming_pairs(spark, d):
+    return Q.padded_hamming_pairs(_words(spark, d))
 
 
-@query(f"WITH {WORDS} SELECT a.id AS seq1id, b.id AS seq2id, levenshtein(a.seq, b.seq)::INT AS dist FROM seqs a JOIN seqs b ON a.id < b.id WHERE levenshtein(a.seq, b.seq) <= 1", whole={"some": "true"})
-def levenshtein_pairs(spark, d, some=SHORT):
-    return Q.levenshtein_pairs(_words(spark, d, some))
+@query(f"WITH {WORDS} SELECT a.id AS seq1id, b.id AS seq2id, levenshtein(a.seq, b.seq)::INT AS dist FROM seqs a JOIN seqs b ON a.id < b.id WHERE levenshtein(a.seq, b.seq) <= 1")
+def levenshtein_pairs(spark, d):
+    return Q.levenshtein_pairs(_words(spark, d))
 
 
-@query(f"WITH {CLUSTERS} SELECT head, count(*) AS size, min(member) AS low, max(member) AS high FROM clusters GROUP BY 1", whole={"some": "true"})
-def head_clusters(spark, d, some=SHORT):
-    return Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d, some))).groupBy("head").agg(F.count("*").alias("size"), F.min("member").alias("low"), F.max("member").alias("high"))
+@query(f"WITH {CLUSTERS} SELECT head, count(*) AS size, min(member) AS low, max(member) AS high FROM clusters GROUP BY 1")
+def head_clusters(spark, d):
+    return Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d))).groupBy("head").agg(F.count("*").alias("size"), F.min("member").alias("low"), F.max("member").alias("high"))
 
 
 @query(f"""WITH {CLUSTERS}, z AS (SELECT head, list(member) AS ms FROM clusters GROUP BY 1)
-SELECT head, member FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM z a, z b WHERE a.head = c.head AND b.head <> a.head AND len(b.ms) > len(a.ms) AND list_contains(b.ms, a.head) AND list_has_all(b.ms, a.ms))""", whole={"some": "true"})
-def drop_contained_clusters(spark, d, some=SHORT):
-    return Q.drop_contained_clusters(Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d, some)))).select("head", "member")
+SELECT head, member FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM z a, z b WHERE a.head = c.head AND b.head <> a.head AND len(b.ms) > len(a.ms) AND list_contains(b.ms, a.head) AND list_has_all(b.ms, a.ms))""")
+def drop_contained_clusters(spark, d):
+    return Q.drop_contained_clusters(Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d)))).select("head", "member")
 
 
-def _cells(spark, d, some):
+def _cells(spark, d):
     words = table(spark, d, "benchmark").select(F.col("item_id").alias("sample"), F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("seq")).distinct()
-    return words.join(_words(spark, d, some), "seq")
+    return words.join(_words(spark, d), "seq")
 
 
 CELLS = ", cells AS (SELECT DISTINCT item_id AS sample, unnest(regexp_extract_all(text, '[a-z]+')) AS seq FROM benchmark)"
 
 
-@query(f"WITH {CLUSTERS}{CELLS} SELECT sample, head, count(*) AS n FROM cells JOIN seqs USING (seq) JOIN clusters ON member = id GROUP BY ALL", whole={"some": "true"})
-def sample_by_cluster(spark, d, some=SHORT):
-    return Q.sample_by_cluster(_cells(spark, d, some), Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d, some))), "sample", "id")
+@query(f"WITH {CLUSTERS}{CELLS} SELECT sample, head, count(*) AS n FROM cells JOIN seqs USING (seq) JOIN clusters ON member = id GROUP BY ALL")
+def sample_by_cluster(spark, d):
+    return Q.sample_by_cluster(_cells(spark, d), Q.head_clusters(Q.padded_hamming_pairs(_words(spark, d))), "sample", "id")
 
 
 @query(f"""WITH {CLUSTERS}, n AS (SELECT head, seq[1] AS label, count(*) AS n FROM clusters JOIN seqs ON member = id GROUP BY ALL)
-SELECT head, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) AS summary FROM n GROUP BY 1""", whole={"some": "true"})
-def cluster_annotations(spark, d, some=SHORT):
-    words = _words(spark, d, some)
+SELECT head, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) AS summary FROM n GROUP BY 1""")
+def cluster_annotations(spark, d):
+    words = _words(spark, d)
     labels = words.select(F.col("id").alias("member"), F.substring("seq", 1, 1).alias("label"))
     return Q.cluster_annotations(Q.head_clusters(Q.padded_hamming_pairs(words)), labels)
 
 
-@query("""WITH p AS (SELECT DISTINCT substring(text, 11, 12) AS pattern FROM benchmark WHERE item_id < 20 AND length(text) >= 22)
-SELECT doc_id, pattern, k - 1 AS offset FROM (SELECT doc_id, text, unnest(range(1, length(text) - 10)) AS k FROM documents WHERE doc_id < 150) JOIN p ON substring(text, k, 12) = pattern""", whole={"some": "true", "items": "true"})
-def exact_match_offsets(spark, d, some="doc_id < 150", items="item_id < 20"):
-    patterns = table(spark, d, "benchmark").where(items).where("length(text) >= 22").select(F.substring("text", 11, 12).alias("pattern")).distinct()
-    texts = table(spark, d, "documents").where(some).select("doc_id", "text")
+@query("""WITH p AS (SELECT DISTINCT substring(text, 11, 12) AS pattern FROM benchmark WHERE length(text) >= 22),
+c AS (SELECT doc_id, s, substring(text, s + 1, 523) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text), 512)) AS s FROM documents))
+SELECT doc_id, pattern, s + k - 1 AS offset FROM (SELECT doc_id, s, t, unnest(range(1, least(512, length(t) - 11) + 1)) AS k FROM c) JOIN p ON substring(t, k, 12) = pattern""")
+def exact_match_offsets(spark, d):
+    patterns = table(spark, d, "benchmark").where("length(text) >= 22").select(F.substring("text", 11, 12).alias("pattern")).distinct()
+    texts = table(spark, d, "documents").select("doc_id", "text")
     return Q.exact_matches(texts, "doc_id", "text", patterns, "pattern", 8).withColumn("offset", F.col("offset").cast("long"))
 
 
@@ -82,13 +80,13 @@ def kmer_index(spark, d):
     return Q.kmers(table(spark, d, "benchmark"), "item_id", "text", 5).groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("n_items"))
 
 
-@query("""WITH p AS (SELECT DISTINCT substring(text, 11, 10) AS pattern FROM benchmark WHERE item_id < 10 AND length(text) >= 20),
+@query("""WITH p AS (SELECT DISTINCT substring(text, 11, 10) AS pattern FROM benchmark WHERE length(text) >= 20),
 t AS (SELECT item_id, text, unnest(range(1, length(text) - 8)) AS k FROM benchmark),
 m AS (SELECT item_id, pattern, k - 1 AS offset, list_sum(list_transform(range(1, 11), lambda i: (substring(text, k + i - 1, 1) <> pattern[i])::INT))::INT AS n_mismatches FROM t, p)
-SELECT * FROM m WHERE n_mismatches <= 2""", whole={"some": "true"})
-def approx_match(spark, d, some="item_id < 10"):
+SELECT * FROM m WHERE n_mismatches <= 2""")
+def approx_match(spark, d):
     items = table(spark, d, "benchmark")
-    patterns = items.where(some).where("length(text) >= 20").select(F.substring("text", 11, 10).alias("pattern")).distinct()
+    patterns = items.where("length(text) >= 20").select(F.substring("text", 11, 10).alias("pattern")).distinct()
     return Q.approximate_matches(items, "item_id", "text", patterns, "pattern", 10, 2).withColumn("offset", F.col("offset").cast("long"))
 
 
@@ -96,18 +94,18 @@ LETTERS = WORDS + ", l AS (SELECT id, length(seq) AS length, k AS place, seq[k]
 
 
 @query(f"""WITH {LETTERS}, c AS (SELECT length, previous, letter, count(*) AS n FROM l WHERE previous IS NOT NULL GROUP BY ALL)
-SELECT length, previous, letter, round((n + 0.5) / (sum(n) OVER (PARTITION BY length, previous) + 13), 6)::DOUBLE AS p FROM c""", whole={"some": "true"})
-def dinucleotide_probs(spark, d, some=SHORT):
-    rows = M.letters(_words(spark, d, some), "id", "seq").withColumn("length", F.col("length").cast("long"))
+SELECT length, previous, letter, round((n + 0.5) / (sum(n) OVER (PARTITION BY length, previous) + 13), 6)::DOUBLE AS p FROM c""")
+def dinucleotide_probs(spark, d):
+    rows = M.letters(_words(spark, d), "id", "seq").withColumn("length", F.col("length").cast("long"))
     return rounded(M.transition_probs(rows, 0.5, 26), "p")
 
 
 @query(f"""WITH {LETTERS}, f AS (SELECT length, letter, count(*) / sum(count(*)) OVER (PARTITION BY length) AS p FROM l WHERE place = 1 GROUP BY length, letter),
 m AS (SELECT length, previous, letter, count(*) / sum(count(*)) OVER (PARTITION BY length, previous) AS p FROM l WHERE previous IS NOT NULL GROUP BY length, previous, letter)
 SELECT id, l.length, round(sum(log10(coalesce(f.p, m.p))), 6) AS log10_p FROM l LEFT JOIN f ON l.place = 1 AND f.length = l.length AND f.letter = l.letter
-LEFT JOIN m ON m.length = l.length AND m.previous = l.previous AND m.letter = l.letter GROUP BY ALL""", whole={"some": "true"})
-def sequence_logprob(spark, d, some=SHORT):
-    rows = M.letters(_words(spark, d, some), "id", "seq").withColumn("length", F.col("length").cast("long"))
+LEFT JOIN m ON m.length = l.length AND m.previous = l.previous AND m.letter = l.letter GROUP BY ALL""")
+def sequence_logprob(spark, d):
+    rows = M.letters(_words(spark, d), "id", "seq").withColumn("length", F.col("length").cast("long"))
     return rounded(M.log_probabilities(rows, "id", M.first_letter_probs(rows), M.transition_probs(rows)), "log10_p")
 
 
@@ -121,10 +119,10 @@ def observed_log_fraction(spark, d):
     return rounded(M.observed_log_fraction(table(spark, d, "part"), "p_size"), "log10_share")
 
 
-@query("""SELECT page_id, regexp_extract(url, '^([^_ab.]*)', 1) AS name, reverse(translate(upper(regexp_replace(left(url, 20), '[^acgt]', '', 'g')), 'ACGT', 'TGCA')) AS rc,
- CASE WHEN ends_with(url, 'x') THEN left(url, length(url) - 1) ELSE url END AS trimmed FROM pages""", whole={"prefix": "url"})
-def scalar_strings(spark, d, prefix="left(url, 20)"):
-    pages = table(spark, d, "pages").withColumn("acgt", F.upper(F.regexp_replace(F.expr(prefix), F.lit("[^acgt]"), F.lit(""))))
+@query("""SELECT page_id, regexp_extract(url, '^([^_ab.]*)', 1) AS name, reverse(translate(upper(regexp_replace(url, '[^acgt]', '', 'g')), 'ACGT', 'TGCA')) AS rc,
+ CASE WHEN ends_with(url, 'x') THEN left(url, length(url) - 1) ELSE url END AS trimmed FROM pages""")
+def scalar_strings(spark, d):
+    pages = table(spark, d, "pages").withColumn("acgt", F.upper(F.regexp_replace("url", F.lit("[^acgt]"), F.lit(""))))
     return pages.select("page_id", X.clean_sample_name("url").alias("name"), Q.reverse_complement("acgt").alias("rc"), X.without_suffix("url", "x").alias("trimmed"))
 
 

@@ -12,77 +12,68 @@ from cloneloom.plans.registry import query
 
 # Distances
 
-FEW_SAMPLES = "sample < 40"
-FEW = SHARING + ", few AS (SELECT * FROM share WHERE sample < 40)"
+@query(f"""WITH {SHARING}, n AS (SELECT sample, count(*) AS n FROM share GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
+SELECT x.sample AS sample1, y.sample AS sample2, round(1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 6) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample""")
+def dist_jaccard(spark, d):
+    return rounded(D.jaccard(sharing(spark, d), "sample", "sequence"), "dist")
 
 
-def _few(spark, d, some):
-    return sharing(spark, d).where(some)
+@query(f"""WITH {SHARING}, n AS (SELECT sample, sum(frequency) AS t FROM share GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, sum(least(a.frequency, c.frequency)) AS low FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
+SELECT x.sample AS sample1, y.sample AS sample2, round(1 - 2 * coalesce(low, 0) / (x.t + y.t), 6) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample""")
+def dist_braycurtis(spark, d):
+    return rounded(D.bray_curtis(sharing(spark, d), "sample", "sequence", "frequency"), "dist")
 
 
-@query(f"""WITH {FEW}, n AS (SELECT sample, count(*) AS n FROM few GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
-SELECT x.sample AS sample1, y.sample AS sample2, round(1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 6) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample""", whole={"some": "true"})
-def dist_jaccard(spark, d, some=FEW_SAMPLES):
-    return rounded(D.jaccard(_few(spark, d, some), "sample", "sequence"), "dist")
-
-
-@query(f"""WITH {FEW}, n AS (SELECT sample, sum(frequency) AS t FROM few GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, sum(least(a.frequency, c.frequency)) AS low FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
-SELECT x.sample AS sample1, y.sample AS sample2, round(1 - 2 * coalesce(low, 0) / (x.t + y.t), 6) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample""", whole={"some": "true"})
-def dist_braycurtis(spark, d, some=FEW_SAMPLES):
-    return rounded(D.bray_curtis(_few(spark, d, some), "sample", "sequence", "frequency"), "dist")
-
-
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label = 3)
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 SELECT a.vec_id AS sample1, b.vec_id AS sample2, round(list_distance(a.e, b.e), 6) AS euclidean, round(list_distance(a.e, b.e) ** 2, 6) AS sqeuclidean,
  round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))), 6) AS cityblock, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: CASE WHEN abs(z[1]) + abs(z[2]) > 0 THEN abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) ELSE 0 END)), 6) AS canberra
-FROM v a JOIN v b ON a.vec_id < b.vec_id""", whole={"some": "true"})
-def dist_dense(spark, d, some="label = 3"):
-    return rounded(D.dense_distances(table(spark, d, "embeddings").where(some), "vec_id", "embedding"), "euclidean", "sqeuclidean", "cityblock", "canberra")
+FROM v a JOIN v b ON a.vec_id < b.vec_id""")
+def dist_dense(spark, d):
+    return rounded(D.dense_distances(table(spark, d, "embeddings"), "vec_id", "embedding"), "euclidean", "sqeuclidean", "cityblock", "canberra")
 
 
-@query("""WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS first_date FROM orders WHERE o_custkey < 120 GROUP BY 1)
-SELECT a.o_custkey AS sample1, b.o_custkey AS sample2, abs(date_diff('day', a.first_date, b.first_date)) AS dist FROM f a JOIN f b ON a.o_custkey < b.o_custkey""", whole={"some": "true"})
-def date_pair_days(spark, d, some="o_custkey < 120"):
-    f = table(spark, d, "orders").where(some).groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("day"))
-    a, b = f.select(F.col("o_custkey").alias("sample1"), F.col("day").alias("d1")), f.select(F.col("o_custkey").alias("sample2"), F.col("day").alias("d2"))
-    return a.join(b, F.col("sample1") < F.col("sample2")).select("sample1", "sample2", F.abs(F.datediff("d1", "d2")).cast("long").alias("dist"))
+@query("""WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS first_date FROM orders GROUP BY 1)
+SELECT a.o_custkey AS sample1, b.o_custkey AS sample2, abs(date_diff('day', a.first_date, b.first_date)) AS dist FROM f a JOIN f b ON a.o_custkey < b.o_custkey""")
+def date_pair_days(spark, d):
+    f = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("day"))
+    return D.all_pairs(f, "o_custkey", ["day"]).select("sample1", "sample2", F.abs(F.datediff("day1", "day2")).cast("long").alias("dist"))
 
 
-@query(f"""WITH {FEW}, p AS (SELECT a.sample AS sample1, c.sample AS sample2, count(*)::DOUBLE AS dist FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
-SELECT *, row_number() OVER (ORDER BY dist, sample1, sample2) AS place FROM p""", whole={"some": "true"})
-def pairs_ordered(spark, d, some=FEW_SAMPLES):
+@query(f"""WITH {SHARING}, p AS (SELECT a.sample AS sample1, c.sample AS sample2, count(*)::DOUBLE AS dist FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY dist, sample1, sample2) AS place FROM p""")
+def pairs_ordered(spark, d):
     from cloneloom.operators.repertoire import shared_pairs
 
-    pairs = shared_pairs(_few(spark, d, some), "sample", "sequence").select("sample1", "sample2", F.col("n_shared").cast("double").alias("dist"))
+    pairs = shared_pairs(sharing(spark, d), "sample", "sequence").select("sample1", "sample2", F.col("n_shared").cast("double").alias("dist"))
     return D.ordered_pairs(pairs)
 
 
-@query(f"""WITH {FEW}, {COHORTS}, p AS (SELECT a.sample AS sample1, c.sample AS sample2, count(*) AS n FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
-SELECT x.cohort + y.cohort AS n_flagged, count(*) AS n_pairs, round(avg(n), 6) AS mean FROM p JOIN cohorts x ON x.sample = sample1 JOIN cohorts y ON y.sample = sample2 GROUP BY 1""", whole={"some": "true"})
-def pair_classes(spark, d, some=FEW_SAMPLES):
+@query(f"""WITH {SHARING}, {COHORTS}, p AS (SELECT a.sample AS sample1, c.sample AS sample2, count(*) AS n FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
+SELECT x.cohort + y.cohort AS n_flagged, count(*) AS n_pairs, round(avg(n), 6) AS mean FROM p JOIN cohorts x ON x.sample = sample1 JOIN cohorts y ON y.sample = sample2 GROUP BY 1""")
+def pair_classes(spark, d):
     from cloneloom.operators.repertoire import shared_pairs
 
-    rows = D.pair_classes(shared_pairs(_few(spark, d, some), "sample", "sequence"), cohorts(spark, d), "sample", "cohort")
+    rows = D.pair_classes(shared_pairs(sharing(spark, d), "sample", "sequence"), cohorts(spark, d), "sample", "cohort")
     return rounded(rows.groupBy("n_flagged").agg(F.count("*").alias("n_pairs"), F.avg("n_shared").alias("mean")), "mean")
 
 
-@query(f"""WITH {FEW}, {COHORTS}, g AS (SELECT sample, cohort FROM cohorts WHERE sample IN (SELECT sample FROM few)), n AS (SELECT sample, count(*) AS n FROM few GROUP BY 1),
-b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),
+@query(f"""WITH {SHARING}, {COHORTS}, g AS (SELECT sample, cohort FROM cohorts WHERE sample IN (SELECT sample FROM share)), n AS (SELECT sample, count(*) AS n FROM share GROUP BY 1),
+b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),
 p AS (SELECT x.sample AS s1, y.sample AS s2, 1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON b.s1 = x.sample AND b.s2 = y.sample),
 z AS (SELECT cohort, count(*) AS k FROM g GROUP BY 1), q AS (SELECT sum(dist ** 2) AS total, sum(dist ** 2 / z.k) FILTER (g1.cohort = g2.cohort) AS within FROM p JOIN g g1 ON g1.sample = s1 JOIN g g2 ON g2.sample = s2 JOIN z ON z.cohort = g1.cohort)
-SELECT (SELECT sum(k) FROM z)::BIGINT AS n, (SELECT count(*) FROM z) AS groups, round((total / (SELECT sum(k) FROM z) - within) / ((SELECT count(*) FROM z) - 1) / (within / ((SELECT sum(k) FROM z) - (SELECT count(*) FROM z))), 6) AS f FROM q""", whole={"some": "true"})
-def permanova_f(spark, d, some=FEW_SAMPLES):
-    few = _few(spark, d, some)
+SELECT (SELECT sum(k) FROM z)::BIGINT AS n, (SELECT count(*) FROM z) AS groups, round((total / (SELECT sum(k) FROM z) - within) / ((SELECT count(*) FROM z) - 1) / (within / ((SELECT sum(k) FROM z) - (SELECT count(*) FROM z))), 6) AS f FROM q""")
+def permanova_f(spark, d):
+    few = sharing(spark, d)
     groups = cohorts(spark, d).join(few.select("sample").distinct(), "sample", "left_semi")
     return rounded(D.permanova_f(D.jaccard(few, "sample", "sequence"), groups, "sample", "cohort"), "f")
 
 
-@query(f"""WITH {FEW}, n AS (SELECT sample, count(*) AS n, sum(frequency) AS t FROM few GROUP BY 1),
-b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k, sum(least(a.frequency, c.frequency)) AS low FROM few a JOIN few c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),
+@query(f"""WITH {SHARING}, n AS (SELECT sample, count(*) AS n, sum(frequency) AS t FROM share GROUP BY 1),
+b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k, sum(least(a.frequency, c.frequency)) AS low FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),
 p AS (SELECT 1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)) AS j, 1 - 2 * coalesce(low, 0) / (x.t + y.t) AS bc FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample)
-SELECT count(*) AS n, round(corr(j, bc), 6) AS r FROM p""", whole={"some": "true"})
-def mantel_r(spark, d, some=FEW_SAMPLES):
-    few = _few(spark, d, some)
+SELECT count(*) AS n, round(corr(j, bc), 6) AS r FROM p""")
+def mantel_r(spark, d):
+    few = sharing(spark, d)
     return rounded(D.mantel_r(D.jaccard(few, "sample", "sequence"), D.bray_curtis(few, "sample", "sequence", "frequency")), "r")
 
 
@@ -139,12 +130,12 @@ def chi2_stat(spark, d):
     return rounded(S.chi_square(table(spark, d, "orders"), [], "o_orderstatus", "o_orderpriority").drop("p"), "chi2", "v")
 
 
-TABLES = REPERTOIRE + ", tab AS (SELECT v_gene, count(*) FILTER (productive AND status = 'O') AS a, count(*) FILTER (productive AND status <> 'O') AS b, count(*) FILTER (NOT productive AND status = 'O') AS c, count(*) FILTER (NOT productive AND status <> 'O') AS d FROM rep WHERE sample < 5 GROUP BY 1)"
+TABLES = REPERTOIRE + ", tab AS (SELECT v_gene, count(*) FILTER (productive AND status = 'O') AS a, count(*) FILTER (productive AND status <> 'O') AS b, count(*) FILTER (NOT productive AND status = 'O') AS c, count(*) FILTER (NOT productive AND status <> 'O') AS d FROM rep GROUP BY 1)"
 
 
-def _tables(spark, d, some):
+def _tables(spark, d):
     n = lambda p: F.sum(F.expr(p).cast("long"))
-    return repertoire(spark, d).where(some).groupBy("v_gene").agg(
+    return repertoire(spark, d).groupBy("v_gene").agg(
         n("productive and status = 'O'").alias("a"), n("productive and status <> 'O'").alias("b"), n("not productive and status = 'O'").alias("c"), n("not productive and status <> 'O'").alias("d")
     )
 
@@ -152,15 +143,15 @@ def _tables(spark, d, some):
 @query(f"""WITH {TABLES}, k AS (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS k FROM tab),
 p AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - CASE WHEN a + b = k THEN 0 ELSE lgamma(a + b - k + 1) END - CASE WHEN a + c = k THEN 0 ELSE lgamma(a + c - k + 1) END - CASE WHEN d - a + k = 0 THEN 0 ELSE lgamma(d - a + k + 1) END) AS p FROM k),
 o AS (SELECT *, max(p) FILTER (k = a) OVER (PARTITION BY v_gene) AS own FROM p)
-SELECT v_gene, a, b, c, d, round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7))), 6) AS p, round(CASE WHEN b * c > 0 THEN a * d / (b * c) ELSE 999999 END, 6) AS odds_ratio FROM o GROUP BY v_gene, a, b, c, d""", whole={"some": "true"})
-def fisher_p(spark, d, some="sample < 5"):
-    return rounded(S.fisher_exact(_tables(spark, d, some), "a", "b", "c", "d"), "p", "odds_ratio")
+SELECT v_gene, a, b, c, d, round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7))), 6) AS p, round(CASE WHEN b * c > 0 THEN a * d / (b * c) ELSE 999999 END, 6) AS odds_ratio FROM o GROUP BY v_gene, a, b, c, d""")
+def fisher_p(spark, d):
+    return rounded(S.fisher_exact(_tables(spark, d), "a", "b", "c", "d"), "p", "odds_ratio")
 
 
 @query(f"""WITH {TABLES}, l AS (SELECT *, CASE WHEN a > 0 AND b > 0 AND c > 0 AND d > 0 THEN ln(a * d / (b * c)) END AS lo, CASE WHEN a > 0 AND b > 0 AND c > 0 AND d > 0 THEN 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS h FROM tab)
-SELECT v_gene, a, b, c, d, round(exp(lo), 6) AS odds_ratio, round(exp(lo - h), 6) AS ci_low, round(exp(lo + h), 6) AS ci_high, exp(lo - h) > 1 OR exp(lo + h) < 1 AS significant FROM l""", whole={"some": "true"})
-def odds_ratio_ci(spark, d, some="sample < 5"):
-    return rounded(S.odds_ratio_ci(_tables(spark, d, some), "a", "b", "c", "d"), "odds_ratio", "ci_low", "ci_high")
+SELECT v_gene, a, b, c, d, round(exp(lo), 6) AS odds_ratio, round(exp(lo - h), 6) AS ci_low, round(exp(lo + h), 6) AS ci_high, exp(lo - h) > 1 OR exp(lo + h) < 1 AS significant FROM l""")
+def odds_ratio_ci(spark, d):
+    return rounded(S.odds_ratio_ci(_tables(spark, d), "a", "b", "c", "d"), "odds_ratio", "ci_low", "ci_high")
 
 
 def _p_values(spark, d):

@@ -8,17 +8,11 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: dict | None = None) -> Callable:
-    """Register a query under its function's name, with its SQL if there is one.
-
-    A query whose SQL covers fixed ids or prefixes only has its filters as arguments; with those of ``whole`` it
-    is registered a second time as NAME_whole, over whole tables and without SQL.
-    """
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL if there is one; both cover whole tables."""
 
     def register(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        if whole:
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, **whole)
         if sql:
             ORACLES[f.__name__] = sql
         return f
