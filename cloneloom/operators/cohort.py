@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +13,31 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Sets the folder of spark.checkpoint.dir; only where the session has none (tests) a temporary one."""
+    """Sets the folder of spark.checkpoint.dir; a temporary one only for a session in one process (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cloneloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="cloneloom-"))
+
+
+def candidates(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
+    """(key, match, dist): every pool member in reach of each case; dist is the sum of squared differences over the limits."""
+    b = pool.select(F.col(key).alias("match"), *[F.col(c).alias(f"_{c}") for c in [*equal, *[n for n, _ in near]]])
+    on = [F.col(c) == F.col(f"_{c}") for c in equal] + [F.col(key) != F.col("match")]
+    a = cases
+    if near:
+        # The first near column is cut into cells as wide as its limit; partners are in the same or a neighbouring cell.
+        name, limit = near[0]
+        a = cases.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(name) / limit) - 1, F.floor(F.col(name) / limit) + 1)))
+        b = b.withColumn("_cell_b", F.floor(F.col(f"_{name}") / limit))
+        on.insert(0, F.col("_cell") == F.col("_cell_b"))
+    joined = a.join(b, on)
+    for c, most in near:
+        joined = joined.where(F.abs(F.col(c) - F.col(f"_{c}")) <= most)
+    dist = sum((((F.col(c) - F.col(f"_{c}")) / most) ** 2 for c, most in near), F.lit(0.0))
+    return joined.select(key, "match", dist.alias("dist"))
 
 
 def nearest_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
@@ -22,39 +45,47 @@ def nearest_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[s
 
     Distance is the sum of squared differences over the limits; ties go to the smaller key.  Cases without a partner stay with null.
     """
-    b = pool.select(F.col(key).alias("match"), *[F.col(c).alias(f"_{c}") for c in [*equal, *[n for n, _ in near]]])
-    name, limit = near[0]
-    # The first near column is cut into cells as wide as its limit; partners are in the same or a neighbouring cell.
-    a = cases.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(name) / limit) - 1, F.floor(F.col(name) / limit) + 1)))
-    b = b.withColumn("_cell_b", F.floor(F.col(f"_{name}") / limit))
-    on = [a["_cell"] == b["_cell_b"], *[a[c] == b[f"_{c}"] for c in equal], a[key] != b["match"]]
-    joined = a.join(b, on)
-    for c, most in near:
-        joined = joined.where(F.abs(F.col(c) - F.col(f"_{c}")) <= most)
-    dist = sum(((F.col(c) - F.col(f"_{c}")) / most) ** 2 for c, most in near)
-    best = joined.withColumn("dist", dist).groupBy(key).agg(F.min(F.struct("dist", "match")).alias("b"))
+    best = candidates(cases, pool, key, equal, near).groupBy(key).agg(F.min(F.struct("dist", "match")).alias("b"))
     return cases.select(key).join(best, key, "left").select(key, F.col("b.match").alias("match"), F.sqrt("b.dist").alias("dist"))
 
 
-def greedy_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]], rounds: int | None = None) -> DataFrame:
+def greedy_match(
+    cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]], rounds: int | None = None, seed: int = 1
+) -> DataFrame:
     """Matching without replacement (J14): in each round every free case asks for its nearest free member and each member takes its nearest.
 
-    Rounds go on until none of the free cases has a free member in reach; ``rounds`` stops earlier.  A member that is
-    nearest to many takes one a round.  Each round's matches are written to the checkpoint folder, where their lineage ends.
+    Rounds go on until none of the free cases has a free member in reach; ``rounds`` stops earlier.  Ties go by a hash of
+    both keys and the seed, so equal cases ask different members and tied strata take few rounds.  Pairs in reach are found
+    once; what is left of them after a round is written to the checkpoint folder, where lineage ends.
     """
     shared_dir(cases.sparkSession)
-    first = Window.partitionBy("match").orderBy("dist", key)
-    free_cases, free_pool = cases, pool
-    out = cases.select(key, F.lit(None).cast(pool.schema[key].dataType).alias("match"), F.lit(None).cast("double").alias("dist")).limit(0)
+    left = candidates(cases, pool, key, equal, near).withColumn("_tie", F.xxhash64(F.lit(seed), key, "match")).checkpoint(eager=True)
+    first = lambda other: F.min(F.struct("dist", "_tie", F.col(other).alias("other"))).alias("b")
+    out = []
     for _ in count() if rounds is None else range(rounds):
-        asks = nearest_match(free_cases, free_pool, key, equal, near).where("match is not null")
-        won = asks.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").checkpoint(eager=True)
+        asks = left.groupBy(key).agg(first("match")).select(key, F.col("b.other").alias("match"), "b.dist", "b._tie")
+        won = asks.groupBy("match").agg(first(key)).select(F.col("b.other").alias(key), "match", F.sqrt("b.dist").alias("dist")).checkpoint(eager=True)
         if won.isEmpty():
             break
-        out = out.unionByName(won).checkpoint(eager=True)
-        free_cases = cases.join(out.select(key), key, "left_anti")
-        free_pool = pool.join(out.select(F.col("match").alias(key)), key, "left_anti")
-    return out
+        out.append(won)
+        left = left.join(won.select(key), key, "left_anti").join(won.select("match"), "match", "left_anti").select(key, "match", "dist", "_tie").checkpoint(eager=True)
+    return reduce(DataFrame.unionByName, out) if out else left.select(key, "match", F.sqrt("dist").alias("dist")).limit(0)
+
+
+def matched_by_rules(cases: DataFrame, pool: DataFrame, key: str, rules: Sequence[tuple[str, str, float | None]], seed: int = 1) -> DataFrame:
+    """Matching by a list of rules (J15): (column, 'identity', None) or (column, 'delta', most), without replacement, nearest by the scaled columns.
+
+    A case without a member in reach under all rules is tried under all but the last, and so on down to the first;
+    rules_used tells how many held.  The seed decides between equal pairs.
+    """
+    out, free_cases, free_pool = [], cases, pool
+    for used in range(len(rules), 0, -1):
+        equal, near = [c for c, kind, _ in rules[:used] if kind == "identity"], [(c, most) for c, kind, most in rules[:used] if kind == "delta"]
+        found = greedy_match(free_cases, free_pool, key, equal, near, seed=seed).withColumn("rules_used", F.lit(used))
+        out.append(found)
+        free_cases = free_cases.join(found.select(key), key, "left_anti")
+        free_pool = free_pool.join(found.select(F.col("match").alias(key)), key, "left_anti")
+    return reduce(DataFrame.unionByName, out)
 
 
 def crosswalk(left: DataFrame, right: DataFrame, user: str, day: str, left_id: str, right_id: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +58,26 @@ def normalize_repertoire(raw: DataFrame) -> DataFrame:
 
 
 def read_repertoires(spark: SparkSession, path: str) -> DataFrame:
-    """All samples' TSVs of a folder, with the sample from each file's name."""
-    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return normalize_repertoire(raw.withColumn("_file", name).withColumn("sample", without_suffix("_file", ".tsv")).drop("_file"))
+    """All samples' TSVs of a folder, with the sample from each file's name.
+
+    Files may differ in their headers: those of one header are read together under its names, and the groups are united.
+    """
+    lines = spark.read.text(path).select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))  # one row a file
+    parts = []
+    for head, files in first.groupBy("head").agg(F.collect_list("file")).collect():
+        names = T.StructType([T.StructField(c, T.StringType()) for c in _unique(head.rstrip("\r").split("\t"))])
+        raw = spark.read.option("sep", "\t").option("header", True).option("enforceSchema", True).schema(names).csv(files)
+        file = F.element_at(F.split(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/"), -1)
+        parts.append(normalize_repertoire(raw.withColumn("_file", file).withColumn("sample", without_suffix("_file", ".tsv")).drop("_file")))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField("sample", T.StringType()), *REPERTOIRE.fields]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unique(names: Sequence[str]) -> list[str]:
+    """Header names, repeated ones numbered."""
+    return [f"{n}.{names[:i].count(n)}" if n in names[:i] else n for i, n in enumerate(names)]
 
 
 def read_columns(spark: SparkSession, path: str, places: Sequence[int], names: Sequence[str], sep: str = "\t") -> DataFrame:
@@ -70,12 +88,20 @@ def read_columns(spark: SparkSession, path: str, places: Sequence[int], names: S
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A file or folder by its ending: parquet, orc, json, csv or tsv."""
+    """A file or folder by its ending: parquet, orc, json, csv or tsv; with another ending by what it holds."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv"):
         return reader.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
-    return reader.format(kind if kind in ("orc", "json") else "parquet").load(path)
+    if kind in ("orc", "json", "parquet"):
+        return reader.format(kind).load(path)
+    head = spark.read.text(path).select(F.substring("value", 1, 10_000)).first()
+    line = head[0] if head else ""
+    if line.startswith(("PAR1", "ORC")):
+        return reader.format("parquet" if line.startswith("PAR1") else "orc").load(path)
+    if line.lstrip().startswith("{"):
+        return reader.json(path)
+    return reader.option("header", True).option("sep", "\t" if "\t" in line else ",").csv(path)
 
 
 def read_folder(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -106,11 +132,43 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence, quality) of each record of four lines."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0][0]))
-    rows = spark.createDataFrame(lines, "record long, place long, line string")
-    of = lambda i: F.max(F.when(F.col("place") == i, F.col("line")))
-    return rows.groupBy("record").agg(F.regexp_replace(of(0), "^@", "").alias("name"), of(1).alias("sequence"), of(3).alias("quality")).orderBy("record").drop("record")
+    """(name, sequence, quality) of each record of four lines (S11), in the order of the files.
+
+    Files are split where a line begins with '@'.  That cuts a record in two where its quality begins so: a piece of
+    three lines, which then goes together with the piece of one line that follows it in its file.
+    """
+    pieces = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    pieces = pieces.withColumn("lines", F.split(F.regexp_replace("value", r"\r?\n?$", ""), r"\r?\n")).withColumn("k", F.size("lines"))
+    cut = Window.partitionBy("file").orderBy("at", "n")
+    halves = pieces.where("k = 1 or k = 3").withColumn("rest", F.lead(F.col("lines")[0]).over(cut)).where("k = 3")
+    whole = pieces.where("k = 4").withColumn("quality", F.col("lines")[3])
+    rows = whole.unionByName(halves.withColumn("quality", F.concat(F.lit("@"), "rest")).drop("rest"))
+    return rows.orderBy("file", "at", "n").select(F.regexp_replace(F.col("lines")[0], "^@", "").alias("name"), F.col("lines")[1].alias("sequence"), "quality")
+
+
+@dataclass
+class Settings:
+    """What a run reads and writes (S12), from a dict, or a file of JSON or of ``name: value`` lines."""
+
+    inputs: list[str] = field(default_factory=list)
+    output: str = ""
+    options: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Settings:
+        import json
+
+        text = "\n".join(r[0] for r in spark.read.text(path).collect())
+        if text.lstrip().startswith("{"):
+            return cls.of(json.loads(text))
+        pairs = (line.split(":", 1) for line in text.split("\n") if ":" in line and not line.lstrip().startswith("#"))
+        return cls.of({k.strip(): v.strip() for k, v in pairs})
+
+    @classmethod
+    def of(cls, values: dict) -> Settings:
+        inputs = values.get("inputs", [])
+        inputs = [x.strip() for x in inputs.split(",")] if isinstance(inputs, str) else list(inputs)
+        return cls(inputs, values.get("output", ""), {k: v for k, v in values.items() if k not in ("inputs", "output")})
 
 
 def materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
