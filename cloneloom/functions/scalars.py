@@ -26,6 +26,21 @@ def year_of(col: str, pivot: int = 18) -> Column:
     return F.when(F.length(tail) == 4, number).when(F.length(tail) == 2, F.when(number <= pivot, number + 2000).otherwise(number + 1900))
 
 
+def years_since(col: str, mark: str = "20") -> Column:
+    """Digits after a mark in a text, such as the year of a century."""
+    return F.nullif(F.regexp_extract(col, rf"(?<={mark})(\w+)", 1), F.lit(""))
+
+
+def age_from(birth: str, at: str) -> Column:
+    """Years from a birth year of two or four digits to a year."""
+    return F.col(at) - year_of(birth)
+
+
+def months_between_dates(a: str, b: str) -> Column:
+    """Calendar months from one date to another (F8)."""
+    return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
+
+
 def body_mass_index(weight: str, height: str) -> Column:
     """kg / m^2; heights over 3 are taken as centimetres."""
     metres = F.when(F.col(height) > 3, F.col(height) / 100).otherwise(F.col(height))

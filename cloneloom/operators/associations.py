@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloneloom.functions import special
 from cloneloom.operators.ml import permuted_labels
-from cloneloom.operators.relational import with_sum
+from cloneloom.operators.relational import corr, with_sum
 from cloneloom.operators.stats import adjusted, anova, chi_square, correlations, fisher_exact, ks_two_sample, mann_whitney, t_test
 
 
@@ -90,7 +90,7 @@ def phenotype_group_tests(features: DataFrame, phenotypes: DataFrame, sample: st
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, r, p) of every two columns, rows with a null in either left out (J21): one pass over the table for all pairs."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), F.corr(a, b).alias("r")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    found = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), corr(a, b).alias("r")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     out = found.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(pairs))])))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))
     return out.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(special.t_p(t, F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
@@ -102,8 +102,8 @@ def correlation_intervals(df: DataFrame, key: str, columns: Sequence[str], n_per
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     packed = rows.select(key, F.struct(*columns).alias("all"))
     dealt = permuted_labels(packed, key, "all", n_perms, seed).select("perm", key, *[F.col(f"all.{c}").alias(f"_{c}") for c in columns]).join(rows, key)
-    null = dealt.groupBy("perm").agg(*[F.corr(a, f"_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    real = rows.agg(*[F.corr(a, b).alias(f"real{i}") for i, (a, b) in enumerate(pairs)])
+    null = dealt.groupBy("perm").agg(*[corr(a, f"_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    real = rows.agg(*[corr(a, b).alias(f"real{i}") for i, (a, b) in enumerate(pairs)])
     ends = null.agg(*[F.percentile(f"r{i}", F.array(F.lit(tail), F.lit(1 - tail))).alias(f"q{i}") for i in range(len(pairs))])  # n_perms values each
     each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"real{i}").alias("r"), F.col(f"q{i}")[0].alias("low"), F.col(f"q{i}")[1].alias("high")) for i, (a, b) in enumerate(pairs)]
     out = real.crossJoin(ends).select(F.inline(F.array(*each)))  # one row each

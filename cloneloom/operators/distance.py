@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import running
+from cloneloom.operators.relational import corr, running
 from cloneloom.operators.repertoire import pairs_within
 
 
@@ -50,12 +50,12 @@ def mantel_r(x: DataFrame, y: DataFrame, relabel: DataFrame | None = None) -> Da
     """Correlation of two pair tables (sample1, sample2, dist) (ST21); relabel (perm, sample, other) permutes y's samples."""
     if relabel is None:
         both = x.join(y.withColumnRenamed("dist", "dist2"), ["sample1", "sample2"])
-        return both.agg(F.count("*").alias("n"), F.corr("dist", "dist2").alias("r"))
+        return both.agg(F.count("*").alias("n"), corr("dist", "dist2").alias("r"))
     a = relabel.select("perm", F.col("sample").alias("sample1"), F.col("other").alias("o1"))
     b = relabel.select("perm", F.col("sample").alias("sample2"), F.col("other").alias("o2"))
     moved = x.join(a, "sample1").join(b, ["perm", "sample2"]).withColumn("lo", F.least("o1", "o2")).withColumn("hi", F.greatest("o1", "o2"))
     both = moved.join(y.select(F.col("sample1").alias("lo"), F.col("sample2").alias("hi"), F.col("dist").alias("dist2")), ["lo", "hi"])
-    return both.groupBy("perm").agg(F.corr("dist", "dist2").alias("r"))
+    return both.groupBy("perm").agg(corr("dist", "dist2").alias("r"))
 
 
 def permanova_f(pairs: DataFrame, groups: DataFrame, sample: str, group: str) -> DataFrame:

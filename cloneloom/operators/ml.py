@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import places, running
+from cloneloom.operators.relational import corr, places, running
 
 #: Permutations of a first look and of a full test.
 SCREEN, FULL = 100, 1000
@@ -41,11 +41,40 @@ def evaluate_binary(df: DataFrame, by: Sequence[str], y: str, score: str, thresh
     )
 
 
+def macro_f1(df: DataFrame, by: Sequence[str], y: str, predicted: str) -> DataFrame:
+    """n, accuracy and the mean over classes of F1 (ML5); a class is counted where it is in the truth or in a prediction."""
+    counts = df.where(F.col(y).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by, F.col(y).alias("_y"), F.col(predicted).alias("_p")).agg(F.count("*").alias("_n"))
+    each = F.inline(F.array(F.struct(F.col("_y").alias("class"), F.lit(1).alias("_t"), (F.col("_y") == F.col("_p")).cast("int").alias("_hit")), F.struct(F.col("_p").alias("class"), F.lit(0).alias("_t"), F.lit(0).alias("_hit"))))
+    per = counts.select(*by, "_n", each).groupBy(*by, "class").agg(F.sum(F.col("_n") * F.col("_hit")).alias("_tp"), F.sum("_n").alias("_both"), F.sum(F.col("_n") * F.col("_t")).alias("_true"))
+    return per.groupBy(*by).agg(F.sum("_true").alias("n"), (F.sum("_tp") / F.sum("_true")).alias("accuracy"), F.avg(2 * F.col("_tp") / F.col("_both")).alias("macro_f1"))
+
+
+def observed_p(scores: DataFrame, keys: Sequence[str], stat: str, shuffle: str) -> DataFrame:
+    """(keys, stat, p, n_shuffles): (1 + shuffles at least as large) / (1 + shuffles), rows with a null shuffle being the real ones."""
+    real, null = scores.where(F.col(shuffle).isNull()).drop(shuffle), scores.where(F.col(shuffle).isNotNull()).select(*keys, stat)
+    return permutation_p(real, null, keys, stat).withColumnRenamed("n_perms", "n_shuffles")
+
+
+def averaged_models(train: DataFrame, apply_to: DataFrame, key: str, y: str, features: Sequence[str], k: int = 3, seed: int = 1) -> DataFrame:
+    """(key, score): rows scored by the k models that each left one fold of the training rows out, on average (ML6)."""
+    from functools import reduce
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows, other = train.select(key, y, *features).na.drop().withColumn("fold", fold_of(key, k, seed)), apply_to.select(key, *features).na.drop()
+    steps = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z"), LogisticRegression(featuresCol="_z", labelCol=y, regParam=0.01)]
+    scored = [Pipeline(stages=steps).fit(rows.where(F.col("fold") != i)).transform(other).select(key, vector_to_array("probability")[1].alias("score")) for i in range(k)]
+    return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.avg("score").alias("score"))
+
+
 def evaluate_regression(df: DataFrame, by: Sequence[str], y: str, predicted: str) -> DataFrame:
     """n, R2, Pearson r and explained variance (ML5)."""
     error = F.col(y) - F.col(predicted)
     return df.groupBy(*by).agg(
-        F.count("*").alias("n"), (1 - F.try_divide(F.sum(error**2), F.var_pop(y) * F.count("*"))).alias("r2"), F.corr(y, predicted).alias("pearson"), (1 - F.try_divide(F.var_pop(error), F.var_pop(y))).alias("explained_variance")
+        F.count("*").alias("n"), (1 - F.try_divide(F.sum(error**2), F.var_pop(y) * F.count("*"))).alias("r2"), corr(y, predicted).alias("pearson"), (1 - F.try_divide(F.var_pop(error), F.var_pop(y))).alias("explained_variance")
     )
 
 
@@ -103,7 +132,7 @@ def adaptive_auc_p(df: DataFrame, key: str, y: str, score: str, seed: int, scree
 
 def select_k_best(long: DataFrame, feature: str, value: str, y: str, k: int) -> DataFrame:
     """The k features of greatest |r| with y (ML1)."""
-    return long.groupBy(feature).agg(F.corr(value, y).alias("r")).orderBy(F.desc_nulls_last(F.abs("r")), feature).limit(k)
+    return long.groupBy(feature).agg(corr(value, y).alias("r")).orderBy(F.desc_nulls_last(F.abs("r")), feature).limit(k)
 
 
 def principal_components(df: DataFrame, vector: str, k: int) -> DataFrame:
@@ -145,6 +174,44 @@ def logistic_p_values(df: DataFrame, y: str, features: Sequence[str]) -> DataFra
     return df.sparkSession.createDataFrame([(n, float(c), float(e), float(p)) for n, c, e, p in values], "feature string, coefficient double, error double, p double")
 
 
+def linear_p_values(df: DataFrame, y: str, features: Sequence[str]) -> DataFrame:
+    """Coefficients, errors and p-values of ordinary least squares, with r2 and adjusted r2 (ST26)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.select(F.col(y).cast("double").alias(y), *features).na.drop())
+    s = (model := LinearRegression(featuresCol="_x", labelCol=y, solver="normal").fit(rows)).summary
+    values = zip([*features, "intercept"], [*model.coefficients, model.intercept], s.coefficientStandardErrors, s.pValues)
+    return df.sparkSession.createDataFrame([(n, float(c), float(e), float(p), float(s.r2), float(s.r2adj)) for n, c, e, p in values], "feature string, coefficient double, error double, p double, r2 double, r2_adjusted double")
+
+
+def nested_logistic(df: DataFrame, y: str, steps: Sequence[str]) -> DataFrame:
+    """(step, feature, deviance, pseudo_r2, pseudo_r2_adjusted, gain, p) of logistic models that take in one feature more at each step (ST27).
+
+    pseudo_r2 is McFadden's, adjusted by the number of features; p is the likelihood-ratio test of the step.
+    """
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from cloneloom.functions.special import chi2_upper
+
+    rows = df.select(y, *steps).na.drop().cache()
+    n, positive = rows.agg(F.count("*"), F.sum(y)).first()
+    rate = positive / n
+    null = -2 * (positive * math.log(rate) + (n - positive) * math.log(1 - rate))
+    out, before, adjusted_before = [], null, 0.0
+    for i in range(1, len(steps) + 1):
+        x = VectorAssembler(inputCols=list(steps[:i]), outputCol="_x").transform(rows)
+        deviance = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol=y, maxIter=50).fit(x).summary.deviance
+        adjusted = 1 - (deviance / 2 + i) / (null / 2)
+        out.append((i, steps[i - 1], float(deviance), 1 - deviance / null, adjusted, adjusted - adjusted_before, float(chi2_upper([max(before - deviance, 0.0)], [1])[0])))
+        before, adjusted_before = deviance, adjusted
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(out, "step int, feature string, deviance double, pseudo_r2 double, pseudo_r2_adjusted double, gain double, p double")
+
+
 def out_of_fold(df: DataFrame, key: str, y: str, features: Sequence[str], k: int = 3, seed: int = 1) -> DataFrame:
     """(key, y, fold, score): each row scored by a model that was fitted without its fold (ML1)."""
     from functools import reduce

@@ -66,6 +66,13 @@ def places(df: DataFrame, order: str, out: str, by: Sequence[str] = (), sample:
     return rows.join(starts, [*by, "_range"]).withColumn(out, own + F.col("_start")).drop("_range", "_start")
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r over rows that have both, as an aggregate; null, not an error, where one of them is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def with_sum(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
     """df with an aggregate of its group: aggregated before the shuffle and joined back, so that no task gathers a large group."""
     names = [f"_by_{k}" for k in by]

@@ -28,10 +28,71 @@ def with_ids(df: DataFrame, seq: str, least: int = 4) -> DataFrame:
     return rows.join(F.broadcast(starts), "_b").select((place + F.col("_start")).cast("long").alias("id"), "seq")
 
 
-def _pairs_by_key(keyed: DataFrame, check: Column) -> DataFrame:
+def _pairs_by_key(keyed: DataFrame, check: Column, most: int = 1) -> DataFrame:
     a = keyed.select(F.col("id").alias("seq1id"), F.col("seq").alias("s1"), "key")
     b = keyed.select(F.col("id").alias("seq2id"), F.col("seq").alias("s2"), "key")
-    return a.join(b, "key").where("seq1id < seq2id").select("seq1id", "seq2id", check.alias("dist")).where("dist <= 1").distinct()
+    return a.join(b, "key").where("seq1id < seq2id").select("seq1id", "seq2id", check.alias("dist")).where(F.col("dist") <= most).distinct()
+
+
+def _pieces(n: Column, k: int) -> list[tuple[Column, Column]]:
+    """Where k + 1 pieces of a string of n letters begin and how long they are."""
+    cuts = [F.floor(n * i / (k + 1)).cast("int") for i in range(k + 2)]
+    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(k + 1)]
+
+
+def _keys(seqs: DataFrame, k: int, lengths: range, shifts: range) -> DataFrame:
+    """(id, seq, key): the pieces that a string of each length in reach would have at each shift in reach."""
+    keys = []
+    for d in lengths:
+        n = F.length("seq") + d
+        for i, (start, size) in enumerate(_pieces(n, k)):
+            for s in shifts:
+                ok = (n > 0) & (start + s >= 0) & (start + s + size <= F.length("seq"))
+                keys.append(F.when(ok, F.concat_ws(":", n.cast("string"), F.lit(str(i)), F.substr("seq", start + s + 1, size))))
+    every = F.array_distinct(F.filter(F.array(*keys), lambda x: x.isNotNull()))
+    return seqs.where(F.length("seq") > 0).select("id", "seq", F.explode(every).alias("key"))
+
+
+def padded_hamming_within(seqs: DataFrame, most: int) -> DataFrame:
+    """Pairs of (id, seq) at padded Hamming distance ``most`` or less (CL1, SQ3).
+
+    Of most + 1 pieces of the shorter string one is equal in both at its place; a string has the keys of its own
+    length and, as the longer one, those of the up to ``most`` shorter lengths.
+    """
+    return _pairs_by_key(_keys(seqs, most, range(-most, 1), range(1)), padded_hamming("s1", "s2"), most)
+
+
+def levenshtein_within(seqs: DataFrame, most: int) -> DataFrame:
+    """Pairs of (id, seq) at Levenshtein distance ``most`` or less (CL7).
+
+    Of most + 1 pieces of one string one is found in the other unchanged, moved by ``most`` letters at most.
+    """
+    a = _keys(seqs, most, range(1), range(1))
+    b = _keys(seqs, most, range(-most, most + 1), range(-most, most + 1))
+    left, right = a.select(F.col("id").alias("i"), F.col("seq").alias("s1"), "key"), b.select(F.col("id").alias("j"), F.col("seq").alias("s2"), "key")
+    near = left.join(right, "key").where("i <> j").select(F.least("i", "j").alias("seq1id"), F.greatest("i", "j").alias("seq2id"), F.levenshtein("s1", "s2").alias("dist"))
+    return near.where(F.col("dist") <= most).distinct()
+
+
+def nearest_reads(seqs: DataFrame, most: int = 3) -> DataFrame:
+    """(id, nearest, n_near): distance of each sequence to its nearest other one and how many are within ``most`` (SQ3); nearest is null beyond."""
+    pairs = padded_hamming_within(seqs, most)
+    both = pairs.select(F.col("seq1id").alias("id"), "dist").unionByName(pairs.select(F.col("seq2id").alias("id"), "dist"))
+    near = both.groupBy("id").agg(F.min("dist").alias("nearest"), F.count("*").alias("n_near"))
+    return seqs.select("id").join(near, "id", "left").na.fill({"n_near": 0})
+
+
+def full_clusters(edges: DataFrame) -> DataFrame:
+    """(head, member): every sequence with a neighbour heads a cluster of itself and all its neighbours, earlier ones too (CL8)."""
+    both = edges.select(F.col("seq1id").alias("head"), F.col("seq2id").alias("member")).unionByName(edges.select(F.col("seq2id").alias("head"), F.col("seq1id").alias("member")))
+    return both.unionByName(both.select("head", F.col("head").alias("member")).distinct())
+
+
+def distinct_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters of different members, of equal ones that with the smallest head (CL8)."""
+    named = clusters.groupBy("head").agg(F.array_sort(F.collect_set("member")).alias("members"))
+    kept = named.groupBy("members").agg(F.min("head").alias("head"))
+    return clusters.join(kept, "head", "left_semi")
 
 
 def padded_hamming_pairs(seqs: DataFrame) -> DataFrame:
@@ -129,6 +190,23 @@ def approximate_matches(texts: DataFrame, key: str, text: str, patterns: DataFra
     return found.where(F.col("n_mismatches") <= mismatches).select(key, pattern, "offset", "n_mismatches")
 
 
+#: The genetic code: amino acids of the codons in the order TTT, TTC, TTA, TTG, TCT ... GGG (fixed values).
+BASES, AMINO_ACIDS = "TCAG", "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def translated(col: str) -> Column:
+    """Amino acids of a sequence of A, C, G, T read in threes (F10); X for a codon with other letters, an incomplete one is left out."""
+    codes = F.create_map(*[F.lit(x) for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES) for x in (a + b + c, AMINO_ACIDS[16 * i + 4 * j + k])])
+    n = F.floor(F.length(col) / 3).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(codes, F.substr(F.upper(col), i * 3 + 1, F.lit(3))), F.lit("X"))), "")
+
+
+def phred_scores(col: str) -> Column:
+    """Quality of each base: its character's code less 33."""
+    return F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+
+
 def reverse_complement(col: str | Column) -> Column:
     """Reverse complement of A, C, G, T."""
     return F.reverse(F.translate(col, "ACGT", "TGCA"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.functions import special
-from cloneloom.operators.relational import ranked, running
+from cloneloom.operators.relational import corr, ranked, running
 from cloneloom.operators.repertoire import log_gamma
 
 
@@ -19,7 +19,7 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str, method: str =
     if method == "spearman":
         rows = ranked(ranked(rows, x, by, "_x"), y, by, "_y")
         x, y = "_x", "_y"
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("r"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     exact = F.abs(F.col("r")) >= 1
     return out.withColumn("p", F.when(F.col("n") < 3, None).when(exact, 0.0).otherwise(special.t_p(F.when(exact, 0.0).otherwise(t), F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
