@@ -55,11 +55,12 @@ def _sparse_ranks(cells: DataFrame, feature: str, value: str, n: DataFrame) -> D
 
 
 def pair_correlations(a: DataFrame, b: DataFrame, sample: str, f1: str, v1: str, f2: str, v2: str, method: str = "pearson", least: float = 0.1) -> DataFrame:
-    """(f1, f2, n, n_both, r, p) of features that at least ``least`` of the samples have both (ST17); absent cells are zeros.
+    """(f1, f2, n, n_both, r, p) of features that at least ``least`` of the common samples have both (ST17); absent cells are zeros.
 
     All sums are over present cells, which an equi-join on the sample brings together.
     """
-    x, y, n = _common(a.select(sample, f1, v1).where(F.col(v1) > 0), b.select(sample, f2, v2).where(F.col(v2) > 0), sample)
+    x, y, n = _common(a.select(sample, f1, v1), b.select(sample, f2, v2), sample)
+    x, y = x.where(F.col(v1) > 0), y.where(F.col(v2) > 0)
     if method == "spearman":
         x, y = _sparse_ranks(x, f1, v1, n), _sparse_ranks(y, f2, v2, n)
     sums = lambda df, f, v, i: df.groupBy(f).agg(F.sum(v).alias(f"s{i}"), F.sum(F.col(v) ** 2).alias(f"q{i}"))
@@ -67,7 +68,7 @@ def pair_correlations(a: DataFrame, b: DataFrame, sample: str, f1: str, v1: str,
     out = met.join(sums(x, f1, v1, 1), f1).join(sums(y, f2, v2, 2), f2)
     spread = lambda i: F.col(f"q{i}") - F.col(f"s{i}") ** 2 / F.col("n")
     r = F.try_divide(F.col("xy") - F.col("s1") * F.col("s2") / F.col("n"), F.sqrt(spread(1) * spread(2)))
-    out = out.select(f1, f2, "n", "n_both", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    out = out.select(f1, f2, "n", "n_both", F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))  # rounding can pass 1
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))
     return out.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(special.t_p(t, F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
 
