@@ -35,7 +35,7 @@ TRAIN_DOCS, TRAIN_CHARS, ROUNDS, SEED = 1000, 20_000, 80, 42
 #: Tokens of a training window, and planted examples of each format.
 SPAN, PLANTS = 24, 80
 #: Texts are tagged in groups of about so many characters.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -165,7 +165,7 @@ EDGE_ROW = (*(FIRST[g] for g in OWN), 19, 0, 0, 0, EDGE)
 class Words(dict):
     """Numbers of the tokens seen so far, with their rows; "" stands for the edge of a text."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 60_000):
         self.most = most
         self.forget()
 
@@ -270,7 +270,7 @@ class Field:
         """The sum of each token's weights, for each tag."""
         if len(self.words) > self.words.most:
             self.words.forget()
-            self.summed = self.summed[:0]
+            self.summed = np.empty((0, 3))
         at, rows = self.words.look_up(words), self.words.rows
         if len(self.summed) < len(rows):  # what a token has in itself, away from hint words, is added up once
             new = rows[len(self.summed) :]
