@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+MEASURES = (
+    "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, "
+    "n_alpha_words long, n_stop_words long, n_bullet_lines long, n_ellipsis_lines long"
+)
+#: Words that English prose can't do without (fixed values).
+STOP_WORDS = (b"the", b"be", b"to", b"of", b"and", b"that", b"have", b"with")
+BULLETS, ELLIPSES = ("-", "*", "\u2022"), ("...", "\u2026")
 
 #: Rules in the order of their bits: name and the SQL condition of failing.
 RULES = {
@@ -30,13 +36,20 @@ RULES = {
     "long_words": "word_chars > 14 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "repeated_lines": "n_lines > 3 and 10 * n_dup_lines > 3 * n_lines",
+    "few_letters": "100 * n_alpha_words < 70 * n_words",
+    "bullets": "10 * n_bullet_lines > 9 * n_lines",
+    "ellipses": "10 * n_ellipsis_lines > 3 * n_lines",
+    "no_stop_words": "n_stop_words < 2",
 }
 BASE = ("few_words", "repeated_windows")
 #: Policies by version.
 POLICIES = {
     "base": BASE,
     "v1": (*BASE, "many_words", "symbols"),
-    "v2": tuple(RULES),
+    "v2": (*BASE, "many_words", "short_words", "long_words", "symbols", "repeated_lines"),
+    "v3": tuple(r for r in RULES if r != "no_stop_words"),
+    # For English alone: texts in other languages have other stop words.
+    "v3_english": tuple(RULES),
 }
 CURRENT = "v2"
 
@@ -61,14 +74,20 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
 def measured(text: str | None) -> tuple[int, ...]:
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at just the six blanks
-    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
+    lines = [x.strip(BLANKS) for x in text.split("\n")]
+    lines, whole = [x for x in lines if x], [x for x in text.split("\n") if x.strip(BLANKS)]
+    found = Counter(words)
     return (
         len(words),
         len(text) - sum(map(text.count, BLANKS)),
         sum(map(text.count, SYMBOLS)),
         len(lines),
-        len(lines) - len(set(lines)),
+        len(whole) - len(set(whole)),
         repeated_words(words),
+        sum(n for w, n in found.items() if w.isalpha() or any(map(str.isalpha, w.decode("utf-8", "surrogatepass")))),
+        sum(map(found.__getitem__, STOP_WORDS)),
+        sum(x.startswith(BULLETS) for x in lines),
+        sum(x.endswith(ELLIPSES) for x in lines),
     )
 
 

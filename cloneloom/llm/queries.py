@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the bits of one ledger."""
+    rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("failed")
+    parts = [quality.ablation(rows, policy) for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -94,20 +102,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES |= {"pipeline": corpus_pipeline.run, "quality_ablation": quality_ablation}
 
-ORACLES = {
-    "op9_embedding_links": r"""
-WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9),
-r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
-n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM c LEFT JOIN n USING (vec_id)""",
-    "op5_quality_rules": r"""
+#: The ledger of quality rules in SQL: f has the measurements and the bits.
+LEDGER = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
            FROM documents),
@@ -117,14 +115,39 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, (SELECT unnest(range(5))
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-        coalesce(r.n, 0)::BIGINT AS n_repeat_words
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS n_alpha_words,
+        len(list_filter(ws, lambda x: x IN ('the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'))) AS n_stop_words,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullet_lines,
+        len(list_filter(ls, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
         + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
         + CASE WHEN word_chars > 14 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END
-        + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
+        + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 64 ELSE 0 END
+        + CASE WHEN 100 * n_alpha_words < 70 * n_words THEN 128 ELSE 0 END + CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 256 ELSE 0 END
+        + CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 512 ELSE 0 END + CASE WHEN n_stop_words < 2 THEN 1024 ELSE 0 END)::BIGINT AS failed FROM m)"""
+ABLATION = "pol(policy, mask) AS (VALUES " + ", ".join(f"('{p}', {quality.mask(p)})" for p in quality.POLICIES) + "), rul(rule, bit) AS (VALUES " + ", ".join(
+    f"('{r}', {1 << i})" for i, r in enumerate(quality.RULES)
+) + """)
+SELECT policy, rule, count(*) FILTER (failed & bit > 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_failed_alone, count(*) AS n_docs,
+       count(*) FILTER (failed & mask IN (0, bit)) AS n_kept_without
+FROM f, pol, rul WHERE mask & bit > 0 GROUP BY policy, rule"""
+
+ORACLES = {
+    "op9_embedding_links": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)""",
+    "op5_quality_rules": LEDGER + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+       failed & 3 <> 0 AS base_failed, failed & 127 = 0 AS kept, failed FROM f""",
+    "quality_ablation": LEDGER + ", " + ABLATION,
     "op10_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM p)

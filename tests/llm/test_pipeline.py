@@ -21,7 +21,7 @@ def plain(rows, field):
     """doc_id and text of every row that should come out, with token ids."""
 
     def fails(text):
-        n_words, chars, symbols, lines, dup, repeat = quality.measured(text)
+        n_words, chars, symbols, lines, dup, repeat, *_ = quality.measured(text)
         found = {
             "few_words": n_words < 10, "repeated_windows": 100 * repeat > 20 * n_words, "many_words": n_words > 1_000_000, "short_words": chars < 2 * n_words,
             "long_words": chars > 14 * n_words, "symbols": 10 * symbols > n_words, "repeated_lines": lines > 3 and 10 * dup > 3 * lines,
