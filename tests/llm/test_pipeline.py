@@ -66,3 +66,20 @@ def test_stages_on_an_empty_table(spark, few):
 def test_run_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("not parity").count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, texts):
+    good = [t for t in texts if t and 25 < len(t.split()) < 400][:12]
+    rows = [(None, good[0], None, "s"), (None, good[1], "en", None), (None, good[0], None, "s"), (5, good[2], "en", "s"), (5, good[3], "en", "s"), (5, good[2], "en", "s"), (6, None, "en", "s"), (7, "", None, None)]
+    rows += [(10 + i, t, "en", "s") for i, t in enumerate(good[4:])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, taken int, failed string, fp int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, "y", 2) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    assert kept.count((True, 0)) == 2 and kept.count((False, 5)) == 1 and (False, 6) not in kept and (False, 7) not in kept
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, "")
+    out = docs.collect()
+    assert {r.doc_id for r in out} <= {None, 5, *range(10, 30)} and all(r.parity and r.n_tokens == len(r.ids) for r in out)
