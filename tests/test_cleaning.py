@@ -173,7 +173,7 @@ def test_insertions_by_combination(spark):
     assert sorted((r.nucleotide, r.insertion, r.insertion_length) for r in got) == [("ACGTACGA", None, 0), ("TTTT", "AA", 2)]
 
 
-def test_priors_of_the_reference(spark):
+def test_prior_counts(spark):
     assert all(set(own) == set("ACGT") for own in seqmodel.FIRST_PRIORS.values()) and all(set(own) == set("ACGT") and all(set(x) == set("ACGT") for x in own.values()) for own in seqmodel.MOVE_PRIORS.values())
     counts = rows(spark, [(1, "A", "C", 3)], "length int, previous string, letter string, n long")
     got = {(r.previous, r.letter): r.p for r in seqmodel.with_prior(counts, ["length", "previous"], seqmodel.MOVE_PRIORS["weak differ"]).collect()}
@@ -242,7 +242,7 @@ def test_pair_correlations_equal_dense_ones(spark):
 
 
 def test_scalar_dates_and_numbers(spark):
-    df = rows(spark, [("1974", 80.0, 180.0, 2010, "PNP2017x"), ("15", 80.0, 1.8, 2020, "none"), ("x", None, 0.0, 2000, None)], "b string, w double, h double, y int, n string")
+    df = rows(spark, [("1974", 80.0, 180.0, 2010, "S2017x"), ("15", 80.0, 1.8, 2020, "none"), ("x", None, 0.0, 2000, None)], "b string, w double, h double, y int, n string")
     got = df.select(scalars.age_from("b", "y").alias("age"), scalars.body_mass_index("w", "h").alias("bmi"), scalars.years_since("n").alias("since")).collect()
     assert [r.age for r in got] == [36, 5, None] and got[0].bmi == pytest.approx(got[1].bmi) == pytest.approx(24.691358) and got[2].bmi is None
     assert [r.since for r in got] == ["17x", None, None]
