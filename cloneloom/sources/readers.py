@@ -61,6 +61,7 @@ def read_repertoires(spark: SparkSession, path: str) -> DataFrame:
     """All samples' TSVs of a folder, with the sample from each file's name.
 
     Files may differ in their headers: those of one header are read together under its names, and the groups are united.
+    Finding the headers costs a scan of the text; what reaches the driver is the different headers with their files' names.
     """
     lines = spark.read.text(path).select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
     first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))  # one row a file
