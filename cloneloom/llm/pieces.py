@@ -23,6 +23,7 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ UNIGRAM, BPE = 1, 2
 #: Before the names of pieces that no text may match; a noncharacter.
 HIDDEN = "\uffff"
 #: Texts go through the libraries in groups of about so many characters.
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 19
+#: Threads of each library in a worker: a task has a core or two, and threads without work still spin.
+THREADS = 2
 ENCODED = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "parity": pa.bool_(), "round_trip": pa.bool_()}
 
 
@@ -154,6 +157,7 @@ def _codecs(path: str):
     import sentencepiece
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     with open(path, "rb") as file:
         data = file.read()
     return build(data), sentencepiece.SentencePieceProcessor(model_proto=data), piece_bytes(data), int(parse_model(data)["dummy_prefix"])
@@ -174,16 +178,14 @@ def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
 def _encoded(path: str, texts: list[str], keep_ids: bool) -> list[pa.Array]:
     """The columns of ENCODED for one group of texts."""
     fast, exact, spelled, added = _codecs(path)
-    ids = [np.array(x.ids, np.int32) for x in fast.encode_batch_fast(texts, add_special_tokens=False)]
-    same = []
-    for i, want in enumerate(exact.encode(texts, num_threads=2)):
-        want = np.array(want, np.int32)
-        same.append(np.array_equal(ids[i], want))
-        if not same[-1]:
-            ids[i] = want
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    ids, same = [], []
+    for got, want in zip(fast.encode_batch_fast(texts, add_special_tokens=False), exact.encode(texts, num_threads=THREADS)):
+        mine = got.ids
+        same.append(mine == want)
+        ids.append(mine if same[-1] else want)
+    flat = np.fromiter(chain.from_iterable(ids), np.int32)
     ends = np.cumsum([0, *map(len, ids)])
-    back = (b"".join(map(spelled.__getitem__, x.tolist()))[added:].decode("utf-8", "replace") for x in ids)
+    back = (b"".join(map(spelled.__getitem__, x))[added:].decode("utf-8", "replace") for x in ids)
     round_trip = [x == y for x, y in zip(texts, back)]
     digests = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends, ends[1:])]
     kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)) if keep_ids else pa.nulls(len(texts), ENCODED["ids"])
