@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloneloom.llm import chat, mixing, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
+from cloneloom.llm import chat, decontaminate, mixing, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
@@ -71,6 +71,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -101,7 +110,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc, op11_decontaminate)}
 QUERIES |= {"pipeline": corpus_pipeline.run, "quality_ablation": quality_ablation}
 
 #: The ledger of quality rules in SQL: f has the measurements and the bits.
@@ -180,6 +189,16 @@ n AS (SELECT source, through, sum(greatest(0, least(words, budget - sent + words
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS taken,
   round(CASE WHEN target > 0 THEN q.through / target ELSE 0 END, 9) AS virtual_finish
 FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.through = n.through""",
+    "op11_decontaminate": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(10, len(w)) AS n, w[i:i + least(10, len(w)) - 1] AS gram FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) WHERE len(w) > 0),
+p AS (SELECT r, i, n, w[i:i + n - 1] AS gram FROM d, (SELECT DISTINCT n FROM g) s, unnest(range(1, len(w) - n + 2)) t(i)),
+m AS (SELECT r, i, g.n, item FROM p JOIN g ON p.n = g.n AND p.gram = g.gram),
+h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM m, unnest(range(0, n)) t(k) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)""",
     "op8_chat_format": r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
