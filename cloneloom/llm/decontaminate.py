@@ -69,14 +69,18 @@ class Phrases:
             self.owners[size] = first, pair % len(self.names)
 
 
-def _search(words: list[list[bytes]], phrases: Phrases):
-    """For each document with a match: its number, which of its words are covered, its items' numbers."""
-    n = np.array([len(w) for w in words], np.int64)
-    start = np.cumsum(n + 1) - (n + 1)  # a 0 after each document
-    text = np.zeros(int((n + 1).sum()), np.int64)
-    get = phrases.vocabulary.get
-    for at, w in zip(start.tolist(), words):
-        text[at : at + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
+def _symbols(text: str | None, phrases: Phrases) -> np.ndarray:
+    """The words as symbols, with a 0 at the end."""
+    words = words_of(text)
+    words.append(b"")
+    return np.fromiter(map(phrases.vocabulary.get, words, repeat(0)), np.int32, len(words))
+
+
+def _search(docs: list[np.ndarray], phrases: Phrases):
+    """For each document (its symbols) with a match: its number, which of its words are covered, its items' numbers."""
+    n = np.array([len(d) - 1 for d in docs], np.int64)
+    start = np.cumsum(n + 1) - (n + 1)
+    text = np.concatenate(docs)
     # One 0 between stretches is enough.
     kept = np.flatnonzero((text > 0) | np.concatenate([[False], text[:-1] > 0]))
     if not len(kept):
@@ -111,14 +115,14 @@ def _runs(covered: np.ndarray) -> list[dict]:
 
 
 def _shard(ids: list, texts: list, phrases: Phrases, digests: bool, keep_text: bool) -> pa.RecordBatch:
-    words = [words_of(t) for t in texts]
+    symbols = [_symbols(t, phrases) for t in texts]
     spans, items = [[] for _ in ids], [[] for _ in ids]
-    for doc, covered, found in _search(words, phrases):
+    for doc, covered, found in _search(symbols, phrases):
         spans[doc] = _runs(covered)
         items[doc] = [phrases.names[i] for i in found]
     digest = [hashlib.sha256(b"\0" if t is None else b"\1" + t.encode("utf-8", "surrogatepass")).digest() if digests else None for t in texts]
     types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
-    columns = (ids, texts if keep_text else [None] * len(ids), digest, [len(w) for w in words], spans, items)
+    columns = (ids, texts if keep_text else [None] * len(ids), digest, [len(x) - 1 for x in symbols], spans, items)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text", "digest", "n_words", "spans", "items"])
 
 

@@ -65,13 +65,13 @@ class FMIndex:
     def __init__(self, text: np.ndarray, symbols: int, sample: int = 16):
         """text: symbols 0..symbols, a 0 at the end; every ``sample``-th place and the start of each stretch keep their position."""
         places = suffix_array(text)
-        column = text[places - 1]  # before the first word stands the last 0
+        column = text.astype(np.uint16 if symbols < 1 << 16 else np.uint32)[places - 1]  # before the first word stands the last 0
         self.levels, self.zeros = [], []
         self.depth = max(1, int(symbols).bit_length())
         for level in reversed(range(self.depth)):
-            bit = (column >> level) & 1 == 1
+            bit = (column & (1 << level)) != 0
             self.levels.append(Bits(bit))
-            self.zeros.append(len(bit) - int(bit.sum()))
+            self.zeros.append(len(bit) - int(np.count_nonzero(bit)))
             column = np.concatenate([column[~bit], column[bit]])
         counts = np.bincount(text, minlength=symbols + 1)
         every = np.arange(symbols + 1)
