@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloneloom.llm import chat, decontaminate, mixing, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
+from cloneloom.llm import chat, decontaminate, mixing, negatives, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
@@ -80,6 +80,12 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -110,7 +116,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc, op11_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc, op11_decontaminate, op12_hard_negatives)}
 QUERIES |= {"pipeline": corpus_pipeline.run, "quality_ablation": quality_ablation}
 
 #: The ledger of quality rules in SQL: f has the measurements and the bits.
@@ -199,6 +205,14 @@ h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM m, unnest(range(0, n)) t(k)
 o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND k <= 5 AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op8_chat_format": r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
