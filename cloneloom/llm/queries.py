@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloneloom.llm import chat, decontaminate, mixing, negatives, pieces, quality, secrets, simhash, substrings, suffixes, vectors, warc
+from cloneloom.llm import chat, decontaminate, mixing, negatives, pieces, prefixes, quality, secrets, simhash, substrings, suffixes, vectors, warc
 from cloneloom.llm.common import shared_dir, table
 
 
@@ -86,6 +86,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(*prefixes.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -116,7 +120,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc, op11_decontaminate, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_simhash, op3_mix_sources, op4_sentencepiece, op5_quality_rules, op6_secret_scan, op7_substring_dedup, op8_chat_format, op9_embedding_links, op10_warc, op11_decontaminate, op12_hard_negatives, op13_prefix_trie)}
 QUERIES |= {"pipeline": corpus_pipeline.run, "quality_ablation": quality_ablation}
 
 #: The ledger of quality rules in SQL: f has the measurements and the bits.
@@ -213,6 +217,19 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_numb
 n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank
   FROM p JOIN s ON p.anchor_id = s.anchor_id AND k <= 5 AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY place) AS own FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda s, c: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(s, c)), 4294967295), 4294967295) % 6 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n_turns, d AS depth, turns[1:d] AS prefix FROM r, unnest(range(0, len(turns) + 1)) x(d)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_turns) = depth AS leaf,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n_turns = depth), '') AS ends, (count(*) - 1) * coalesce(length(prefix[depth].t), 0) AS saved FROM p GROUP BY depth, prefix),
+s AS (SELECT a.depth, a.prefix, sum(b.leaf::INT)::BIGINT AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (b.depth = a.depth + 1) AS n_children
+  FROM n a JOIN n b ON b.depth >= a.depth AND b.prefix[1:a.depth] = a.prefix GROUP BY a.depth, a.prefix)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON n.depth = s.depth AND n.prefix = s.prefix LEFT JOIN n q ON q.depth = n.depth - 1 AND q.prefix = n.prefix[1:n.depth - 1]""",
     "op8_chat_format": r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
