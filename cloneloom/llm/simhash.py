@@ -3,7 +3,7 @@
 Fingerprint: one bit is set if it is set in over half of the XXH64 hashes (seed 42) of the 3-word shingles of
 the lower-cased (A-Z) text, repeats included.  Documents link at 3 or fewer differing bits.
 
-Search: equal fingerprints are one class, represented by its smallest id.  Two fingerprints that differ in at
+Search: equal fingerprints are one class, named by the fingerprint.  Two fingerprints that differ in at
 most 3 bits agree in at least 3 of 6 blocks, so every linked pair meets under one of the 20 choices of 3
 blocks.  Rows that share such a key are sorted by their Hamming distance to the first pivot (a reference
 fingerprint); a sweep over that column takes the pairs within 3 of each other, the largest difference over
@@ -13,8 +13,8 @@ Each task gives back stars instead of pairs, and components joins them.
 
 Edge cases: null texts are empty; a text without words has fingerprint zero and is linked like any other;
 fewer than 3 words are one shingle; very long texts are hashed whole, with some 100 bytes of memory a word; repeated ids stay
-separate rows with one class; null ids count as larger than any other, and a component that has no other has a null
-component_id; an empty table gives an empty result; other columns are ignored, whatever their names.  Ids are below 2**62.
+separate rows, each in the class of its text; null ids count as larger than any other, and a component that has no other has
+a null component_id; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 #: Widths of the 6 blocks, from the lowest bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 N_PIVOTS = 16
-#: From here on a class without ids is named by its fingerprint's lower bits; two of one name differ in 2 bits at most, so they are linked.
-NO_ID = 1 << 62
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -165,28 +163,30 @@ def near_links(classes: DataFrame, chunk: int = 1024) -> DataFrame:
     return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "a long, b long")
 
 
-def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component: the name of the smallest class of the component."""
-    prints = cut_lineage(fingerprints(docs))
-    unnamed = F.col("fp").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", F.coalesce("least", unnamed).alias("rep"))
-    linked = components(near_links(classes))
-    ends = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("fp"), F.coalesce("component", "rep").alias("component")
-    )
-    return prints.join(ends, "fp")
+def with_components(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp and others) with component_id, the smallest id of the component, and component, its smallest fingerprint."""
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least")))
+    linked = components(near_links(classes.select("fp", F.col("fp").alias("rep"))))
+    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest id that a document reaches by links, its own included."""
-    component_id = F.when(F.col("component") < NO_ID, F.col("component"))
-    return with_components(docs).select("doc_id", "fp", component_id.alias("component_id"))
+    return with_components(cut_lineage(fingerprints(docs))).select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, one of them where rows repeat it."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    first = F.min(F.struct(key.alias("_key"), F.col("fp").alias("_fp"))).alias("first")
-    leaders = with_components(docs).groupBy("component").agg(first).select("first.*")
-    rows = docs.select("*", key.alias("_key"), fingerprint_of(F.col("text")).alias("_fp"))
-    return rows.join(leaders, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
+    """docs with one row of each component: that of the smallest id (a row without one comes last).
+
+    Rows that repeat the id are told apart by fingerprint, text and all columns; of equal rows one stays.
+    """
+    marks = {"_mark": F.md5(F.col("text").cast("binary")), "_row": F.xxhash64(*docs.columns)}
+    rows = docs.withColumns(marks)
+    prints = cut_lineage(rows.select("doc_id", "_mark", "_row", fingerprint_of(F.col("text")).alias("fp")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_mark", "_row")
+    leaders = with_components(prints).groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first._mark", "first._row")
+    leaders = leaders.withColumnsRenamed({c: f"of{c}" for c in leaders.columns})
+    same = F.col("doc_id").eqNullSafe(F.col("ofdoc_id")) & F.col("_mark").eqNullSafe(F.col("of_mark")) & (F.col("_row") == F.col("of_row"))
+    return rows.join(leaders, same, "left_semi").dropDuplicates(["doc_id", "_mark", "_row"]).select(*docs.columns)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cloneloom.llm import components, simhash, vectors
 
@@ -51,9 +52,18 @@ def test_simhash_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, None)] * 4 + [(None, 5), (5, 5)] + [(3, 3)] * 3, key=str)
-    of_three = min(("one", "something else is said"), key=lambda t: (simhash.fingerprint(t) + (1 << 63)) % (1 << 64))
     kept = sorted(((r.doc_id, r.text or "") for r in simhash.without_near_duplicates(docs).collect()), key=str)
-    assert kept == sorted([(None, rows[0][1]), (None, rows[1][1]), (None, ""), (5, rows[3][1]), (3, of_three)], key=str)
+    assert kept == sorted([(None, rows[0][1]), (None, rows[1][1]), (None, ""), (5, rows[3][1]), (3, "one"), (3, rows[6][1])], key=str)
+
+
+def test_texts_that_share_an_id_and_large_ids(spark):
+    rows = [(5, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six"), (7, "red green blue white black grey"), (2**62 + 5, "a text of its own with words"), (2**63 - 1, "the last id of all there are")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == sorted((i, i) for i, _ in rows)
+    assert sorted((r.doc_id, r.text) for r in simhash.without_near_duplicates(docs).collect()) == sorted(rows)
+    twice = docs.unionByName(docs.withColumn("lang", F.lit("de"))).unionByName(docs)
+    assert sorted((r.doc_id, r.text, r.lang) for r in simhash.without_near_duplicates(twice).collect()) == sorted((r.doc_id, r.text, r.lang) for r in simhash.without_near_duplicates(twice.repartition(3)).collect())
+    assert simhash.without_near_duplicates(twice).count() == 5
 
 
 def test_simhash_empty_table(spark):
