@@ -20,10 +20,13 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.llm.common import cut_lineage, n_words
+from cloneloom.llm.common import cut_lineage, n_words, shared_dir
 
 CYCLE = (1, 2, 3)
 #: Words of a document that are sent at a time.
@@ -55,9 +58,9 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats
     )
 
 
-def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_repeats: int, digits: int) -> DataFrame:
+def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_repeats: int, digits: int, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, budget, through: words of the source's queue up to the document's end."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("by_text"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry, F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("by_text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "by_text"))
     rows = rows.withColumn("shuffled", F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))).drop("by_text")
     rows = cut_lineage(rows.withColumn("bucket", F.substring("shuffled", 1, digits)))  # the texts are read once
@@ -69,10 +72,10 @@ def queued_documents(docs: DataFrame, seed: int, cycle: tuple[int, ...], max_rep
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .select(F.col("source").alias("of"), F.col("bucket").alias("in"), "offset", "source_size", "target", "budget")
     )
-    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "size", *carry)
     queued = rows.withColumn("through", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     queued = queued.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    return queued.select("doc_id", "source", "size", "source_size", "target", "budget", (F.col("through") + F.col("offset")).alias("through"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", "budget", (F.col("through") + F.col("offset")).alias("through"), *carry)
 
 
 def truncated(packets: DataFrame, ranges: int) -> DataFrame:
@@ -90,14 +93,14 @@ def truncated(packets: DataFrame, ranges: int) -> DataFrame:
 
 
 def fair_schedule(
-    docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, max_repeats: int = 3, digits: int = 3, packet: int = PACKET, ranges: int = 1024
+    docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, max_repeats: int = 3, digits: int = 3, packet: int = PACKET, ranges: int = 1024, carry: Sequence[str] = ()
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, takes, taken, virtual_finish.
 
     takes[e] is the words that the e-th pass over the source takes of the document; virtual_finish is that of
-    its first pass.
+    its first pass.  carry: further columns, which also order rows of one id and size.
     """
-    queued = queued_documents(docs, seed, cycle, max_repeats, digits)
+    queued = queued_documents(docs, seed, cycle, max_repeats, digits, carry)
     clock = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0))
     start = F.col("through") - F.col("size")
     places = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / packet), F.lit(1)).cast("int") - 1)
@@ -108,31 +111,31 @@ def fair_schedule(
         lambda p: (p["words"] > 0) & (clock(p["from"]) < 1.0),
     )
     packets = queued.withColumn("first_finish", clock(F.col("through"))).select("*", F.explode_outer(cut).alias("p")).select(
-        "doc_id", "source", "size", "source_size", "target", "budget", "through", "first_finish", "p.pass",
+        "doc_id", "source", "size", "source_size", "target", "budget", "through", "first_finish", *carry, "p.pass",
         F.coalesce("p.words", F.lit(0)).cast("long").alias("words"), F.coalesce(clock(F.col("p.from") + F.col("p.words")), F.lit(0.0)).alias("virtual_finish"),
     )
     sent = truncated(packets, ranges)
     per_pass = [F.coalesce(F.sum(F.when(F.col("pass") == e, F.col("taken"))), F.lit(0)).alias(f"take{e}") for e in range(max_repeats)]
     # Documents of no words can share a place in the queue: they come back as often as they went in.
     places = sent.groupBy("source", "through", "size", "doc_id").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.first("first_finish").alias("virtual_finish"), F.sum((F.col("size") == 0).cast("int")).alias("n"), F.sum("taken").alias("taken"), *per_pass)
+        F.first("first_finish").alias("virtual_finish"), F.sum((F.col("size") == 0).cast("int")).alias("n"), F.sum("taken").alias("taken"), *[F.first(c).alias(c) for c in carry], *per_pass)
     rows = places.withColumn("takes", F.array(*[f"take{e}" for e in range(max_repeats)])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "takes", "virtual_finish", "taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "takes", "virtual_finish", "taken", *carry)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last ones of a source cut to their words.
 
-    Rows of one id (or none) and one size follow one of their schedules.
+    Rows are numbered and written to the shared folder first, so that each follows its own schedule even where rows
+    repeat an id, a size or all they have.
     """
-    schedule = fair_schedule(docs, **how).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size").alias("mixed_size"), "takes")
-    taken = schedule.dropDuplicates(["mixed_id", "mixed_size"]).select(
-        "mixed_id", "mixed_size", F.explode(F.filter("takes", lambda n: n > 0)).alias("words")
-    )
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/mix-{uuid.uuid4().hex}"
+    docs.select("*", F.xxhash64(*docs.columns).alias("_tie"), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    schedule = fair_schedule(rows, carry=("_tie", "_row"), **how).where("taken > 0").select("_row", F.explode(F.filter("takes", lambda n: n > 0)).alias("_words"), F.col("size").alias("_size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = F.when(F.col("words") < F.col("mixed_size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (n_words(F.col("text")) == F.col("mixed_size")))
-    joined = joined.withColumn("text", kept)
+    kept = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
+    joined = rows.join(schedule, "_row").withColumn("text", kept)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)

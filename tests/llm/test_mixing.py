@@ -85,6 +85,16 @@ def test_mixed_documents_follow_the_schedule(spark):
     assert got == want
 
 
+def test_rows_of_one_id_and_size_follow_their_own_schedules(spark):
+    rows = [(1, " ".join(f"{s}{i}w{k}" for k in range(100)), "en", s, 0) for s in "ab" for i in range(20)] + [(1, " ".join(["b"] * 100), "en", "b", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r.source] += len(r.text.split())
+    targets = brute_targets({"a": 2000, "b": 2300})
+    assert sum(taken.values()) == 4300 and all(abs(taken[s] - targets[s]) <= mixing.PACKET for s in "ab")
+
+
 def test_empty_ties_and_repeats(spark):
     assert mixing.fair_schedule(documents(spark, [])).count() == 0
     same = [(1, "a b", "en", "s", 3, "x")] * 4 + [(2, None, None, None, None, None), (None, "x", "en", "s", 1, "x")]
