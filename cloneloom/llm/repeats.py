@@ -8,8 +8,8 @@ hash among its token grams; consecutive windows with one minimiser form a run.
 2. A bucket tells each block which of its minimisers occur in two documents or more: no other run can hold a
    repeated window.
 3. A block sends every different run with such a minimiser, once and with its smallest document, as a packed
-   string to the minimiser's text bucket.  Runs of a minimiser that is ``hot`` (in very many documents) are
-   sent as single windows, dealt by their own content: no key holds more than its different windows, and a
+   string to the minimiser's text bucket.  Runs of a minimiser that is ``hot`` (in very many documents, or with very
+   long runs) are sent as single windows, dealt by their own content: no key holds more than its different windows, and a
    block sends each of those once.
 4. A text bucket finds equal windows exactly (the part in which the finders differ) and answers with the
    smallest document of each window.
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 WIDTH = 50
 BLOCK_BYTES, ANCHOR_BYTES, TEXT_BYTES = 6 << 20, 16 << 20, 2 << 20
-#: Documents of a minimiser beyond which its windows travel singly.
-HOT = 4000
+#: Documents of a minimiser, and tokens of its runs, beyond which its windows travel singly.  Tokens are counted from
+#: LONG of them in a block on, so what is not counted is under HOT x LONG.  Long runs repeat a few windows many times.
+HOT, HOT_TOKENS, LONG = 4000, 1 << 19, 1024
 #: Tokens that are hashed at a time; small, so that the arrays stay in a core's cache.
 PIECE = 1 << 15
 U = np.uint64
@@ -192,7 +193,7 @@ def _by(keys: np.ndarray):
 
 
 def anchors(finder: Finder, buckets: int):
-    """Step 1: kind 0, the minimisers of a block for a bucket: sorted, with their numbers of documents."""
+    """Step 1: kind 0, the minimisers of a block for a bucket: sorted, with their numbers of documents and of many tokens."""
 
     def run(rows: pa.Table) -> pa.Table:
         block = Block(rows, finder)
@@ -203,22 +204,24 @@ def anchors(finder: Finder, buckets: int):
         new = np.concatenate([[True], mini[1:] != mini[:-1]])
         other = new | np.concatenate([[True], doc[1:] != doc[:-1]])
         starts = np.flatnonzero(new)
+        tokens = np.add.reduceat(block.runs.n[order] + WIDTH - 1, starts)
         mini, count = mini[starts], np.add.reduceat(other.astype(np.int64), starts)
         number = rows.column("block")[0].as_py()
         out = []
         for bucket, at in _by(bucket_of(mini, buckets)):
-            more = np.flatnonzero(count[at] > 1)
-            out.append((number, bucket, 0, pack((mini[at] & U(0xFFFFFFFF)).astype(np.uint32), more.astype(np.uint32), count[at][more].astype(np.uint32))))
+            more, long = np.flatnonzero(count[at] > 1), np.flatnonzero(tokens[at] >= LONG)
+            names = (mini[at] & U(0xFFFFFFFF)).astype(np.uint32)
+            out.append((number, bucket, 0, pack(names, more.astype(np.uint32), count[at][more].astype(np.uint32), long.astype(np.uint32), tokens[at][long])))
         return _messages(out)
 
     return run
 
 
 def _anchor_lists(blob: bytes):
-    low, more, many = unpack(blob, np.uint32, np.uint32, np.uint32)
-    count = np.ones(len(low), np.int64)
-    count[more] = many
-    return low, count
+    low, more, many, long, sizes = unpack(blob, np.uint32, np.uint32, np.uint32, np.uint32, np.int64)
+    count, tokens = np.ones(len(low), np.int64), np.zeros(len(low), np.int64)
+    count[more], tokens[long] = many, sizes
+    return low, count, tokens
 
 
 def shared(hot: int):
@@ -227,14 +230,16 @@ def shared(hot: int):
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         lists = [_anchor_lists(x.as_py()) for x in rows.column("data")]
-        value, which = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate([c for _, c in lists]))
+        _, which = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
+        total, tokens = (np.bincount(which, weights=np.concatenate([x[k] for x in lists])) for k in (1, 2))
+        single = (total > hot) | (tokens > HOT_TOKENS)
         out, at = [], 0
-        for block, (low, _) in zip(rows.column("block").to_pylist(), lists):
-            mine = total[which[at : at + len(low)]]
+        for block, (low, *_) in zip(rows.column("block").to_pylist(), lists):
+            mine = which[at : at + len(low)]
             at += len(low)
-            if (mine > 1).any():
-                out.append((block, bucket, 1, pack(low[(mine > 1) & (mine <= hot)], low[mine > hot])))
+            many, alone = total[mine] > 1, single[mine]
+            if many.any():
+                out.append((block, bucket, 1, pack(low[many & ~alone], low[many & alone])))
         return _messages(out)
 
     return run

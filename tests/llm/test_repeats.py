@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cloneloom.llm import repeats, substrings, suffixes
@@ -40,6 +41,34 @@ def test_words_and_bytes_equal_brute_force(documents, by_id, monkeypatch, hot, s
     assert got == want and any(x[1] for x in want.values())
 
 
+def by_bucket(messages):
+    column = messages.column("bucket").to_numpy()
+    return [messages.filter(pa.array(column == b)) for b in np.unique(column)]
+
+
+def test_long_runs_travel_as_single_windows(spark):
+    """Texts of one byte or word, of different lengths: their long runs are few windows."""
+    for finder, texts in ((suffixes.FINDER, ["a" * (200_000 - 7 * i) for i in range(8)]), (substrings.FINDER, ["w " * (60_000 - 7 * i) for i in range(10)])):
+        rows = pa.table({"doc_id": list(range(len(texts))), "text": texts, "block": [0] * len(texts)})
+        told = pa.concat_tables(repeats.shared(repeats.HOT)(part) for part in by_bucket(repeats.anchors(finder, 4)(rows)))
+        sent = repeats.send(finder, 4, 64)(rows, told)
+        assert sum(len(x.as_py()) for x in sent.column("data")) < 2000
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        find = suffixes.suffix_dedup if finder is suffixes.FINDER else substrings.substring_dedup
+        assert sorted((r.doc_id, r.n_removed) for r in find(docs).collect()) == [(i, len(t) if finder is suffixes.FINDER else len(t.split())) if i else (0, 0) for i, t in enumerate(texts)]
+
+
+def test_a_text_of_megabytes(spark):
+    draw = np.random.default_rng(9)
+    long = " ".join(f"w{x}" for x in draw.integers(0, 5000, 400_000))  # some 2.3 MB
+    words = long.split()
+    docs = spark.createDataFrame([(1, long), (2, "other words come first " * 3 + " ".join(words[1000:1200])), (3, long[5000:1_000_000])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.substring_dedup(docs).collect()}
+    assert got[1] == (400_000, 0) and got[2] == (212, 200) and got[3][0] - got[3][1] <= 2
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.suffix_dedup(docs).collect()}
+    assert got[1][1] == 0 and got[3] == (995_000, 995_000) and got[2][1] >= len(" ".join(words[1000:1200]))
+
+
 def test_empty_null_ids_and_repeated_ids(spark, texts):
     schema = "doc_id long, text string"
     assert suffixes.suffix_dedup(spark.createDataFrame([], schema)).count() == 0
