@@ -33,6 +33,8 @@ from cloneloom.llm.components import components, local_stars
 MAX_PIVOTS, PER_CELL = 1024, 3000
 HOME_CHUNK, OTHER_CHUNK, BLOCK = 3072, 8192, 512
 SLACK = 1e-9
+#: More than the rounding of a squared distance that is taken from products.
+ROUNDING = 1e-12
 TASK = "task long, home boolean, rep long, mult long, vec binary"
 
 
@@ -62,13 +64,20 @@ def _units(vecs: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit pivots from their products, none of them too small."""
+    return np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0) + ROUNDING)
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each vector, and for each cell whether the vector is in it (home or near its border)."""
-    near = x @ pivots.T
-    home = near.argmax(axis=1)
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
-    gap = near[np.arange(len(x)), home][:, None] - near
-    return home, gap <= (radius + SLACK) * apart[home] + SLACK
+    home, member = np.empty(len(x), np.int64), np.empty((len(x), len(pivots)), bool)
+    for k in range(0, len(x), BLOCK):
+        near = x[k : k + BLOCK] @ pivots.T
+        own = near.argmax(axis=1)
+        gap = near[np.arange(len(near)), own][:, None] - near
+        home[k : k + BLOCK], member[k : k + BLOCK] = own, gap <= (radius + SLACK) * apart[own] + SLACK
+    return home, member
 
 
 def _dealt(batches, pivots: dict[int, tuple[int, np.ndarray]], radius: float, pops: dict[int, tuple[int, int]] | None):
@@ -76,12 +85,13 @@ def _dealt(batches, pivots: dict[int, tuple[int, np.ndarray]], radius: float, po
 
     pivots: by length of vector, the number of its first cell and its pivots.
     """
+    apart = {dim: _apart(p) for dim, (_, p) in pivots.items()}
     for batch in batches:
         rep, mult = batch.column("rep").to_numpy(), batch.column("mult").to_numpy()
         tasks, homes, picks = [], [], []
         for dim, (at, x) in _units(batch.column("vec")).items():
             first, p = pivots.get(dim, (-dim, x[:1] * 0))
-            home, member = _cells(x, p, radius) if dim in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
+            home, member = _cells(x, p, apart[dim], radius) if dim in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
             for cell in range(member.shape[1]):
                 here = np.flatnonzero(member[:, cell])
                 if not len(here):

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 import xxhash
@@ -102,6 +104,20 @@ def test_vectors_equal_brute_force(spark, monkeypatch, per_cell):
     assert max(n) > 3
 
 
+def test_many_pivots_take_little_memory():
+    draw = np.random.default_rng(1)
+    unit = lambda n: (x := draw.normal(size=(n, 768))) / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, x = unit(1024), unit(3000)
+    tracemalloc.start()
+    home, member = vectors._cells(x, pivots, vectors._apart(pivots), 0.1)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert (home == (x @ pivots.T).argmax(axis=1)).all() and member[np.arange(3000), home].all()
+    short = pivots[:, :64] / np.linalg.norm(pivots[:, :64], axis=1, keepdims=True)
+    exact = np.linalg.norm(short[:, None] - short[None], axis=2)
+    assert (vectors._apart(short) >= exact - 1e-15).all() and np.allclose(vectors._apart(short), exact, atol=2e-6)
+
+
 def test_vectors_empty_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>"
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
