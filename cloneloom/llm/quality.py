@@ -11,6 +11,7 @@ rows are measured each; an empty table gives an empty ledger; other columns pass
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,18 +120,17 @@ def kept(policy: str = CURRENT) -> F.Column:
     return F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail it alone, and that would stay without it."""
-    whole = mask(policy)
-    names = [(i, n) for i, n in enumerate(RULES) if whole >> i & 1]
-    under = F.col("failed").bitwiseAND(F.lit(whole))
-    counts = rows.agg(
-        F.count("*").alias("n_docs"),
-        F.sum((under == 0).cast("long")).alias("n_kept"),
-        *[F.sum(F.expr(f"cast(failed >> {i} & 1 as bigint)")).alias(f"f{i}") for i, _ in names],
-        *[F.sum((under == (1 << i)).cast("long")).alias(f"a{i}") for i, _ in names],
-    )
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"f{i}").alias("n_failed"), F.col(f"a{i}").alias("n_failed_alone")) for i, n in names]))
-    return counts.select("n_docs", "n_kept", each.alias("x")).select(
-        F.lit(policy).alias("policy"), "x.rule", "x.n_failed", "x.n_failed_alone", "n_docs", (F.col("n_kept") + F.col("x.n_failed_alone")).alias("n_kept_without")
+def ablation(rows: DataFrame, policies: Sequence[str] = (CURRENT,)) -> DataFrame:
+    """For each rule of each policy: documents that fail it, that fail it alone, and that would stay without it; one pass over the ledger."""
+    sums, each = [F.count("*").alias("n_docs")], []
+    for p, policy in enumerate(policies):
+        whole = mask(policy)
+        under = F.col("failed").bitwiseAND(F.lit(whole))
+        sums.append(F.sum((under == 0).cast("long")).alias(f"kept{p}"))
+        for i, rule in enumerate(RULES):
+            if whole >> i & 1:
+                sums += [F.sum(F.expr(f"cast(failed >> {i} & 1 as bigint)")).alias(f"failed{p}_{i}"), F.sum((under == (1 << i)).cast("long")).alias(f"alone{p}_{i}")]
+                each.append(F.struct(F.lit(policy).alias("policy"), F.lit(rule).alias("rule"), F.col(f"failed{p}_{i}").alias("n_failed"), F.col(f"alone{p}_{i}").alias("n_failed_alone"), F.col(f"kept{p}").alias("n_kept")))
+    return rows.agg(*sums).select("n_docs", F.inline(F.array(*each))).select(
+        "policy", "rule", "n_failed", "n_failed_alone", "n_docs", (F.col("n_kept") + F.col("n_failed_alone")).alias("n_kept_without")
     )

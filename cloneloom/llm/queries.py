@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +43,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy costs, from the bits of one ledger."""
-    rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("failed")
-    parts = [quality.ablation(rows, policy) for policy in quality.POLICIES]
-    return reduce(DataFrame.unionByName, parts)
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents").select("text")).select("failed"), list(quality.POLICIES))
 
 
 def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +54,9 @@ def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
-    records = warc.read_warc(spark, path).where("kind = 'record'")
+    # Bytes that hold no record would be lost pages: the query fails rather than leave them out.
+    lost = F.raise_error(F.concat(F.lit("no record in bytes of "), F.col("path"))).cast("boolean")
+    records = warc.read_warc(spark, path).where(F.when(F.col("kind") == "record", True).otherwise(lost))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

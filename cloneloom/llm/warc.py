@@ -41,7 +41,8 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 VERSION_LINE = re.compile(rb"(?<=\n)WARC/1\.[01]\r\n")
 #: Bytes of a damaged member between places that are known both packed and unpacked.
 MARK = 64
-RECORDS_PER_FILE = 2000
+#: Records in an archive, and bytes of their payloads.
+RECORDS_PER_FILE, FILE_BYTES = 2000, 1 << 29
 #: The highest byte of a member's length, which ends it, is zero below 16 MB; an empty member ends in zeros always.
 MEMBER_END, EMPTY_MEMBER = "\0", gzip.compress(b"", mtime=0)
 FOUND = (
@@ -106,16 +107,27 @@ def _members(records: F.Column) -> F.Column:
 
 
 def write_warc(pages: DataFrame, path: str, compression: str = "none", min_revisit: int = 1000) -> None:
-    """Archives of at most RECORDS_PER_FILE records: plain ('none') or with a gzip member per record ('gzip')."""
+    """Archives of at most RECORDS_PER_FILE records: plain ('none') or with a gzip member per record ('gzip').
+
+    Pages of which so many would pass FILE_BYTES are written apart, by sizes up to a power of two, so many to a file as fit.
+    """
     if compression not in ("none", "gzip"):
         raise ValueError(f"compression {compression}")
     record = as_record()
     value = record if compression == "none" else _members(record).cast("string")  # the sink writes the bytes as they are
-    (
-        plan_records(pages, min_revisit).select(value.alias("value")).write.mode("overwrite")
-        .option("lineSep", SEPARATOR if compression == "none" else MEMBER_END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .text(path)
-    )
+    least = max(0, (FILE_BYTES // RECORDS_PER_FILE).bit_length() - 1)
+    octets = F.coalesce(F.octet_length("html"), F.lit(0))
+    power = F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(octets, F.lit(1)))).cast("int"))
+    powers = [r[0] for r in pages.select(power.alias("power")).distinct().orderBy("power").collect()] or [least]  # 31 at most
+    rows = plan_records(pages, min_revisit)
+    for i, p in enumerate(powers):
+        octets = F.greatest("payload_bytes", F.lit(1))
+        some = rows.where(F.greatest(F.lit(least), F.ceil(F.log2(octets)).cast("int")) == p) if len(powers) > 1 else rows
+        (
+            some.select(value.alias("value")).write.mode("append" if i else "overwrite")
+            .option("lineSep", SEPARATOR if compression == "none" else MEMBER_END).option("maxRecordsPerFile", min(RECORDS_PER_FILE, max(1, FILE_BYTES >> p)))
+            .text(path)
+        )
 
 
 def _headers(block: bytes) -> dict[str, str]:

@@ -1,9 +1,12 @@
 import gzip
 import hashlib
+import pathlib
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from cloneloom.llm import warc
+from cloneloom.llm import queries, warc
 
 
 def record(n, block=b"<p>hello</p>", digest=None):
@@ -153,3 +156,23 @@ def test_one_damaged_member_of_many_records():
     packed[len(packed) // 2] ^= 255
     found = ids(bytes(packed))
     assert found[:400] == list(range(400)) and gaps(bytes(packed))
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 64)
+    draw = random.Random(1)
+    rows = [(i, "u", "".join(chr(draw.randrange(32, 127)) for _ in range(draw.choice([0, 10, 900, 20_000, 60_000])))) for i in range(60)] + [(99, "u", "x" * 150_000)]
+    path = str(tmp_path / compression)
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, compression)
+    sizes = [f.stat().st_size for f in pathlib.Path(path).glob("part-*")]
+    assert len(sizes) > 10 and sorted(sizes)[-2] < (1 << 16) + 64 * 700
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_warc(spark, path).where("kind = 'record'").collect()} == {(i, len(t)) for i, _, t in rows}
+
+
+def test_lost_pages_fail_the_query(spark, monkeypatch):
+    whole = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda spark, path: whole(spark, path).withColumn("kind", F.when(F.col("page_id") == 3, "gap").otherwise(F.col("kind"))))
+    with pytest.raises(Exception, match="no record in bytes of"):
+        queries.op10_warc(spark, "/root/testdata/sf0.001").collect()
