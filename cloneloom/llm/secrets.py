@@ -373,8 +373,11 @@ def train(ids: np.ndarray, gold: np.ndarray, rounds: int = ROUNDS, l2: float = 1
     """The field of greatest penalised likelihood for windows that stand between tokens outside."""
     n, length, groups = ids.shape
     # Equal tokens in equal places are added up once.
-    kinds, which = np.unique(ids.reshape(-1, groups), axis=0, return_inverse=True)
-    which, columns = which.ravel(), np.ascontiguousarray(kinds.T)
+    raw, width = np.ascontiguousarray(ids).tobytes(), groups * ids.itemsize
+    seen: dict[bytes, int] = {}
+    which = np.fromiter((seen.setdefault(raw[i : i + width], len(seen)) for i in range(0, len(raw), width)), np.int64, n * length)
+    kinds = np.frombuffer(b"".join(seen), ids.dtype).reshape(-1, groups)
+    columns = np.ascontiguousarray(kinds.T)
     weights, moves = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     rows, flat = n * length, gold.ravel()
@@ -384,8 +387,8 @@ def train(ids: np.ndarray, gold: np.ndarray, rounds: int = ROUNDS, l2: float = 1
     np.add.at(wanted, (gold[:, -1], np.full(n, O)), 1)
     for t in range(1, rounds + 1):
         move = np.exp(_allowed(moves))
-        s = sum(weights[c] for c in columns)[which].reshape(n, length, 3).transpose(1, 0, 2)
-        e = np.exp(s - s.max(axis=2, keepdims=True))
+        s = sum(weights[c] for c in columns)
+        e = np.exp(s - np.maximum(np.maximum(s[:, 0], s[:, 1]), s[:, 2])[:, None])[which].reshape(n, length, 3).transpose(1, 0, 2).copy()
         forward, backward, scale = np.empty_like(e), np.empty_like(e), np.empty((length, n, 1))
         last = np.repeat(np.eye(3)[[O]], n, axis=0)
         for k in range(length):
@@ -396,10 +399,11 @@ def train(ids: np.ndarray, gold: np.ndarray, rounds: int = ROUNDS, l2: float = 1
         for k in range(length - 1, -1, -1):
             backward[k] = last
             last = ((e[k] * last) @ move.T) / scale[k]
-        slope = forward * backward
-        slope /= slope.sum(axis=2, keepdims=True)
-        both = forward[:-1, :, :, None] * move * (e[1:] * backward[1:])[:, :, None, :]
-        moved = (both / both.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1)) - wanted
+        # The scaled products sum up to the same whole at every place of a window.
+        whole = forward[-1] @ move[:, O, None]
+        slope = forward * (backward / whole)
+        ahead = e[1:] * backward[1:] / (scale[1:] * whole)
+        moved = move * (forward[:-1].reshape(-1, 3).T @ ahead.reshape(-1, 3)) - wanted
         moved[O] += slope[0].sum(axis=0)
         moved[:, O] += slope[-1].sum(axis=0)
         slope = slope.transpose(1, 0, 2).reshape(-1, 3).copy()
