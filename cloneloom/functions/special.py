@@ -135,6 +135,79 @@ def ks_asymptotic(d, n, m) -> np.ndarray:
     return np.where(x < 0.2, 1.0, np.clip(tail, 0, 1))
 
 
+def _log_binomial(x, n, p) -> np.ndarray:
+    """ln of the binomial probability of x, with the large parts cancelled on paper."""
+    with np.errstate(all="ignore"):
+        apart = lambda k, mean: -k * _log1p_less((mean - k) / k)
+        inner = _stirling(n) - _stirling(x) - _stirling(n - x) - apart(x, n * p) - apart(n - x, n * (1 - p)) + 0.5 * np.log(n / (2 * math.pi * x * (n - x)))
+        edge = np.where(n == 0, 0.0, np.where(x == 0, n * np.log1p(-p), n * np.log(p)))
+    return np.where((x == 0) | (x == n), edge, inner)
+
+
+def _log_hypergeometric(k, r, c, n) -> np.ndarray:
+    """ln of the probability that k of a draw of r are among the c marked ones of n; both c and n - c are above zero."""
+    p = r / n
+    return _log_binomial(k, c, p) + _log_binomial(r - k, n - c, p) - _log_binomial(r, n, p)
+
+
+def _tail(k, r, c, n, step: int, width: int = 128) -> np.ndarray:
+    """Sum of the probabilities from k on, up (step 1) or down (-1), until a term no longer counts."""
+    end = np.where(step > 0, np.minimum(r, c), np.maximum(0, r + c - n))
+    total = np.zeros(len(k))
+    todo = np.flatnonzero((end - k) * step >= 0)
+    term, k = np.exp(_log_hypergeometric(k, r, c, n)), k.copy()
+    while len(todo):
+        at = k[todo, None] + step * np.arange(width)
+        a, b, m = r[todo, None], c[todo, None], n[todo, None]
+        ratio = (a - at) * (b - at) / ((at + 1) * (m - a - b + at + 1)) if step > 0 else at * (m - a - b + at) / ((a - at + 1) * (b - at + 1))
+        ratio = np.where((end[todo, None] - at) * step > 0, ratio, 0.0)
+        terms = term[todo, None] * np.cumprod(np.concatenate([np.ones((len(todo), 1)), ratio], axis=1), axis=1)
+        total[todo] += terms[:, :-1].sum(axis=1)
+        term[todo], k[todo] = terms[:, -1], k[todo] + step * width
+        todo = todo[terms[:, -1] > EPS * 1e-3 * total[todo]]
+    return total
+
+
+def fisher_two_sided(a, b, c, d) -> np.ndarray:
+    """Sum of the hypergeometric probabilities that are not above the table's own.
+
+    Probabilities rise up to the mode and fall from there, so they are two tails: one from the table's own cell, one from
+    the first cell beyond the mode that is no likelier, found by bisection.  Both are summed outwards by their ratios.
+    """
+    cells, back = np.unique(np.stack([np.asarray(x, float) for x in (a, b, c, d)], axis=1), axis=0, return_inverse=True)
+    a, r, c, n = cells[:, 0], cells[:, 0] + cells[:, 1], cells[:, 0] + cells[:, 2], cells.sum(axis=1)
+    out = np.ones(len(cells))
+    low, high = np.maximum(0, r + c - n), np.minimum(r, c)
+    open_ = np.flatnonzero(low < high)  # else there is one table only
+    a, r, c, n, low, high = (x[open_] for x in (a, r, c, n, low, high))
+    own = _log_hypergeometric(a, r, c, n)
+    mode = np.clip(np.floor((r + 1) * (c + 1) / (n + 2)), low, high)
+    under = a < mode
+    step = np.where(under, 1.0, -1.0)
+    # near: no likelier cells are beyond it; far: the last cell that can be one.
+    near, far = mode.copy(), np.where(under, high, low) + step
+    while (np.abs(far - near) > 1).any():
+        middle = np.floor((near + far) / 2)
+        likelier = _log_hypergeometric(middle, r, c, n) > own + 1e-7
+        near, far = np.where(likelier, middle, near), np.where(likelier, far, middle)
+    whole = _log_hypergeometric(mode, r, c, n) <= own + 1e-7
+    p = np.empty(len(a))
+    for mask, s in ((under, 1), (~under, -1)):
+        x = [v[mask] for v in (r, c, n)]
+        p[mask] = _tail(a[mask], *x, -s) + _tail(far[mask], *x, s)
+    out[open_] = np.where(whole, 1.0, np.minimum(p, 1.0))
+    return out[back.ravel()]
+
+
+@F.pandas_udf(T.DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    cells = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
+    known = cells.notna().all(axis=1).to_numpy()
+    out = np.full(len(cells), np.nan)
+    out[known] = fisher_two_sided(*cells[known].to_numpy(float).T)
+    return pd.Series(out).where(known, None)
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(normal_two_sided(z))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.operators.associations import correlation_matrix
-from cloneloom.operators.relational import with_sum
+from cloneloom.operators.relational import places, with_sum
 from cloneloom.operators.repertoire import feature_profile
 from cloneloom.operators.stats import no_outlier_mean
 
@@ -175,7 +175,9 @@ def matrix_order(cells: DataFrame, row: str, column: str, value: str, by: str =
     f = {"max": F.max, "mean": F.avg}[by]
 
     def placed(c: str) -> DataFrame:
-        return cells.groupBy(c).agg(f(value).alias("_v")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("_v"), c))).drop("_v")
+        # Values as a column of their own order: places cuts it into ranges.
+        order = F.struct((-F.col("_v")).alias("v"), F.col(c).alias("name"))
+        return places(cells.groupBy(c).agg(f(value).cast("double").alias("_v")).withColumn("_order", order), "_order", "place").select(c, "place")
 
     return placed(row), placed(column)
 

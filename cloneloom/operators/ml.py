@@ -111,11 +111,11 @@ def permuted_labels(df: DataFrame, key: str, label: str, n_perms: int, seed: int
 
 
 def permutation_p(real: DataFrame, shuffled: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
-    """(1 + shuffles at least as large) / (1 + shuffles) per key."""
+    """(1 + shuffles at least as large) / (1 + shuffles) per key (R6, R8); shuffles without a statistic count as none."""
     on = list(keys)
     a = real.withColumnRenamed(stat, "_real")
     joined = a.join(shuffled, on) if on else a.crossJoin(shuffled)
-    return joined.groupBy(*on, "_real").agg(((1 + F.sum((F.col(stat) >= F.col("_real")).cast("int"))) / (1 + F.count("*"))).alias("p"), F.count("*").alias("n_perms")).withColumnRenamed("_real", stat)
+    return joined.groupBy(*on, "_real").agg(((1 + F.coalesce(F.sum((F.col(stat) >= F.col("_real")).cast("int")), F.lit(0))) / (1 + F.count(stat))).alias("p"), F.count(stat).alias("n_perms")).withColumnRenamed("_real", stat)
 
 
 def adaptive_auc_p(df: DataFrame, key: str, y: str, score: str, seed: int, screen: int = SCREEN, full: int = FULL, below: float = 0.02) -> DataFrame:

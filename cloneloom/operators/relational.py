@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -44,21 +44,23 @@ def _place(cuts: Sequence, value: Column) -> Column:
     if not cuts:
         return F.lit(0)
     below = lambda some: F.size(F.filter(some, lambda c: c < value))
-    steps = [F.array(*map(F.lit, cuts[i : i + 16])) for i in range(0, len(cuts), 16)]
+    lit = lambda c: F.struct(*[F.lit(x).alias(n) for n, x in c.asDict().items()]) if isinstance(c, Row) else F.lit(c)
+    steps = [F.array(*map(lit, cuts[i : i + 16])) for i in range(0, len(cuts), 16)]
     if len(steps) == 1:
         return below(steps[0])
-    coarse = below(F.array(*map(F.lit, cuts[16::16])))
+    coarse = below(F.array(*map(lit, cuts[16::16])))
     return coarse * 16 + below(F.element_at(F.array(*steps), coarse + 1))
 
 
 def places(df: DataFrame, order: str, out: str, by: Sequence[str] = (), sample: int = 4096) -> DataFrame:
-    """df with the place (1..) of each row in the order of a column of any type, in groups (by) that share one order of magnitude of rows.
+    """df with the place (1..) of each row in the order of a column of any type (a struct for several), in groups (by) that share one order of magnitude of rows.
 
     Cut points come from a sample of ``sample`` rows; rows are counted within the ranges between them, each from the
     number of rows in those before it, so no task gathers a group.
     """
-    seen = sorted(r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(sample).collect())
-    cuts = sorted({seen[len(seen) * i // BUCKETS] for i in range(1, BUCKETS)}) if seen else []
+    nulls_first = lambda x: tuple((y is not None, y) for y in x) if isinstance(x, Row) else x
+    seen = sorted((r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(sample).collect()), key=nulls_first)
+    cuts = sorted({seen[len(seen) * i // BUCKETS] for i in range(1, BUCKETS)}, key=nulls_first) if seen else []
     rows = df.withColumn("_range", _place(cuts, F.col(order)))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import share_within, with_sum
+from cloneloom.operators.relational import places, share_within, with_sum
 
 
 def clone_shares(df: DataFrame, sample: str, clone: str, weight: str) -> DataFrame:
@@ -225,7 +225,7 @@ def pairs_within(cells: DataFrame, sample: str, key: str, values: Sequence[str]
 def sample_rarefaction(cells: DataFrame, sample: str, sequence: str, sizes: Sequence[int], seed: int) -> DataFrame:
     """Sequences, public share and sharing among the first k samples of a seeded order."""
     order = cells.select(sample).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample).cast("string")).cast("binary")))
-    order = order.withColumn("_at", F.row_number().over(Window.orderBy("_h", sample))).where(F.col("_at") <= max(sizes))
+    order = places(order, "_h", "_at").where(F.col("_at") <= max(sizes))
     ks = F.filter(F.array(*map(F.lit, sizes)), lambda k: k >= F.col("_at"))
     rows = cells.select(sample, sequence).distinct().join(order, sample).withColumn("k", F.explode(ks))
     per = rows.groupBy("k", sequence).agg(F.count("*").alias("n"))

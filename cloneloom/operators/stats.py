@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.functions import special
-from cloneloom.operators.relational import corr, ranked, running
-from cloneloom.operators.repertoire import log_gamma
+from cloneloom.operators.relational import corr, ranked, running, with_sum
 
 
 def correlations(df: DataFrame, by: Sequence[str], x: str, y: str, method: str = "pearson") -> DataFrame:
@@ -88,8 +87,9 @@ def chi_square(df: DataFrame, by: Sequence[str], row: str, column: str, yates: b
     Cells that never occur count with their expectation: their sum is n minus that of the cells that do.
     """
     cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, row, column).agg(F.count("*").alias("_o"))
-    total = lambda *keys: F.sum("_o").over(Window.partitionBy(*by, *keys))
-    cells = cells.withColumn("_r", total(row)).withColumn("_c", total(column)).withColumn("_n", total()).withColumn("_e", F.col("_r") * F.col("_c") / F.col("_n"))
+    for keys, out in (([row], "_r"), ([column], "_c"), ([], "_n")):
+        cells = with_sum(cells, [*by, *keys], F.sum("_o"), out)
+    cells = cells.withColumn("_e", F.col("_r") * F.col("_c") / F.col("_n"))
     sizes = cells.groupBy(*by).agg(
         F.count_distinct(row).alias("rows"), F.count_distinct(column).alias("columns"), F.first("_n").alias("n"), F.count("*").alias("_k"),
         F.sum((F.col("_o") - F.col("_e")) ** 2 / F.col("_e")).alias("_x"), F.sum("_e").alias("_seen"),
@@ -112,16 +112,8 @@ def fisher_exact(tables: DataFrame, a: str, b: str, c: str, d: str, p: str = "p"
     p sums the hypergeometric probabilities that are not above the table's own.  An undefined ratio is 999999.
     """
     A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
-    rows = tables.withColumn("_r", A + B).withColumn("_c", A + C).withColumn("_n", A + B + C + D)
-    low, high = F.greatest(F.lit(0).cast("long"), F.col("_r") + F.col("_c") - F.col("_n")), F.least("_r", "_c")
-    lg = lambda x: log_gamma(x + 1)
-    fixed = lg(F.col("_r")) + lg(F.col("_n") - F.col("_r")) + lg(F.col("_c")) + lg(F.col("_n") - F.col("_c")) - lg(F.col("_n"))
-    rows = rows.withColumn("_fixed", fixed).withColumn("_ks", F.sequence(low, high))
-    term = lambda k: F.exp(F.col("_fixed") - lg(k) - lg(F.col("_r") - k) - lg(F.col("_c") - k) - lg(F.col("_n") - F.col("_r") - F.col("_c") + k))
-    rows = rows.withColumn("_own", term(A)).withColumn("_terms", F.transform("_ks", term))
-    total = F.aggregate(F.filter("_terms", lambda t: t <= F.col("_own") * (1 + 1e-7)), F.lit(0.0), lambda s, t: s + t)
     ratio = F.coalesce(F.try_divide((A * D).cast("double"), (B * C).cast("double")), F.lit(999999.0))
-    return rows.withColumn(p, F.least(total, F.lit(1.0))).withColumn("odds_ratio", ratio).drop("_r", "_c", "_n", "_fixed", "_ks", "_own", "_terms")
+    return tables.withColumn(p, special.fisher_p(A, B, C, D)).withColumn("odds_ratio", ratio)
 
 
 def odds_ratio_ci(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
@@ -186,9 +178,9 @@ def outlier_mask(df: DataFrame, columns: Sequence[str], sigmas: float, bounds: s
 
 def no_outlier_mean(df: DataFrame, by: Sequence[str], value: str, sigmas: float = 3, least: int = 3) -> DataFrame:
     """Mean without values beyond sigmas population deviations, where a group has more than ``least``."""
-    own = Window.partitionBy(*by)
-    m, s, n = F.avg(value).over(own), F.stddev_pop(value).over(own), F.count(value).over(own)
-    rows = df.withColumn("_in", (n <= least) | (s == 0) | (F.abs(F.col(value) - m) <= sigmas * s))
+    rows = with_sum(df, by, F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count(value).alias("n")), "_own")
+    m, s, n = (F.col(f"_own.{x}") for x in "msn")
+    rows = rows.withColumn("_in", (n <= least) | (s == 0) | (F.abs(F.col(value) - m) <= sigmas * s))
     return rows.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("_in"), F.col(value))), F.avg(value)).alias("mean"))
 
 
@@ -211,8 +203,10 @@ def residuals(df: DataFrame, y: str, x: str, fit_on: Column) -> DataFrame:
 def binary_association(cells: DataFrame, samples: DataFrame, sample: str, feature: str, value: str, group: str) -> DataFrame:
     """Each feature against a binary label: presence table, Fisher, Mann-Whitney on abundance with absent cells as 0 (ST13, ST14).
 
-    cells are sparse (sample, feature, value > 0); absent samples enter by arithmetic: they form the lowest tie.
+    cells are sparse (sample, feature, value > 0); absent samples enter by arithmetic: they form the lowest tie.  Samples
+    without a label take no part.
     """
+    samples = samples.where(F.col(group).isNotNull())
     sizes = samples.agg(F.sum(group).alias("_N1"), F.count(group).alias("_N"))
     present = cells.join(samples.select(sample, group), sample).where(F.col(value) > 0)
     own = Window.partitionBy(feature)

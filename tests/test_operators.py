@@ -44,6 +44,42 @@ def test_fisher_and_odds_ratio(spark):
     assert ci.ci_low == pytest.approx(math.exp(math.log(20) - half)) and ci.significant == (ci.ci_low > 1)
 
 
+def brute_fisher(a, b, c, d):
+    ways = lambda k: math.comb(a + b, k) * math.comb(c + d, a + c - k)
+    every = [ways(k) for k in range(max(0, a - d), min(a + b, a + c) + 1)]
+    return sum(w for w in every if w <= ways(a)) / sum(every)
+
+
+def test_fisher_of_all_small_tables_and_huge_ones():
+    cells = [(a, b, c, d) for a in range(7) for b in range(6) for c in range(7) for d in range(6)] + [(40, 3, 20, 90), (0, 900, 4, 100), (300, 280, 310, 300), (1, 1000, 1000, 1)]
+    got = special.fisher_two_sided(*zip(*cells))
+    assert got == pytest.approx([brute_fisher(*x) for x in cells], rel=1e-9, abs=1e-300)
+    huge = special.fisher_two_sided([50_000_000, 50_003_000], [50_000_000, 50_000_000], [50_000_000, 50_000_000], [50_000_000, 50_003_000])
+    z = 6000 / math.sqrt(200_006_000)  # so large that the normal approximation holds
+    assert huge[0] == 1 and huge[1] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_null_labels_take_no_part(spark):
+    cells = rows(spark, [(i, "f", float(i + 1)) for i in range(10)], "sample int, feature string, v double")
+    samples = rows(spark, [(i, 1 if i < 4 else 0 if i < 8 else None) for i in range(10)], "sample int, g int")
+    r = stats.binary_association(cells, samples, "sample", "feature", "v", "g").first()
+    assert (r.present1, r.absent1, r.present0, r.absent0, r.mean1, r.mean0, r.u1) == (4, 0, 4, 0, 2.5, 6.5, 0)
+    assert r.p_fisher == 1 and r.p_mw == pytest.approx(0.0303828, abs=1e-6)
+
+
+def test_shuffles_without_a_statistic_do_not_count(spark):
+    real, null = rows(spark, [("a", 2.0), ("b", 2.0)], "k string, s double"), rows(spark, [("a", 3.0), ("a", None), ("a", None), ("b", None)], "k string, s double")
+    assert {r.k: (r.p, r.n_perms) for r in ml.permutation_p(real, null, ["k"], "s").collect()} == {"a": (1.0, 1), "b": (1.0, 0)}
+
+
+def test_places_in_an_order_of_several_columns(spark):
+    draw = np.random.default_rng(4)
+    data = [(float(draw.integers(0, 5)) if draw.random() > 0.1 else None, f"n{i}") for i in range(500)]
+    df = rows(spark, data, "v double, name string").withColumn("o", F.struct("v", "name"))
+    got = {r["name"]: r.place for r in relational.places(df, "o", "place").collect()}
+    assert got == {n: i for i, (_, n) in enumerate(sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), 1)}
+
+
 def test_adjusted_p(spark):
     df = rows(spark, [(0.01,), (0.04,), (0.03,), (0.005,), (None,)], "p double")
     bh = {r.p: r.p_adjusted for r in stats.adjusted(df, "p", "bh").collect()}
