@@ -199,6 +199,25 @@ def fisher_two_sided(a, b, c, d) -> np.ndarray:
     return out[back.ravel()]
 
 
+def fisher_bounds(a, k1, k2, n) -> tuple[np.ndarray, np.ndarray]:
+    """Cells up to the first bound, or from the second on, are no likelier than a; k1 and k2 are the margins, n the whole."""
+    a, k1, k2, n = (np.asarray(x, float) for x in np.broadcast_arrays(a, k1, k2, n))
+    low, high = np.maximum(0, k1 + k2 - n), np.minimum(k1, k2)
+    mode = np.clip(np.floor((k1 + 1) * (k2 + 1) / (n + 2)), low, high)
+    with np.errstate(all="ignore"):
+        own = np.where(low < high, _log_hypergeometric(a, k1, k2, n), 0.0) + 1e-7
+        whole = (low == high) | (_log_hypergeometric(mode, k1, k2, n) <= own)
+        bounds = []
+        for end in (low - 1, high + 1):
+            near, far = mode, end  # likelier, and not
+            while (np.abs(near - far) > 1).any():
+                middle = np.floor((near + far) / 2)
+                likelier = _log_hypergeometric(middle, k1, k2, n) > own
+                near, far = np.where(likelier, middle, near), np.where(likelier, far, middle)
+            bounds.append(far)
+    return np.where(whole, high, bounds[0]).astype(np.int64), np.where(whole, low, bounds[1]).astype(np.int64)
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     cells = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloneloom.operators.blocks import pair_sums
 from cloneloom.operators.relational import corr, running
 from cloneloom.operators.repertoire import pairs_within
 
@@ -17,16 +18,16 @@ def all_pairs(rows: DataFrame, key: str, values: Sequence[str], chunk: int = 204
 
 
 def jaccard(cells: DataFrame, sample: str, feature: str) -> DataFrame:
-    """1 - shared / union for every pair of samples (CL9): shared features by an equi-join, the rest by counts."""
+    """1 - shared / union for every pair of samples (CL9): shared features in blocks of bits, the rest by counts."""
     rows = cells.select(sample, feature).distinct()
-    shared = pairs_within(rows, sample, feature).groupBy("sample1", "sample2").agg(F.count("*").alias("both"))
+    shared = pair_sums(rows, sample, feature).withColumnRenamed("total", "both")
     pairs = all_pairs(rows.groupBy(sample).agg(F.count("*").alias("t")), sample, ["t"]).join(shared, ["sample1", "sample2"], "left").na.fill({"both": 0})
     return pairs.select("sample1", "sample2", (1 - F.col("both") / (F.col("t1") + F.col("t2") - F.col("both"))).alias("dist"))
 
 
 def bray_curtis(cells: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
     """1 - 2 sum of minima / sum of both (CL9)."""
-    low = pairs_within(cells.withColumnRenamed(value, "v"), sample, feature, ["v"]).groupBy("sample1", "sample2").agg(F.sum(F.least("v1", "v2")).alias("low"))
+    low = pair_sums(cells.where(F.col(value) > 0), sample, feature, value).withColumnRenamed("total", "low")
     pairs = all_pairs(cells.groupBy(sample).agg(F.sum(value).alias("t")), sample, ["t"]).join(low, ["sample1", "sample2"], "left").na.fill({"low": 0.0})
     return pairs.select("sample1", "sample2", (1 - 2 * F.col("low") / (F.col("t1") + F.col("t2"))).alias("dist"))
 

@@ -204,7 +204,9 @@ def prevalent(cells: DataFrame, sequence: str, n_samples: int | Column, low: flo
 
 def shared_pairs(cells: DataFrame, sample: str, sequence: str) -> DataFrame:
     """(sample1, sample2, n_shared): sequences that two samples share (CL10)."""
-    return pairs_within(cells.select(sample, sequence).distinct(), sample, sequence).groupBy("sample1", "sample2").agg(F.count("*").alias("n_shared"))
+    from cloneloom.operators.blocks import pair_sums
+
+    return pair_sums(cells.select(sample, sequence).distinct(), sample, sequence).withColumnRenamed("total", "n_shared")
 
 
 def pairs_within(cells: DataFrame, sample: str, key: str, values: Sequence[str] = (), chunk: int = 1024) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from cloneloom.operators import cohort as C
 from cloneloom.operators import distance as D
 from cloneloom.operators import ml as L
-from cloneloom.operators import stats as S
-from cloneloom.plans.proxies import cohorts, sharing, table
+from cloneloom.plans.proxies import sharing, table
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.registry import query
 
@@ -116,24 +115,6 @@ def perm_auc(spark, d):
     return L.adaptive_auc_p(_scored(spark, d), "doc_id", "y", "score", 3)
 
 
-@query()
-def perm_fisher(spark, d):
-    """Smallest Fisher p of each feature among label permutations, against its own."""
-    cells = sharing(spark, d).withColumnRenamed("sequence", "feature")
-    groups = cohorts(spark, d)
-    sizes = groups.agg(F.sum("cohort").alias("N1"), F.count("*").alias("N"))
-
-    def tables(labels, keys):
-        n = cells.join(labels, "sample").groupBy(*keys, "feature").agg(F.sum("cohort").alias("a"), F.count("*").alias("k")).crossJoin(F.broadcast(sizes))
-        n = n.withColumn("b", F.col("N1") - F.col("a")).withColumn("c", F.col("k") - F.col("a")).withColumn("d", F.col("N") - F.col("N1") - F.col("c"))
-        # Many permutations give equal tables: each different one is tested once.
-        p = S.fisher_exact(n.select("a", "b", "c", "d").distinct(), "a", "b", "c", "d")
-        return n.join(p, ["a", "b", "c", "d"]).select(*keys, "feature", (-F.log10("p")).alias("score"))
-
-    shuffled = L.permuted_labels(groups, "sample", "cohort", L.FULL, 4)
-    return L.permutation_p(tables(groups, []), tables(shuffled, ["perm"]).select("feature", "score"), ["feature"], "score")
-
-
 @query("""WITH l AS (SELECT doc_id, f, v, quality FROM (SELECT doc_id, n_chars::DOUBLE AS chars, doc_id % 10 + 0.0::DOUBLE AS digit, length(lang) + doc_id % 3 + 0.0::DOUBLE AS odd FROM documents) UNPIVOT (v FOR f IN (chars, digit, odd)) JOIN labels USING (doc_id))
 SELECT f, round(corr(v, quality), 6) AS r FROM l GROUP BY 1 ORDER BY abs(corr(v, quality)) DESC, f LIMIT 2""")
 def select_k_best(spark, d):
