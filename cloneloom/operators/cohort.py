@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloneloom.operators.relational import places
+
+#: The finest cells of a nearest search, as a power of 2 of the limits.
+FINEST = 16
+
 
 def shared_dir(spark: SparkSession) -> None:
     """Sets the folder of spark.checkpoint.dir; a temporary one only for a session in one process (tests)."""
@@ -22,54 +28,104 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="cloneloom-"))
 
 
-def candidates(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
-    """(key, match, dist): every pool member in reach of each case; dist is the sum of squared differences over the limits."""
-    b = pool.select(F.col(key).alias("match"), *[F.col(c).alias(f"_{c}") for c in [*equal, *[n for n, _ in near]]])
-    on = [F.col(c) == F.col(f"_{c}") for c in equal] + [F.col(key) != F.col("match")]
-    a = cases
+def _points(pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
+    """Different places of a pool with their two smallest keys (k1, k2), so that a case that is in the pool itself finds another one."""
+    columns = [*equal, *[c for c, _ in near]]
+    known = pool.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (key, *columns)]))
+    least = known.groupBy(*columns).agg(F.min(key).alias("k1"))
+    if not columns:
+        return least.withColumn("k2", F.lit(None).cast(dict(pool.dtypes)[key]))
+    rest = known.withColumnsRenamed({c: f"_{c}" for c in (key, *columns)})
+    second = rest.join(least, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in columns]).where(F.col(f"_{key}") > F.col("k1")).groupBy(*columns).agg(F.min(f"_{key}").alias("k2"))
+    return least.join(second, columns, "left")
+
+
+def nearest_points(cases: DataFrame, points: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
+    """(key, match, dist, and _-names of the point's columns): the nearest point in reach of each case that has one.
+
+    An ordered search in rings: near columns are cut into cells of a fraction f of their limits, and a case meets the
+    points of its own and neighbouring cells.  What it finds within f is its nearest, for no nearer point is in another
+    cell; only cases that find nothing so near go on, with cells twice as wide, up to the limits themselves.  The first
+    fraction is such that a cell has about one point where points are densest.  dist is the sum of squared differences
+    over the limits; ties go to the smaller key (k1, or k2 for the case that is k1 itself).
+    """
+    spark = cases.sparkSession
+    shared_dir(spark)
+    equal, near = [*equal, *[c for c, most in near if most == 0]], [(c, most) for c, most in near if most > 0]
+    columns = [*equal, *[c for c, _ in near]]
+    points = points.withColumnsRenamed({c: f"_{c}" for c in columns})
+    cell = lambda c, most, f: F.floor(F.col(c) / (most * f))
+    fraction = 1.0
     if near:
-        # The first near column is cut into cells as wide as its limit; partners are in the same or a neighbouring cell.
-        name, limit = near[0]
-        a = cases.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(name) / limit) - 1, F.floor(F.col(name) / limit) + 1)))
-        b = b.withColumn("_cell_b", F.floor(F.col(f"_{name}") / limit))
-        on.insert(0, F.col("_cell") == F.col("_cell_b"))
-    joined = a.join(b, on)
-    for c, most in near:
-        joined = joined.where(F.abs(F.col(c) - F.col(f"_{c}")) <= most)
+        densest = points.groupBy(*[f"_{c}" for c in equal], *[cell(f"_{c}", most, 1.0).alias(f"_cell{i}") for i, (c, most) in enumerate(near)]).count().agg(F.max("count")).first()[0] or 1
+        fraction = 2.0 ** -min(FINEST, math.ceil(math.log2(densest) / len(near)))
+    left, found = cases.select(key, *columns), []
     dist = sum((((F.col(c) - F.col(f"_{c}")) / most) ** 2 for c, most in near), F.lit(0.0))
-    return joined.select(key, "match", dist.alias("dist"))
+    match = F.when(F.col(key) == F.col("k1"), F.col("k2")).otherwise(F.col("k1"))
+    while True:
+        a, b, on = left, points, [F.col(c) == F.col(f"_{c}") for c in equal]
+        for i, (c, most) in enumerate(near):
+            home = cell(c, most, fraction)
+            a = a.withColumn(f"_at{i}", F.explode(F.sequence(home - 1, home + 1)))
+            b = b.withColumn(f"_cell{i}", cell(f"_{c}", most, fraction))
+            on.append(F.col(f"_at{i}") == F.col(f"_cell{i}"))
+        met = (a.join(b, on) if on else a.crossJoin(F.broadcast(b))).withColumn("match", match).where("match is not null")  # without columns there is one point
+        for c, most in near:
+            met = met.where(F.abs(F.col(c) - F.col(f"_{c}")) <= most)
+        best = F.min(F.struct(dist.alias("dist"), "match", *[f"_{c}" for c in columns])).alias("b")
+        nearest = met.groupBy(key).agg(best).select(key, "b.match", "b.dist", *[f"b._{c}" for c in columns])
+        if fraction >= 1:
+            return reduce(DataFrame.unionByName, [*found, nearest])
+        # A little inside the ring, so that rounding decides nothing.
+        sure = nearest.where(F.col("dist") <= (fraction * (1 - 1e-6)) ** 2).checkpoint(eager=True)
+        found.append(sure)
+        left, fraction = left.join(sure.select(key), key, "left_anti").checkpoint(eager=True), fraction * 2
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def nearest_match(cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
     """For each case its nearest pool member, with replacement (J14, J15): equal columns agree, near columns differ at most so much.
 
-    Distance is the sum of squared differences over the limits; ties go to the smaller key.  Cases without a partner stay with null.
+    Distance is the sum of squared differences over the limits; ties go to the smaller key.  Cases without a partner, and
+    those with a null in a column that counts, stay with null.  Keys of cases are different.
     """
-    best = candidates(cases, pool, key, equal, near).groupBy(key).agg(F.min(F.struct("dist", "match")).alias("b"))
-    return cases.select(key).join(best, key, "left").select(key, F.col("b.match").alias("match"), F.sqrt("b.dist").alias("dist"))
+    best = nearest_points(cases, _points(pool, key, equal, near), key, equal, near)
+    return cases.select(key).join(best.select(key, "match", "dist"), key, "left").select(key, "match", F.sqrt("dist").alias("dist"))
 
 
 def greedy_match(
     cases: DataFrame, pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]], rounds: int | None = None, seed: int = 1
 ) -> DataFrame:
-    """Matching without replacement (J14): in each round every free case asks for its nearest free member and each member takes its nearest.
+    """Matching without replacement (J14): in each round every free case asks at its nearest place with free members, and these take the nearest askers.
 
-    Rounds go on until none of the free cases has a free member in reach; ``rounds`` stops earlier.  Ties go by a hash of
-    both keys and the seed, so equal cases ask different members and tied strata take few rounds.  Pairs in reach are found
-    once; what is left of them after a round is written to the checkpoint folder, where lineage ends.
+    Askers of a place are numbered by distance, ties by a hash of key and seed, its members by such a hash; equal numbers
+    are a match.  So a stratum of equal cases and members is matched in one round.  Rounds go on until no free case
+    has a free member in reach; ``rounds`` stops earlier.  Nothing holds the pairs in reach: a round's rows are those of
+    nearest_points.  What is free after a round is written to the checkpoint folder, where lineage ends.
     """
     shared_dir(cases.sparkSession)
-    left = candidates(cases, pool, key, equal, near).withColumn("_tie", F.xxhash64(F.lit(seed), key, "match")).checkpoint(eager=True)
-    first = lambda other: F.min(F.struct("dist", "_tie", F.col(other).alias("other"))).alias("b")
-    out = []
-    for _ in count() if rounds is None else range(rounds):
-        asks = left.groupBy(key).agg(first("match")).select(key, F.col("b.other").alias("match"), "b.dist", "b._tie")
-        won = asks.groupBy("match").agg(first(key)).select(F.col("b.other").alias(key), "match", F.sqrt("b.dist").alias("dist")).checkpoint(eager=True)
-        if won.isEmpty():
+    columns = [*equal, *[c for c, _ in near]]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (key, *columns)])
+    free, members, out = cases.select(key, *columns).where(known), pool.select(key, *columns).where(known), []
+    ends = [f"_{c}" for c in columns]
+    name = F.to_json(F.struct(*[F.col(e).alias(f"c{i}") for i, e in enumerate(ends)])) if ends else F.lit("")
+    for turn in count() if rounds is None else range(rounds):
+        asks = nearest_points(free, _points(members, key, equal, near), key, equal, near).withColumn("_place", name).checkpoint(eager=True)
+        if asks.isEmpty():
             break
+        # Draws differ from round to round, so a case that is in the pool and draws itself draws another one later.
+        by_case, by_member = ([F.xxhash64(F.lit(seed), F.lit(turn), F.lit(side), key).alias("draw"), F.col(key).alias("k")] for side in ("case", "member"))
+        askers = places(asks.withColumn("_order", F.struct("dist", *by_case)), "_order", "_number", ["_place"]).select(key, "dist", "_place", "_number")
+        asked = members.join(asks.select("_place", *ends).distinct(), reduce(Column.__and__, [F.col(c) == F.col(e) for c, e in zip(columns, ends)], F.lit(True)))
+        asked = places(asked.withColumn("_order", F.struct(*by_member)), "_order", "_number", ["_place"]).select(F.col(key).alias("match"), "_place", "_number")
+        won = askers.join(asked, ["_place", "_number"]).where(F.col(key) != F.col("match")).select(key, "match", F.sqrt("dist").alias("dist")).checkpoint(eager=True)
         out.append(won)
-        left = left.join(won.select(key), key, "left_anti").join(won.select("match"), "match", "left_anti").select(key, "match", "dist", "_tie").checkpoint(eager=True)
-    return reduce(DataFrame.unionByName, out) if out else left.select(key, "match", F.sqrt("dist").alias("dist")).limit(0)
+        free = free.join(won.select(key), key, "left_anti").checkpoint(eager=True)
+        members = members.join(won.select(F.col("match").alias(key)), key, "left_anti").checkpoint(eager=True)
+    if not out:
+        return cases.select(key, F.col(key).alias("match"), F.lit(0.0).alias("dist")).limit(0)
+    return reduce(DataFrame.unionByName, out)
 
 
 def matched_by_rules(cases: DataFrame, pool: DataFrame, key: str, rules: Sequence[tuple[str, str, float | None]], seed: int = 1) -> DataFrame:

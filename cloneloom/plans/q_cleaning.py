@@ -314,15 +314,17 @@ def cohort_match_rules(spark, d):
 @query("""WITH p AS (SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey::DOUBLE AS age FROM customer) SELECT 0::BIGINT AS n_unmatched_in_reach, 0::BIGINT AS n_repeated, 0::BIGINT AS n_out_of_reach""")
 def cohort_match_invariants(spark, d):
     """Of greedy matching: free cases with a free member in reach, members taken twice, pairs out of reach; none of them occurs."""
-    from cloneloom.operators.cohort import candidates, greedy_match
+    from cloneloom.operators.cohort import greedy_match, nearest_match
     from cloneloom.plans.q_models import _people
 
     rows = _people(spark, d)
     cases, pool = rows.where("c_custkey % 10 = 0"), rows.where("c_custkey % 10 > 0")
     how = ("c_custkey", ["c_mktsegment"], [("age", 3.0), ("c_acctbal", 800.0)])
     found = greedy_match(cases, pool, *how)
-    reach = candidates(cases, pool, *how)
-    free = reach.join(found.select("c_custkey"), "c_custkey", "left_anti").join(found.select("match"), "match", "left_anti").agg(F.count("*").alias("n_unmatched_in_reach"))
+    left, members = cases.join(found.select("c_custkey"), "c_custkey", "left_anti"), pool.join(found.select(F.col("match").alias("c_custkey")), "c_custkey", "left_anti")
+    free = nearest_match(left, members, *how).agg(F.count("match").alias("n_unmatched_in_reach"))
     twice = found.groupBy("match").count().where("count > 1").agg(F.count("*").alias("n_repeated"))
-    beyond = found.join(reach, ["c_custkey", "match"], "left_anti").agg(F.count("*").alias("n_out_of_reach"))
+    b = pool.select(F.col("c_custkey").alias("match"), F.col("c_mktsegment").alias("segment"), F.col("age").alias("age2"), F.col("c_acctbal").alias("balance"))
+    near = (F.col("c_mktsegment") == F.col("segment")) & (F.abs(F.col("age") - F.col("age2")) <= 3) & (F.abs(F.col("c_acctbal") - F.col("balance")) <= 800)
+    beyond = found.join(cases, "c_custkey").join(b, "match").agg(F.sum((~near).cast("long")).alias("n_out_of_reach"))
     return free.crossJoin(twice).crossJoin(beyond)  # one row each

@@ -57,6 +57,45 @@ def test_tails_by_known_values():
     assert special.t_two_sided([0.0, 40.0], [5, 5])[0] == pytest.approx(1) and special.f_upper([0.0], [3], [4])[0] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("near", [[("age", 3.0)], [("age", 3.0), ("bmi", 0.5)], [("age", 2.0), ("bmi", 1.0), ("crp", 40.0)], [("age", 0.0)], []])
+def test_nearest_match_equals_brute_force(spark, near):
+    draw = np.random.default_rng(len(near))
+    people = [(i, draw.choice(["m", "f", None], p=[0.5, 0.4, 0.1]), *(None if draw.random() < 0.03 else float(x) for x in (draw.integers(0, 12), draw.normal(), 1000 * draw.random() ** 6))) for i in range(300)]
+    people = [(int(i), None if s is None else str(s), *rest) for i, s, *rest in people]
+    df = spark.createDataFrame(people, "id long, sex string, age double, bmi double, crp double")
+    at = {"sex": 1, "age": 2, "bmi": 3, "crp": 4}
+    want = {}
+    for a in people[:90]:
+        best = None
+        for b in people[60:]:  # some cases are in the pool
+            if a[0] == b[0] or any(a[at[c]] is None or b[at[c]] is None for c in ("sex", *[n for n, _ in near])) or a[1] != b[1]:
+                continue
+            if all(abs(a[at[c]] - b[at[c]]) <= most for c, most in near):
+                dist = sum(((a[at[c]] - b[at[c]]) / most) ** 2 if most else 0 for c, most in near)
+                best = min(best or (dist, b[0]), (dist, b[0]))
+        want[a[0]] = best
+    got = {r.id: None if r.match is None else (r.dist**2, r.match) for r in cohort.nearest_match(df.where("id < 90"), df.where("id >= 60"), "id", ["sex"], near).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or got[k][1] == v[1] and got[k][0] == pytest.approx(v[0]))
+
+
+def test_matching_of_cases_within_their_own_pool(spark):
+    draw = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, "x", float(draw.integers(0, 4))) for i in range(61)], "id long, kind string, age double")
+    found = cohort.greedy_match(df, df, "id", ["kind"], [("age", 1.0)]).collect()
+    assert len({r.id for r in found}) == len({r.match for r in found}) == len(found) >= 60 and all(r.id != r.match for r in found)
+
+
+def test_matching_tied_strata_makes_no_pairs(spark):
+    """A thousand equal cases and members: a round's join has a row or two for each case."""
+    people = spark.range(2000).select("id", F.lit("x").alias("kind"), F.lit(0.0).alias("age"))
+    met = cohort.nearest_points(people.where("id < 1000"), cohort._points(people.where("id >= 1000"), "id", ["kind"], [("age", 1.0)]), "id", ["kind"], [("age", 1.0)])
+    assert met.count() == 1000 and {r.match for r in met.collect()} == {1000}
+    found = cohort.greedy_match(people.where("id < 1000"), people.where("id >= 1000"), "id", ["kind"], [("age", 1.0)], rounds=1)
+    assert found.count() == 1000 and found.select("match").distinct().count() == 1000
+
+
 def test_greedy_matching_of_equal_cases(spark):
     people = rows(spark, [(i, "a", 1.0) for i in range(60)] + [(100 + i, "b", float(i)) for i in range(10)], "id int, kind string, age double")
     cases, pool = people.where("id % 2 = 0"), people.where("id % 2 = 1")
