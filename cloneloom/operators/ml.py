@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,23 +144,6 @@ def principal_components(df: DataFrame, vector: str, k: int) -> DataFrame:
     return model.transform(rows).withColumn("components", vector_to_array("_pc")).drop("_v", "_pc")
 
 
-def principal_coordinates(pairs: DataFrame, k: int = 2, most: int = 2000):
-    """PCoA scores of a condensed pair table (CL13), for at most ``most`` samples: a dense eigenproblem."""
-    names = sorted(r[0] for r in pairs.select("sample1").union(pairs.select("sample2")).distinct().limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"more than {most} samples")
-    at = {n: i for i, n in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    for r in pairs.select("sample1", "sample2", "dist").collect():
-        d[at[r[0]], at[r[1]]] = d[at[r[1]], at[r[0]]] = r[2]
-    centre = np.eye(len(names)) - 1 / len(names)
-    values, vectors = np.linalg.eigh(-0.5 * centre @ (d * d) @ centre)
-    order = np.argsort(values)[::-1][:k]
-    scores = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
-    rows = [(n, *(float(x) for x in s)) for n, s in zip(names, scores)]
-    return pairs.sparkSession.createDataFrame(rows, ["sample", *[f"pc{i + 1}" for i in range(k)]])
-
-
 def logistic_p_values(df: DataFrame, y: str, features: Sequence[str]) -> DataFrame:
     """Coefficients, errors and p-values of a binomial regression (ST26)."""
     from pyspark.ml.feature import VectorAssembler

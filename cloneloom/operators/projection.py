@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloneloom.operators.cohort import shared_dir
 from cloneloom.operators.stats import anova, ks_two_sample, mann_whitney, t_test
 
-#: Columns of a block beyond those asked for, rounds at most, and the residual (over the largest value) to stop at.
-EXTRA, ROUNDS, TOLERANCE = 8, 200, 1e-8
+#: Columns of a block beyond those asked for, rounds at most, and the residual (over the largest value) to stop at; it can be told to about 1e-7.
+EXTRA, ROUNDS, TOLERANCE = 8, 60, 3e-7
 
 
 @dataclass
@@ -37,18 +38,38 @@ def _names(b: int, letter: str = "v") -> list[str]:
     return [f"{letter}{i}" for i in range(b)]
 
 
-def _rotated(df: DataFrame, matrix: np.ndarray, letter: str = "v", out: str = "v") -> list[Column]:
-    """The columns of a block times a small matrix."""
-    return [reduce(Column.__add__, [F.col(f"{letter}{j}") * float(matrix[j, i]) for j in range(matrix.shape[0])]).alias(f"{out}{i}") for i in range(matrix.shape[1])]
+def _block(batch: pa.RecordBatch, letter: str, n: int) -> np.ndarray:
+    return np.stack([batch.column(f"{letter}{i}").to_numpy() for i in range(n)], axis=1)
+
+
+def _turned(df: DataFrame, *parts: tuple[str, np.ndarray]) -> DataFrame:
+    """(id, v0 ...): the sum of blocks (by the letter of their columns) times small matrices."""
+    out = parts[0][1].shape[1]
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = sum(_block(batch, letter, len(matrix)) @ matrix for letter, matrix in parts)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(rows[:, i]) for i in range(out)]], names=["id", *_names(out)])
+
+    return df.mapInArrow(run, ", ".join([f"id {kind}", *[f"v{i} double" for i in range(out)]]))
 
 
 def _products(df: DataFrame, a: str, b: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of products of block columns a x b and b x b, in one pass."""
-    cross = [F.sum(F.col(f"{a}{i}") * F.col(f"{b}{j}")) for i in range(n) for j in range(n)]
-    own = [F.sum(F.col(f"{b}{i}") * F.col(f"{b}{j}")) for i in range(n) for j in range(n)]
-    row = df.agg(*cross, *own).first()
-    values = np.array([x or 0.0 for x in row])
-    return values[: n * n].reshape(n, n), values[n * n :].reshape(n, n)
+    """Sums of products of block columns a x b and b x b: a small matrix from each task, added up."""
+
+    def run(batches):
+        total = np.zeros((2 * n, n))
+        for batch in batches:
+            x, y = _block(batch, a, n), _block(batch, b, n)
+            total += np.concatenate([x, y], axis=1).T @ y
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(2 * n * n), "value": total.ravel()})
+
+    rows = df.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value")).collect()  # 2 n x n cells
+    out = np.zeros(2 * n * n)
+    for cell, value in rows:
+        out[cell] = value
+    return out[: n * n].reshape(n, n), out[n * n :].reshape(n, n)
 
 
 def _start(ids: DataFrame, b: int, seed: int) -> DataFrame:
@@ -67,9 +88,8 @@ def top_eigenvectors(
     shared_dir(ids.sparkSession)
     b = min(n, k + extra)
     block = _start(ids, b, seed).checkpoint(eager=True)
-    _, gram = _products(block.select("id", *_names(b), *[F.col(f"v{i}").alias(f"w{i}") for i in range(b)]), "v", "w", b)
-    matrix = np.linalg.inv(np.linalg.cholesky(gram + np.eye(b) * 1e-13 * np.trace(gram))).T
-    block = block.select("id", *_rotated(block, matrix)).checkpoint(eager=True)
+    _, gram = _products(block, "v", "v", b)
+    block = _turned(block, ("v", np.linalg.inv(np.linalg.cholesky(gram + np.eye(b) * 1e-13 * np.trace(gram))).T))
     for turn in range(1, rounds + 1):
         both = block.join(apply(block, b), "id").checkpoint(eager=True)
         ritz, gram = _products(both, "v", "w", b)
@@ -79,8 +99,7 @@ def top_eigenvectors(
         scale = max(np.abs(values).max(), 1e-300)
         residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", vectors, gram, vectors) - values**2, 0)) / scale
         if residual[:k].max(initial=0) <= tolerance or turn == rounds:
-            out = both.select("id", *_rotated(both, vectors[:, :k]))
-            return out, values[:k], turn
+            return _turned(both, ("v", vectors[:, :k])), values[:k], turn
         # Directions over their values are nearly orthonormal already, so their products are well conditioned.
         size = np.where(np.abs(values) > 1e-12 * scale, values, scale)
         near = vectors / size
@@ -89,12 +108,7 @@ def top_eigenvectors(
         # A direction that the operator takes to nothing stays as it was.
         lost = root < 1e-10
         matrix = near @ turned / np.sqrt(np.where(lost, 1.0, root))
-        columns = _rotated(both, np.where(lost[None, :], 0.0, matrix), "w")
-        if lost.any():
-            kept = _rotated(both, np.where(lost[None, :], vectors @ turned, 0.0), "v", "u")
-            both = both.select("*", *kept)
-            columns = [(c + F.col(f"u{i}")).alias(f"v{i}") for i, c in enumerate(columns)]
-        block = both.select("id", *columns).checkpoint(eager=True)
+        block = _turned(both, ("w", np.where(lost[None, :], 0.0, matrix)), ("v", np.where(lost[None, :], vectors @ turned, 0.0)))
     raise AssertionError
 
 

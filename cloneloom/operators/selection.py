@@ -122,11 +122,16 @@ def _pipeline(task: str, candidate: Candidate, y: str, seed: int):
     return Pipeline(stages=[*stages, made.copy({made.getParam(k): v for k, v in params.items()})])
 
 
+def fitted(task: str, candidate: Candidate, y: str, train: DataFrame, seed: int):
+    """The pipeline of a candidate fitted on training rows; its last stage is the learner's model."""
+    return _pipeline(task, candidate, y, seed).fit(train)
+
+
 def fitted_scores(task: str, candidate: Candidate, y: str, train: DataFrame, test: DataFrame, seed: int) -> DataFrame:
     """test with score: the probability of class 1, or the predicted value, by a model of the training rows."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = _pipeline(task, candidate, y, seed).fit(train).transform(test)
+    rows = fitted(task, candidate, y, train, seed).transform(test)
     score = vector_to_array("probability")[1] if task == "binary" else F.col("prediction")
     return rows.select(*test.columns, score.alias("score"))
 

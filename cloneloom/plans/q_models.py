@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloneloom.operators import attribution, projection, selection
 from cloneloom.operators import cohort as C
 from cloneloom.operators import distance as D
 from cloneloom.operators import ml as L
-from cloneloom.plans.proxies import sharing, table
+from cloneloom.plans.proxies import sharing, species, table
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.registry import query
 
@@ -131,7 +132,39 @@ def pca(spark, d):
 
 @query()
 def pcoa(spark, d):
-    return L.principal_coordinates(D.jaccard(sharing(spark, d), "sample", "sequence"))
+    """The first two principal coordinates of samples by the sequences that they share."""
+    return projection.principal_coordinates(D.jaccard(sharing(spark, d), "sample", "sequence"), rounds=20, tolerance=1e-4).scores
+
+
+@query("""WITH s AS (SELECT user_id AS sample FROM events GROUP BY 1) SELECT count(*) AS n_samples, true AS centred, true AS orthogonal, true AS variance_bounded FROM s""")
+def pca_species(spark, d):
+    """Components of samples x species: their scores are about 0, at right angles, and hold no more than the whole variance."""
+    found = projection.principal_axes(species(spark, d), "sample", "feature", "abundance", 2)
+    told = found.scores.agg(
+        F.count("*").alias("n_samples"), ((F.abs(F.sum("pc1")) < 1e-6) & (F.abs(F.sum("pc2")) < 1e-6)).alias("centred"),
+        (F.abs(F.sum(F.col("pc1") * F.col("pc2"))) < 1e-4 * F.sum(F.col("pc1") ** 2)).alias("orthogonal"),
+    )
+    return told.withColumn("variance_bounded", F.lit(bool(found.shares[0] >= found.shares[1] >= 0 and sum(found.shares) <= 1 + 1e-9)))
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT regr_slope(y, score) AS b, avg(score) AS m FROM s) SELECT doc_id, 'score' AS feature, score AS value, round(b * (score - m), 9) + 0.0 AS shap FROM s, m""")
+def shapley_line(spark, d):
+    """What the score adds to a line's prediction of quality."""
+    rows = _scored(spark, d)
+    slope = rows.agg(F.regr_slope("y", "score")).first()[0]
+    return attribution.linear_shapley(rows, "doc_id", {"score": slope}).withColumn("shap", F.round("shap", 9) + 0.0)
+
+
+@query("SELECT count(*) AS n_rows, true AS sums_to_score, 1::BIGINT AS n_bases FROM documents JOIN labels USING (doc_id)")
+def shapley_trees_invariants(spark, d):
+    """Shapley values of boosted trees: with the mean they add up to each row's score."""
+    from cloneloom.plans.q_selection import FEATURES, text_features
+
+    rows = text_features(spark, d)
+    model = selection.fitted("binary", selection.Candidate("boosted", (("maxIter", 5), ("maxDepth", 3))), "y", selection.feature_table(rows, "doc_id", "y", FEATURES), 1)
+    values = attribution.tree_shapley(rows, "doc_id", model.stages[-1], FEATURES)
+    off = F.abs(F.col("base") + F.aggregate("shap", F.lit(0.0), lambda s, x: s + x) - F.col("score"))
+    return values.agg(F.count("*").alias("n_rows"), (F.max(off) < 1e-9).alias("sums_to_score"), F.count_distinct("base").alias("n_bases"))
 
 
 @query()
