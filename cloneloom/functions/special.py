@@ -144,7 +144,7 @@ def _log_binomial(x, n, p) -> np.ndarray:
     return np.where((x == 0) | (x == n), edge, inner)
 
 
-def _log_hypergeometric(k, r, c, n) -> np.ndarray:
+def log_hypergeometric(k, r, c, n) -> np.ndarray:
     """ln of the probability that k of a draw of r are among the c marked ones of n; both c and n - c are above zero."""
     p = r / n
     return _log_binomial(k, c, p) + _log_binomial(r - k, n - c, p) - _log_binomial(r, n, p)
@@ -155,7 +155,7 @@ def _tail(k, r, c, n, step: int, width: int = 128) -> np.ndarray:
     end = np.where(step > 0, np.minimum(r, c), np.maximum(0, r + c - n))
     total = np.zeros(len(k))
     todo = np.flatnonzero((end - k) * step >= 0)
-    term, k = np.exp(_log_hypergeometric(k, r, c, n)), k.copy()
+    term, k = np.exp(log_hypergeometric(k, r, c, n)), k.copy()
     while len(todo):
         at = k[todo, None] + step * np.arange(width)
         a, b, m = r[todo, None], c[todo, None], n[todo, None]
@@ -180,7 +180,7 @@ def fisher_two_sided(a, b, c, d) -> np.ndarray:
     low, high = np.maximum(0, r + c - n), np.minimum(r, c)
     open_ = np.flatnonzero(low < high)  # else there is one table only
     a, r, c, n, low, high = (x[open_] for x in (a, r, c, n, low, high))
-    own = _log_hypergeometric(a, r, c, n)
+    own = log_hypergeometric(a, r, c, n)
     mode = np.clip(np.floor((r + 1) * (c + 1) / (n + 2)), low, high)
     under = a < mode
     step = np.where(under, 1.0, -1.0)
@@ -188,9 +188,9 @@ def fisher_two_sided(a, b, c, d) -> np.ndarray:
     near, far = mode.copy(), np.where(under, high, low) + step
     while (np.abs(far - near) > 1).any():
         middle = np.floor((near + far) / 2)
-        likelier = _log_hypergeometric(middle, r, c, n) > own + 1e-7
+        likelier = log_hypergeometric(middle, r, c, n) > own + 1e-7
         near, far = np.where(likelier, middle, near), np.where(likelier, far, middle)
-    whole = _log_hypergeometric(mode, r, c, n) <= own + 1e-7
+    whole = log_hypergeometric(mode, r, c, n) <= own + 1e-7
     p = np.empty(len(a))
     for mask, s in ((under, 1), (~under, -1)):
         x = [v[mask] for v in (r, c, n)]
@@ -205,14 +205,14 @@ def fisher_bounds(a, k1, k2, n) -> tuple[np.ndarray, np.ndarray]:
     low, high = np.maximum(0, k1 + k2 - n), np.minimum(k1, k2)
     mode = np.clip(np.floor((k1 + 1) * (k2 + 1) / (n + 2)), low, high)
     with np.errstate(all="ignore"):
-        own = np.where(low < high, _log_hypergeometric(a, k1, k2, n), 0.0) + 1e-7
-        whole = (low == high) | (_log_hypergeometric(mode, k1, k2, n) <= own)
+        own = np.where(low < high, log_hypergeometric(a, k1, k2, n), 0.0) + 1e-7
+        whole = (low == high) | (log_hypergeometric(mode, k1, k2, n) <= own)
         bounds = []
         for end in (low - 1, high + 1):
             near, far = mode, end  # likelier, and not
             while (np.abs(near - far) > 1).any():
                 middle = np.floor((near + far) / 2)
-                likelier = _log_hypergeometric(middle, k1, k2, n) > own
+                likelier = log_hypergeometric(middle, k1, k2, n) > own
                 near, far = np.where(likelier, middle, near), np.where(likelier, far, middle)
             bounds.append(far)
     return np.where(whole, high, bounds[0]).astype(np.int64), np.where(whole, low, bounds[1]).astype(np.int64)

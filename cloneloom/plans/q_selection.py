@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloneloom.operators import blocks as B
+from cloneloom.operators import sampling
 from cloneloom.operators import selection as M
 from cloneloom.operators import stats as S
-from cloneloom.plans.proxies import COHORTS, SHARING, cohorts, sharing, species, table
+from cloneloom.plans.proxies import COHORTS, REPERTOIRE, SHARING, cohorts, repertoire, sharing, species, table
 from cloneloom.plans.q_associations import BOTH, PAIR_TABLES
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.registry import query
@@ -119,3 +120,13 @@ def perm_fisher(spark, d):
     found = B.pair_permutation_test(cells, groups.where("cohort = 1").withColumn("label", F.lit(1)), "sample", "feature", "label", "fisher", samples=groups, n_perms=N_PERMS, seed=4)
     own = S.fisher_exact(found.select("a", "b", "c", "d").distinct(), "a", "b", "c", "d", "own").drop("odds_ratio")
     return found.join(own, ["a", "b", "c", "d"]).select("feature", (F.round(-F.log10("own"), 6) + 0.0).alias("score"), F.round("p", 6).alias("p"), "n_perms")
+
+
+@query(f"""WITH {REPERTOIRE}, s AS (SELECT sample, sum(templates)::BIGINT AS total FROM rep GROUP BY 1)
+SELECT sample, total, 500::BIGINT AS drawn, true AS within_counts FROM s WHERE total >= 500""")
+def subsample_invariants(spark, d):
+    """Exact subsampling: each sample that has them gives 500 templates, no clone more than it has."""
+    rows = repertoire(spark, d).select("sample", "nucleotide", "templates")
+    have = rows.groupBy("sample", "nucleotide").agg(F.sum("templates").alias("n"))
+    got = sampling.subsample(rows, "sample", ["nucleotide"], "templates", 500, 7)
+    return have.join(got, ["sample", "nucleotide"], "left").groupBy("sample").agg(F.sum("n").alias("total"), F.sum("drawn").alias("drawn"), F.min(F.coalesce("drawn", F.lit(0)) <= F.col("n")).alias("within_counts")).where("total >= 500")
