@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,15 +181,42 @@ def _windows(texts: DataFrame, key: str, text: str, k: int, width: int, step: in
 def approximate_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, length: int, mismatches: int) -> DataFrame:
     """Offsets where a pattern of ``length`` letters fits with at most ``mismatches`` (SQ2).
 
-    Of mismatches + 1 pieces one fits exactly, which is the seed of the join; candidates are then compared.
+    Of mismatches + 1 pieces one fits exactly, which is the seed of the join; the window that brings it is then compared.
     """
     size = length // (mismatches + 1)
-    pieces = F.array(*[F.struct(F.lit(i * size).alias("at"), F.substring(pattern, i * size + 1, size).alias("kmer")) for i in range(mismatches + 1)])
-    seeds = patterns.where(F.length(pattern) == length).select(pattern, F.inline(pieces))
-    starts = kmers(texts, key, text, size).join(seeds, "kmer").select(key, pattern, (F.col("offset") - F.col("at")).alias("offset")).where("offset >= 0").distinct()
-    found = starts.join(texts.select(key, F.col(text).alias("_t")), key).where(F.col("offset") + length <= F.length("_t"))
-    found = found.withColumn("n_mismatches", padded_hamming(F.substr("_t", F.col("offset") + 1, F.lit(length)), F.col(pattern)))
-    return found.where(F.col("n_mismatches") <= mismatches).select(key, pattern, "offset", "n_mismatches")
+    return _seeded(texts, key, text, patterns, pattern, length, mismatches, [lambda c, i=i: F.substring(c, i * size + 1, size) for i in range(mismatches + 1)])
+
+
+def _every(ival: int, first: int, k: int):
+    """k letters of a column, ``ival`` apart, from place ``first`` on."""
+    return lambda c: F.concat(*[F.substring(c, first + j * ival + 1, 1) for j in range(k)])
+
+
+def spaced_kmers(df: DataFrame, key: str, text: str, k: int, ival: int) -> DataFrame:
+    """(key, offset, kmer) of k letters that are ``ival`` apart, from every offset: the spaced index (SQ1)."""
+    span = 1 + ival * (k - 1)
+    return _windows(df, key, text, span, span).select(key, "offset", _every(ival, 0, k)("window").alias("kmer"))
+
+
+def spaced_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, length: int, mismatches: int, ival: int) -> DataFrame:
+    """Offsets where a pattern of ``length`` letters fits with at most ``mismatches``, by every ``ival``-th letter as seeds (SQ1).
+
+    The letters at each of the ``ival`` phases are one seed.  With fewer mismatches than phases one seed has none, so all places are
+    found; with as many or more, those that leave a phase untouched, which can be far more than runs of letters would.
+    """
+    return _seeded(texts, key, text, patterns, pattern, length, mismatches, [_every(ival, r, (length - r - 1) // ival + 1) for r in range(ival)])
+
+
+def _seeded(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, length: int, mismatches: int, seeds: Sequence[Callable[[str], Column]]) -> DataFrame:
+    """(key, pattern, offset, n_mismatches): windows that have one of the seeds in common with a pattern, compared letter by letter.
+
+    A window travels with its seeds, so no text is joined again.
+    """
+    cut = lambda c: F.inline(F.array(*[F.struct(F.lit(i).alias("_seed"), f(c).alias("_letters")) for i, f in enumerate(seeds)]))
+    asked = patterns.where(F.length(pattern) == length).select(pattern).distinct().select(pattern, cut(pattern))
+    found = _windows(texts, key, text, length, length).select(key, "offset", "window", cut("window")).join(asked, ["_seed", "_letters"])
+    found = found.withColumn("n_mismatches", padded_hamming("window", pattern)).where(F.col("n_mismatches") <= mismatches)
+    return found.select(key, pattern, "offset", "n_mismatches").distinct()
 
 
 #: The genetic code: amino acids of the codons in the order TTT, TTC, TTA, TTG, TCT ... GGG (fixed values).

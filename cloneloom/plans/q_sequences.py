@@ -90,6 +90,15 @@ def approx_match(spark, d):
     return Q.approximate_matches(items, "item_id", "text", patterns, "pattern", 10, 2).withColumn("offset", F.col("offset").cast("long"))
 
 
+@query("""WITH p AS (SELECT DISTINCT substring(text, 11, 12) AS pattern FROM benchmark WHERE length(text) >= 22), t AS (SELECT item_id, text, unnest(range(1, length(text) - 10)) AS k FROM benchmark),
+m AS (SELECT item_id, pattern, k - 1 AS offset, list_sum(list_transform(range(1, 13), lambda i: (substring(text, k + i - 1, 1) <> pattern[i])::INT))::INT AS n_mismatches FROM t, p)
+SELECT * FROM m WHERE n_mismatches <= 3""")
+def spaced_match(spark, d):
+    items = table(spark, d, "benchmark")
+    patterns = items.where("length(text) >= 22").select(F.substring("text", 11, 12).alias("pattern")).distinct()
+    return Q.spaced_matches(items, "item_id", "text", patterns, "pattern", 12, 3, 4).withColumn("offset", F.col("offset").cast("long"))
+
+
 LETTERS = WORDS + ", l AS (SELECT id, length(seq) AS length, k AS place, seq[k] AS letter, CASE WHEN k > 1 THEN seq[k - 1] END AS previous FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS k FROM seqs))"
 
 

@@ -127,6 +127,31 @@ def test_blocked_pairs_equal_brute_force(spark):
     assert {(r.seq1id, r.seq2id) for r in seqsim.levenshtein_pairs(df).collect()} == want
 
 
+def test_searches_with_mismatches_equal_brute_force(spark):
+    draw = np.random.default_rng(8)
+    texts = [(i, "".join(draw.choice(list("AC"), int(draw.integers(0, 60))))) for i in range(12)] + [(50, "".join(draw.choice(list("AC"), 1300))), (51, None), (52, "")]
+    patterns = [("".join(draw.choice(list("AC"), 9)),) for _ in range(6)] + [("ACACACACA",), ("AAAA",), (None,), ("ACACACACA",)]
+    a, b = rows(spark, texts, "id long, t string"), rows(spark, patterns, "p string")
+
+    def brute(most, seeds=None):
+        out = set()
+        for i, t in texts:
+            for (p,) in patterns:
+                for s in range(len(t or "") - 8):
+                    if p and len(p) == 9 and (n := sum(x != y for x, y in zip(t[s : s + 9], p))) <= most and (not seeds or any(t[s + r : s + 9 : seeds] == p[r::seeds] for r in range(seeds))):
+                        out.add((i, p, s, n))
+        return out
+
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(seqsim.approximate_matches(a, "id", "t", b, "p", 9, 2)) == sorted(brute(2))
+    assert got(seqsim.spaced_matches(a, "id", "t", b, "p", 9, 2, 3)) == sorted(brute(2))
+    assert got(seqsim.spaced_matches(a, "id", "t", b, "p", 9, 4, 2)) == sorted(brute(4, 2)) != sorted(brute(1))
+    # Every second letter differs: no run of two letters fits, a phase does.
+    far = rows(spark, [(1, "ACACACACA")], "id long, t string"), rows(spark, [("AAAAAAAAA",)], "p string")
+    assert got(seqsim.spaced_matches(far[0], "id", "t", far[1], "p", 9, 4, 2)) == [(1, "AAAAAAAAA", 0, 4)]
+    assert {(r.offset, r.kmer) for r in seqsim.spaced_kmers(far[0], "id", "t", 3, 2).collect()} == {(0, "AAA"), (1, "CCC"), (2, "AAA"), (3, "CCC"), (4, "AAA")}
+
+
 def test_set_distances(spark):
     cells = rows(spark, [("x", "a", 1.0), ("x", "b", 2.0), ("y", "b", 2.0), ("y", "c", 2.0)], "s string, f string, v double")
     assert distance.jaccard(cells, "s", "f").first().dist == pytest.approx(2 / 3)
