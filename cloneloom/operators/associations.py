@@ -20,18 +20,20 @@ def _common(a: DataFrame, b: DataFrame, sample: str) -> tuple[DataFrame, DataFra
     return a.join(both, sample), b.join(both, sample), both.agg(F.count("*").alias("n"))
 
 
-def pair_tables(a: DataFrame, b: DataFrame, sample: str, f1: str, f2: str) -> DataFrame:
+def pair_tables(a: DataFrame, b: DataFrame, sample: str, f1: str, f2: str, chunk: int = 2048) -> DataFrame:
     """(f1, f2, a, b, c, d): the 2 x 2 table of presence of each feature of one table with each of the other.
 
     Cells are sparse rows (sample, feature).  Samples with both come from an equi-join on the sample; what is absent
-    enters by arithmetic.  Pairs that never meet come from the counts of the features alone: the second table's
-    features (some thousands at most) are one array that each feature of the first is paired with.
+    enters by arithmetic.  Pairs that never meet come from the counts of the features alone, by an equi-join on pairs of
+    chunks of about ``chunk`` features.
     """
     x, y, n = _common(a.select(sample, f1).distinct(), b.select(sample, f2).distinct(), sample)
     met = x.join(y, sample).groupBy(f1, f2).agg(F.count("*").alias("a"))
     of = lambda df, f, out: df.groupBy(f).agg(F.count("*").alias(out))
-    second = of(y, f2, "k2").agg(F.collect_list(F.struct(f2, "k2")).alias("second"))
-    pairs = of(x, f1, "k1").crossJoin(F.broadcast(second)).crossJoin(F.broadcast(n)).select(f1, "k1", "n", F.inline("second"))  # both have one row
+    first, second = of(x, f1, "k1"), of(y, f2, "k2")
+    n1, n2 = (max(1, -(-df.count() // chunk)) for df in (first, second))
+    deal = lambda df, f, own, k, other, m: df.withColumn(own, F.pmod(F.xxhash64(f), F.lit(k)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    pairs = deal(first, f1, "_i", n1, "_j", n2).join(deal(second, f2, "_j", n2, "_i", n1), ["_i", "_j"]).crossJoin(F.broadcast(n))  # n has one row
     pairs = pairs.join(met, [f1, f2], "left").na.fill({"a": 0})
     return pairs.select(f1, f2, "a", (F.col("k1") - F.col("a")).alias("b"), (F.col("k2") - F.col("a")).alias("c"), (F.col("n") - F.col("k1") - F.col("k2") + F.col("a")).alias("d"))
 

@@ -37,13 +37,14 @@ def _fold(term, a: str = "v1", b: str = "v2"):
 
 
 def dense_distances(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Euclidean, squared, city-block and Canberra distances of every pair of vectors (CL9)."""
+    """Euclidean, squared, city-block, Canberra and Hamming distances (share of unequal components) of every pair of vectors (CL9)."""
     rows = rows.select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
     pairs = all_pairs(rows, key, ["v"])
     square = _fold(lambda x, y: (x - y) * (x - y))
     return pairs.select(
         "sample1", "sample2", F.sqrt(square).alias("euclidean"), square.alias("sqeuclidean"), _fold(lambda x, y: F.abs(x - y)).alias("cityblock"),
         _fold(lambda x, y: F.coalesce(F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y)), F.lit(0.0))).alias("canberra"),
+        F.try_divide(_fold(lambda x, y: (x != y).cast("double")), F.size("v1").cast("double")).alias("hamming"),
     )
 
 

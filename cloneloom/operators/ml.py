@@ -69,8 +69,13 @@ def averaged_models(train: DataFrame, apply_to: DataFrame, key: str, y: str, fea
     return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.avg("score").alias("score"))
 
 
-def evaluate_regression(df: DataFrame, by: Sequence[str], y: str, predicted: str) -> DataFrame:
-    """n, R2, Pearson r and explained variance (ML5)."""
+def evaluate_regression(df: DataFrame, by: Sequence[str], y: str, predicted: str, ranks: bool = False) -> DataFrame:
+    """n, R2, Pearson r and explained variance (ML5), with ranks also Spearman's r."""
+    if ranks:
+        from cloneloom.operators.stats import correlations
+
+        plain, spearman = evaluate_regression(df, by, y, predicted), correlations(df, by, y, predicted, "spearman").select(*by, F.col("r").alias("spearman"))
+        return plain.join(spearman, list(by), "left") if by else plain.crossJoin(F.broadcast(spearman))  # one row
     error = F.col(y) - F.col(predicted)
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), (1 - F.try_divide(F.sum(error**2), F.var_pop(y) * F.count("*"))).alias("r2"), corr(y, predicted).alias("pearson"), (1 - F.try_divide(F.var_pop(error), F.var_pop(y))).alias("explained_variance")

@@ -78,11 +78,12 @@ def eval_binary(spark, d):
     return rounded(L.evaluate_binary(_scored(spark, d), [], "y", "score"), "prevalence", "roc_auc", "pr_auc", "kappa", "f1")
 
 
-@query("""WITH p AS (SELECT p_brand, p_retailprice AS y, 900 + p_partkey % 1000 * 0.5 AS yp FROM part)
-SELECT p_brand, count(*) AS n, round(1 - sum((y - yp) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(corr(y, yp), 6) AS pearson, round(1 - var_pop(y - yp) / var_pop(y), 6) AS explained_variance FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT p_brand, p_retailprice AS y, 900 + p_partkey % 1000 * 0.5 AS yp, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS ry,
+ rank() OVER (PARTITION BY p_brand ORDER BY p_partkey % 1000) + (count(*) OVER (PARTITION BY p_brand, p_partkey % 1000) - 1) / 2.0 AS ryp FROM part)
+SELECT p_brand, round(corr(ry, ryp), 6) AS spearman, count(*) AS n, round(1 - sum((y - yp) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(corr(y, yp), 6) AS pearson, round(1 - var_pop(y - yp) / var_pop(y), 6) AS explained_variance FROM p GROUP BY 1""")
 def eval_regression(spark, d):
     rows = table(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("y"), (900 + F.col("p_partkey") % 1000 * 0.5).alias("yp"))
-    return rounded(L.evaluate_regression(rows, ["p_brand"], "y", "yp"), "r2", "pearson", "explained_variance")
+    return rounded(L.evaluate_regression(rows, ["p_brand"], "y", "yp", ranks=True), "spearman", "r2", "pearson", "explained_variance")
 
 
 @query(f"""WITH {SCORED}, e AS (SELECT """ + ", ".join(f"quantile_cont(score, {i / 10}) AS e{i}" for i in range(1, 10)) + """ FROM s)

@@ -26,10 +26,11 @@ def dist_braycurtis(spark, d):
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 SELECT a.vec_id AS sample1, b.vec_id AS sample2, round(list_distance(a.e, b.e), 6) AS euclidean, round(list_distance(a.e, b.e) ** 2, 6) AS sqeuclidean,
- round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))), 6) AS cityblock, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: CASE WHEN abs(z[1]) + abs(z[2]) > 0 THEN abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) ELSE 0 END)), 6) AS canberra
+ round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))), 6) AS cityblock, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: CASE WHEN abs(z[1]) + abs(z[2]) > 0 THEN abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) ELSE 0 END)), 6) AS canberra,
+ round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] <> z[2])::INT)) / len(a.e), 6) AS hamming
 FROM v a JOIN v b ON a.vec_id < b.vec_id""")
 def dist_dense(spark, d):
-    return rounded(D.dense_distances(table(spark, d, "embeddings"), "vec_id", "embedding"), "euclidean", "sqeuclidean", "cityblock", "canberra")
+    return rounded(D.dense_distances(table(spark, d, "embeddings"), "vec_id", "embedding"), "euclidean", "sqeuclidean", "cityblock", "canberra", "hamming")
 
 
 @query("""WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS first_date FROM orders GROUP BY 1)
