@@ -9,6 +9,7 @@ from cloneloom.operators import stats as S
 from cloneloom.plans.proxies import COHORTS, REPERTOIRE, SHARING, SPECIES, cohorts, repertoire, sharing, species, table
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.registry import query
+from cloneloom.plans.tails import chi2_tail, f_tail, ks_tail, normal_tail, t_tail
 
 # Distances
 
@@ -90,45 +91,54 @@ def _customers(spark, d):
     return out.withColumn("grp", (F.col("c_custkey") % 3 == 0).cast("int"))
 
 
-@query(f"WITH {CUSTOMER} SELECT c_mktsegment, count(*) AS n, round(corr(c_acctbal, spent), 6) AS r FROM c GROUP BY 1")
+R_TO_P = f"u AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM q) SELECT c_mktsegment, n, round(r, 6) AS r, round({t_tail('t', 'v')}, 6) AS p FROM u"
+
+
+@query(f"WITH {CUSTOMER}, q AS (SELECT c_mktsegment, count(*) AS n, corr(c_acctbal, spent) AS r FROM c GROUP BY 1), {R_TO_P}")
 def pearson_pairs(spark, d):
-    return rounded(S.correlations(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "spent").drop("p"), "r")
+    return rounded(S.correlations(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "spent"), "r", "p")
 
 
 @query(f"""WITH {CUSTOMER}, r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS x,
- rank() OVER (PARTITION BY c_mktsegment ORDER BY n_orders) + (count(*) OVER (PARTITION BY c_mktsegment, n_orders) - 1) / 2.0 AS y FROM c) SELECT c_mktsegment, count(*) AS n, round(corr(x, y), 6) AS r FROM r GROUP BY 1""")
+ rank() OVER (PARTITION BY c_mktsegment ORDER BY n_orders) + (count(*) OVER (PARTITION BY c_mktsegment, n_orders) - 1) / 2.0 AS y FROM c), q AS (SELECT c_mktsegment, count(*) AS n, corr(x, y) AS r FROM r GROUP BY 1), {R_TO_P}""")
 def spearman_pairs(spark, d):
-    return rounded(S.correlations(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "n_orders", "spearman").drop("p"), "r")
+    return rounded(S.correlations(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "n_orders", "spearman"), "r", "p")
 
 
-@query(f"""WITH {CUSTOMER}, r AS (SELECT c_mktsegment, grp, rank() OVER (PARTITION BY c_mktsegment ORDER BY n_orders) + (count(*) OVER (PARTITION BY c_mktsegment, n_orders) - 1) / 2.0 AS k FROM c)
-SELECT c_mktsegment, sum(grp)::BIGINT AS n1, sum(1 - grp)::BIGINT AS n2, (sum(k * grp) - sum(grp) * (sum(grp) + 1) / 2)::DOUBLE AS u1, (sum(grp) * sum(1 - grp) - sum(k * grp) + sum(grp) * (sum(grp) + 1) / 2)::DOUBLE AS u2 FROM r GROUP BY 1""")
+@query(f"""WITH {CUSTOMER}, r AS (SELECT c_mktsegment, grp, count(*) OVER (PARTITION BY c_mktsegment, n_orders) AS ties, rank() OVER (PARTITION BY c_mktsegment ORDER BY n_orders) + (count(*) OVER (PARTITION BY c_mktsegment, n_orders) - 1) / 2.0 AS k FROM c),
+q AS (SELECT c_mktsegment, sum(grp)::BIGINT AS n1, sum(1 - grp)::BIGINT AS n2, (sum(k * grp) - sum(grp) * (sum(grp) + 1) / 2)::DOUBLE AS u1, (sum(grp) * sum(1 - grp) - sum(k * grp) + sum(grp) * (sum(grp) + 1) / 2)::DOUBLE AS u2, sum(ties * ties - 1.0) AS t FROM r GROUP BY 1),
+z AS (SELECT *, greatest(abs(u1 - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM q)
+SELECT c_mktsegment, n1, n2, u1, u2, round({normal_tail('z')}, 6) AS p FROM z""")
 def mw_u(spark, d):
-    return S.mann_whitney(_customers(spark, d), ["c_mktsegment"], "n_orders", "grp").select("c_mktsegment", "n1", "n2", "u1", "u2")
+    return rounded(S.mann_whitney(_customers(spark, d), ["c_mktsegment"], "n_orders", "grp").select("c_mktsegment", "n1", "n2", "u1", "u2", "p"), "p")
 
 
-@query(f"""WITH {CUSTOMER}, a AS (SELECT c_mktsegment, count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 0) AS n0, avg(c_acctbal) FILTER (grp = 1) AS m1, avg(c_acctbal) FILTER (grp = 0) AS m0, var_samp(c_acctbal) FILTER (grp = 1) AS v1, var_samp(c_acctbal) FILTER (grp = 0) AS v0 FROM c GROUP BY 1)
-SELECT c_mktsegment, n1, n0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)), 6) AS t FROM a""")
+@query(f"""WITH {CUSTOMER}, a AS (SELECT c_mktsegment, count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 0) AS n0, avg(c_acctbal) FILTER (grp = 1) AS m1, avg(c_acctbal) FILTER (grp = 0) AS m0, var_samp(c_acctbal) FILTER (grp = 1) AS v1, var_samp(c_acctbal) FILTER (grp = 0) AS v0 FROM c GROUP BY 1),
+u AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t, n1 + n0 - 2 AS v FROM a)
+SELECT c_mktsegment, n1, n0, round(t, 6) AS t, round({t_tail('t', 'v')}, 6) AS p FROM u""")
 def ttest_stat(spark, d):
-    return rounded(S.t_test(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "grp").select("c_mktsegment", "n1", "n0", "t"), "t")
+    return rounded(S.t_test(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "grp").select("c_mktsegment", "n1", "n0", "t", "p"), "t", "p")
 
 
-@query(f"""WITH {CUSTOMER}, g AS (SELECT grp, c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) * count(*) AS w FROM c GROUP BY ALL), t AS (SELECT grp, avg(c_acctbal) AS gm FROM c GROUP BY 1)
-SELECT grp, count(*) AS groups, sum(n)::BIGINT AS n, round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 5) AS f FROM g JOIN t USING (grp) GROUP BY grp""")
+@query(f"""WITH {CUSTOMER}, g AS (SELECT grp, c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) * count(*) AS w FROM c GROUP BY ALL), t AS (SELECT grp, avg(c_acctbal) AS gm FROM c GROUP BY 1),
+a AS (SELECT grp, count(*) AS groups, sum(n)::BIGINT AS n, (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, count(*) - 1 AS d1, sum(n) - count(*) AS d2 FROM g JOIN t USING (grp) GROUP BY grp)
+SELECT grp, groups, n, round(f, 5) AS f, round({f_tail('f', 'd1', 'd2')}, 6) AS p FROM a""")
 def anova_f(spark, d):
-    return rounded(S.anova(_customers(spark, d), ["grp"], "c_acctbal", "c_mktsegment").drop("p"), "f", digits=5)
+    return rounded(rounded(S.anova(_customers(spark, d), ["grp"], "c_acctbal", "c_mktsegment"), "f", digits=5), "p")
 
 
-@query(f"""WITH {CUSTOMER}, v AS (SELECT DISTINCT c_mktsegment, c_acctbal AS x FROM c), e AS (SELECT v.c_mktsegment, v.x, count(*) FILTER (grp = 1 AND c_acctbal <= v.x) / count(*) FILTER (grp = 1) AS a, count(*) FILTER (grp = 0 AND c_acctbal <= v.x) / count(*) FILTER (grp = 0) AS b FROM v JOIN c USING (c_mktsegment) GROUP BY ALL)
-SELECT c_mktsegment, round(max(abs(a - b)), 6) AS d FROM e GROUP BY 1""")
+@query(f"""WITH {CUSTOMER}, v AS (SELECT DISTINCT c_mktsegment, c_acctbal AS x FROM c), e AS (SELECT v.c_mktsegment, v.x, count(*) FILTER (grp = 1 AND c_acctbal <= v.x) / count(*) FILTER (grp = 1) AS a, count(*) FILTER (grp = 0 AND c_acctbal <= v.x) / count(*) FILTER (grp = 0) AS b FROM v JOIN c USING (c_mktsegment) GROUP BY ALL),
+k AS (SELECT e.c_mktsegment, max(abs(a - b)) AS d, any_value(n) AS n, any_value(m) AS m FROM e JOIN (SELECT c_mktsegment, sum(grp)::BIGINT AS n, sum(1 - grp)::BIGINT AS m FROM c GROUP BY 1) USING (c_mktsegment) GROUP BY 1)
+SELECT c_mktsegment, round(d, 6) AS d, round({ks_tail('d', 'n', 'm')}, 6) AS p FROM k""")
 def ks_d(spark, d):
-    return rounded(S.ks_two_sample(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "grp").select("c_mktsegment", "d"), "d")
+    return rounded(S.ks_two_sample(_customers(spark, d), ["c_mktsegment"], "c_acctbal", "grp").select("c_mktsegment", "d", "p"), "d", "p")
 
 
-@query("""WITH o AS (SELECT o_orderstatus, o_orderpriority, count(*) AS o FROM orders GROUP BY ALL), e AS (SELECT *, sum(o) OVER (PARTITION BY o_orderstatus) * sum(o) OVER (PARTITION BY o_orderpriority) / sum(o) OVER () AS e FROM o)
-SELECT sum(o)::BIGINT AS n, round(sum((o - e) ** 2 / e), 6) AS chi2, (count(DISTINCT o_orderstatus) - 1) * (count(DISTINCT o_orderpriority) - 1) AS degrees, round(sqrt(sum((o - e) ** 2 / e) / (sum(o) * least(count(DISTINCT o_orderstatus) - 1, count(DISTINCT o_orderpriority) - 1))), 6) AS v FROM e""")
+@query(f"""WITH o AS (SELECT o_orderstatus, o_orderpriority, count(*) AS o FROM orders GROUP BY ALL), e AS (SELECT *, sum(o) OVER (PARTITION BY o_orderstatus) * sum(o) OVER (PARTITION BY o_orderpriority) / sum(o) OVER () AS e FROM o),
+q AS (SELECT sum(o)::BIGINT AS n, sum((o - e) ** 2 / e) AS chi2, (count(DISTINCT o_orderstatus) - 1) * (count(DISTINCT o_orderpriority) - 1) AS degrees, round(sqrt(sum((o - e) ** 2 / e) / (sum(o) * least(count(DISTINCT o_orderstatus) - 1, count(DISTINCT o_orderpriority) - 1))), 6) AS v FROM e)
+SELECT n, round(chi2, 6) AS chi2, degrees, v, round({chi2_tail('chi2', 'degrees')}, 6) AS p FROM q""")
 def chi2_stat(spark, d):
-    return rounded(S.chi_square(table(spark, d, "orders"), [], "o_orderstatus", "o_orderpriority").drop("p"), "chi2", "v")
+    return rounded(S.chi_square(table(spark, d, "orders"), [], "o_orderstatus", "o_orderpriority"), "chi2", "v", "p")
 
 
 TABLES = REPERTOIRE + ", tab AS (SELECT v_gene, count(*) FILTER (productive AND status = 'O') AS a, count(*) FILTER (productive AND status <> 'O') AS b, count(*) FILTER (NOT productive AND status = 'O') AS c, count(*) FILTER (NOT productive AND status <> 'O') AS d FROM rep GROUP BY 1)"
