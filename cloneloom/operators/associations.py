@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cloneloom.functions import special
 from cloneloom.operators.ml import permuted_labels
+from cloneloom.operators.moments import every_pair, moment_r, pair_moments
 from cloneloom.operators.relational import corr, with_sum
 from cloneloom.operators.stats import adjusted, anova, chi_square, correlations, fisher_exact, ks_two_sample, mann_whitney, t_test
 
@@ -90,11 +91,14 @@ def phenotype_group_tests(features: DataFrame, phenotypes: DataFrame, sample: st
     return adjusted(out, "p_mw", "bh", ["phenotype"], "fdr_mw")
 
 
+def _named(columns: Sequence[str], place: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, columns)), F.col(place) + 1)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, n, r, p) of every two columns, rows with a null in either left out (J21): one pass over the table for all pairs."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), corr(a, b).alias("r")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    out = found.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(pairs))])))
+    """(a, b, n, r, p) of every two columns, over the rows that have a finite value of both (J21): block products, for thousands of columns."""
+    sums = every_pair(df, len(columns)).join(pair_moments(df, columns), ["i", "j"], "left") if len(columns) > 1 else df.sparkSession.createDataFrame([], "i int, j int, n long, x double, y double, xx double, yy double, xy double")
+    out = sums.select(_named(columns, "i").alias("a"), _named(columns, "j").alias("b"), F.coalesce("n", F.lit(0)).alias("n"), moment_r().alias("r"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))
     return out.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(special.t_p(t, F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
 
@@ -102,14 +106,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def correlation_intervals(df: DataFrame, key: str, columns: Sequence[str], n_perms: int = 100, seed: int = 1, tail: float = 0.025) -> DataFrame:
     """(a, b, r, low, high, outside) of every two columns: r and the quantiles of r when the second one's rows are dealt anew (ST19)."""
     rows = df.select(key, *columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     packed = rows.select(key, F.struct(*columns).alias("all"))
     dealt = permuted_labels(packed, key, "all", n_perms, seed).select("perm", key, *[F.col(f"all.{c}").alias(f"_{c}") for c in columns]).join(rows, key)
-    null = dealt.groupBy("perm").agg(*[corr(a, f"_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    real = rows.agg(*[corr(a, b).alias(f"real{i}") for i, (a, b) in enumerate(pairs)])
-    ends = null.agg(*[F.percentile(f"r{i}", F.array(F.lit(tail), F.lit(1 - tail))).alias(f"q{i}") for i in range(len(pairs))])  # n_perms values each
-    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"real{i}").alias("r"), F.col(f"q{i}")[0].alias("low"), F.col(f"q{i}")[1].alias("high")) for i, (a, b) in enumerate(pairs)]
-    out = real.crossJoin(ends).select(F.inline(F.array(*each)))  # one row each
+    null = pair_moments(dealt, [f"_{c}" for c in columns], columns, "perm").where("j < i").select(F.col("j").alias("i"), F.col("i").alias("j"), moment_r().alias("r0"))
+    ends = null.groupBy("i", "j").agg(F.percentile("r0", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))  # n_perms values each
+    real = pair_moments(rows, columns).select("i", "j", moment_r().alias("r"))
+    out = every_pair(df, len(columns)).join(real, ["i", "j"], "left").join(ends, ["i", "j"], "left")
+    out = out.select(_named(columns, "i").alias("a"), _named(columns, "j").alias("b"), "r", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return out.withColumn("outside", (F.col("r") < F.col("low")) | (F.col("r") > F.col("high")))
 
 

@@ -37,27 +37,25 @@ def by_properties(df: DataFrame, meta: DataFrame, key: str, not_equal: dict | No
     return out.where(reduce(Column.__and__, tests, F.lit(True))).select(*df.columns)
 
 
-#: Marks in the names of two correlated columns: the first of the pair goes if the mark tells so, else the second.
+#: Marks in the names of two correlated columns: the first of the pair goes if the mark tells so, else the second.
 MARKS = (("_T", False), ("_0", True), ("_std", True), ("-", True))
 
 
-def loser(a: str, b: str) -> str:
-    """Which of two correlated columns is dropped, a before b in the table."""
-    for mark, in_first in MARKS:
-        if (mark in a) == in_first and (mark in b) != in_first:
-            return a
-    return b
+def loser(a: str, b: str) -> Column:
+    """Which of two correlated columns, named in columns a and b, is dropped, a before b in the table."""
+    goes = [(F.contains(a, F.lit(mark)) == in_first) & (F.contains(b, F.lit(mark)) != in_first) for mark, in_first in MARKS]
+    return F.when(reduce(Column.__or__, goes), F.col(a)).otherwise(F.col(b))
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float, least: int = 6) -> list[str]:
     """Columns to drop: those with fewer than ``least`` values, and of every two with r of at least the threshold one.
 
-    Only positive r counts, over the rows where both have a value; all pairs are taken in one pass over the table.
+    Only positive r counts, over the rows where both have a value; pairs are taken in blocks of columns.
     """
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     full = [c for c in columns if counts[c] >= least]
-    pairs = correlation_matrix(df, full).where(F.col("r") >= threshold).select("a", "b").collect() if len(full) > 1 else []
-    gone = {c for c in columns if counts[c] < least} | {loser(a, b) for a, b in pairs}
+    losers = correlation_matrix(df, full).where(F.col("r") >= threshold).select(loser("a", "b").alias("c")).distinct()
+    gone = {c for c in columns if counts[c] < least} | {r.c for r in losers.collect()}  # column names at most
     return [c for c in columns if c in gone]
 
 
