@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneloom.operators.associations import correlation_matrix
-from cloneloom.operators.relational import places, with_sum
+from cloneloom.operators.relational import places, quantiles, with_sum
 from cloneloom.operators.repertoire import feature_profile
 from cloneloom.operators.stats import no_outlier_mean
 
@@ -153,7 +153,7 @@ def rates_by_group(rates: DataFrame, groups: DataFrame, sample: str, group: str,
 
 def percentile_list(df: DataFrame, group: str, value: str, points: Sequence[int] = tuple(range(0, 101))) -> DataFrame:
     """(group, percentile, value): interpolated percentiles of each group."""
-    got = df.groupBy(group).agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in points])).alias("_p"))
+    got = quantiles(df, value, [p / 100 for p in points], [group], "_p")
     return got.select(group, F.posexplode("_p").alias("_i", "value")).select(group, F.element_at(F.array(*map(F.lit, points)), F.col("_i") + 1).alias("percentile"), "value")
 
 

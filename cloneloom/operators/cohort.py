@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from itertools import count
@@ -28,6 +29,14 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="cloneloom-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: it is run once, and later plans start from the files."""
+    shared_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _points(pool: DataFrame, key: str, equal: Sequence[str], near: Sequence[tuple[str, float]]) -> DataFrame:
     """Different places of a pool with their two smallest keys (k1, k2), so that a case that is in the pool itself finds another one."""
     columns = [*equal, *[c for c, _ in near]]

@@ -16,27 +16,28 @@ BUCKETS = 256
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """df with running totals of columns (out: column) in an order of numbers, ties in any order.
+    """df with running totals of columns (out: column) in an order of numbers, ties in any order, in groups (by) or over the whole table.
 
-    Within groups (by) this is a window.  Over the whole table rows go into BUCKETS ranges of equal weight, whose
-    cut points are all that reaches the driver; each range has its own window and starts from the sum of those
-    before it, so no task gathers the table.
+    Rows go into BUCKETS ranges of equal weight, whose cut points are all that reaches the driver; each range of a group
+    has its own window and starts from the sum of the group's ranges before it, so no task gathers the table or a group
+    of any size: a window has a range of the whole table's rows at most.
     """
+    if by:  # often one of several in a plan: written once, so that cut points and ranges do not run what is before them again
+        from cloneloom.operators.cohort import written
+
+        df = written(df, "totals")
     key = F.col(order).desc() if descending else F.col(order).asc()
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if by:
-        own = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
-        return df.withColumns({out: F.sum(c).over(own) for out, c in sums.items()})
-    cuts = df.agg(F.percentile_approx(order, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts})
-    bucket = _place(cuts, F.col(order))
-    rows = df.withColumn("_bucket", -bucket if descending else bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()])
-    starts = totals.select("_bucket", *[F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_start_{out}") for out in sums])
-    own = Window.partitionBy("_bucket").orderBy(key).rowsBetween(*upto)
-    out = rows.join(F.broadcast(starts), "_bucket").withColumns({o: F.sum(c).over(own) + F.col(f"_start_{o}") for o, c in sums.items()})
-    return out.drop("_bucket", *[f"_start_{o}" for o in sums])
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
+    bucket = _place(sorted(set(cuts)), F.col(order).cast("double"))
+    rows = df.withColumn("_bucket", F.coalesce(-bucket if descending else bucket, F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_by_{k}" for k in by}
+    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()])
+    starts = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_start_{out}") for out in sums]).withColumnsRenamed({**names, "_bucket": "_range"})
+    own = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col("_bucket") == F.col("_range"))
+    out = rows.withColumns({o: F.sum(c).over(own) for o, c in sums.items()}).join(starts if by else F.broadcast(starts), sure)
+    return out.withColumns({o: F.col(o) + F.col(f"_start_{o}") for o in sums}).drop("_bucket", "_range", *names.values(), *[f"_start_{o}" for o in sums])
 
 
 def _place(cuts: Sequence, value: Column) -> Column:
@@ -164,19 +165,24 @@ def cut(col: str, edges: Sequence[float], labels: Sequence, right: bool = True)
     return out
 
 
-def quantiles(df: DataFrame, col: str, points: Sequence[float]) -> DataFrame:
-    """One row with edges, the interpolated quantiles of a column of numbers: from the running counts of its different values."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    upto = with_sum(running(counts, [], "_v", {"_upto": "_k"}), [], F.sum("_k"), "_all")
+def quantiles(df: DataFrame, col: str, points: Sequence[float], by: Sequence[str] = (), out: str = "edges") -> DataFrame:
+    """(by, edges): the interpolated quantiles of a column of numbers, one row a group, or one row for the whole table.
+
+    They are read off the running counts of a group's different values, which are taken in ranges, so no task keeps a
+    group's values.  Nulls do not count; a group without values has null edges.
+    """
+    counts = df.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(col).alias("_k"))
+    upto = with_sum(running(counts, by, "_v", {"_upto": "_k"}), by, F.sum("_k"), "_all")
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("_upto") > place, F.col("_v")))
 
     places = [(F.col("_all") - 1) * q for q in points]
-    ends = upto.agg(F.max("_all").alias("_all"), *[at(F.floor(x)).alias(f"_lo{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_hi{i}") for i, x in enumerate(places)])
+    known = upto if by else upto.where("_k > 0")
+    ends = known.groupBy(*by).agg(F.max("_all").alias("_all"), *[at(F.floor(x)).alias(f"_lo{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_hi{i}") for i, x in enumerate(places)])
     part = [x - F.floor(x) for x in places]
     edges = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * w for i, w in enumerate(part)]
-    return ends.select(F.array(*edges).alias("edges"))
+    return ends.select(*by, F.array(*edges).alias(out))
 
 
 def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
@@ -194,11 +200,12 @@ def average_rank(col: str, by: Sequence[str], descending: bool = False) -> Colum
 
 
 def ranked(df: DataFrame, col: str, by: Sequence[str], out: str) -> DataFrame:
-    """df with the average rank of a column without nulls, in groups or over the whole table."""
-    if by:
-        return df.withColumn(out, average_rank(col, by))
-    counts = running(df.groupBy(F.col(col).alias("_value")).agg(F.count("*").alias("_ties")), [], "_value", {"_upto": "_ties"})
-    return df.join(counts, F.col(col) == F.col("_value")).withColumn(out, F.col("_upto") - (F.col("_ties") - 1) / 2.0).drop("_value", "_ties", "_upto")
+    """df with the average rank of a column without nulls, in groups or over the whole table, from running counts of its different values."""
+    names = {k: f"_of_{k}" for k in by}
+    values = df.groupBy(*by, F.col(col).alias("_value")).agg(F.count("*").alias("_ties"))
+    counts = running(values, by, "_value", {"_upto": "_ties"}).withColumnsRenamed(names)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col(col) == F.col("_value"))
+    return df.join(counts, same).withColumn(out, F.col("_upto") - (F.col("_ties") - 1) / 2.0).drop("_value", "_ties", "_upto", *names.values())
 
 
 def share_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneloom.operators.relational import places, share_within, with_sum
+from cloneloom.operators.relational import places, quantiles, share_within, with_sum
 
 
 def clone_shares(df: DataFrame, sample: str, clone: str, weight: str) -> DataFrame:
@@ -48,7 +48,9 @@ def top_clones(shares: DataFrame, sample: str, tops: Sequence[int], clone: str)
 def clone_percentiles(shares: DataFrame, sample: str, points: Sequence[float] = (0.01, 0.5, 0.999)) -> DataFrame:
     """Interpolated percentiles, mean and population deviation of clone shares."""
     names = [f"p{str(100 * q).rstrip('0').rstrip('.').replace('.', '_')}" for q in points]
-    return shares.groupBy(sample).agg(*[F.percentile("p", q).alias(n) for q, n in zip(points, names)], F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
+    edges = quantiles(shares, "p", points, [sample]).withColumnRenamed(sample, "_sample")
+    moments = shares.groupBy(sample).agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
+    return moments.join(edges, F.col(sample).eqNullSafe(F.col("_sample"))).select(sample, *[F.col("edges")[i].alias(n) for i, n in enumerate(names)], "mean", "std")
 
 
 def column_stats(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:

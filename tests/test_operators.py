@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,19 @@ def test_permutation_queries_take_the_operators_numbers(spark):
     assert {r.n_perms for r in catalogue.QUERIES["perm_auc"](spark, "/root/testdata/sf0.001").collect()} <= {100, 1000}
     n_perms = [r.n_perms for r in catalogue.QUERIES["perm_fisher"](spark, "/root/testdata/sf0.001").select("n_perms").collect()]
     assert 0 < max(n_perms) <= 1000 and min(n_perms) > 20
+
+
+def test_running_ranks_and_quantiles_of_groups_in_ranges(spark):
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": ["hot"] * 3000 + ["small"] * 7 + ["one"], "v": [*np.round(draw.exponential(size=3000), 2), *range(7), 5.0]})
+    df = spark.createDataFrame(frame)
+    ranks = relational.ranked(df, "v", ["g"], "rank").toPandas().sort_values(["g", "v"]).reset_index(drop=True)
+    frame = frame.sort_values(["g", "v"]).reset_index(drop=True)
+    assert (ranks["rank"] == frame.groupby("g").v.rank()).all()
+    for down in (False, True):
+        got = relational.running(df.withColumn("w", F.lit(1)), ["g"], "v", {"upto": "w"}, down).groupBy("g").agg(F.max("upto").alias("all"), F.count_distinct("upto").alias("n")).collect()
+        assert {(r.g, r["all"], r.n) for r in got} == {("hot", 3000, 3000), ("small", 7, 7), ("one", 1, 1)}
+    points = [0, 0.013, 0.5, 0.999, 1]
+    nulls = df.unionByName(spark.createDataFrame([("small", None), ("none", None)], "g string, v double"))
+    for r in relational.quantiles(nulls, "v", points, ["g"]).collect():
+        assert r.edges == ([None] * 5 if r.g == "none" else pytest.approx(list(frame[frame.g == r.g].v.quantile(points))))
