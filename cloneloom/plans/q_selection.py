@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloneloom.operators import blocks as B
-from cloneloom.operators import sampling
+from cloneloom.operators import relevance, sampling
 from cloneloom.operators import selection as M
 from cloneloom.operators import stats as S
 from cloneloom.plans.proxies import COHORTS, REPERTOIRE, SHARING, cohorts, repertoire, sharing, species, table
@@ -74,6 +74,12 @@ def nested_selection_invariants(spark, d):
     return rows.agg(F.count("*").alias("n_rows")).crossJoin(told).crossJoin(even).crossJoin(scored.agg(F.count_distinct("fold").alias("n_folds")))  # one row each
 
 
+@query()
+def all_relevant(spark, d):
+    """Which numbers of a document say something of its quality, against shuffled copies."""
+    return relevance.all_relevant(text_features(spark, d), "doc_id", "y", FEATURES, rounds=10, trees=20, depth=4)
+
+
 #: Which sample's second row each sample gets in a permutation.
 DEALT = """s AS (SELECT sample, row_number() OVER (ORDER BY sample) AS i FROM {samples}),
 pr AS (SELECT perm, sample, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws(':', {seed}, perm, sample))) AS i FROM s, (SELECT unnest(range(1, 1001)) AS perm)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloneloom.operators import distance as D
+from cloneloom.operators import linkage
 from cloneloom.operators import stats as S
 from cloneloom.plans.proxies import COHORTS, REPERTOIRE, SHARING, SPECIES, cohorts, repertoire, sharing, species, table
 from cloneloom.plans.q_repertoire import rounded
@@ -19,6 +20,32 @@ def dist_jaccard(spark, d):
     return rounded(D.jaccard(sharing(spark, d), "sample", "sequence"), "dist")
 
 
+def _linked(spark, d):
+    return linkage.average_linkage(D.jaccard(sharing(spark, d), "sample", "sequence"))
+
+
+@query()
+def linkage_order(spark, d):
+    """The samples in the leaf order of the average linkage of their Jaccard distances."""
+    return _linked(spark, d).order
+
+
+@query(f"""WITH {SHARING}, n AS (SELECT sample, count(*) AS n FROM share GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, count(*) AS k FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),
+p AS (SELECT 1 - coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample)
+SELECT (SELECT count(*) FROM n) AS n_leaves, (SELECT count(*) FROM n) - 1 AS n_merges, (SELECT count(*) FROM p) AS n_pairs, (SELECT round(sum(dist), 6) FROM p) AS all_distances, (SELECT round(min(dist), 9) FROM p) AS lowest, 0::BIGINT AS n_sinking, (SELECT count(*) FROM n) AS n_places""")
+def linkage_invariants(spark, d):
+    """Merges meet each pair of samples once, at the mean of its distances, and no merge is lower than those that it joins."""
+    tree = _linked(spark, d)
+    m = tree.merges
+    parts = m.select("round", "height", F.explode(F.array("first", "second")).alias("cluster"))
+    below = m.select(F.col("first").alias("cluster"), F.col("round").alias("_round"), F.col("height").alias("_height"))
+    sinking = parts.join(below, "cluster").where("_round < round and _height > height + 1e-12").agg(F.count("*").alias("n_sinking"))
+    met = F.col("n_first") * F.col("n_second")
+    told = m.agg(F.count("*").alias("n_merges"), F.sum(met).alias("n_pairs"), F.round(F.sum(F.col("height") * met), 6).alias("all_distances"), F.round(F.min("height"), 9).alias("lowest"))
+    places = tree.order.agg(F.count("*").alias("n_leaves"), F.count_distinct(F.when(F.col("place").between(1, told.select("n_merges").first()[0] + 1), F.col("place"))).alias("n_places"))
+    return told.crossJoin(places).crossJoin(sinking)  # one row each
+
+
 @query(f"""WITH {SHARING}, n AS (SELECT sample, sum(frequency) AS t FROM share GROUP BY 1), b AS (SELECT a.sample AS s1, c.sample AS s2, sum(least(a.frequency, c.frequency)) AS low FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL)
 SELECT x.sample AS sample1, y.sample AS sample2, round(1 - 2 * coalesce(low, 0) / (x.t + y.t), 6) AS dist FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN b ON s1 = x.sample AND s2 = y.sample""")
 def dist_braycurtis(spark, d):
