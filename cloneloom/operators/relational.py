@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 # Running totals
 
 
-BUCKETS = 256
+#: Ranges of a running total, and rows of a group up to which it is one window, which a task can sort and spill.
+BUCKETS, ONE_WINDOW = 256, 1 << 20
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """df with running totals of columns (out: column) in an order of numbers, ties in any order, in groups (by) or over the whole table.
 
     Rows go into BUCKETS ranges of equal weight, whose cut points are all that reaches the driver; each range of a group
-    has its own window and starts from the sum of the group's ranges before it, so no task gathers the table or a group
-    of any size: a window has a range of the whole table's rows at most.
+    has its own window and starts from the sum of the group's ranges before it, so no task gathers the table or a large
+    group.  Where every group has ONE_WINDOW rows at most, which is counted first, each is one window: the same totals.
     """
     if by:  # often one of several in a plan: written once, so that cut points and ranges do not run what is before them again
         from cloneloom.operators.cohort import written
 
         df = written(df, "totals")
     key = F.col(order).desc() if descending else F.col(order).asc()
+    if by and (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= ONE_WINDOW:
+        small = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({out: F.sum(c).over(small) for out, c in sums.items()})
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
     bucket = _place(sorted(set(cuts)), F.col(order).cast("double"))
     rows = df.withColumn("_bucket", F.coalesce(-bucket if descending else bucket, F.lit(0)))

@@ -226,7 +226,9 @@ def test_permutation_queries_take_the_operators_numbers(spark):
     assert 0 < max(n_perms) <= 1000 and min(n_perms) > 20
 
 
-def test_running_ranks_and_quantiles_of_groups_in_ranges(spark):
+@pytest.mark.parametrize("one_window", [1, 1 << 20])
+def test_running_ranks_and_quantiles_of_groups_in_ranges(spark, monkeypatch, one_window):
+    monkeypatch.setattr(relational, "ONE_WINDOW", one_window)
     draw = np.random.default_rng(4)
     frame = pd.DataFrame({"g": ["hot"] * 3000 + ["small"] * 7 + ["one"], "v": [*np.round(draw.exponential(size=3000), 2), *range(7), 5.0]})
     df = spark.createDataFrame(frame)
