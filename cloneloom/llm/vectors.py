@@ -2,14 +2,14 @@
 
 Unit vectors with cosine >= c are at most r = sqrt(2 - 2c) apart.  Pivots split the space: the home cell of a
 vector is that of its nearest pivot.  If two vectors of different cells i and j are within r, the segment
-between them crosses the plane half-way between the pivots, so each lies within r of that plane: a vector is
-copied to every cell whose plane is that near, and each cell then finds all partners of its home vectors by
-itself.  A large cell is dealt over (chunk of home vectors) x (chunk of all its vectors), so no task holds
-more than two chunks whatever the data are.  A task gives back a count for each home vector and stars
-instead of pairs.
+between them crosses the plane half-way between the pivots, so each lies within r of that plane: of two cells
+only the vectors that near to the plane between them are compared.  Vectors are sorted by cell and packed in
+chunks, written once; each two chunks meet in a task that reads them from there, so no vector is copied to the
+cells around and no task holds more than two chunks whatever the data are.  A task gives back a count for each
+vector with links and stars instead of pairs.
 
 Equal vectors are one class with a multiplicity before the join.  The number of pivots grows with the number
-of classes up to MAX_PIVOTS; only pivots and populations of cells reach the driver.
+of classes up to MAX_PIVOTS; only pivots reach the driver.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components link with nothing; vectors
 link only with others of their length; rows with a null id link with nothing; a repeated id counts as
@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from cloneloom.llm.common import cut_lineage
 from cloneloom.llm.components import components, local_stars
+from cloneloom.products import CHUNK_BYTES, each_two, packed
 
 MAX_PIVOTS, PER_CELL = 1024, 3000
-HOME_CHUNK, OTHER_CHUNK, BLOCK = 3072, 8192, 512
+#: Vectors of a chunk at most; those that are compared at a time; candidates of such a block from which on it is multiplied in double precision.
+HOME_CHUNK, OTHER_CHUNK, BLOCK, DENSE = 8192, 4096, 512, 1 << 16
 SLACK = 1e-9
 #: More than the rounding of a squared distance that is taken from products.
 ROUNDING = 1e-12
-TASK = "task long, home boolean, rep long, mult long, vec binary"
+CLASS = "cell long, digest binary, rep long, mult long, vec binary"
 
 
 def _packed(batches) -> Iterator[pa.RecordBatch]:
@@ -80,87 +82,95 @@ def _cells(x: np.ndarray, pivots: np.ndarray, apart: np.ndarray, radius: float)
     return home, member
 
 
-def _dealt(batches, pivots: dict[int, tuple[int, np.ndarray]], radius: float, pops: dict[int, tuple[int, int]] | None):
-    """Rows of TASK; without pops one row for each cell, task being the cell.
+def _homes(batches, pivots: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of CLASS: vectors with their home cell, -length where their length has no pivot.
 
     pivots: by length of vector, the number of its first cell and its pivots.
     """
-    apart = {dim: _apart(p) for dim, (_, p) in pivots.items()}
     for batch in batches:
-        rep, mult = batch.column("rep").to_numpy(), batch.column("mult").to_numpy()
-        tasks, homes, picks = [], [], []
+        cell = np.empty(batch.num_rows, np.int64)
         for dim, (at, x) in _units(batch.column("vec")).items():
-            first, p = pivots.get(dim, (-dim, x[:1] * 0))
-            home, member = _cells(x, p, apart[dim], radius) if dim in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
-            for cell in range(member.shape[1]):
-                here = np.flatnonzero(member[:, cell])
-                if not len(here):
-                    continue
-                mine, rows = home[here] == cell, at[here]
-                if pops is None:
-                    tasks.append(np.full(len(rows), first + cell)), homes.append(mine), picks.append(rows)
-                    continue
-                own, others = pops[first + cell]
-                left, right = -(-own // HOME_CHUNK), -(-(own + others) // OTHER_CHUNK)
-                deal = (rep[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                i, j = (deal % np.uint64(max(left, 1))).astype(np.int64), (deal // np.uint64(7) % np.uint64(right)).astype(np.int64)
-                base = (first + cell) << 36
-                for t in range(right):
-                    tasks.append(base + (i[mine] << 18) + t), homes.append(np.ones(mine.sum(), bool)), picks.append(rows[mine])
-                for t in range(left):
-                    tasks.append(base + (t << 18) + j), homes.append(np.zeros(len(rows), bool)), picks.append(rows)
-        if not tasks:
-            continue
-        task, home, pick = map(np.concatenate, (tasks, homes, picks))
-        for k in range(0, len(task), 8192):
-            part = pick[k : k + 8192]
-            vec = batch.column("vec").take(pa.array(part)) if pops is not None else pa.nulls(len(part), pa.binary())
-            yield pa.RecordBatch.from_pydict({"task": task[k : k + 8192], "home": home[k : k + 8192], "rep": rep[part], "mult": mult[part], "vec": vec})
-
-
-def _join(cosine: float):
-    def join(rows: pa.Table) -> pa.Table:
-        a, b, n = [], [], []
-        home = rows.column("home").to_numpy().astype(bool)
-        rep, mult = rows.column("rep").to_numpy(), rows.column("mult").to_numpy()
-        for at, x in _units(rows.column("vec").combine_chunks()).values():
-            left, right = at[home[at]], at[~home[at]]
-            lx, rx = x[home[at]], x[~home[at]]
-            for k in range(0, len(left), BLOCK):
-                i, j = np.nonzero(lx[k : k + BLOCK] @ rx.T >= cosine)
-                block, rights = left[k : k + BLOCK], right[j]
-                a.append(rep[block])
-                b.append(np.full(len(block), -1))
-                n.append(np.bincount(i, weights=mult[rights], minlength=len(block)).astype(np.int64))
-                s, t = local_stars(rep[block[i]], rep[rights])
-                a.append(s), b.append(t), n.append(np.full(len(s), -1))
-        return pa.table({"a": np.concatenate(a or [np.empty(0, np.int64)]), "b": np.concatenate(b or [np.empty(0, np.int64)]), "n": np.concatenate(n or [np.empty(0, np.int64)])})
+            first, p = pivots.get(dim, (-dim, None))
+            cell[at] = first
+            for k in range(0, len(at) if p is not None else 0, BLOCK):
+                cell[at[k : k + BLOCK]] += (x[k : k + BLOCK] @ p.T).argmax(axis=1)
+        yield pa.RecordBatch.from_pydict({"cell": cell, **{c: batch.column(c) for c in ("digest", "rep", "mult", "vec")}})
+
+
+def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the unit vectors with at least this cosine: by products in single precision with room for their rounding, then exactly."""
+    room = 1.2e-7 * (x.shape[1] + 4)
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(cosine - room))
+    if len(i) > DENSE:
+        return np.nonzero(x @ y.T >= cosine)
+    sure = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+    return i[sure], j[sure]
+
+
+def _join(cosine: float, pivots: dict[int, tuple[int, np.ndarray]]):
+    radius = math.sqrt(2 - 2 * cosine)
+
+    def join(a: pa.Table, b: pa.Table, alone: bool) -> Iterator[pa.Table]:
+        sides = []
+        for t in (a, b):
+            columns = {c: t.column(c).to_numpy() for c in ("cell", "rep", "mult")}
+            sides.append((columns, _units(t.column("vec").combine_chunks()), np.zeros(t.num_rows, np.int64)))
+        (left, mine, n_left), (right, others, n_right) = sides
+        stars = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for dim in mine.keys() & others.keys():
+            (at, x), (to, y) = mine[dim], others[dim]
+            first, p = pivots.get(dim, (-dim, None))
+            for i in np.unique(left["cell"][at]):
+                for j in np.unique(right["cell"][to]):
+                    if alone and j < i:
+                        continue
+                    u, v = np.flatnonzero(left["cell"][at] == i), np.flatnonzero(right["cell"][to] == j)
+                    if i != j:  # only those within the radius of the plane between the cells
+                        between = p[i - first] - p[j - first]
+                        reach = (radius + SLACK) * float(_apart(p[[i - first, j - first]])[0, 1]) + SLACK
+                        u, v = u[x[u] @ between <= reach], v[y[v] @ -between <= reach]
+                    for k in range(0, len(u), BLOCK):
+                        for m in range(0, len(v), OTHER_CHUNK):
+                            s, t = _linked(x[u[k : k + BLOCK]], y[v[m : m + OTHER_CHUNK]], cosine)
+                            s, t = at[u[k + s]], to[v[m + t]]
+                            if alone and i == j:
+                                s, t = s[s < t], t[s < t]
+                            if not len(s):
+                                continue
+                            n_left += np.bincount(s, right["mult"][t], len(n_left)).astype(np.int64)
+                            n_right += np.bincount(t, left["mult"][s], len(n_right)).astype(np.int64)
+                            stars.append(local_stars(left["rep"][s], right["rep"][t]))
+        s, t = local_stars(*map(np.concatenate, zip(*stars)))
+        nothing = lambda k: pa.nulls(k, pa.int64())
+        yield pa.table({"digest": pa.nulls(len(s), pa.binary()), "a": pa.array(s, pa.int64()), "b": pa.array(t, pa.int64()), "n": nothing(len(s))})
+        for table, n in ((a, n_left), (b, n_right)):
+            some = np.flatnonzero(n)
+            yield pa.table({"digest": table.column("digest").take(pa.array(some)), "a": nothing(len(some)), "b": nothing(len(some)), "n": n[some]})
 
     return join
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id for rows of (vec_id, embedding)."""
-    packed = cut_lineage(rows.select("vec_id", "embedding").mapInArrow(_packed, "vec_id long, digest binary, vec binary"))
-    classes = packed.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
+    known = cut_lineage(rows.select("vec_id", "embedding").mapInArrow(_packed, "vec_id long, digest binary, vec binary"))
+    classes = known.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
     classes = cut_lineage(classes)
-    wanted = min(MAX_PIVOTS, -(-classes.count() // PER_CELL))
+    n_classes = classes.count()
+    wanted = min(MAX_PIVOTS, -(-n_classes // PER_CELL))
     chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").toArrow().column("vec").combine_chunks()
     pivots, first = {}, 0
     for dim, (_, x) in (_units(chosen) if len(chosen) else {}).items():
         pivots[dim] = first, x
         first += len(x)
-    radius = math.sqrt(2 - 2 * cosine)
-    members = classes.mapInArrow(lambda it: _dealt(it, pivots, radius, None), TASK)
-    pops: dict[int, tuple[int, int]] = {}
-    for cell, own, others in members.groupBy("task").agg(F.sum(F.col("home").cast("long")), F.sum((~F.col("home")).cast("long"))).collect():
-        pops[cell] = own, others
-    dealt = classes.mapInArrow(lambda it: _dealt(it, pivots, radius, pops), TASK)
-    found = cut_lineage(dealt.groupBy("task").applyInArrow(_join(cosine), "a long, b long, n long"))
-    counts = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg((F.sum("n") - 1).alias("n_links"))
-    linked = components(found.where("n < 0").select("a", "b")).withColumnRenamed("node", "rep")
-    ends = classes.select("digest", "rep").join(counts, "rep", "left").join(linked, "rep", "left")
-    ends = ends.select("digest", "n_links", F.coalesce("component", "rep").alias("component_id"))
-    return packed.select("vec_id", "digest").join(ends, "digest", "left").select(
+    size = classes.agg(F.sum(F.octet_length("vec"))).first()[0] or 0
+    parts = max(1, -(-size // (CHUNK_BYTES * 3 // 4)), min(12, -(-n_classes // 1024)))
+    homes = classes.mapInArrow(lambda it: _homes(it, pivots), CLASS)
+    chunks = packed(homes, parts, HOME_CHUNK, ("cell", "rep"))
+    found = cut_lineage(each_two(chunks, _join(cosine, pivots), "digest binary, a long, b long, n long"))
+    counts = found.where("n is not null").groupBy("digest").agg(F.sum("n").alias("n"))
+    linked = components(found.where("n is null").select("a", "b")).withColumnRenamed("node", "rep")
+    ends = classes.select("digest", "rep", "mult").join(counts, "digest", "left").join(linked, "rep", "left")
+    ends = ends.select("digest", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    return known.select("vec_id", "digest").join(ends, "digest", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,3 +124,20 @@ def test_vectors_empty_and_null_ids(spark):
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = vectors.near_vectors(spark.createDataFrame([(None, [1.0]), (1, [1.0])], schema)).collect()
     assert sorted((r.vec_id is None, r.n_links) for r in got) == [(False, 0), (True, 0)]
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 16])
+def test_vectors_are_written_once_and_repeated_ids_count_apart(spark, monkeypatch, dense):
+    monkeypatch.setattr(vectors, "PER_CELL", 40)
+    monkeypatch.setattr(vectors, "HOME_CHUNK", 30)
+    monkeypatch.setattr(vectors, "DENSE", dense)
+    sent, made = [], vectors.packed
+    monkeypatch.setattr(vectors, "packed", lambda *a: sent.append(made(*a)) or sent[-1])
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.normal(size=16)]) for i in range(400)] + [(7, [1.0] + [0.0] * 15), (7, [0.0] * 15 + [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links) for r in vectors.near_vectors(df).collect())
+    assert got == sorted((k, n) for (k, _), n in zip(rows, cosine_brute(rows)[0]))
+    # On random vectors nearly all lie near every border; each is in one chunk all the same.
+    lengths = [len(pa.ipc.open_stream(r.data).read_all()) for r in sent[0].collect()]
+    assert sum(lengths) == len(rows) and max(lengths) <= 30
