@@ -204,11 +204,12 @@ def prevalent(cells: DataFrame, sequence: str, n_samples: int | Column, low: flo
     return cells.join(kept, sequence, "left_semi")
 
 
-def shared_pairs(cells: DataFrame, sample: str, sequence: str) -> DataFrame:
-    """(sample1, sample2, n_shared): sequences that two samples share (CL10)."""
+def shared_pairs(cells: DataFrame, sample: str, sequence: str, carry: DataFrame | None = None) -> DataFrame:
+    """(sample1, sample2, n_shared): sequences that two samples share (CL10); carry has one row for each sample that takes part, whose columns come with its pairs (NAME1, NAME2)."""
     from cloneloom.operators.blocks import pair_sums
 
-    return pair_sums(cells.select(sample, sequence).distinct(), sample, sequence).withColumnRenamed("total", "n_shared")
+    pairs = pair_sums(cells.select(sample, sequence).distinct(), sample, sequence, carry=carry)
+    return (pairs if carry is None else pairs.where("total > 0")).withColumnRenamed("total", "n_shared")
 
 
 def pairs_within(cells: DataFrame, sample: str, key: str, values: Sequence[str] = (), chunk: int = 1024) -> DataFrame:

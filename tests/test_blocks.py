@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneloom.functions import special
-from cloneloom.operators import blocks, ml
+from cloneloom.operators import blocks, distance, ml
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,25 @@ def test_samples_without_cells_count(spark, cells):
     labels = every.where("substring(sample, 2) % 2 = 0").withColumn("label", F.lit("even"))
     got = blocks.pair_permutation_test(cells, labels, "sample", "feature", "label", "fisher", samples=every, n_perms=10).collect()
     assert all(r.n == 60 and r.a + r.b + r.c + r.d == 60 and r.a + r.c == 30 for r in got) and len(got) == cells.select("feature").distinct().count()
+
+
+@pytest.mark.parametrize("value", [None, "v"])
+@pytest.mark.parametrize("size", [None, 6])
+def test_every_pair_carries_columns_and_is_not_shuffled(spark, cells, value, size):
+    names = spark.createDataFrame([(f"s{i}", i, None if i == 3 else f"g{i % 2}") for i in range(40)], "sample string, k int, g string")  # ten have no cells
+    pairs = blocks.pair_sums(cells, "sample", "feature", value, 7, size, carry=names)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString() + pairs._jdf.queryExecution().executedPlan().toString()
+    assert size or ("CartesianProduct" in plan and "Exchange" not in plan)
+    got = {(r.sample1, r.sample2): (r.total, r.k1, r.k2, r.g1, r.g2) for r in pairs.collect()}
+    known = {(r.sample1, r.sample2): r.total for r in blocks.pair_sums(cells, "sample", "feature", value).collect()}
+    of = {r["sample"]: r for r in names.collect()}
+    assert len(got) == 40 * 39 // 2
+    for (a, b), r in got.items():
+        assert a < b and r == (pytest.approx(known.get((a, b), 0)), of[a].k, of[b].k, of[a].g, of[b].g)
+
+
+def test_both_distances_are_those_of_one_at_a_time(spark, cells):
+    both = {(r.sample1, r.sample2): (r.dist, r.dist2) for r in distance.both_distances(cells, "sample", "feature", "v").collect()}
+    one = {(r.sample1, r.sample2): r.dist for r in distance.jaccard(cells, "sample", "feature").collect()}
+    two = {(r.sample1, r.sample2): r.dist for r in distance.bray_curtis(cells, "sample", "feature", "v").collect()}
+    assert {k: v[0] for k, v in both.items()} == pytest.approx(one) and {k: v[1] for k, v in both.items()} == pytest.approx(two)
