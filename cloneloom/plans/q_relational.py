@@ -142,7 +142,8 @@ def cap_floor(spark, d):
 
 @query(f"WITH {SPECIES} SELECT sample, feature, (abundance > 0.2)::INT AS present FROM species")
 def binarize_threshold(spark, d):
-    return species(spark, d).select("sample", "feature", R.binarize("abundance", 0.2).alias("present"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("feature"), "value")
+    return R.share_above(rows, "sample", ["feature"], "value", 0.2, "present")
 
 
 @query("""WITH m AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS a, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS b, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS n FROM customer)
