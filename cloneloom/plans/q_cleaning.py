@@ -8,6 +8,7 @@ from cloneloom.functions import scalars as X
 from cloneloom.operators import cleaning as C
 from cloneloom.operators import distance as D
 from cloneloom.operators import ml as L
+from cloneloom.operators import relational as R
 from cloneloom.operators import repertoire as P
 from cloneloom.operators import seqmodel as M
 from cloneloom.operators import seqsim as Q
@@ -182,11 +183,9 @@ def new_outcomes(spark, d):
 
 @query("""SELECT o_orderkey, nullif(regexp_extract(o_orderdate::DATE::VARCHAR, '^20(\\w+)', 1), '') AS years, (2001 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) AS months, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS place FROM orders""")
 def scalar_dates(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")).withColumn("end", F.lit("2001-08-01").cast("date"))
-    place = F.row_number().over(Window.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey"))
-    return rows.select("o_orderkey", F.nullif(F.regexp_extract(F.col("day").cast("string"), r"^(?<=^)20(\w+)", 1), F.lit("")).alias("years"), X.months_between_dates("day", "end").alias("months"), place.cast("long").alias("place"))
+    rows = R.places_by(rows, [F.desc("o_orderpriority"), "o_totalprice", "o_orderkey"], "place")
+    return rows.select("o_orderkey", F.nullif(F.regexp_extract(F.col("day").cast("string"), r"^(?<=^)20(\w+)", 1), F.lit("")).alias("years"), X.months_between_dates("day", "end").alias("months"), "place")
 
 
 # Sequences

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import relational
+from cloneloom.operators import cohort, distance, relational
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -11,3 +11,20 @@ def test_share_that_is_just_the_limit_is_not_over_it(spark):
     assert (0.1 + 0.2) / (0.1 + 0.2 + 1.2) > 0.2  # what doubles say
     got = {(r.g, r.k): r.over for r in relational.share_above(spark.createDataFrame(rows, "g int, k string, v double"), "g", ["k"], "v", 0.2, "over").collect()}
     assert got == {(1, "a"): 0, (1, "b"): 1, (2, "a"): 0, (2, "b"): 1, (3, "a"): None, (4, "a"): None, (4, "b"): 1, (5, "a"): 1, (5, "b"): 1}
+
+
+def test_places_by_columns_up_and_down(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BUCKETS", 5)
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("string").alias("a"), (F.col("id") * 31 % 50).alias("b"))
+    got = relational.places_by(df, [F.desc("a"), "b", "id"], "place")
+    rows = sorted(got.collect(), key=lambda r: (-int(r.a), r.b, r.id))
+    assert [r.place for r in rows] == list(range(1, 301))
+
+
+def test_scores_of_pairs_that_carry_their_groups_take_no_join(spark):
+    people = spark.createDataFrame([(1, 5, 1), (2, 5, 1), (3, None, 1), (4, 6, None)], "person int, nation int, region int")
+    carried = cohort.relation_scores(distance.all_pairs(people, "person", ["nation", "region"]), None, "person", ["nation", "region"])
+    joined = cohort.relation_scores(distance.all_pairs(people, "person", []), people, "person", ["nation", "region"])
+    assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect()))
+    assert {(r.sample1, r.sample2): r.total for r in carried.collect()}[(1, 2)] == 2
+    assert "Exchange" not in carried._jdf.queryExecution().executedPlan().toString()
