@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import cohort, distance, relational
+from cloneloom.operators import cleaning, cohort, distance, relational
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -28,3 +28,20 @@ def test_scores_of_pairs_that_carry_their_groups_take_no_join(spark):
     assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect()))
     assert {(r.sample1, r.sample2): r.total for r in carried.collect()}[(1, 2)] == 2
     assert "Exchange" not in carried._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subset_pairs_of_equal_sets_are_not_counted_pair_by_pair(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    rows = [(g, i) for g in range(60) for i in draw.sample("abcde", draw.choice([1, 2, 5, 5]))] + [(60, None), (60, "a"), (61, None), (None, "a")]
+    rows += rows[:9]
+    members = {}
+    for g, i in rows:
+        members.setdefault(g, set()).add(i)
+    want = sorted((a, b) for a in members for b in members if None not in (a, b) and a != b and None not in members[a] and members[a] <= members[b])
+    found = cleaning.subset_pairs(spark.createDataFrame(rows, "g int, i string"), "g", "i", chunk=7)
+    assert sorted((r.inner, r.outer) for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # lists of groups are taken apart last
+    monkeypatch.setattr(cleaning.F, "xxhash64", lambda *c: cleaning.F.lit(0).cast("long"))  # all hashes collide
+    assert sorted((r.inner, r.outer) for r in cleaning.subset_pairs(spark.createDataFrame(rows, "g int, i string"), "g", "i", chunk=7).collect()) == want
