@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cloneloom.operators.relational import places, quantiles, share_within, with_sum
 
+#: Standard deviations by which a sample's templates may have fewer low hashes than asked for, before all are taken.
+SLACK = 8
+
 
 def clone_shares(df: DataFrame, sample: str, clone: str, weight: str) -> DataFrame:
     """(sample, clone, w, p): weight of each clone and its share of the sample."""
@@ -170,15 +174,33 @@ def rarefaction_curve(counts: DataFrame, sample: str, count: str, step: int) ->
 def downsample(df: DataFrame, sample: str, keys: Sequence[str], count: str, n: int, seed: int) -> DataFrame:
     """Exactly n templates of each sample without replacement: (sample, keys, drawn); smaller samples are left out.
 
-    Templates are ordered by a hash of the seed, the clone and the copy.
+    Templates are ordered by a hash of the seed, the clone and the copy.  Of a sample with many only those travel whose
+    hash is low enough to be among the first n; a sample that has fewer than n of them is taken anew with all.
     """
+    from cloneloom.operators.cohort import written
     from cloneloom.operators.relational import expand_counts
 
-    rows = expand_counts(df.select(sample, *keys, count), count)
+    totals = df.where(F.col(count) > 0).groupBy(F.col(sample).alias("_s")).agg(F.sum(F.col(count).cast("double")).alias("_all")).where(F.col("_all") >= n)
+    counts = df.select(sample, *keys, count).join(totals, F.col(sample).eqNullSafe(F.col("_s"))).drop("_s")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in (sample, *keys)], F.col("copy").cast("string")).cast("binary"))
     order = Window.partitionBy(sample).orderBy("_h", *keys, "copy")
-    ranked = rows.withColumn("_h", key).withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy(sample)))
-    return ranked.where(f"_n <= {n} and _all >= {n}").groupBy(sample, *keys).agg(F.count("*").alias("drawn"))
+
+    def first(rows: DataFrame, likely: bool) -> DataFrame:
+        rows = expand_counts(rows, count).drop(count)
+        if likely:  # the first eight digits of the n-th hash are hardly ever over this
+            most = (n + SLACK * math.sqrt(n) + 32) / F.col("_all") * (1 << 32)
+            rows = rows.where(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") <= most)
+        ranked = rows.withColumn("_h", F.unhex(key)).withColumn("_n", F.row_number().over(order)).where(f"_n <= {n}")
+        return ranked.groupBy(sample, *keys).agg(F.count("*").alias("drawn"))
+
+    drawn = written(first(counts, True), "drawn")
+    full = drawn.groupBy(F.col(sample).alias("_s")).agg(F.sum("drawn").alias("_k")).where(f"_k = {n}").select("_s")
+    left = totals.join(full.withColumnRenamed("_s", "_f"), F.col("_s").eqNullSafe(F.col("_f")), "left_anti").select("_s")
+    short = written(left, "short")
+    if short.isEmpty():
+        return drawn
+    again = counts.join(short, F.col(sample).eqNullSafe(F.col("_s"))).drop("_s")
+    return drawn.join(short, F.col(sample).eqNullSafe(F.col("_s")), "left_anti").unionByName(first(again, False))
 
 
 # Sharing

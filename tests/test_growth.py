@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import cleaning, cohort, distance, relational
+from cloneloom.operators import cleaning, cohort, distance, relational, repertoire
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -45,3 +45,18 @@ def test_subset_pairs_of_equal_sets_are_not_counted_pair_by_pair(spark, monkeypa
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # lists of groups are taken apart last
     monkeypatch.setattr(cleaning.F, "xxhash64", lambda *c: cleaning.F.lit(0).cast("long"))  # all hashes collide
     assert sorted((r.inner, r.outer) for r in cleaning.subset_pairs(spark.createDataFrame(rows, "g int, i string"), "g", "i", chunk=7).collect()) == want
+
+
+@pytest.mark.parametrize("slack", [8, -1e9])
+def test_downsample_sends_only_low_hashes_and_takes_short_samples_anew(spark, monkeypatch, slack):
+    import hashlib
+    from collections import Counter
+
+    monkeypatch.setattr(repertoire, "SLACK", slack)
+    rows = [(s, i, 400 * (i % 3) + 1) for s in ("s", None) for i in range(20)] + [("t", 1, 3), ("u", 1, 50), ("s", 99, 0), ("s", 98, None)]
+    want = {}
+    for s in ("s", None, "u"):
+        copies = sorted((hashlib.md5(":".join(str(x) for x in (5, s, i, c) if x is not None).encode()).hexdigest(), i, c) for t, i, n in rows if t == s for c in range(1, (n or 0) + 1))
+        want.update({(s, i): k for i, k in Counter(i for _, i, _ in copies[:50]).items()})
+    got = repertoire.downsample(spark.createDataFrame(rows, "sample string, clone int, n int"), "sample", ["clone"], "n", 50, 5)
+    assert {(r["sample"], r.clone): r.drawn for r in got.collect()} == want
