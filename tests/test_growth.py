@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import cleaning, cohort, distance, relational, repertoire
+from cloneloom.operators import blocks, cleaning, cohort, distance, ml, relational, repertoire
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -60,3 +60,29 @@ def test_downsample_sends_only_low_hashes_and_takes_short_samples_anew(spark, mo
         want.update({(s, i): k for i, k in Counter(i for _, i, _ in copies[:50]).items()})
     got = repertoire.downsample(spark.createDataFrame(rows, "sample string, clone int, n int"), "sample", ["clone"], "n", 50, 5)
     assert {(r["sample"], r.clone): r.drawn for r in got.collect()} == want
+
+
+def test_permutation_tests_keep_a_task_small_whatever_the_samples(spark, monkeypatch):
+    import hashlib
+
+    names = [str(i) for i in range(50)]
+    want = [sorted(range(50), key=lambda i: hashlib.md5(f"7:{k}:{names[i]}".encode()).hexdigest()) for k in (3, 4)]
+    assert blocks.permutations(names, 2, 7, 3).tolist() == want
+    assert blocks._dealt(spark, spark.sparkContext.broadcast(names), 2, 7, 3).tolist() == want
+    x = spark.range(40).select((F.col("id") % 20).alias("s"), (F.col("id") * 7 % 9).alias("f"), (F.col("id") % 5 + 1.0).alias("v"))
+    y = spark.range(30).select((F.col("id") % 20).alias("s"), (F.col("id") * 5 % 4).alias("g"), (F.col("id") % 3 + 1.0).alias("w"))
+    x, y = x.dropDuplicates(["s", "f"]), y.dropDuplicates(["s", "g"])
+    of = lambda: sorted((r.f, r.g, round(r.r, 9), r.p, r.n_perms) for r in blocks.pair_permutation_test(x, y, "s", "f", "g", "pearson", "v", "w", n_perms=20).collect())
+    whole = of()
+    monkeypatch.setattr(blocks, "TASK_BYTES", 2 * 20 * 8)
+    assert of() == whole
+
+
+def test_permuted_labels_shuffle_the_permutations_once(spark):
+    import hashlib
+
+    rows = [(k, k * 3 % 7) for k in range(40)]
+    got = ml.permuted_labels(spark.createDataFrame(rows, "k int, y int"), "k", "y", 3, 5)
+    want = {(p, k): y for p in (1, 2, 3) for (k, _), (_, y) in zip(rows, sorted(rows, key=lambda r: hashlib.md5(f"5:{p}:{r[0]}".encode()).hexdigest()))}
+    assert {(r.perm, r.k): r.y for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # one for the ranges' counts, one for the labels
