@@ -86,3 +86,22 @@ def test_permuted_labels_shuffle_the_permutations_once(spark):
     want = {(p, k): y for p in (1, 2, 3) for (k, _), (_, y) in zip(rows, sorted(rows, key=lambda r: hashlib.md5(f"5:{p}:{r[0]}".encode()).hexdigest()))}
     assert {(r.perm, r.k): r.y for r in got.collect()} == want
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # one for the ranges' counts, one for the labels
+
+
+def test_dense_distances_send_no_vectors_and_keep_odd_ones(spark):
+    inf, nan = float("inf"), float("nan")
+    vectors = [[0.1, 0.2, 0.0], [0.3, -0.2, 0.0], [0.1, 0.2, 0.0], None, [0.1, None, 2.0], [0.5, 0.25], [], [], [nan, 0.0, 1.0], [nan, 1.0, inf], [-inf, 0.0, 1e12]]
+    data = [(i, v) for i, v in enumerate(vectors)] + [(None, [1.0, 2.0, 3.0])]
+    rows = spark.createDataFrame(data, "k int, v array<float>")
+    fold = lambda term: F.aggregate(F.zip_with("v1", "v2", term), F.lit(0.0), lambda s, x: s + x)
+    square = fold(lambda x, y: (x - y) * (x - y))
+    plain = distance.all_pairs(rows.select("k", F.col("v").cast("array<double>")), "k", ["v"]).select(
+        "sample1", "sample2", F.sqrt(square), square, fold(lambda x, y: F.abs(x - y)), fold(lambda x, y: F.coalesce(F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y)), F.lit(0.0))),
+        F.try_divide(fold(lambda x, y: (x != y).cast("double")), F.size("v1").cast("double")),
+    )
+    for chunk in (2, 2048):
+        got = distance.dense_distances(rows, "k", "v", chunk)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+        assert got._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # no expression over arrays of each pair
+    halves = distance.dense_distances(spark.createDataFrame([(1, [0.0] * 128), (2, [1.0] + [0.0] * 127)], "k int, v array<double>"), "k", "v", digits=6).first()
+    assert halves.hamming == 0.007813
