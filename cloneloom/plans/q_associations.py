@@ -103,7 +103,7 @@ SELECT (SELECT n FROM w)::BIGINT AS n, (SELECT groups FROM w) AS groups, round((
 def permanova_p(spark, d):
     cells = sharing(spark, d)
     groups = cohorts(spark, d).join(cells.select("sample").distinct(), "sample", "left_semi")
-    return rounded(A.permanova_p(D.jaccard(cells, "sample", "sequence"), groups, "sample", "cohort"), "f", "p")
+    return rounded(A.permanova_jaccard(cells, groups, "sample", "sequence", "cohort"), "f", "p")
 
 
 @query(f"""WITH {JACCARD}, st AS (SELECT sample, sum(frequency) AS t FROM share GROUP BY 1), sl AS (SELECT a.sample AS s1, c.sample AS s2, sum(least(a.frequency, c.frequency)) AS low FROM share a JOIN share c ON a.sequence = c.sequence AND a.sample < c.sample GROUP BY ALL),

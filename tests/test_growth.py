@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import blocks, cleaning, cohort, distance, ml, relational, repertoire
+from cloneloom.operators import associations, blocks, cleaning, cohort, distance, ml, relational, repertoire
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -105,3 +105,16 @@ def test_dense_distances_send_no_vectors_and_keep_odd_ones(spark):
         assert got._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # no expression over arrays of each pair
     halves = distance.dense_distances(spark.createDataFrame([(1, [0.0] * 128), (2, [1.0] + [0.0] * 127)], "k int, v array<double>"), "k", "v", digits=6).first()
     assert halves.hamming == 0.007813
+
+
+def test_permanova_of_cells_takes_no_pair_out_of_its_block(spark, monkeypatch):
+    rows = [(s, f) for s in range(40) for f in range(12) if (s * 7 + f * f + s // 3 * f) % 5 < 2 or f == s % 2]
+    groups = spark.createDataFrame([(s, None if s == 5 else "abc"[s % 3]) for s in range(41) if s != 7], "s int, g string")  # one without a group, one not told, one without cells
+    cells = spark.createDataFrame(rows + rows[:9], "s int, f int")
+    want = associations.permanova_p(distance.jaccard(cells, "s", "f"), groups, "s", "g", 30).first()
+    assert 0 < want.p < 1 and want.n_perms == 30
+    several = associations.permanova_jaccard(cells, groups, "s", "f", "g", 30, size=4).first()
+    monkeypatch.setattr(associations, "permanova_p", None)
+    got = associations.permanova_jaccard(cells, groups, "s", "f", "g", 30).first()
+    for r in (several, got):
+        assert (r.n, r.groups, r.n_perms) == (want.n, want.groups, 30) and r.f == pytest.approx(want.f, rel=1e-12) and r.p == want.p
