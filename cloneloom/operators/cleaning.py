@@ -102,11 +102,25 @@ AGGREGATES: dict[str, Callable[[str], Column]] = {
 
 
 def named_aggregates(df: DataFrame, by: Sequence[str], wanted: dict[str, Sequence[str]], productive: str = "productive") -> DataFrame:
-    """One column FUNCTION_COLUMN_PART for each wanted aggregate and each part: total, prod and nonprod (UD3)."""
+    """One column FUNCTION_COLUMN_PART for each wanted aggregate and each part: total, prod and nonprod (UD3).
+
+    Different values are counted from the table's different (group, value) rows, each with the parts that it is in, so that no row is
+    sent once for each part.
+    """
     parts = {"total": F.lit(True), "prod": F.col(productive), "nonprod": ~F.col(productive)}
-    columns = {f"_{c}_{p}": F.when(test, F.col(c)) for c in {c for cs in wanted.values() for c in cs} for p, test in parts.items()}
+    plain = {f: cs for f, cs in wanted.items() if f != "n_distinct"}
+    columns = {f"_{c}_{p}": F.when(test, F.col(c)) for c in dict.fromkeys(c for cs in plain.values() for c in cs) for p, test in parts.items()}
     rows = df.select(*by, *[v.alias(n) for n, v in columns.items()])
-    return rows.groupBy(*by).agg(*[AGGREGATES[f](f"_{c}_{p}").alias(f"{f}_{c}_{p}") for f, cs in wanted.items() for c in cs for p in parts])
+    found = [rows.groupBy(*by).agg(*[AGGREGATES[f](f"_{c}_{p}").alias(f"{f}_{c}_{p}") for f, cs in plain.items() for c in cs for p in parts])] if any(plain.values()) else []
+    for c in wanted.get("n_distinct", ()):
+        seen = df.select(*by, F.col(c).alias("_value"), F.col(productive).alias("_prod")).groupBy(*by, "_value").agg(F.bool_or("_prod").alias("_in_prod"), F.bool_or(~F.col("_prod")).alias("_in_nonprod"))
+        within = {"total": F.lit(True), "prod": F.col("_in_prod"), "nonprod": F.col("_in_nonprod")}
+        found.append(seen.groupBy(*by).agg(*[F.count(F.when(test, F.col("_value"))).alias(f"n_distinct_{c}_{p}") for p, test in within.items()]))
+    out, names = found[0], [f"_by_{k}" for k in by]
+    for other in found[1:]:
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names)]
+        out = out.join(other.withColumnsRenamed(dict(zip(by, names))), same).drop(*names) if by else out.crossJoin(other)  # without groups one row each
+    return out.select(*by, *[f"{f}_{c}_{p}" for f, cs in wanted.items() for c in cs for p in parts])
 
 
 def merged_on(df: DataFrame, by: Sequence[str], value: str, how: str) -> DataFrame:

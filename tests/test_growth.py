@@ -118,3 +118,16 @@ def test_permanova_of_cells_takes_no_pair_out_of_its_block(spark, monkeypatch):
     got = associations.permanova_jaccard(cells, groups, "s", "f", "g", 30).first()
     for r in (several, got):
         assert (r.n, r.groups, r.n_perms) == (want.n, want.groups, 30) and r.f == pytest.approx(want.f, rel=1e-12) and r.p == want.p
+
+
+def test_named_aggregates_do_not_multiply_rows_to_count_different_values(spark):
+    rows = [(g, v, w, p) for g in (1, 2, None) for v in ("a", "b", "b", None) for w in (1.0, 2.0) for p in (True, v == "a", None)] + [(4, None, None, None)]
+    df = spark.createDataFrame(rows, "g int, v string, w double, productive boolean")
+    wanted = {"mean": ["w"], "n_distinct": ["v", "w"], "max": ["v"]}
+    for by in (["g"], []):
+        got = cleaning.named_aggregates(df, by, wanted)
+        parts = {"total": F.lit(True), "prod": F.col("productive"), "nonprod": ~F.col("productive")}
+        of = {"mean": F.avg, "n_distinct": F.count_distinct, "max": F.max}
+        want = df.groupBy(*by).agg(*[of[f](F.when(t, F.col(c))).alias(f"{f}_{c}_{p}") for f, cs in wanted.items() for c in cs for p, t in parts.items()])
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
