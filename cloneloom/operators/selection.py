@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneloom.operators.cohort import shared_dir
+from cloneloom.operators.cohort import shared_dir, written
 from cloneloom.operators.ml import evaluate_binary, evaluate_regression
 from cloneloom.operators.relational import places
 
@@ -200,7 +200,7 @@ def nested_selection(
             return group_folds(part, group, k, salt, out)
         return stratified_folds(part, key, y if task == "binary" else "_one", k, salt, out)
 
-    rows = rows.withColumn("_one", F.lit(1))
+    rows = written(rows.withColumn("_one", F.lit(1)), "rows")  # made once: each split counts and places its rows in passes of its own
     for out, k, salt in (("fold", outer, seed), *((f"_inner{i}", inner, seed + 1 + i) for i in range(outer))):
         if out == "fold":
             rows = split(rows, k, salt, out)
@@ -208,6 +208,7 @@ def nested_selection(
             i = int(out.removeprefix("_inner"))
             part = split(rows.where(F.col("fold") != i), k, salt, out)
             rows = part.unionByName(rows.where(F.col("fold") == i).withColumn(out, F.lit(None).cast("int")))
+        rows = written(rows, "rows")  # the next split starts from these folds
     table = feature_table(rows, key, y, features, ["fold", *(f"_inner{i}" for i in range(outer))])
     chosen, figures, scored = [], [], []
     for i in range(outer):

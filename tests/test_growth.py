@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import associations, blocks, cleaning, cohort, distance, ml, relational, repertoire
+from cloneloom.operators import associations, blocks, cleaning, cohort, distance, ml, relational, repertoire, selection, seqsim
 
 
 def test_share_that_is_just_the_limit_is_not_over_it(spark):
@@ -131,3 +131,29 @@ def test_named_aggregates_do_not_multiply_rows_to_count_different_values(spark):
         want = df.groupBy(*by).agg(*[of[f](F.when(t, F.col(c))).alias(f"{f}_{c}_{p}") for f, cs in wanted.items() for c in cs for p, t in parts.items()])
         assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
         assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_selection_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(90).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 2 + F.col("id") % 5).cast("double").alias("x")).mapInArrow(seen, "id long, y long, x double")
+    got = selection.nested_selection(rows, "id", "y", ["x"], spaces={"logistic": {"regParam": [0.1]}}, outer=2, inner=2, n_candidates=None)
+    assert got.predictions.count() == 90 and made.value == 90
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 11])
+def test_exact_matches_make_rows_of_likely_offsets_only(spark, monkeypatch, k):
+    monkeypatch.setattr(seqsim, "SIEVE_BYTES", 13)
+    texts = ["", None, "abcabcabcabcabc", "xé€𝄞abcabcabcabcé€𝄞é€𝄞é€𝄞é€𝄞é€𝄞", "ab", "ééé", "a\0b\0\0\0\0\0\0\0\0\0\0", "abcabcabcabc" * 9]
+    asked = ["abc", "a", "cabcabcabca", "abcabcabcabc", "é€𝄞é€𝄞é€𝄞é€", "\0\0\0", "€", "abcabcabcabc" * 8, "\0" * 11]
+    want = sorted((i, p, o) for i, t in enumerate(texts) for p in asked if len(p) >= k for o in range(len(t or "")) if t.startswith(p, o))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    patterns = spark.createDataFrame([(p,) for p in asked], "p string")
+    assert sorted(map(tuple, seqsim.exact_matches(frame, "id", "t", patterns, "p", k).collect())) == want
+    plain = spark.createDataFrame([(1, "z" * 5000)], "id int, t string")
+    assert seqsim._sieved(plain, "id", "t", patterns.select(F.col("p").alias("kmer")), k, 12).count() == 0
