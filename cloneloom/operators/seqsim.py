@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def padded_hamming(a: str | Column, b: str | Column) -> Column:
@@ -154,14 +158,75 @@ def kmers(df: DataFrame, key: str, text: str, k: int, step: int = 1) -> DataFram
     return _windows(df, key, text, k, k, step).select(key, "offset", "kmer")
 
 
+#: Bits of the place of a seed's first bytes in the table that texts are sieved with, and bytes of text that are sieved at a time.
+SIEVE_BITS, SIEVE_BYTES = 20, 1 << 20
+
+
+def _heads(data: np.ndarray, first: int, n: int, size: int) -> np.ndarray:
+    """Places in the sieve of the up to 8 bytes (``size``) from each of n places on; after the data come zeros."""
+    some = np.zeros(n + 8, np.uint8)
+    own = data[first : first + n + 8]
+    some[: len(own)] = own
+    words = np.ndarray(n, "<u8", some, strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+    return (words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SIEVE_BITS)).astype(np.int32)
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string ends and the next begins, and the bytes of all; nulls are empty."""
+    strings = pc.fill_null(strings, "")
+    wide = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    edges = np.frombuffer(strings.buffers()[1], wide)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return edges, np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+
+
+def _sieved(texts: DataFrame, key: str, text: str, seeds: DataFrame, k: int, width: int) -> DataFrame:
+    """(key, offset, kmer, window) as of _windows, but only from offsets where the first bytes of a seed (kmer) may stand.
+
+    Tasks look up the bytes at each place in a table of 2 ** SIEVE_BITS places, whatever the number of seeds; what it lets through is joined.
+    """
+    size = min(k, 8)
+
+    def slots(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges, data = _bytes_of(batch.column("kmer"))
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([_heads(data, e, 1, size)[0] for e in edges[:-1]], pa.int32())})
+
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[[r.slot for r in seeds.select("kmer").mapInArrow(slots, "slot int").distinct().collect()]] = True  # as many as the table has
+    sieve = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges, data = _bytes_of(batch.column("_t"))
+            last, at, letters = -1, 0, 0  # row, byte and letter of the last hit
+            for first in range(int(edges[0]), int(edges[-1]), SIEVE_BYTES):
+                hits = first + np.flatnonzero(sieve.value[_heads(data, first, min(SIEVE_BYTES, int(edges[-1]) - first), size)])
+                row = np.searchsorted(edges, hits, "right") - 1
+                ok = (hits + size <= edges[row + 1]) & (data[hits] & 0xC0 != 0x80)  # inside the text, at a letter's first byte
+                found, offsets, windows = row[ok], [], []
+                for i, p in zip(found.tolist(), hits[ok].tolist()):
+                    if i != last:
+                        last, at, letters = i, int(edges[i]), 0
+                    letters += int(np.count_nonzero(data[at:p] & 0xC0 != 0x80))
+                    at = p
+                    offsets.append(letters)
+                    windows.append(data[p : min(p + 4 * width, int(edges[i + 1]))].tobytes().decode("utf-8", "ignore")[:width])
+                names = batch.column("_k").take(pa.array(found))
+                yield pa.RecordBatch.from_pydict({key: names, "offset": pa.array(offsets, pa.int32()), "kmer": pa.array([w[:k] for w in windows], pa.string()), "window": pa.array(windows, pa.string())})
+
+    schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("offset", T.IntegerType()), T.StructField("kmer", T.StringType()), T.StructField("window", T.StringType())])
+    return texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(run, schema)
+
+
 def exact_matches(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, k: int) -> DataFrame:
     """All offsets of patterns of k letters or more: a seed join on the first k letters, then a comparison (SQ1).
 
-    A seed travels with what follows it, as far as the longest pattern goes, so the texts are read once.
+    A seed travels with what follows it, as far as the longest pattern goes, so the texts are read once; only offsets where a seed may stand
+    become rows.
     """
     seeds = patterns.where(F.length(pattern) >= k).select(pattern, F.substring(pattern, 1, k).alias("kmer"))
     longest = seeds.agg(F.max(F.length(pattern))).first()[0] or k
-    found = _windows(texts, key, text, k, longest).join(seeds, "kmer")
+    found = _sieved(texts, key, text, seeds, k, longest).join(seeds, "kmer")
     return found.where(F.startswith("window", F.col(pattern))).select(key, pattern, "offset")
 
 
