@@ -157,3 +157,24 @@ def test_exact_matches_make_rows_of_likely_offsets_only(spark, monkeypatch, k):
     assert sorted(map(tuple, seqsim.exact_matches(frame, "id", "t", patterns, "p", k).collect())) == want
     plain = spark.createDataFrame([(1, "z" * 5000)], "id int, t string")
     assert seqsim._sieved(plain, "id", "t", patterns.select(F.col("p").alias("kmer")), k, 12).count() == 0
+
+
+def test_pairs_in_order_are_numbered_where_they_are_made(spark, monkeypatch):
+    from cloneloom import products
+    from cloneloom.plans import catalogue
+
+    monkeypatch.setattr(products, "PARTS", 3)
+    rows = [(f"s{s}", f) for s in range(75) for f in range(30) if (s * 7 + f * f + s // 3 * f) % 5 < 2 and s % 10] + [("s9", None), ("s8", None), (None, 1), ("é", 1), ("alone", 99), ("B", 2), ("B", 2)]
+    have = {}
+    for s, f in rows:
+        have.setdefault(s, set()).add(f)
+    names = sorted((s for s in have if s is not None), key=str.encode)
+    pairs = sorted((len((have[a] & have[b]) - {None}), a.encode(), b.encode(), a, b) for k, a in enumerate(names) for b in names[k + 1 :])
+    want = [(a, b, float(n), place) for place, (n, _, _, a, b) in enumerate((p for p in pairs if p[0]), 1)]
+    cells = spark.createDataFrame(rows, "s string, f int")
+    for chunk, size in ((4, None), (None, None), (7, 8)):
+        got = distance.ordered_shared(cells, "s", "f", chunk, size)
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    assert distance.ordered_shared(cells.where("s = 'alone'"), "s", "f").count() == 0
+    plan = catalogue.QUERIES["pairs_ordered"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].strip().startswith("+- MapInArrow")  # no window, sort or join above the pairs
