@@ -52,7 +52,7 @@ SPACES = {"logistic": {"regParam": [0.01, 0.1]}, "forest": {"numTrees": [20], "m
 
 
 def _selected(spark, d):
-    return M.nested_selection(text_features(spark, d), "doc_id", "y", FEATURES, spaces=SPACES, inner=2, n_candidates=3)
+    return M.nested_selection(text_features(spark, d), "doc_id", "y", FEATURES, spaces=SPACES, inner=2, n_candidates=None)
 
 
 @query()

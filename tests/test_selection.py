@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cloneloom.operators import selection
+from cloneloom.plans import q_selection
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,10 @@ def test_features_are_chosen_on_training_rows(spark):
     spaces = {"logistic": {"regParam": [0.01], "k_best": [1, 2]}}
     got = selection.nested_selection(df, "id", "y", ["x0", "x1", "x2"], spaces=spaces, outer=2, inner=2, n_candidates=None)
     assert got.tried.count() == 4 and got.predictions.count() == 300
+
+
+def test_the_query_searches_every_candidate(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(selection, "nested_selection", lambda *_, **how: asked.update(how))
+    q_selection._selected(spark, "/root/testdata/sf0.001")
+    assert selection.candidates(asked["spaces"], asked["n_candidates"]) == selection.candidates(q_selection.SPACES)
