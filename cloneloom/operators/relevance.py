@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cloneloom.operators.cohort import written
 from cloneloom.operators.ml import permuted_labels
 
-#: Shadow columns at least, rounds at most, trees of a forest and their depth.
-SHADOWS, ROUNDS, TREES, DEPTH = 5, 20, 50, 5
+#: Shadow columns at least, rounds at most, the depth of trees, and how often a forest should consider a column.
+SHADOWS, ROUNDS, DEPTH, CONSIDERED = 5, 100, 5, 100
 
 
 @dataclass
@@ -41,6 +41,11 @@ def passes_fdr(p: Sequence[float], alpha: float) -> list[bool]:
     return [x <= last for x in p]
 
 
+def n_trees(columns: int, depth: int) -> int:
+    """Trees of a forest on so many columns and their shadows, in which a column is considered about CONSIDERED times."""
+    return max(1, int(CONSIDERED * math.sqrt(2 * columns) / depth))
+
+
 def decide(still: Sequence[_Column], turn: int, alpha: float) -> None:
     """Confirm or reject open columns after a round, by the p of their hits."""
     for side, decision in (("p_accept", "confirmed"), ("p_reject", "rejected")):
@@ -70,13 +75,13 @@ def _importances(table: DataFrame, task: str, trees: int, depth: int, seed: int)
     return forest(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(table.select("y", array_to_vector("values").alias("features"))).featureImportances.toArray()
 
 
-def all_relevant(df: DataFrame, key: str, y: str, columns: Sequence[str], task: str = "binary", alpha: float = 0.05, rounds: int = ROUNDS, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> DataFrame:
+def all_relevant(df: DataFrame, key: str, y: str, columns: Sequence[str], task: str = "binary", alpha: float = 0.05, rounds: int = ROUNDS, trees: int | None = None, depth: int = DEPTH, seed: int = 1) -> DataFrame:
     """(column, decision, weak, hits, rounds, p_accept, p_reject, importance) for each column (ML3).
 
     A round fits a forest to the columns that are not rejected and their shadows; a column that beats the best shadow has
     a hit.  Hits are tested against fair throws on both sides: a column is confirmed or rejected where its p passes both
     the false discovery rate over the columns still open and alpha over the number of rounds.  Rejected columns leave the
-    forest, and rounds go on until no column is open or ``rounds`` are done; those left are tentative, and weak says
+    forest, whose trees follow the columns in it (``n_trees``) unless they are given, and rounds go on until no column is open or ``rounds`` are done; those left are tentative, and weak says
     whether their median importance is above the median of the best shadows.
 
     Keys are unique.  Rows with a null or NaN in the key, y or a column take no part; without rows or with one value of y every column stays
@@ -94,7 +99,7 @@ def all_relevant(df: DataFrame, key: str, y: str, columns: Sequence[str], task:
         if not still:
             break
         table = written(with_shadows(rows.select("_key", "y", *kept), "_key", kept, max(SHADOWS, len(kept)), seed + turn), "shadows")
-        found = _importances(table, task, trees, depth, seed + turn)
+        found = _importances(table, task, trees or n_trees(len(kept), depth), depth, seed + turn)
         top = float(found[len(kept) :].max())
         tops.append(top)
         for n, x in zip(kept, found):

@@ -77,7 +77,7 @@ def nested_selection_invariants(spark, d):
 @query()
 def all_relevant(spark, d):
     """Which numbers of a document say something of its quality, against shuffled copies."""
-    return relevance.all_relevant(text_features(spark, d), "doc_id", "y", FEATURES, rounds=10, trees=20, depth=4)
+    return relevance.all_relevant(text_features(spark, d), "doc_id", "y", FEATURES)
 
 
 #: Which sample's second row each sample gets in a permutation.

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneloom.operators import relevance
+from cloneloom.plans import catalogue
 
 
 def planted(spark, n=400):
@@ -63,3 +64,24 @@ def test_rows_with_nulls_take_no_part(spark):
     more = df.limit(1).select(F.lit(99).alias("k"), "y", F.lit(float("nan")).alias("c0"), "c1", *[f"c{i}" for i in range(2, 12)])
     one = lambda d: [tuple(r) for r in relevance.all_relevant(d, "k", "y", ["c0", "c3"], rounds=1, trees=5, depth=2).collect()]
     assert len(one(df.unionByName(more))) == 2
+
+
+def test_the_query_goes_on_until_every_column_is_decided(spark, monkeypatch):
+    forests = []
+
+    def importances(table, task, trees, depth, seed):
+        forests.append((len(table.first()["values"]), trees, depth))
+        n = forests[-1][0] // 2
+        good = np.arange(n) < (3 if len(forests) % 10 < 7 else 0)  # seven hits in ten rounds
+        return np.concatenate([good * 2.0, np.ones(n)])
+
+    monkeypatch.setattr(relevance, "_importances", importances)
+    monkeypatch.setattr(relevance, "with_shadows", lambda rows, key, columns, n, seed: rows.limit(1).select(F.array(*[F.lit(0.0)] * (len(columns) + n)).alias("values")))
+    monkeypatch.setattr(relevance, "SHADOWS", 0)
+    got = catalogue.QUERIES["all_relevant"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.decision for r in got) == ["confirmed"] * 3 + ["rejected"] * 5
+    assert len(forests) > 20 and forests[0] == (16, 80, 5)  # as many trees as consider each column about a hundred times
+
+
+def test_trees_follow_columns():
+    assert [relevance.n_trees(n, 5) for n in (1, 8, 50)] == [28, 80, 200] and relevance.n_trees(8, 4) == 100
