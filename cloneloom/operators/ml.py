@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloneloom.operators.blocks import MOST_SAMPLES, permutations
 from cloneloom.operators.cohort import written
 from cloneloom.operators.relational import corr, places, running
+from cloneloom.products import n_parts, packed
 
 #: Permutations of a first look and of a full test.
 SCREEN, FULL = 100, 1000
@@ -124,13 +127,51 @@ def permutation_p(real: DataFrame, shuffled: DataFrame, keys: Sequence[str], sta
     return joined.groupBy(*on, "_real").agg(((1 + F.coalesce(F.sum((F.col(stat) >= F.col("_real")).cast("int")), F.lit(0))) / (1 + F.count(stat))).alias("p"), F.count(stat).alias("n_perms")).withColumnRenamed("_real", stat)
 
 
+def permuted_auc(df: DataFrame, key: str, y: str, score: str, n_perms: int, seed: int) -> DataFrame:
+    """(perm, away): |AUC - 0.5| of labels dealt anew as by permuted_labels, a row a permutation.
+
+    Scores are ranked and rows placed once.  A task reads them in chunks, in the order of their places, and makes its permutations from hashes of
+    the keys, so no row is shuffled for a permutation.  Tables of more than MOST_SAMPLES rows deal labels with permuted_labels and join.
+    """
+    rows = written(df.select(key, F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("y"), F.col(score).alias("score")).where(F.col(key).isNotNull()), "scored")
+    n = rows.count()
+    if n > MOST_SAMPLES:
+        labels = permuted_labels(df.select(key, y), key, y, n_perms, seed)
+        return evaluate_binary(labels.join(df.select(key, score), key), ["perm"], y, score).select("perm", F.abs(F.col("roc_auc") - 0.5).alias("away"))
+    counts = rows.groupBy("score").agg(F.count("*").alias("_n"))
+    ranks = running(counts, [], "score", {"_upto": "_n"}).select(F.col("score").alias("_s"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    ranked = written(rows.join(ranks, F.col("score").eqNullSafe(F.col("_s"))).select(key, "y", "_rank"), "ranked")
+    placed = places(ranked, key, "_place").select("_place", F.col(key).cast("string").alias("name"), "y", "_rank")
+    chunks = packed(placed, n_parts(n, 1 << 16), 1 << 16, order=("_place",))
+    tasks = min(n_perms, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    dealt = df.sparkSession.range(0, tasks, 1, tasks).withColumnRenamed("id", "task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, task = [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                task = batch.column("task")[i].as_py()
+                pieces.append(pa.ipc.open_stream(batch.column("data")[i].as_buffer()).read_all())
+        if task is None:
+            return
+        table = pa.concat_tables(pieces).sort_by("_place")
+        names, labels, rank = table.column("name").to_pylist(), table.column("y").to_numpy(), table.column("_rank").to_numpy()
+        positive = labels.sum()
+        pairs = positive * (len(labels) - positive)
+        own = range(1 + task, n_perms + 1, tasks)
+        away = [abs((rank @ labels[permutations(names, 1, seed, k)[0]] - positive * (positive + 1) / 2) / pairs - 0.5) if pairs else None for k in own]
+        yield pa.RecordBatch.from_pydict({"perm": pa.array(own, pa.int32()), "away": pa.array(away, pa.float64())})
+
+    met = chunks.select("data").coalesce(1).hint("shuffle_replicate_nl").join(dealt)
+    return met.mapInArrow(run, "perm int, away double")
+
+
 def adaptive_auc_p(df: DataFrame, key: str, y: str, score: str, seed: int, screen: int = SCREEN, full: int = FULL, below: float = 0.02) -> DataFrame:
     """Permutation p of |AUC - 0.5|: ``screen`` permutations, and ``full`` where the first p is under ``below``."""
-    away = lambda rows, by: evaluate_binary(rows, by, y, score).select(*by, F.abs(F.col("roc_auc") - 0.5).alias("away"))
+    real = evaluate_binary(df, [], y, score).select(F.abs(F.col("roc_auc") - 0.5).alias("away"))
 
     def run(n):
-        labels = permuted_labels(df.select(key, y), key, y, n, seed)
-        return permutation_p(away(df, []), away(labels.join(df.select(key, score), key), ["perm"]).select("away"), [], "away")
+        return written(permutation_p(real, permuted_auc(df, key, y, score, n, seed).select("away"), [], "away"), "auc")
 
     first = run(screen)
     return run(full) if first.first()["p"] < below else first

@@ -242,3 +242,19 @@ def test_running_ranks_and_quantiles_of_groups_in_ranges(spark, monkeypatch, one
     nulls = df.unionByName(spark.createDataFrame([("small", None), ("none", None)], "g string, v double"))
     for r in relational.quantiles(nulls, "v", points, ["g"]).collect():
         assert r.edges == ([None] * 5 if r.g == "none" else pytest.approx(list(frame[frame.g == r.g].v.quantile(points))))
+
+
+def test_permuted_aucs_are_those_of_permuted_labels_and_no_row_is_shuffled(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    df = rows(spark, [(i * 7, int(draw.random() < 0.3), float(draw.integers(0, 12)) if i % 11 else None) for i in range(150)], "id long, y int, s double").repartition(3)
+    want = ml.evaluate_binary(ml.permuted_labels(df.select("id", "y"), "id", "y", 30, 5).join(df.select("id", "s"), "id"), ["perm"], "y", "s")
+    want = {r.perm: abs(r.roc_auc - 0.5) for r in want.collect()}
+    made = ml.permuted_auc(df, "id", "y", "s", 30, 5)
+    assert {r.perm: r.away for r in made.collect()} == want and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    p = (1 + sum(a >= abs(ml.evaluate_binary(df, [], "y", "s").first().roc_auc - 0.5) for a in want.values())) / 31
+    with monkeypatch.context() as m:
+        m.setattr(ml, "permuted_labels", None)  # a row for each row and permutation
+        assert ml.adaptive_auc_p(df, "id", "y", "s", 5, 30, 30, 0.0).first().p == pytest.approx(p)
+    monkeypatch.setattr(ml, "MOST_SAMPLES", 10)
+    assert {r.perm: r.away for r in ml.permuted_auc(df, "id", "y", "s", 30, 5).collect()} == want
+    assert {r.away for r in ml.permuted_auc(df.withColumn("y", F.lit(1)), "id", "y", "s", 3, 5).collect()} == {None}
