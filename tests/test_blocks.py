@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneloom.functions import special
-from cloneloom.operators import blocks, distance, ml
+from cloneloom.operators import associations, blocks, distance, ml
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +126,22 @@ def test_both_distances_are_those_of_one_at_a_time(spark, cells):
     one = {(r.sample1, r.sample2): r.dist for r in distance.jaccard(cells, "sample", "feature").collect()}
     two = {(r.sample1, r.sample2): r.dist for r in distance.bray_curtis(cells, "sample", "feature", "v").collect()}
     assert {k: v[0] for k, v in both.items()} == pytest.approx(one) and {k: v[1] for k, v in both.items()} == pytest.approx(two)
+
+
+@pytest.mark.parametrize("perm_bytes", [32 << 20, 4 * 33 * 7])
+def test_mantel_sums_in_blocks_are_those_of_joined_pairs(spark, cells, monkeypatch, perm_bytes):
+    more = cells.unionByName(spark.createDataFrame([("t1", 1000, 2.0), ("t2", 1001, 0.5), ("t3", 7, 0.0)], cells.schema))  # two share nothing
+    whole = associations.mantel_p(distance.jaccard(more, "sample", "feature"), distance.bray_curtis(more, "sample", "feature", "v"), 20, 3).first()
+    monkeypatch.setattr(blocks, "PERM_BYTES", perm_bytes)
+    apart = associations.mantel_distances(more, "sample", "feature", "v", 20, 3, size=6).first()  # columns of several blocks
+    monkeypatch.setattr(associations, "permuted_labels", None)  # a row for each pair and permutation
+    got = associations.mantel_distances(more, "sample", "feature", "v", 20, 3).first()
+    for r in (got, apart):
+        assert (r.n, r.p, r.n_perms) == (whole.n, whole.p, 20) and r.r == pytest.approx(whole.r, abs=1e-9)
+
+
+def test_common_ones_are_counted_in_pieces(monkeypatch):
+    draw = np.random.default_rng(1)
+    dense = draw.random((23, 300)) < 0.4, draw.random((11, 300)) < 0.4
+    monkeypatch.setattr(blocks, "PAIRS", 40)
+    assert (blocks._both(*map(blocks._bits, dense)) == dense[0].astype(int) @ dense[1].T.astype(int)).all()
