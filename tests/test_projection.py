@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.operators import projection
+from cloneloom.operators import distance, projection
 
 
 def angle(a, b):
@@ -66,3 +66,16 @@ def test_groups_along_axes(spark):
     assert len(got) == 6 and all(got["pc1", t] < 1e-6 for t in ("mann_whitney", "ks", "t")) and all(got["pc2", t] > 0.3 for t in ("mann_whitney", "ks", "t"))
     more = projection.separation(scores, scores.select("sample", (F.col("sample") % 3).alias("g")), "sample", "g").collect()
     assert {r.test for r in more} == {"anova"} and len(more) == 2
+
+
+@pytest.mark.parametrize("size", [None, 6])
+def test_coordinates_in_blocks_are_those_of_the_pairs(spark, monkeypatch, size):
+    draw = np.random.default_rng(5)
+    cells = spark.createDataFrame([(f"s{i}", int(f)) for i in range(25) for f in draw.choice(40, 12, replace=False)], "sample string, feature long").repartition(3)
+    want = projection.principal_coordinates(distance.jaccard(cells, "sample", "feature"), rounds=4)
+    scores = {r["sample"]: (r.pc1, r.pc2) for r in want.scores.collect()}
+    if size is None:
+        monkeypatch.setattr(projection, "principal_coordinates", None)  # writes a row a pair
+    got = projection.jaccard_coordinates(cells, "sample", "feature", size=size, rounds=4)
+    assert got.values == pytest.approx(want.values) and got.shares == pytest.approx(want.shares) and got.rounds == 4
+    assert len(scores) == 25 and all((r.pc1, r.pc2) == pytest.approx(scores[r["sample"]]) for r in got.scores.collect())
