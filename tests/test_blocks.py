@@ -145,3 +145,13 @@ def test_common_ones_are_counted_in_pieces(monkeypatch):
     dense = draw.random((23, 300)) < 0.4, draw.random((11, 300)) < 0.4
     monkeypatch.setattr(blocks, "PAIRS", 40)
     assert (blocks._both(*map(blocks._bits, dense)) == dense[0].astype(int) @ dense[1].T.astype(int)).all()
+
+
+@pytest.mark.parametrize("size", [None, 6])
+def test_sums_of_two_distances_are_those_of_their_pairs(spark, cells, monkeypatch, size):
+    more = cells.unionByName(spark.createDataFrame([("t1", 1000, 2.0), ("t2", 1001, 0.5), ("t3", 7, 0.0)], cells.schema))
+    want = distance.mantel_r(distance.both_distances(more, "sample", "feature", "v"), None).first()
+    if size is None:
+        monkeypatch.setattr(distance, "both_distances", None)  # a row a pair
+    got = distance.mantel_both(more, "sample", "feature", "v", size).first()
+    assert got.n == want.n == 33 * 32 // 2 and got.r == pytest.approx(want.r, abs=1e-12)
