@@ -47,6 +47,11 @@ def t_test(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFram
     """Student's t with equal variances, nulls left out (ST4); t is null with an empty group or no variance."""
     of = lambda g: F.when(F.col(group) == g, F.col(value))
     out = df.groupBy(*by).agg(*[f(of(g)).alias(f"{n}{g}") for g in (1, 0) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_samp, "var"))])
+    return with_t(out)
+
+
+def with_t(out: DataFrame) -> DataFrame:
+    """Rows of n, mean and var of groups 1 and 0 with t and p."""
     n1, n0 = F.col("n1"), F.col("n0")
     pooled = F.try_divide((n1 - 1) * F.coalesce("var1", F.lit(0.0)) + (n0 - 1) * F.coalesce("var0", F.lit(0.0)), n1 + n0 - 2)
     scale = F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0)))
@@ -70,9 +75,10 @@ def anova(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame
     return out.withColumn("p", special.f_p("f", F.greatest(df1, F.lit(1)).cast("double"), F.greatest(df2, F.lit(1)).cast("double"))).drop("_within", "_between")
 
 
-def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """Largest distance of two empirical distributions (ST5); null where one of them is empty."""
-    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group)).alias("_a"), F.sum(1 - F.col(group)).alias("_b"))
+def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, group: str, weight: str | None = None) -> DataFrame:
+    """Largest distance of two empirical distributions (ST5); null where one of them is empty.  A row counts ``weight`` times, if given."""
+    times = F.col(weight) if weight else F.lit(1)
+    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(group) * times).alias("_a"), F.sum((1 - F.col(group)) * times).alias("_b"))
     totals = counts.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
     steps = running(counts, by, value, {"_up_a": "_a", "_up_b": "_b"})
     steps = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloneloom.operators import associations as A
-from cloneloom.operators import distance as D
-from cloneloom.operators.repertoire import shared_pairs
 from cloneloom.plans.proxies import COHORTS, SHARING, SPECIES, cohorts, sharing, species, table
 from cloneloom.plans.q_repertoire import rounded
 from cloneloom.plans.q_statistics import CUSTOMER, _customers
@@ -145,8 +143,8 @@ a AS (SELECT count(*) FILTER (k = 2) AS n1, count(*) FILTER (k = 0) AS n2, avg(v
 s AS (SELECT v, sum(count(*) FILTER (k = 2)) OVER (ORDER BY v) / (SELECT n1 FROM a) AS x, sum(count(*) FILTER (k = 0)) OVER (ORDER BY v) / (SELECT n2 FROM a) AS y FROM g WHERE k <> 1 GROUP BY v)
 SELECT n1, n2, round(ma, 5) AS mean_a, round(mb, 5) AS mean_b, round((SELECT max(abs(x - y)) FROM s), 5) AS d, round((mb - ma) / sqrt(((n1 - 1) * vb + (n2 - 1) * va) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 5) AS t, round(abs(ma - mb) / (ma + mb), 5) AS normalised_difference FROM a""")
 def pair_class_tests(spark, d):
-    classed = D.pair_classes(shared_pairs(sharing(spark, d), "sample", "sequence", cohorts(spark, d)), cohorts(spark, d), "sample", "cohort")
-    return rounded(A.pair_class_tests(classed, "n_shared").drop("p_ks", "p_t"), "mean_a", "mean_b", "d", "t", "normalised_difference", digits=5)
+    counts = A.shared_class_counts(sharing(spark, d), cohorts(spark, d), "sample", "sequence", "cohort")
+    return rounded(A.pair_class_tests(counts, "n_shared", weight="n").drop("p_ks", "p_t"), "mean_a", "mean_b", "d", "t", "normalised_difference", digits=5)
 
 
 @query(f"WITH {CUSTOMER} SELECT c_mktsegment, regr_count(spent, n_orders)::BIGINT AS n, round(regr_slope(spent, n_orders), 4) AS slope, round(regr_intercept(spent, n_orders), 4) AS intercept, round(regr_r2(spent, n_orders), 6) AS r2 FROM c GROUP BY 1")

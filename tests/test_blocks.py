@@ -155,3 +155,19 @@ def test_sums_of_two_distances_are_those_of_their_pairs(spark, cells, monkeypatc
         monkeypatch.setattr(distance, "both_distances", None)  # a row a pair
     got = distance.mantel_both(more, "sample", "feature", "v", size).first()
     assert got.n == want.n == 33 * 32 // 2 and got.r == pytest.approx(want.r, abs=1e-12)
+
+
+@pytest.mark.parametrize("size", [None, 6])
+def test_classes_of_pairs_are_counted_in_blocks(spark, cells, size):
+    flags = spark.createDataFrame([(f"s{i}", None if i == 3 else i % 2) for i in range(2, 40)], "sample string, cohort int")
+    pairs = distance.pair_classes(blocks.pair_sums(cells, "sample", "feature").withColumnRenamed("total", "n_shared"), flags, "sample", "cohort")
+    want = {(r.n_flagged, r.n_shared): r["count"] for r in pairs.where("n_flagged is not null").groupBy("n_flagged", "n_shared").count().collect()}
+    counts = associations.shared_class_counts(cells, flags, "sample", "feature", "cohort", size)
+    assert {(r.n_flagged, r.n_shared): r.n for r in counts.collect()} == want
+    values = {k: np.repeat(*np.array([(v, n) for (g, v), n in want.items() if g == k]).T).astype(float) for k in (0, 2)}
+    got = associations.pair_class_tests(counts, "n_shared", weight="n").first()
+    a, b = values[0], values[2]
+    pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2)
+    gap = max(abs((a <= v).mean() - (b <= v).mean()) for v in {*a, *b})
+    assert (got.n1, got.n2) == (len(b), len(a))
+    assert (got.mean_a, got.mean_b, got.d, got.t) == pytest.approx((a.mean(), b.mean(), gap, (b.mean() - a.mean()) / math.sqrt(pooled * (1 / len(a) + 1 / len(b)))))
